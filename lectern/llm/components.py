@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         low = large.groupBy(F.col("hi").alias("at")).agg(F.min("lo").alias("least"))
         star = (
             large.join(low, large["hi"] == low["at"])
-            .select(F.inline(F.array(F.struct("lo", "least"), F.struct("hi", "least"))).alias("hi", "lo"))
+            .select(F.explode(F.array("lo", "hi")).alias("hi"), F.col("least").alias("lo"))
             .where("hi <> lo")
             .distinct()
         )
