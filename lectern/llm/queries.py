@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import fingerprints, language, mixing, packing, quality, simhash, url_filters
+from lectern.llm import ann, fingerprints, idfiles, language, mixing, packing, quality, simhash, url_filters, warc
 from lectern.llm.common import table
 
 #: The rules of op1.
@@ -54,5 +54,22 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predicted(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_simhash_near_dedup, op4_mixing_sources, op5_document_fingerprints, op6_quality_classifier, op7_language_id)}
+def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "position")
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (
+    op1_url_filters, op2_best_fit_packing, op3_simhash_near_dedup, op4_mixing_sources, op5_document_fingerprints,
+    op6_quality_classifier, op7_language_id, op8_token_id_output, op9_warc, op10_nearest_neighbours,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 SQL: dict[str, str] = {}
