@@ -40,6 +40,11 @@ def pack(ids, width: int) -> bytes:
     """ids (any whole numbers under 2 ** width) as one run of bits, padded to whole bytes."""
     import numpy as np
 
+    if width in (8, 16, 32):  # the same bits, without taking them apart
+        small = np.asarray(ids).astype(f"<u{width // 8}")
+        if not np.array_equal(small, ids):
+            raise ValueError(f"an id needs more than {width} bits")
+        return small.tobytes()
     bits = np.unpackbits(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
     if bits[:, width:].any():
         raise ValueError(f"an id needs more than {width} bits")
@@ -50,6 +55,8 @@ def unpack(data: bytes, width: int, n: int):
     """The first n ids of a run of bits."""
     import numpy as np
 
+    if width in (8, 16, 32):
+        return np.frombuffer(data, f"<u{width // 8}", n).astype("<u4")
     bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
     wide = np.zeros((n, 32), np.uint8)
     wide[:, :width] = bits
