@@ -15,9 +15,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, sampled
 
-#: Rows that centroids and codes are fitted on, at most; cells, at most.
+#: Rows that centroids and codes are fitted on, about; cells, at most.
 SAMPLE_ROWS, MOST_CELLS = 32_768, 2_048
 #: Parts that a residual is cut into, and the codes of each.
 SUBSPACES, CODES = 16, 256
@@ -202,16 +202,17 @@ def neighbours(vectors: DataFrame, is_query=None, k: int = 10, reach: float = RE
 
     spark = vectors.sparkSession
     is_query = F.col("vec_id") % 100 == 0 if is_query is None else is_query
-    few = usable(vectors).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("vec_id", "embedding").toPandas()
+    few = sampled(usable(vectors), SAMPLE_ROWS, "vec_id", "embedding").toPandas()
     if not len(few):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = few["embedding"].map(len)
     dim = int(lengths.mode()[0])
-    sample = np.stack(few["embedding"][lengths == dim].to_numpy())
+    few = few[lengths == dim].sort_values("vec_id", kind="stable")
+    sample = np.stack(few["embedding"].to_numpy())
     rows = usable(vectors, dim)
     model = Quantiser(sample, min(MOST_CELLS, max(1, len(sample) // 16), 4 * math.isqrt(rows.count()) + 1))
     index = cut(indexed(rows, model))
-    trial = [(r["vec_id"], np.frombuffer(r["vector"], "<f8").tolist()) for r in index.where(is_query).orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIAL_QUERIES).collect()]
+    trial = [(r["vec_id"], np.frombuffer(r["vector"], "<f8").tolist()) for r in sampled(index.where(is_query), TRIAL_QUERIES, "vec_id", "vector").collect()]
     most = visits(index, model, trial, k, reach)
 
     # Blocks: small cells one after the other until a block is full, large ones in several.

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-#: Rated documents that the model is fitted on at most, and its hashed features.
+from lectern.llm.common import sampled
+
+#: Rated documents that the model is fitted on, about, and its hashed features.
 SAMPLE_DOCS, SPACE = 8192, 1 << 18
 GRADES = 3
 WORDS, MARKS, LINES = re.compile(r"[^\W\d_]+"), re.compile(r"[^\w\s]+"), re.compile(r"[^\n]+")
@@ -100,12 +102,12 @@ def fit(rows: list, grades: list[int], rounds: int = 12, rate: float = 0.15, rid
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Ordinal | None:
-    """The model of at most sample rated documents, the first by a hash of doc_id; their features, not their texts, come to the driver.
+    """The model of about sample rated documents, taken by a hash; their features, not their texts, come to the driver.
 
     Label rows without quality are left out; of rows that repeat a doc_id, and of documents that do, each counts.
     """
     rated = labels.select(labels["doc_id"].cast("long").alias("__rated"), grade_of(F.col("quality"), F.col("toxic")).alias("__grade")).where("__grade is not null and __rated is not null")
-    few = rated.orderBy(F.xxhash64("__rated"), "__rated", "__grade").limit(sample)
+    few = sampled(rated, sample, "__rated", "__grade")
 
     @pandas_udf("array<int>")
     def hashed(texts):

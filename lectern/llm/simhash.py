@@ -107,13 +107,3 @@ def grouped(docs: DataFrame, words: int = 5) -> DataFrame:
     found = connected_components(links(nodes).union(same))
     of = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return marked.join(of, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def deduplicated(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs (all columns) with one document of each group: that with the least doc_id.
-
-    Of rows that repeat that doc_id one is kept. Rows without doc_id are kept, as no decision can name them.
-    """
-    keep = grouped(docs, words).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))

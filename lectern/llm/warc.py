@@ -18,12 +18,12 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, new_folder, parts
+from lectern.llm.common import cut, new_folder, parts, sampled
 from lectern.llm.storage import attempt_name, opened
 
 #: An archive is closed after so many bytes.
 ARCHIVE_BYTES = 1 << 30
-#: Captures of a range, about; captures sampled for the ranges' bounds, at most; captures of a stretch that is sent as one row.
+#: Captures of a range, about; captures sampled for the ranges' bounds, about; captures of a stretch that is sent as one row.
 RANGE_CAPTURES, SAMPLE_CAPTURES, STRETCH = 200_000, 20_000, 2_000
 URN = "urn:page:"
 INDEX = "url_key string, captured string, page_id long, record_type string, payload_digest string, archive string, offset long, length long"
@@ -192,7 +192,7 @@ def merged(runs: DataFrame, range_captures: int = RANGE_CAPTURES) -> DataFrame:
     names = INDEX.replace(",", "").split()[::2]
     n = runs.count()
     ranges = max(1, math.ceil(n / range_captures), min(parts(runs), n // 1_000))
-    few = runs.orderBy(F.xxhash64("url_key", "page_id", "archive", "offset")).limit(SAMPLE_CAPTURES).collect() if ranges > 1 else []
+    few = sampled(runs, SAMPLE_CAPTURES, "url_key", "page_id", "archive", "offset").collect() if ranges > 1 else []
     sample = sorted(_order(r.asDict()) for r in few)
     bounds = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
 
