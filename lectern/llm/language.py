@@ -8,12 +8,15 @@ runs of letters in lower case; all else is alike in every language and left out.
 
 from __future__ import annotations
 
+import gc
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from lectern.llm.tokens import in_chunks
+
 #: Documents of each language that the models are fitted on, about; their longest part; rounds of fitting.
 SAMPLE_DOCS, ROUNDS, SMOOTHING = 1500, 4, 0.05
 #: Words are cut to so many letters, so that probabilities stay within double precision.
@@ -32,24 +35,40 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.ids = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-        self.size, self.longest = sp.get_piece_size(), max(map(len, self.ids))
-        self.other = sp.unk_id()
+        self.size, self.other = sp.get_piece_size(), sp.unk_id()
+        # Every beginning of a piece is listed too, with -1 if it is none itself, so a search ends where no piece goes on.
+        self.steps = dict.fromkeys((p[:i] for p in self.ids for i in range(1, len(p))), -1) | self.ids
 
     def lattice(self, words: list[str]):
-        """(word, start, end, piece) of every piece in every word, as arrays, in order of end; a letter that is no piece is the unknown one."""
+        """(word, start, end, piece) of every piece in every word, as arrays, in order of end and word; a letter that is no piece is the unknown one."""
         import numpy as np
 
-        ids, out = self.ids, []
-        for w, word in enumerate(words):
+        step, other, count = self.steps.get, self.other, []
+        out: list[int] = []
+        add = out.extend
+        for word in words:
+            before = len(out)
             for start in range(len(word)):
-                if word[start] not in ids:
-                    out.append((w, start, start + 1, self.other))
-                for end in range(start + 1, min(len(word), start + self.longest) + 1):
-                    piece = ids.get(word[start:end])
-                    if piece is not None:
-                        out.append((w, start, end, piece))
-        edges = np.array(out, np.int32).reshape(-1, 4)
-        return edges[np.argsort(edges[:, 2], kind="stable")].T
+                piece = step(word[start], -1)
+                add((start, start + 1, other if piece < 0 else piece))
+                for end in range(start + 2, len(word) + 1):
+                    piece = step(word[start:end])
+                    if piece is None:
+                        break
+                    if piece >= 0:
+                        add((start, end, piece))
+            count.append((len(out) - before) // 3)
+        start, end, piece = np.array(out, np.int32).reshape(-1, 3).T
+        order = np.argsort(end, kind="stable")
+        return np.repeat(np.arange(len(words), dtype=np.int32), count)[order], start[order], end[order], piece[order]
+
+    @staticmethod
+    def _summed(w, values):
+        """(words, sums of their rows), for rows in order of word."""
+        import numpy as np
+
+        first = np.append(0, np.flatnonzero(np.diff(w)) + 1)
+        return w[first], np.add.reduceat(values, first, axis=0)
 
     def forward(self, words: list[str], edges, probabilities):
         """alpha[word, position, language]: the probability of all segmentations up to there."""
@@ -62,7 +81,8 @@ class Pieces:
         for e in range(1, LONGEST + 2):
             part = slice(bounds[e], bounds[e + 1])
             if part.start < part.stop:
-                np.add.at(alpha[:, e], w[part], alpha[w[part], start[part]] * probabilities[piece[part]])
+                at, sums = self._summed(w[part], alpha[w[part], start[part]] * probabilities[piece[part]])
+                alpha[at, e] = sums
         return alpha
 
     def backward(self, words: list[str], edges, probabilities):
@@ -70,14 +90,14 @@ class Pieces:
 
         beta = np.zeros((len(words), LONGEST + 2, probabilities.shape[1]))
         beta[np.arange(len(words)), [len(w) for w in words]] = 1
-        w, start, end, piece = edges
-        order = np.argsort(-start, kind="stable")
-        w, start, end, piece = w[order], start[order], end[order], piece[order]
+        order = np.lexsort((edges[0], -edges[1]))
+        w, start, end, piece = (x[order] for x in edges)
         bounds = np.searchsorted(-start, np.arange(-LONGEST - 1, 2))
         for k, s in enumerate(range(LONGEST + 1, -1, -1)):
             part = slice(bounds[k], bounds[k + 1])
             if part.start < part.stop:
-                np.add.at(beta[:, s], w[part], beta[w[part], end[part]] * probabilities[piece[part]])
+                at, sums = self._summed(w[part], beta[w[part], end[part]] * probabilities[piece[part]])
+                beta[at, s] += sums
         return beta
 
 
@@ -107,7 +127,9 @@ def fitted(pieces: Pieces, counts: list[tuple[str, str, int]], languages: list[s
             alpha, beta = pieces.forward(part, edges, probabilities), pieces.backward(part, edges, probabilities)
             w, start, end, piece = edges
             weight = n[a : a + 20_000] / np.maximum(beta[:, 0], 1e-300)
-            np.add.at(total, piece, alpha[w, start] * probabilities[piece] * beta[w, end] * weight[w])
+            share = alpha[w, start] * probabilities[piece] * beta[w, end] * weight[w]
+            for k in range(len(languages)):
+                total[:, k] += np.bincount(piece, share[:, k], pieces.size)
         probabilities = total / total.sum(axis=0)
     return probabilities
 
@@ -159,29 +181,35 @@ def identify_udf(languages: list[str], probabilities, model_file: str):
             _memory.clear()
             _memory[key] = (Pieces(model_file) if names else None, {}, np.zeros((1024, max(1, len(names)))))
         pieces, known, table = _memory[key]
-        out = []
-        for text in texts:
-            found = cut_words(text) if text else []
-            if not found or not names:
-                out.append((UNKNOWN, 0.0))
-                continue
-            missing = list({w for w in found if w not in known})
-            if missing and len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = list(set(found))
-            for a in range(0, len(missing), 5_000):
-                part = ["▁" + w for w in missing[a : a + 5_000]]
-                alpha = pieces.forward(part, pieces.lattice(part), probs)
-                scores = np.log(np.maximum(alpha[np.arange(len(part)), [len(w) for w in part]], 1e-300))
-                begin = len(known)
-                while begin + len(part) > len(table):
-                    table = np.concatenate([table, np.zeros_like(table)])
-                table[begin : begin + len(part)] = scores
-                known.update(zip(missing[a : a + 5_000], range(begin, begin + len(part))))
-                _memory[key] = (pieces, known, table)
-            total = table[np.fromiter((known[w] for w in found), np.int64, len(found))].sum(axis=0)
-            odds = np.exp(total - total.max())
-            out.append((names[int(total.argmax())], float(odds.max() / odds.sum())))
+        out: list[tuple[str, float]] = []
+        gc.disable()  # many small objects and no cycles: the collector would only cost
+        try:
+            whole = [t or "" for t in texts] if names else [""] * len(texts)
+            for a, b in in_chunks(whole):
+                cut = [cut_words(t) for t in whole[a:b]]
+                missing = list(set().union(*cut).difference(known))
+                if len(known) + len(missing) > REMEMBERED:
+                    known.clear()
+                    missing = list(set().union(*cut))
+                for i in range(0, len(missing), 20_000):
+                    part = ["▁" + w for w in missing[i : i + 20_000]]
+                    alpha = pieces.forward(part, pieces.lattice(part), probs)
+                    scores = np.log(np.maximum(alpha[np.arange(len(part)), [len(w) for w in part]], 1e-300))
+                    begin = len(known)
+                    while begin + len(part) > len(table):
+                        table = np.concatenate([table, np.zeros_like(table)])
+                    table[begin : begin + len(part)] = scores
+                    known.update(zip(missing[i : i + 20_000], range(begin, begin + len(part))))
+                    _memory[key] = (pieces, known, table)
+                for found in cut:
+                    if not found:
+                        out.append((UNKNOWN, 0.0))
+                        continue
+                    total = table[np.fromiter(map(known.__getitem__, found), np.int64, len(found))].sum(axis=0)
+                    odds = np.exp(total - total.max())
+                    out.append((names[int(total.argmax())], float(odds.max() / odds.sum())))
+        finally:
+            gc.enable()
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
     return identify
