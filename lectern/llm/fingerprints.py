@@ -138,13 +138,15 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 
         for pdf in batches:
             rows = []
-            for at, own, doc_id, text in zip(pdf["at"].tolist(), pdf["own"].tolist(), pdf["doc_id"].astype("object").tolist(), pdf["text"].tolist()):
+            for own, doc_id, text in zip(pdf["own"].tolist(), pdf["doc_id"].tolist(), pdf["text"].tolist()):
                 if not own and held is None:
                     continue  # a further row of the lent head
                 print_ = method.of(text)
                 if held is not None:
                     rows.append(row(*held, text, print_))
-                held = (None if doc_id != doc_id else doc_id, text, print_) if own else None
-            yield pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
+                held = (None if doc_id is None else int(doc_id), text, print_) if own else None
+            columns = dict(zip(["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"], list(zip(*rows)) or [()] * 7))
+            yield pd.DataFrame(columns | {"doc_id": pd.array(columns["doc_id"], "Int64")})
 
-    return with_successor(docs, 3 * parts(docs)).mapInPandas(run, SCHEMA)
+    # doc_id goes as text: beside a null, a large whole number would lose digits on its way.
+    return with_successor(docs, 3 * parts(docs)).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, SCHEMA)

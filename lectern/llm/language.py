@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from lectern.llm.common import unused
 from lectern.llm.tokens import in_chunks
 
 #: Documents of each language that the models are fitted on, about; their longest part; rounds of fitting.
@@ -230,5 +231,5 @@ def predicted(docs: DataFrame, model_file: str, learn_from: DataFrame | None = N
 def accepted(docs: DataFrame, model_file: str, learn_from: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """docs (all columns) whose language is known with at least the given probability; und goes."""
     identify = identify_udf(*learned(learn_from or docs, model_file), model_file)
-    said = identify(docs["text"])
-    return docs.withColumn("__said", said).where((F.col("__said.lang_pred") != UNKNOWN) & (F.col("__said.score") >= least)).drop("__said")
+    said = unused(docs, "__said")
+    return docs.withColumn(said, identify(docs["text"])).where((F.col(said)["lang_pred"] != UNKNOWN) & (F.col(said)["score"] >= least)).drop(said)

@@ -14,10 +14,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, cut
+from lectern.llm.common import WORD, cut, unused
 
 #: Documents of a block.
-BLOCK = 20_000
+BLOCK = 4_096
 #: The mixture is settled on the driver; so many sources fit there with ease.
 MOST_SOURCES = 100_000
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -140,6 +140,7 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
 
     Rows that repeat a doc_id, or have none, all come as often as that id is taken most.
     """
-    copies = mixture(docs, **settings).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("doc_id", "__of")
-    often = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col("__of")))
-    return often.withColumn("__copies", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    of, n = unused(docs, "__of"), unused(docs, "__copies")
+    copies = mixture(docs, **settings).groupBy("doc_id").agg(F.max("copies").alias(n)).where(F.col(n) > 0).withColumnRenamed("doc_id", of)
+    often = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col(of)))
+    return often.withColumn(n, F.explode(F.array_repeat(F.lit(0), F.col(n)))).select(*[docs[c] for c in docs.columns])

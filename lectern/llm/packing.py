@@ -51,8 +51,6 @@ class OpenBins:
         return number
 
 
-
-
 def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, open_bins: int = 4096) -> DataFrame:
     """A row for each piece of each document: where it starts in its document and where it lies in which sequence.
 
@@ -71,7 +69,7 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, o
 
         base, bins, encode, end = TaskContext.get().partitionId() << 36, OpenBins(size, open_bins), encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
         for pdf in batches:
-            docs_, texts, rows = pdf["doc_id"].tolist(), pdf["text"].tolist(), []
+            docs_, texts, rows = [None if x is None else int(x) for x in pdf["doc_id"]], pdf["text"].tolist(), []
             for a, b in in_chunks(texts):
                 for doc, ids in zip(docs_[a:b], encode(texts[a:b])):
                     ids = memoryview(ids + end)
@@ -80,6 +78,8 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048, o
                         length = len(part) // 4
                         number, offset = bins.place(length)
                         rows.append((doc, piece, start, length, zlib.crc32(part), base + number, offset))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
+            columns = dict(zip(["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"], list(zip(*rows)) or [()] * 7))
+            yield pd.DataFrame(columns | {"doc_id": pd.array(columns["doc_id"], "Int64")})
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(pack, SCHEMA)
+    # doc_id goes as text: beside a null, a large whole number would lose digits on its way.
+    return docs.select(docs["doc_id"].cast("long").cast("string").alias("doc_id"), text_of().alias("text")).mapInPandas(pack, SCHEMA)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from lectern.llm.common import sampled
+from lectern.llm.common import sampled, unused
 
 #: Rated documents that the model is fitted on, about, and its hashed features.
 SAMPLE_DOCS, SPACE = 8192, 1 << 18
@@ -115,7 +115,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Or
 
         return pd.Series([features(t or "").astype("int32") for t in texts])
 
-    got = docs.join(F.broadcast(few), docs["doc_id"].cast("long") == F.col("__rated")).select("__rated", "__grade", hashed(docs["text"]).alias("features")).limit(4 * sample).toPandas()
+    texts = docs.select(docs["doc_id"].cast("long").alias("__doc"), docs["text"].alias("__text"))
+    got = texts.join(F.broadcast(few), F.col("__doc") == F.col("__rated")).select("__rated", "__grade", hashed("__text").alias("features")).limit(4 * sample).toPandas()
     got = got.sort_values(["__rated", "__grade"], kind="stable")
     return fit(got["features"].tolist(), got["__grade"].tolist())
 
@@ -143,5 +144,5 @@ def judged(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """docs (all columns) that the classifier keeps."""
-    judge = judge_udf(trained(docs, labels))
-    return docs.withColumn("__said", judge(docs["text"])).where(F.coalesce(F.col("__said.tail_probability") >= least, F.lit(True))).drop("__said")
+    judge, said = judge_udf(trained(docs, labels)), unused(docs, "__said")
+    return docs.withColumn(said, judge(docs["text"])).where(F.coalesce(F.col(said)["tail_probability"] >= least, F.lit(True))).drop(said)
