@@ -110,26 +110,21 @@ def cut_words(text: str) -> list[str]:
     return found
 
 
-def fitted(pieces: Pieces, counts: list[tuple[str, str, int]], languages: list[str]):
-    """probabilities[piece, language] from (language, word, count)."""
+def fitted(pieces: Pieces, words: list[str], n):
+    """probabilities[piece, language] from words and their counts n[word, language]."""
     import numpy as np
 
-    at, words = {l: i for i, l in enumerate(languages)}, sorted({w for _, w, _ in counts})
-    number = {w: i for i, w in enumerate(words)}
-    n = np.zeros((len(words), len(languages)))
-    for language, word, count in counts:
-        n[number[word], at[language]] += count
-    marked, probabilities = ["▁" + w for w in words], np.full((pieces.size, len(languages)), 1 / pieces.size)
+    probabilities = np.full((pieces.size, n.shape[1]), 1 / pieces.size)
     for _ in range(ROUNDS):
         total = np.full_like(probabilities, SMOOTHING)
         for a in range(0, len(words), 20_000):
-            part = marked[a : a + 20_000]
+            part = ["▁" + w for w in words[a : a + 20_000]]
             edges = pieces.lattice(part)
             alpha, beta = pieces.forward(part, edges, probabilities), pieces.backward(part, edges, probabilities)
             w, start, end, piece = edges
             weight = n[a : a + 20_000] / np.maximum(beta[:, 0], 1e-300)
             share = alpha[w, start] * probabilities[piece] * beta[w, end] * weight[w]
-            for k in range(len(languages)):
+            for k in range(n.shape[1]):
                 total[:, k] += np.bincount(piece, share[:, k], pieces.size)
         probabilities = total / total.sum(axis=0)
     return probabilities
@@ -159,9 +154,11 @@ def learned(docs: DataFrame, model_file: str, sample: int = SAMPLE_DOCS):
 
         return pd.Series([cut_words(t) for t in texts])
 
-    counted = usable.where(keep).select("lang", F.explode(words("text")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    got = counted.toPandas()
-    return languages, fitted(Pieces(model_file), list(zip(got["lang"], got["word"], got["n"])), languages)
+    each = usable.where(keep).select("lang", F.explode(words("text")).alias("word"))
+    counted = each.groupBy("word").agg(*[F.count_if(F.col("lang") == l).alias(f"n{i}") for i, l in enumerate(languages)])
+    got = counted.toPandas().sort_values("word", kind="stable")
+    n = got[[f"n{i}" for i in range(len(languages))]].to_numpy("float64")
+    return languages, fitted(Pieces(model_file), got["word"].tolist(), n)
 
 
 _memory: dict = {}
