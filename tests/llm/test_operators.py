@@ -167,6 +167,31 @@ def test_lone_pairs_meet_at_any_number_of_documents(spark):
     assert (1 - 0.8**similar.ROWS) ** similar.bands_of(0.8) <= similar.MISSED
 
 
+@pytest.mark.parametrize("posting, block", [(2, 3), (2, 512), (64, 512)])
+def test_near_copies_are_those_of_brute_force(spark, monkeypatch, posting, block):
+    """Chains of likeness around 0.8 off the least node: rows near a posting's head still join those that only they are like, and nothing below 0.8 is joined."""
+    monkeypatch.setattr(similar, "POSTING", posting)
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng, texts = random.Random(7), []
+    for family in range(6):
+        base = [f"w{family}x{i}" for i in range(120)]
+        for _ in range(20):
+            own = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                own[rng.randrange(120)] = f"y{rng.randrange(10**9)}"
+            texts.append(" ".join(own))
+    pairs = {(i, j): likeness_of(texts[i], texts[j]) for i, j in itertools.combinations(range(len(texts)), 2)}
+    assert sum(0.6 <= v < 0.8 for v in pairs.values()) > 100 and sum(0.8 <= v < 0.9 for v in pairs.values()) > 100
+    least = list(range(len(texts)))
+    for _ in texts:
+        for (i, j), v in pairs.items():
+            if v >= 0.8:
+                least[i] = least[j] = min(least[i], least[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = {r["doc_id"]: r["component_id"] for r in similar.grouped(docs).collect()}
+    assert [of[i] for i in range(len(texts))] == least and len(set(least)) > 6
+
+
 def test_mixing(docs):
     rows = mixing.mixture(docs).collect()
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mixture(docs).collect()), key=str)
