@@ -3,7 +3,9 @@
 Both tokenizers used here split a text into runs of letters, digits and marks before they look at anything, and never let a token cross
 from a visible character into the white space after it. So a text is cut before every single space that follows a visible
 character, and a word of letters and plain marks is cut between the two. Runs of letters repeat, so each is encoded
-once by the library, many at a time, and looked up afterwards; a word of any other shape is encoded by itself. Texts where the
+once by the library, many at a time, and looked up afterwards; a word of any other shape is encoded by itself. Whether a letter
+outside ASCII ends where a mark begins is asked of the library, once a letter: a capital whose lower case ends in a combining mark
+takes the mark behind it along. Texts where the
 cuts could matter (runs of white space, unusual white space before a space, a leading space) go to the library whole.
 """
 
@@ -55,12 +57,25 @@ class Encoder:
         self.spaced = Known()  # what stands after a space
         self.line = self.tokenizer.token_to_id("Ċ")
         self.bare: dict[str, bytes] = {}  # what doesn't
+        self.parted: dict[str, bool] = {}  # letters, by whether what follows them is a word of its own
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, run: str) -> bool:
+        """Whether run is letters only, none of which the library joins with a mark beside it."""
+        if not run.isalpha():
+            return False
+        if run.isascii():
+            return True
+        parted = self.parted
+        for c in set(run).difference(parted):
+            whole, one, mark = self._ids([f"x{c}.", f"x{c}", "."])
+            parted[c] = c.isascii() or whole == one + mark
+        return all(map(parted.__getitem__, set(run)))
+
     def _runs(self, runs: list[str], lead: str) -> list[bytes]:
         """Ids of runs of letters, each after lead (a space or nothing)."""
         import numpy as np
@@ -84,7 +99,9 @@ class Encoder:
 
     def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
         new = [x for x in words if x not in known]
-        letters, other = [x for x in new if x.isalpha()], [x for x in new if not x.isalpha()]
+        letters, other = [], []
+        for x in new:
+            (letters if x.isalpha() else other).append(x)
         known.update(zip(letters, self._runs(letters, lead)))
         known.update(zip(other, self._ids([lead + x for x in other])))
 
@@ -111,12 +128,12 @@ class Encoder:
         missing, runs, heads, shapes = set(spaced.wanted), set(), set(firsts), {}
         for word in missing:
             letters = word.rstrip(MARKS)
-            if letters.isalpha():
+            if self._letters(letters):
                 runs.add(letters)
                 if len(letters) < len(word):
                     shapes[word] = (letters, (marks := word[len(letters) :],))
                     heads.add(marks)
-            elif (m := LINES.fullmatch(word)) and m[1].isalpha() and m[4].isalpha():
+            elif (m := LINES.fullmatch(word)) and self._letters(m[1]) and self._letters(m[4]):
                 runs.add(m[1])
                 shapes[word] = (m[1], rest := tuple(x for x in m.groups()[1:] if x))
                 heads.update(rest)
