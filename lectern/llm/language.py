@@ -3,28 +3,31 @@
 The pieces are a fixed public vocabulary's. For each language the pieces' probabilities are learned by expectation
 maximisation on the words of a bounded sample of documents. A forward pass over a word sums the probabilities of all
 ways to cut it into pieces, so no single segmentation has to be right. A text's score is the product over its words,
-runs of letters in lower case; all else is alike in every language and left out.
+runs of letters in lower case; all else is alike in every language and left out. Runs longer than LONGEST, as in scripts without
+spaces, are summed whole too, one at a time and in logarithms.
 """
 
 from __future__ import annotations
 
 import gc
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from lectern.llm.common import unused
+from lectern.llm.common import cut, parts, unused
 from lectern.llm.tokens import in_chunks
 
-#: Documents of each language that the models are fitted on, about; their longest part; rounds of fitting.
+#: Documents of each language that the models are fitted on, about; rounds of fitting; what each piece has in advance.
 SAMPLE_DOCS, ROUNDS, SMOOTHING = 1500, 4, 0.05
-#: Words are cut to so many letters, so that probabilities stay within double precision.
+#: Words of up to so many letters are summed many at a time, in plain probabilities, which double precision holds.
 LONGEST = 24
 #: Words that a worker remembers.
 REMEMBERED = 400_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of what may be letters; numbers such as fractions and Roman numerals are among them and are taken out afterwards.
+ALNUM = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
@@ -102,30 +105,94 @@ class Pieces:
         return beta
 
 
+    def long(self, word: str, logs):
+        """(edges as arrays start, end, piece; log alpha; log beta) of one word of any length; logs: log probabilities."""
+        import numpy as np
+
+        _, start, end, piece = self.lattice([word])
+        n, k = len(word), logs.shape[1]
+        alpha, beta = np.full((n + 1, k), -np.inf), np.full((n + 1, k), -np.inf)
+        alpha[0] = beta[n] = 0
+        weight, bounds = logs[piece], np.searchsorted(end, np.arange(n + 2))
+        for e in range(1, n + 1):
+            part = slice(bounds[e], bounds[e + 1])
+            alpha[e] = np.logaddexp.reduce(alpha[start[part]] + weight[part], axis=0)
+        order = np.argsort(start, kind="stable")
+        bounds = np.searchsorted(start[order], np.arange(n + 1))
+        for s in range(n - 1, -1, -1):
+            part = order[bounds[s] : bounds[s + 1]]
+            beta[s] = np.logaddexp.reduce(beta[end[part]] + weight[part], axis=0)
+        return (start, end, piece), alpha, beta
+
+    def scores(self, words: list[str], probabilities):
+        """log probability[word, language] of words, each with the mark that begins a word, over all their segmentations."""
+        import numpy as np
+
+        out = np.zeros((len(words), probabilities.shape[1]))
+        short = [i for i, w in enumerate(words) if len(w) <= LONGEST + 1]
+        some = [words[i] for i in short]
+        alpha = self.forward(some, self.lattice(some), probabilities)
+        out[short] = np.log(np.maximum(alpha[np.arange(len(some)), [len(w) for w in some]], 1e-300))
+        if len(short) < len(words):
+            logs = np.log(probabilities)
+            for i, w in enumerate(words):
+                if len(w) > LONGEST + 1:
+                    out[i] = self.long(w, logs)[1][-1]
+        return out
+
+    def expected(self, words: list[str], n, probabilities):
+        """How often each piece is used in words that occur n[word, language] times, over all segmentations: [piece, language]."""
+        import numpy as np
+
+        total = np.zeros_like(probabilities)
+        short = np.array([len(w) <= LONGEST for w in words], bool)
+        some = ["▁" + w for w, s in zip(words, short) if s]
+        edges = self.lattice(some)
+        alpha, beta = self.forward(some, edges, probabilities), self.backward(some, edges, probabilities)
+        w, start, end, piece = edges
+        weight = n[short] / np.maximum(beta[:, 0], 1e-300)
+        share = alpha[w, start] * probabilities[piece] * beta[w, end] * weight[w]
+        for k in range(n.shape[1]):
+            total[:, k] += np.bincount(piece, share[:, k], self.size)
+        logs = np.log(probabilities)
+        for i in np.flatnonzero(~short):
+            (start, end, piece), alpha, beta = self.long("▁" + words[i], logs)
+            np.add.at(total, piece, np.exp(alpha[start] + logs[piece] + beta[end] - alpha[-1]) * n[i])
+        return total
+
+
 def cut_words(text: str) -> list[str]:
-    """Runs of letters in lower case, each with the mark that begins a word, long ones in parts."""
-    found = LETTERS.findall(text.lower())
-    if len(max(found, key=len, default="")) > LONGEST:
-        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    """Runs of letters (Unicode category L) in lower case."""
+    found = ALNUM.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
-def fitted(pieces: Pieces, words: list[str], n):
-    """probabilities[piece, language] from words and their counts n[word, language]."""
+def fitted(pieces: int, model_file: str, counted: DataFrame, languages: int):
+    """probabilities[piece, language] from words and their counts (word, n0, n1, ...).
+
+    Each round's expectations are taken where the words are and added up by Spark; a row for each piece comes back.
+    """
     import numpy as np
 
-    probabilities = np.full((pieces.size, n.shape[1]), 1 / pieces.size)
+    names, probabilities = [f"n{i}" for i in range(languages)], np.full((pieces, languages), 1 / pieces)
+
+    def expect(batches: Iterator, p) -> Iterator:
+        import pandas as pd
+
+        total, own = np.zeros_like(p), _pieces(model_file)
+        for pdf in batches:
+            total += own.expected(pdf["word"].tolist(), pdf[names].to_numpy("float64"), p)
+        used = np.flatnonzero(total.any(axis=1))
+        yield pd.DataFrame({"piece": used} | {c: total[used, i] for i, c in enumerate(names)})
+
     for _ in range(ROUNDS):
+        now = probabilities
+        each = counted.mapInPandas(lambda batches: expect(batches, now), "piece long, " + ", ".join(f"{c} double" for c in names))  # noqa: B023
+        got = each.groupBy("piece").agg(*[F.sum(c).alias(c) for c in names]).toPandas()
         total = np.full_like(probabilities, SMOOTHING)
-        for a in range(0, len(words), 20_000):
-            part = ["▁" + w for w in words[a : a + 20_000]]
-            edges = pieces.lattice(part)
-            alpha, beta = pieces.forward(part, edges, probabilities), pieces.backward(part, edges, probabilities)
-            w, start, end, piece = edges
-            weight = n[a : a + 20_000] / np.maximum(beta[:, 0], 1e-300)
-            share = alpha[w, start] * probabilities[piece] * beta[w, end] * weight[w]
-            for k in range(n.shape[1]):
-                total[:, k] += np.bincount(piece, share[:, k], pieces.size)
+        total[got["piece"].to_numpy("int64")] += got[names].to_numpy("float64")
         probabilities = total / total.sum(axis=0)
     return probabilities
 
@@ -138,8 +205,8 @@ def held_out(doc_id: Column) -> Column:
 def learned(docs: DataFrame, model_file: str, sample: int = SAMPLE_DOCS):
     """(languages, probabilities) from text and lang of the documents that aren't held out.
 
-    About sample documents of each language are taken, by a hash of doc_id, and their words counted by Spark; only the
-    counts come to the driver.
+    About sample documents of each language are taken, by a hash of doc_id, their words counted and the models fitted by Spark;
+    only the pieces' expected counts come to the driver.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(docs["doc_id"]))
     there = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -155,10 +222,20 @@ def learned(docs: DataFrame, model_file: str, sample: int = SAMPLE_DOCS):
         return pd.Series([cut_words(t) for t in texts])
 
     each = usable.where(keep).select("lang", F.explode(words("text")).alias("word"))
-    counted = each.groupBy("word").agg(*[F.count_if(F.col("lang") == l).alias(f"n{i}") for i, l in enumerate(languages)])
-    got = counted.toPandas().sort_values("word", kind="stable")
-    n = got[[f"n{i}" for i in range(len(languages))]].to_numpy("float64")
-    return languages, fitted(Pieces(model_file), got["word"].tolist(), n)
+    counted = each.groupBy("word").agg(*[F.count_if(F.col("lang") == l).cast("double").alias(f"n{i}") for i, l in enumerate(languages)])
+    # A task sees its words in one order in every run, so that sums are the same.
+    counted = cut(counted.repartition(parts(docs), "word").sortWithinPartitions("word"))
+    return languages, fitted(_pieces(model_file).size, model_file, counted, len(languages))
+
+
+_known_pieces: dict[str, Pieces] = {}
+
+
+def _pieces(model_file: str) -> Pieces:
+    """One for each process and vocabulary."""
+    if model_file not in _known_pieces:
+        _known_pieces[model_file] = Pieces(model_file)
+    return _known_pieces[model_file]
 
 
 _memory: dict = {}
@@ -177,7 +254,7 @@ def identify_udf(languages: list[str], probabilities, model_file: str):
         names, probs = spark_like
         if key not in _memory:
             _memory.clear()
-            _memory[key] = (Pieces(model_file) if names else None, {}, np.zeros((1024, max(1, len(names)))))
+            _memory[key] = (_pieces(model_file) if names else None, {}, np.zeros((1024, max(1, len(names)))))
         pieces, known, table = _memory[key]
         out: list[tuple[str, float]] = []
         gc.disable()  # many small objects and no cycles: the collector would only cost
@@ -191,8 +268,7 @@ def identify_udf(languages: list[str], probabilities, model_file: str):
                     missing = list(set().union(*cut))
                 for i in range(0, len(missing), 20_000):
                     part = ["▁" + w for w in missing[i : i + 20_000]]
-                    alpha = pieces.forward(part, pieces.lattice(part), probs)
-                    scores = np.log(np.maximum(alpha[np.arange(len(part)), [len(w) for w in part]], 1e-300))
+                    scores = pieces.scores(part, probs)
                     begin = len(known)
                     while begin + len(part) > len(table):
                         table = np.concatenate([table, np.zeros_like(table)])
