@@ -1,10 +1,13 @@
 """Nearest neighbours from an inverted file with product-quantised residuals.
 
-Coarse centroids and sub-quantisers are fitted on a bounded sample; every row is indexed under its nearest centroid with a
-code of its residual. Rows of small cells share blocks, cells too large for one are dealt over several, so no group
+Coarse centroids come in two levels, so that their number can grow with the square root of the rows: the tops are fitted on a
+bounded sample at the driver, the cells of each top by a task of its own. Every row is indexed under its nearest cell with a code of
+its residual. Of equal vectors only the least ids can be among anyone's nearest, so only those are candidates, and a vector that a third
+of all rows share costs no more than others. Rows of small cells share blocks, cells too large for one are dealt over several, so no group
 grows with the data. A query visits its nearest cells' blocks; there a table of asymmetric distances ranks the rows by code,
 the shortlist is ranked again by exact distances, and each block's best are merged. How many cells a query visits is
-measured on the whole index: as many as make the stated share of true neighbours of a few queries reachable.
+measured on the whole index: as many as make the stated share of true neighbours of a few queries reachable, and never fewer than
+hold the candidates it needs. Queries that still lack neighbours, as those may all be rows of their own id, visit all cells.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import cut, sampled
 
-#: Rows that centroids and codes are fitted on, about; cells, at most.
-SAMPLE_ROWS, MOST_CELLS = 32_768, 2_048
+#: Rows that tops and codes are fitted on, about; rows that the cells are fitted on, about, for each cell; tops that a row's cell is looked for in.
+SAMPLE_ROWS, CELL_ROWS, TOPS = 32_768, 16, 2
 #: Parts that a residual is cut into, and the codes of each.
 SUBSPACES, CODES = 16, 256
 #: Rows of a block and queries of a chunk, about; rows of a block ranked again for a query.
@@ -48,22 +51,42 @@ def nearest(rows, centres):
 
 
 class Quantiser:
-    """Coarse centres and, for each part of the residual, its codes' values; kept small enough to go with every task."""
+    """Coarse centres under their tops and, for each part of the residual, its codes' values.
 
-    def __init__(self, sample, cells: int) -> None:
+    It goes with every task: the centres are four times the square root of the rows, the values fixed in number.
+    """
+
+    def __init__(self, sample, tops, cells: dict) -> None:
         import numpy as np
 
-        self.dim = sample.shape[1]
-        self.coarse = centroids(sample, min(cells, len(sample)))
+        self.dim, self.tops = sample.shape[1], tops
+        found = [cells.get(t, tops[t : t + 1]) for t in range(len(tops))]
+        self.coarse, self.ends = np.concatenate(found), np.cumsum([0, *map(len, found)])
         self.bounds = np.linspace(0, self.dim, min(SUBSPACES, self.dim) + 1).astype(int)
-        rest = sample - self.coarse[nearest(sample, self.coarse)]
+        rest = sample - self.coarse[self.cell_of(sample)]
         self.values = [centroids(rest[:, a:b], min(CODES, len(rest))) for a, b in zip(self.bounds, self.bounds[1:])]
 
+    def cell_of(self, rows):
+        """The nearest cell of each row among those of its nearest tops."""
+        import numpy as np
+
+        far = (self.tops**2).sum(1) / 2 - rows @ self.tops.T
+        least, cell = np.full(len(rows), np.inf), np.zeros(len(rows), int)
+        near = np.argpartition(far, min(TOPS, far.shape[1]) - 1, axis=1)[:, :TOPS] if len(rows) else np.zeros((0, 1), int)
+        for t in np.unique(near):
+            own, (a, b) = np.flatnonzero((near == t).any(1)), self.ends[t : t + 2]
+            distance = (self.coarse[a:b] ** 2).sum(1) / 2 - rows[own] @ self.coarse[a:b].T
+            at = distance.argmin(1)
+            best = distance[np.arange(len(own)), at]
+            closer = best < least[own]
+            least[own[closer]], cell[own[closer]] = best[closer], a + at[closer]
+        return cell
+
     def index(self, rows):
         """(cell, codes) of each row."""
         import numpy as np
 
-        cell = nearest(rows, self.coarse)
+        cell = self.cell_of(rows)
         rest = rows - self.coarse[cell]
         return cell, np.stack([nearest(rest[:, a:b], v) for (a, b), v in zip(zip(self.bounds, self.bounds[1:]), self.values)], axis=1).astype(np.uint8)
 
@@ -148,6 +171,42 @@ def indexed(rows: DataFrame, model: Quantiser) -> DataFrame:
     return rows.mapInPandas(run, "vec_id long, cell int, codes binary, vector binary")
 
 
+def trained(rows: DataFrame, sample, n: int) -> Quantiser:
+    """The quantiser of n rows (vec_id, embedding): tops from the sample, each top's cells from about CELL_ROWS rows a cell by a task of its own."""
+    import numpy as np
+
+    dim, cells = sample.shape[1], max(1, min(4 * math.isqrt(n) + 1, n // CELL_ROWS))
+    tops = centroids(sample, min(len(sample), math.isqrt(cells)))
+    steps = 1 << 30
+    few = rows.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(steps)) < math.ceil(steps * min(1.0, cells * CELL_ROWS / n)))
+
+    def under(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["embedding"].to_numpy())
+                yield pd.DataFrame({"top": nearest(x, tops), "vector": packed(x)})
+
+    def fit(key, pdf):
+        import pandas as pd
+
+        x = np.unique(unpacked(pdf["vector"], dim), axis=0)  # sorted, so that the order in which rows come doesn't count
+        x = x[np.random.default_rng(0).permutation(len(x))]
+        own = centroids(x, max(1, min(len(x), round(len(pdf) / CELL_ROWS))))
+        return pd.DataFrame({"top": key[0], "centres": [own.tobytes()]})
+
+    found = few.mapInPandas(under, "top int, vector binary").groupBy("top").applyInPandas(fit, "top int, centres binary").collect()
+    return Quantiser(sample, tops, {r["top"]: np.frombuffer(r["centres"], "<f8").reshape(-1, dim) for r in found})
+
+
+def candidates(index: DataFrame, k: int) -> DataFrame:
+    """The rows of index that can be among the k nearest of any query: of equal vectors those of the k + 1 least ids, of an id's rows k."""
+    by_vector, by_id = Window.partitionBy("vector").orderBy("vec_id"), Window.partitionBy("vector", "vec_id").orderBy("cell")
+    least = index.withColumn("__place", F.dense_rank().over(by_vector)).where(F.col("__place") <= k + 1).drop("__place")
+    return least.withColumn("__place", F.row_number().over(by_id)).where(F.col("__place") <= k).drop("__place")
+
+
 def _best_rows(rows: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -190,67 +249,64 @@ def visits(index: DataFrame, model: Quantiser, trial: list, k: int, reach: float
     return at[min(len(at) - 1, math.ceil(reach * len(at)) - 1)] + 1 if at else cells
 
 
-def neighbours(vectors: DataFrame, is_query=None, k: int = 10, reach: float = REACH) -> DataFrame:
-    """query_id, rank, vec_id, score: for each query the k nearest rows found, by Euclidean distance, ties to the lesser id.
+class Layout:
+    """Where cells lie: small cells one after the other until a block is full, large ones in several blocks.
 
-    vectors: vec_id, embedding. is_query: a condition on vec_id, by default ids divisible by 100. Rows without id, and vectors that
-    are null, zero, or hold a null or a number that isn't finite, take no part; nor do those of another
-    length than most of the sample. A query never meets rows of its own id; rows that repeat an id are rows each.
-    Tables without usable rows give no rows.
+    Cells of one top have neighbouring numbers, so a query's cells share blocks.
     """
-    import numpy as np
 
-    spark = vectors.sparkSession
-    is_query = F.col("vec_id") % 100 == 0 if is_query is None else is_query
-    few = sampled(usable(vectors), SAMPLE_ROWS, "vec_id", "embedding").toPandas()
-    if not len(few):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lengths = few["embedding"].map(len)
-    dim = int(lengths.mode()[0])
-    few = few[lengths == dim].sort_values("vec_id", kind="stable")
-    sample = np.stack(few["embedding"].to_numpy())
-    rows = usable(vectors, dim)
-    model = Quantiser(sample, min(MOST_CELLS, max(1, len(sample) // 16), 4 * math.isqrt(rows.count()) + 1))
-    index = cut(indexed(rows, model))
-    trial = [(r["vec_id"], np.frombuffer(r["vector"], "<f8").tolist()) for r in sampled(index.where(is_query), TRIAL_QUERIES, "vec_id", "vector").collect()]
-    most = visits(index, model, trial, k, reach)
+    def __init__(self, count: dict[int, int]) -> None:
+        self.count, self.first, self.blocks = count, {}, {}
+        last, free = -1, 0
+        for cell, n in sorted(count.items()):
+            if n > free:
+                self.first[cell], self.blocks[cell] = last + 1, max(1, math.ceil(n / BLOCK))
+                last += self.blocks[cell]
+                free = BLOCK - n if n <= BLOCK else 0
+            else:
+                self.first[cell], self.blocks[cell], free = last, 1, free - n
 
-    # Blocks: small cells one after the other until a block is full, large ones in several.
-    count, first, blocks, free = dict(index.groupBy("cell").count().collect()), {}, {}, 0
-    last = -1
-    for cell, n in sorted(count.items()):
-        if n > BLOCK or n > free:
-            first[cell], blocks[cell] = last + 1, max(1, math.ceil(n / BLOCK))
-            last += blocks[cell]
-            free = BLOCK - n if n <= BLOCK else 0
-        else:
-            first[cell], blocks[cell], free = last, 1, free - n
-
-    def visited(batches: Iterator) -> Iterator:
+
+def _visited(queries: DataFrame, model: Quantiser, layout: Layout, most: int, enough: int) -> DataFrame:
+    """block, query_id, vector, cells: for each query the blocks it visits, for its most nearest cells and on until they hold enough rows."""
+    dim = model.dim
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pandas as pd
 
+        held = np.array([layout.count.get(c, 0) for c in range(len(model.coarse))])
         for pdf in batches:
             if len(pdf):
                 x, out = unpacked(pdf["vector"], dim), []
-                for q, v, cells in zip(pdf["vec_id"], pdf["vector"], model.order(x, most)):
+                order = model.order(x, min(len(held), 2 * most))
+                for i, (q, v) in enumerate(zip(pdf["query_id"], pdf["vector"])):
+                    cells = order[i]
+                    if held[cells].sum() < enough:
+                        cells = model.order(x[i : i + 1], len(held))[0]
+                    cells = cells[: max(most, int(np.searchsorted(held[cells].cumsum(), enough)) + 1)]
                     at: dict[int, list[int]] = {}
-                    for c in map(int, cells):
-                        for b in range(first.get(c, 0), first.get(c, 0) + blocks.get(c, 0)):
+                    for c in cells[held[cells] > 0].tolist():
+                        for b in range(layout.first[c], layout.first[c] + layout.blocks[c]):
                             at.setdefault(b, []).append(c)
                     out += [(b, q, v, cs) for b, cs in at.items()]
                 yield pd.DataFrame(out, columns=["block", "query_id", "vector", "cells"])
 
-    asked = cut(index.where(is_query).select("vec_id", "vector").mapInPandas(visited, "block int, query_id long, vector binary, cells array<int>"))
-    chunks = {r["block"]: math.ceil(r["count"] / CHUNK) for r in asked.groupBy("block").count().collect()}
-    if not chunks:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    of_block = F.broadcast(spark.createDataFrame(list(chunks.items()), "block int, chunks int"))
-    of_cell = F.broadcast(spark.createDataFrame([(c, first[c], blocks[c]) for c in first], "cell int, first int, blocks int"))
-    asked = asked.join(of_block, "block").withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks").cast("int")).drop("chunks")
+    return queries.mapInPandas(run, "block int, query_id long, vector binary, cells array<int>")
+
+
+def _searched(index: DataFrame, asked: DataFrame, model: Quantiser, layout: Layout, k: int) -> DataFrame:
+    """query_id, vec_id, score: each query's k nearest rows of each block it visits."""
+    spark, dim = index.sparkSession, model.dim
+    asked = cut(asked)
+    chunks = asked.groupBy("block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    of_cell = F.broadcast(spark.createDataFrame([(c, layout.first[c], layout.blocks[c]) for c in layout.first], "cell int, first int, blocks int"))
+    asked = asked.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks").cast("int")).drop("chunks")
     dealt = index.join(of_cell, "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
-    dealt = dealt.join(of_block, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("block", "chunk", "vec_id", "cell", "codes", "vector")
+    dealt = dealt.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("block", "chunk", "vec_id", "cell", "codes", "vector")
 
     def search(block, queries):
+        import numpy as np
         import pandas as pd
 
         out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
@@ -263,11 +319,51 @@ def neighbours(vectors: DataFrame, is_query=None, k: int = 10, reach: float = RE
                 seen = np.zeros(len(model.coarse), bool)
                 seen[np.asarray(cells)] = True
                 at = np.flatnonzero(seen[cell] & (ids != q))
-                at = at[best_of(model.distances(v, cell[at], places[at], bias[at]), ids[at], max(SHORTLIST, k))]
+                if len(at) > SHORTLIST:
+                    coded = model.distances(v, cell[at], places[at], bias[at])
+                    bound = np.partition(coded, SHORTLIST - 1)[SHORTLIST - 1]
+                    at = at[coded <= bound + 1e-9 * abs(bound)]  # all rows of equal codes, however many
                 score = np.sqrt(((x[at] - v) ** 2).sum(1))
                 best = best_of(score, ids[at], k)
                 out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at][best], "score": score[best]}))
         return pd.concat(out)
 
-    found = dealt.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(search, "query_id long, vec_id long, score double")
-    return _best_rows(found, k).select("query_id", "rank", "vec_id", "score")
+    return dealt.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInPandas(search, "query_id long, vec_id long, score double")
+
+
+def neighbours(vectors: DataFrame, is_query=None, k: int = 10, reach: float = REACH) -> DataFrame:
+    """query_id, rank, vec_id, score: for each query the k nearest rows found, by Euclidean distance, ties to the lesser id.
+
+    vectors: vec_id, embedding. is_query: a condition on vec_id, by default ids divisible by 100. Rows without id, and vectors that
+    are null, zero, or hold a null or a number that isn't finite, take no part; nor do those of another
+    length than most of the sample. A query never meets rows of its own id; rows that repeat an id are rows each, and as queries
+    are one if their vectors are equal. A query has fewer than k rows only if there are no more of other ids.
+    Tables without usable rows give no rows.
+    """
+    import numpy as np
+
+    spark, empty = vectors.sparkSession, "query_id long, rank int, vec_id long, score double"
+    is_query = F.col("vec_id") % 100 == 0 if is_query is None else is_query
+    few = sampled(usable(vectors), SAMPLE_ROWS, "vec_id", "embedding").toPandas()
+    if not len(few):
+        return spark.createDataFrame([], empty)
+    lengths = few["embedding"].map(len)
+    dim = int(lengths.mode()[0])
+    few = few[lengths == dim].sort_values("vec_id", kind="stable")
+    sample = np.stack(few["embedding"].to_numpy())
+    rows = usable(vectors, dim)
+    model = trained(rows, sample, rows.count())
+    index = cut(candidates(indexed(rows, model), k))
+    queries = cut(indexed(rows.where(is_query), model).select(F.col("vec_id").alias("query_id"), "vector").distinct())
+    layout = Layout(dict(index.groupBy("cell").count().collect()))
+    trial = [(r["query_id"], np.frombuffer(r["vector"], "<f8").tolist()) for r in sampled(queries, TRIAL_QUERIES, "query_id", "vector").collect()]
+    if not trial:
+        return spark.createDataFrame([], empty)
+    most = visits(index, model, trial, k, reach)
+    found = cut(_best_rows(_searched(index, _visited(queries, model, layout, most, max(SHORTLIST, 2 * k)), model, layout, k), k))
+    total, ids = sum(layout.count.values()), found.groupBy("query_id").count()
+    lacking = cut(queries.join(ids.where(F.col("count") >= min(k, total)), "query_id", "left_anti"))
+    if lacking.limit(1).count():
+        again = _best_rows(_searched(index, _visited(lacking, model, layout, len(model.coarse), total), model, layout, k), k)
+        found = found.join(lacking.select("query_id"), "query_id", "left_anti").unionByName(again)
+    return found.select("query_id", "rank", "vec_id", "score")
