@@ -64,4 +64,21 @@ def sampled(df: DataFrame, rows: int, *by: str) -> DataFrame:
     n, steps = df.count(), 1 << 30
     if n <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(*by), F.lit(steps)) < int(steps * rows / n)).limit(2 * rows)
+    low = F.pmod(F.xxhash64(*by), F.lit(steps))
+    return df.where(low < int(steps * rows / n)).orderBy(low, *by).limit(2 * rows)
+
+
+#: Rows with one key that a task joins, about.
+HOT = 200_000
+
+
+def joined(rows: DataFrame, side: DataFrame, key: str, how: str = "left", hot: int = HOT) -> DataFrame:
+    """rows with the columns of side (one row a key), keys of more than hot rows dealt over several tasks.
+
+    rows must have no nulls in key. The hot keys are broadcast, of which there are no more than rows / hot.
+    """
+    often = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > hot).select(key, F.ceil(F.col("__n") / hot).cast("int").alias("__parts")))
+    parts_ = F.coalesce("__parts", F.lit(1))
+    dealt = rows.join(often, key, "left").withColumn("__part", F.pmod(F.monotonically_increasing_id(), parts_).cast("int")).drop("__parts")
+    each = side.join(often, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts_ - 1))).drop("__parts")
+    return dealt.join(each, [key, "__part"], how).drop("__part")
