@@ -8,6 +8,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -77,6 +78,31 @@ def test_encoding_is_the_librarys(name):
     assert e.encode(texts) == e._ids(texts) and e.encode(texts) == e._ids(texts)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoding_is_the_librarys_on_random_texts(name):
+    """Capitals with a mark in their lower case, combining marks, numbers that are no digits, odd white space, new letters."""
+    parts = [*"aAbzéßİıΣǅ日語한가½²Ⅷ٣’.,;:!?$%&#*<>|-_\u0338\u0307\u0301 \t\n\r\x0b\x1c\x1d\x85\u00a0\u3000\u2028\u200d\ufeff", *" " * 12]
+    parts += ["'s", "'re", "<|endoftext|>", "TÜRKİYE CUMHURİYETİ.", "x İ, y", "İ.\nİ,", "the", *map(chr, (0x1C89, 0xA7CB, 0x10D4A, 0x16D40, 0x2EBF0, 0x1F600, 0x0E33))]
+    e, rng = tokens.Encoder(vocabulary(name)), random.Random(1)
+    for _ in range(50):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 24))) for _ in range(1000)]
+        assert e.encode(texts) == e._ids(texts)
+
+
+def test_few_sequences_however_many_splits(spark, docs):
+    """The fewest there can be is a bound by volume; one more for each packing task and a little for what doesn't fit."""
+    texts = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', cast(20 + pmod(xxhash64(id), 900) as int))").alias("text"))
+    counts = set()
+    for splits in (2, 64):
+        found = packing.packed(texts.repartition(splits), vocabulary("word_bpe_49k.json"), pieces=1000)
+        n, ids = found.agg(F.countDistinct("sequence_id"), F.sum("length")).first()
+        assert n <= 1.01 * ids / 2048 + 4
+        counts.add(n)
+    assert max(counts) - min(counts) <= 4
+    tight = packing.packed(texts, vocabulary("word_bpe_49k.json"), open_bins=2).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("k"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert tight.where("n > 2048 or n <> end").count() == 0  # with sequences closing all the time
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
@@ -116,20 +142,51 @@ def test_simhash(docs):
     assert simhash.grouped(empty(docs), words=3).count() == 0
 
 
-@pytest.mark.parametrize("posting", [2, 128])
+def test_fours_of_positions():
+    """Six shared bytes meet three times, fewer at most once, whichever they are."""
+    assert len(simhash.FOURS) == 14
+    for n in range(9):
+        for shared in itertools.combinations(range(8), n):
+            meetings = sum(set(four) <= set(shared) for four in simhash.FOURS)
+            assert meetings >= simhash.LEAST_MEETINGS if n >= 6 else meetings <= 1
+
+
+@pytest.mark.parametrize("posting", [1, 3, 64])
 def test_links_within_two_bits_are_complete(spark, monkeypatch, posting):
     monkeypatch.setattr(simhash, "POSTING", posting)
     rng = random.Random(0)
     base = [rng.getrandbits(64) for _ in range(6)]
-    prints = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(k)) % 2**64 for b in base for k in (0, 1, 1, 2, 2, 3) for _ in range(4)})
-    nodes = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p, i) for i, p in enumerate(prints)], "fp long, node long")
-    found = dict(map(tuple, connected_components(simhash.links(nodes)).collect()))
-    least = list(range(len(prints)))
-    for _ in prints:
-        for i, j in itertools.combinations(range(len(prints)), 2):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
-                least[i] = least[j] = min(least[i], least[j])
-    assert [found.get(i, i) for i in range(len(prints))] == least
+    prints = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(k)) % 2**64 for b in base for k in (0, 1, 1, 2, 2, 3) for _ in range(8)})
+    prints += [base[0] ^ (x << 8) for x in range(256) if base[0] ^ (x << 8) not in prints]  # long postings that share seven bytes
+    signed = [p - 2**64 if p >= 2**63 else p for p in prints]
+    got = sorted(map(tuple, simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()))
+    assert got == sorted((min(a, b), max(a, b)) for a, b in itertools.combinations(signed, 2) if ((a ^ b) % 2**64).bit_count() <= 2)
+
+
+def test_simhash_groups_are_those_of_brute_force(spark):
+    """Whole path: shingles to fingerprints to components, over texts that differ by a few words, with repeated and null ids."""
+    base = [prose(150, 900 + i).split() for i in range(4)]
+    rows = []
+    for i in range(120):
+        own = list(base[i % 4])
+        if i >= 8:
+            own[(7 * i) % 150] = WORDS[i % len(WORDS)]
+        rows.append((i if i % 11 else None, " ".join(own)))
+    rows += [(3, prose(30, 77)), (500, prose(30, 77)), (501, None), (502, "")]
+    prints = [brute_fingerprint(t) for _, t in rows]
+    near = {(a, b) for a in set(prints) for b in set(prints) if (a ^ b).bit_count() <= 2}
+    near |= {(a, b) for (i, _), a in zip(rows, prints) for (j, _), b in zip(rows, prints) if i is not None and i == j}
+    least = {p: p for p in prints}
+    for _ in least:
+        for a, b in near:
+            least[a] = least[b] = min(least[a], least[b])
+    smallest: dict = {}
+    for (i, _), p in zip(rows, prints):
+        if i is not None:
+            smallest[least[p]] = min(i, smallest.get(least[p], i))
+    want = sorted(((i, p, smallest.get(least[p])) for (i, _), p in zip(rows, prints)), key=str)
+    got = simhash.grouped(spark.createDataFrame(rows, "doc_id long, text string"), words=3).collect()
+    assert sorted(((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in got), key=str) == want
 
 
 @pytest.mark.parametrize("posting", [2, 64])
@@ -255,6 +312,45 @@ def test_language(spark, docs):
     assert language.predicted(empty(docs), piece).count() == 0 and language.accepted(docs, piece).columns == docs.columns
 
 
+def test_letters_and_runs_without_spaces(spark):
+    """Numbers that aren't digits are no letters; runs of any length are summed whole, many at a time or one by one."""
+    piece = vocabulary("piece_bpe_32k.model")
+    assert language.cut_words("½ ² Ⅷ") == [] and language.cut_words("x²Y Straße") == ["x", "y", "straße"]
+    say = {"zh": "他们沿着老河边走了很久因为早上的光线很好房子就在那里水很清", "ja": "かれらはふるいかわのそばをながくあるいたあさのひかりがよくて家はそこにあり水はきれいだった"}
+    rows = [(i, "".join(random.Random(i).choices(say[lang], k=3000)), lang) for i in range(24) for lang in [("zh", "ja")[i % 2]]] + [(99, "½ ²", "zh"), (98, "Ⅷ 12", "ja")]
+    said = {r["doc_id"]: r["lang_pred"] for r in language.predicted(spark.createDataFrame(rows, "doc_id long, text string, lang string"), piece).collect()}
+    assert all(said[i] == lang for i, _, lang in rows[:24]) and said[98] == said[99] == "und"
+    pieces, p = language.Pieces(piece), np.random.default_rng(0).dirichlet(np.ones(32000), 2).T
+    words = ["▁" + "riverside"[:k] * 2 for k in (1, 4, 9)]
+    for w, got in zip(words, pieces.scores(words, p)):
+        (start, _, piece_no), alpha, beta = pieces.long(w, np.log(p))
+        assert alpha[-1] == pytest.approx(got) and beta[0] == pytest.approx(got)
+    plain = pieces.expected([w[1:] for w in words], np.ones((3, 2)), p)
+    language.LONGEST, before = 0, language.LONGEST
+    try:
+        assert np.allclose(pieces.expected([w[1:] for w in words], np.ones((3, 2)), p), plain)
+    finally:
+        language.LONGEST = before
+
+
+def test_language_scores_are_those_of_brute_force(spark):
+    """Choice and score of whole texts, from the fitted probabilities by all segmentations of each word."""
+    piece = vocabulary("piece_bpe_32k.model")
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("sea cat", "en"), ("der See", "de"), ("a cat sat", "en"), ("das Haus", "de")] * 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, p = language.learned(docs, piece)
+    pieces = language.Pieces(piece)
+
+    def ways(word, k):
+        if not word:
+            return 1.0
+        return sum(p[i, k] * ways(word[n:], k) for n in range(1, len(word) + 1) if (i := pieces.ids.get(word[:n], pieces.other if n == 1 else None)) is not None)
+
+    for r in language.predicted(docs, piece).collect():
+        each = [math.prod(ways("▁" + w, k) for w in rows[r["doc_id"]][1].lower().split()) for k in range(len(languages))]
+        assert r["lang_pred"] == languages[int(np.argmax(each))] and r["score"] == pytest.approx(max(each) / sum(each))
+
+
 def test_forward_sums_all_segmentations():
     pieces = language.Pieces(vocabulary("piece_bpe_32k.model"))
     words = ["▁house", "▁xyzzy", "▁ß"]
@@ -353,6 +449,37 @@ def test_neighbours(spark):
     assert [tuple(r) for r in ann.neighbours(spark.createDataFrame([(100, [3.0, 4.0]), (1, [0.0, 4.0])], "vec_id long, embedding array<float>")).collect()] == [(100, 1, 1, 3.0)]
 
 
+def brute_neighbours(ids, x, k=10):
+    out = {}
+    for q in sorted({i for i in ids if i % 100 == 0}):
+        v = x[list(ids).index(q)]
+        d = np.sqrt(((x - v) ** 2).sum(1))
+        out[q] = [(int(ids[i]), d[i]) for i in np.lexsort((ids, d)) if ids[i] != q][:k]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["clusters", "own id", "few"])
+def test_every_query_has_its_neighbours(spark, kind):
+    """Tight clusters with an outlier, a query's cell full of its own id, fewer candidates than asked for; repeated ids and further columns."""
+    rng = np.random.default_rng(0)
+    if kind == "clusters":
+        x = np.repeat(rng.normal(size=(64, 16)), 50, axis=0) + rng.normal(size=(3200, 16)) * 1e-3
+        x[0], ids = 50, np.arange(3200)
+    elif kind == "own id":
+        x, ids = rng.normal(size=(1200, 8)), np.arange(1200)
+        x[:600], ids[:600] = 9.0, 0  # one vector, which the query has too
+    else:
+        x, ids = rng.normal(size=(6, 8)), np.array([0, 1, 2, 3, 3, 100])
+    rows = [(int(i), v.tolist(), "a", 1) for i, v in zip(ids, x)]
+    got: dict = {}
+    for r in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell string, query_id int")).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    want = brute_neighbours(ids, x)
+    assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items()}
+    hits = sum((Counter(v for v, _ in got[q]) & Counter(v for v, _ in want[q])).total() for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
