@@ -1,22 +1,27 @@
 """One-permutation MinHash fingerprints of five-word shingles.
 
 Every shingle is hashed once; the top bits name its bin, and a bin keeps its least value. Empty bins borrow from a
-full one that a second, fixed hash of the bin and the attempt names (optimal densification). Of each bin the low four bits
+full one that a second, fixed hash of the bin and the attempt names, in as many attempts as it takes (optimal densification). Of each bin the low four bits
 are stored, a hexadecimal digit. Two fingerprints of unrelated texts agree in a sixteenth of their digits by chance, which
 the likeness takes off.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from lectern.llm.common import parts, text_of
+from lectern.llm.common import cut, parts, sampled, text_of
 
 WORDS, BINS, LOW_BITS = 5, 512, 4
+#: Attempts that are made one by one; which full bin an empty one meets first in later ones is looked up.
+ATTEMPTS = 32
+#: Rows that one bucket of neighbouring ids holds at most, about, and rows sampled for the buckets' bounds, for each bucket.
+BUCKET_ROWS, BOUND_ROWS = 16_384, 64
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -28,8 +33,8 @@ class OnePermutation:
 
         self.np, self.words, self.bins, self.bits = np, words, bins, bits
         self.shift = np.uint64(64 - (bins - 1).bit_length())
-        attempt = np.arange(1, 65, dtype=np.uint64)[:, None]
-        self.borrow = (self.mixed(np.arange(bins, dtype=np.uint64) + attempt * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+        self.borrow = self.lenders(0, ATTEMPTS)
+        self._first = None
         self.factors = [np.uint64((0xD1342543DE82EF95 * (2 * i + 1)) % 2**64 | 1) for i in range(words)]
 
     def mixed(self, x):
@@ -59,19 +64,40 @@ class OnePermutation:
         out = (least & np.uint64(2**self.bits - 1)).astype(np.uint8)
         return self.densified(out, full)
 
+    def lenders(self, first: int, last: int):
+        """The bins that each bin asks in the attempts first to last, which are the same for every text."""
+        np = self.np
+        attempt = np.arange(first + 1, last + 1, dtype=np.uint64)[:, None]
+        return (self.mixed(np.arange(self.bins, dtype=np.uint64) + attempt * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    @property
+    def first(self):
+        """first[a, b]: the attempt in which bin a asks bin b for the first time, made once, with as many attempts as it takes."""
+        np = self.np
+        if self._first is None:
+            out, at, own = np.full((self.bins, self.bins), 2**31 - 1, np.int32), 0, np.arange(self.bins)
+            while out.max() == 2**31 - 1:
+                for i, row in enumerate(self.lenders(at, at + 1024)):
+                    out[own, row] = np.minimum(out[own, row], at + i)
+                at += 1024
+            self._first = out
+        return self._first
+
     def densified(self, values, full):
+        """values with those of empty bins lent by full ones: each asks on until it meets one."""
         np, empty = self.np, self.np.flatnonzero(~full)
-        source = values.copy()
-        for row in self.borrow:
-            if not len(empty):
-                break
-            ok = full[row[empty]]
-            source[empty[ok]] = values[row[empty[ok]]]
-            empty = empty[~ok]
-        if len(empty):  # none found in all attempts: the next full bin
+        out = values.copy()
+        if len(empty):
+            asked = self.borrow[:, empty]
+            met = full[asked]
+            at = met.argmax(axis=0)
+            found = met[at, np.arange(len(empty))]
+            out[empty[found]] = values[asked[at[found], np.flatnonzero(found)]]
+            empty = empty[~found]
+        if len(empty):
             there = np.flatnonzero(full)
-            source[empty] = values[there[np.searchsorted(there, empty) % len(there)]]
-        return source
+            out[empty] = values[there[self.first[np.ix_(empty, there)].argmin(axis=1)]]
+        return out
 
     def digits(self, fingerprint) -> str:
         if fingerprint is None:
@@ -86,39 +112,60 @@ class OnePermutation:
         return min(1.0, max(0.0, (float((a == b).mean()) - chance) / (1 - chance)))
 
 
-def with_successor(docs: DataFrame, buckets: int) -> DataFrame:
-    """(at, own, doc_id, text) in partitions that hold whole buckets of neighbouring ids, in descending order.
+def _keys(known, ids, hashes):
+    """Sortable bytes in the order of (doc_id, hash), rows without doc_id first."""
+    import numpy as np
+
+    out = np.zeros((len(known), 17), np.uint8)
+    out[:, 0] = np.where(known, 2, 1)
+    sign = np.uint64(1 << 63)  # signed order as unsigned
+    out[:, 1:9] = (np.asarray(ids, np.int64).view(np.uint64) ^ sign).astype(">u8").view(np.uint8).reshape(-1, 8)
+    out[:, 9:] = (np.asarray(hashes, np.int64).view(np.uint64) ^ sign).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S17").ravel()  # of one length, so that zeros at the end don't matter
 
-    Each bucket ends with a copy (own false) of the rows at the head of the next one, and the last with the first's, so
-    that every row's successor is in its partition. Texts are shuffled once; the driver sees a bound and a head of each
-    bucket, both numbers.
+
+def with_successor(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(at, own, doc_id, text) in partitions that hold whole buckets of neighbouring rows, in descending order of doc_id and the text's hash.
+
+    Each bucket ends with a copy (own false) of the row at the head of the next one, and the last with the first's, so
+    that every row's successor is in its partition. Rows without doc_id are the last, in buckets by their texts' hashes. Texts are
+    shuffled once; the driver sees some keys and a head of each bucket, all numbers.
     """
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of().alias("text"))
-    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"))
-    bounds = sorted(set(ids.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
+    import numpy as np
+
+    spark, named = docs.sparkSession, docs["doc_id"].cast("long")
+    rows = docs.select(named.alias("doc_id"), text_of().alias("text")).withColumn("h", F.xxhash64("text"))
+    keys = cut(rows.select("doc_id", "h"))
+    n = keys.count()
+    buckets = max(1, min(n, max(3 * parts(docs), math.ceil(n / bucket_rows))))
+    few = sampled(keys.withColumn("place", F.monotonically_increasing_id()), BOUND_ROWS * buckets, "place").select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h").toPandas()
+    order = np.sort(_keys(few["known"].to_numpy(), few["id"].to_numpy("int64"), few["h"].to_numpy("int64")))
+    bounds = np.unique(order[[i * len(order) // buckets for i in range(1, buckets)]]) if len(order) else order
 
     @pandas_udf("int")
-    def bucket(ids):
-        import numpy as np
+    def bucket(known, ids, hashes):
         import pandas as pd
 
-        return pd.Series(np.where(ids.isna(), -1, np.searchsorted(np.array(bounds), ids.fillna(0).to_numpy("float64"), side="right")), dtype="int32")
+        return pd.Series(np.searchsorted(bounds, _keys(known.to_numpy(), ids.to_numpy("int64"), hashes.to_numpy("int64")), side="right"), dtype="int32")
 
-    heads = sorted(((r["at"], r["head"]) for r in ids.groupBy(bucket("doc_id").alias("at")).agg(F.max("doc_id").alias("head")).collect()), reverse=True)
-    lends = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]
-    lent = docs.sparkSession.createDataFrame(lends or [(None, -1)], "head long, to int")
+    at = bucket(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), "h").alias("at")
+    head = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "h")).alias("head")
+    heads = sorted(((r["at"], r["head"]["doc_id"], r["head"]["h"]) for r in keys.select(at, "doc_id", "h").groupBy("at").agg(head).collect()), reverse=True)
+    lends = [(heads[i][1], heads[i][2], heads[i - 1][0]) for i in range(len(heads))]
+    lent = spark.createDataFrame(lends, "head long, head_h long, to int")
     homes = F.when(F.col("to").isNull(), F.array(F.struct(F.col("at"), F.lit(True).alias("own")))).otherwise(
         F.array(F.struct(F.col("at"), F.lit(True).alias("own")), F.struct(F.col("to").alias("at"), F.lit(False).alias("own")))
     )
-    dealt = rows.withColumn("at", bucket("doc_id")).join(F.broadcast(lent), F.col("doc_id").eqNullSafe(F.col("head")), "left").select(F.inline(homes), "doc_id", "text")
-    return dealt.repartition(parts(docs), "at").sortWithinPartitions("at", F.desc("own"), F.desc("doc_id"), F.xxhash64("text"))
+    dealt = rows.select("doc_id", "h", "text", at).join(F.broadcast(lent), F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h")), "left")
+    dealt = dealt.select(F.inline(homes), "doc_id", "h", "text")
+    return dealt.repartition(buckets, "at").sortWithinPartitions("at", F.desc("own"), F.desc_nulls_last("doc_id"), F.desc("h")).drop("h")
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """For each row its fingerprint, its edited text's, and how like they and its successor's are.
 
-    docs: doc_id, text. The successor is the next row in descending doc_id, rows without doc_id last, rows that repeat one by the
-    hash of their text; the last row's is the first, and a single row is its own. The edited text has the last third
+    docs: doc_id, text. The successor is the next row in descending doc_id, rows without doc_id last, rows that repeat or lack one by the
+    hash of their text, descending; the last row's is the first, and a single row is its own. The edited text has the last third
     of the code points replaced by as many of the successor's first. Texts without words have the fingerprint of
     zeros and are like nothing but each other. Fewer than five words are one shingle. An empty table gives no rows.
     """
@@ -149,4 +196,4 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(columns | {"doc_id": pd.array(columns["doc_id"], "Int64")})
 
     # doc_id goes as text: beside a null, a large whole number would lose digits on its way.
-    return with_successor(docs, 3 * parts(docs)).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, SCHEMA)
+    return with_successor(docs).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, SCHEMA)
