@@ -289,6 +289,60 @@ def test_fingerprints(docs):
     assert fingerprints.fingerprinted(docs).count() == docs.count() and fingerprints.fingerprinted(empty(docs)).count() == 0
 
 
+def plain_fingerprint(text):
+    """The same fingerprint, a shingle and a bin at a time."""
+    method, top = fingerprints.OnePermutation(), 2**64
+
+    def mixed(x):
+        x %= top
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * factor % top
+        return x ^ x >> 33
+
+    words = text.encode().split()
+    if not words:
+        return "0" * 512
+    shingles = [words[i : i + 5] for i in range(max(1, len(words) - 4))]
+    hashes = {mixed(len(words[:5]) + sum(xxhash.xxh64_intdigest(w) * int(f) for w, f in zip(x, method.factors))) for x in shingles}
+    bins = {b: min(h for h in hashes if h >> 55 == b) for b in {h >> 55 for h in hashes}}
+
+    def of(b):
+        if b in bins:
+            return bins[b]
+        return next(bins[x] for k in itertools.count(1) if (x := mixed(b + k * 0x9E3779B97F4A7C15) >> 55) in bins)
+
+    return "".join(f"{of(b) & 15:x}" for b in range(512))
+
+
+@pytest.mark.parametrize("rows_a_bucket", [3, 10_000])
+def test_fingerprints_are_those_of_brute_force(spark, monkeypatch, rows_a_bucket):
+    """Of short and long texts, for the rows and their edited texts, over buckets, with null and repeated ids and equal rows."""
+    rows = [(i, prose(n, i)) for i, n in enumerate([1, 3, 5, 6, 9, 12, 20, 60, 300])]
+    rows += [(None, "a b"), (None, prose(7, 1)), (None, None), (4, prose(8, 8)), (4, prose(8, 9)), (5, prose(12, 5)), (-3, "x y z"), (2**60 + 1, prose(11, 3)), (2**60 + 2, "")]
+    docs = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, fingerprint string, at int")
+    whole = fingerprints.with_successor
+    monkeypatch.setattr(fingerprints, "with_successor", lambda docs: whole(docs, rows_a_bucket))
+    h = {r["text"]: r["h"] for r in docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]]), reverse=True)
+    chance = 1 / 16
+    like = lambda a, b, ta, tb: float(not ta.split() and not tb.split()) if not (ta.split() and tb.split()) else min(1.0, max(0.0, (sum(x == y for x, y in zip(a, b)) / 512 - chance) / (1 - chance)))
+    want = []
+    for (i, own), (_, following) in zip(order, order[1:] + order[:1]):
+        edited = own[: len(own) - len(own) // 3] + following[: len(own) // 3]
+        a, b, c = map(plain_fingerprint, (own, edited, following))
+        want.append((i, len(own), hashlib.sha256(edited.encode()).hexdigest(), a, b, round(like(a, b, own, edited), 9), round(like(a, c, own, following), 9)))
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprints.fingerprinted(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_likeness_is_near_the_jaccard():
+    method = fingerprints.OnePermutation()
+    for k in (5, 20, 80):
+        a = [f"w{i}" for i in range(400)]
+        b = a[: 400 - k] + [f"v{i}" for i in range(k)]
+        assert abs(method.likeness(method.of(" ".join(a)), method.of(" ".join(b))) - likeness_of(" ".join(a), " ".join(b))) < 0.08
+
+
 def test_quality(spark, docs):
     rows = [(i, ("clean words about " if i % 2 else "$$$ ### junk ") + prose(40, i)) for i in range(200)]
     many = spark.createDataFrame(rows, "doc_id long, text string")
