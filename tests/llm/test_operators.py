@@ -259,14 +259,58 @@ def test_documents_below_the_likeness_stay(spark):
     assert similar.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).count() == 120
 
 
+def plain_targets(sizes, weights, share, most):
+    """Sharing by hand, one source over its most at a time."""
+    caps, out, left = [most * s for s in sizes], {}, min(share, most) * sum(sizes)
+    while len(out) < len(sizes):
+        free = [i for i in range(len(sizes)) if i not in out]
+        per = (left - sum(out.values())) / sum(weights[i] for i in free)
+        worst = max(free, key=lambda i: per * weights[i] - caps[i])
+        if per * weights[worst] <= caps[worst]:
+            out |= {i: per * weights[i] for i in free}
+        else:
+            out[worst] = caps[worst]
+    return [out[i] for i in range(len(sizes))]
+
+
 def test_mixing(docs):
     rows = mixing.mixture(docs).collect()
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mixture(docs).collect()), key=str)
     sizes = {r["source"]: r["source_size"] for r in rows}
     assert sum({r["source"]: r["target"] for r in rows}.values()) == pytest.approx(1.5 * sum(sizes.values()))
     assert all(r["taken"] <= 2 * r["size"] and r["target"] <= 2 * r["source_size"] + 1e-6 for r in rows)
-    assert mixing.mixture(empty(docs)).count() == 0 and mixing.mixed(docs).columns == docs.columns
-    assert mixing.targets([100, 100, 100], [3, 1, 2], 1.5, 2.0) == pytest.approx([200, 250 / 3, 500 / 3])
+    assert sorted(((r["doc_id"], r["size"]) for r in rows), key=str) == sorted(((r["doc_id"], len((r["text"] or "").split())) for r in docs.collect()), key=str)
+    assert mixing.mixture(empty(docs)).count() == 0 and mixing.mixed(docs).columns == docs.columns and mixing.mixed(empty(docs)).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_targets_of_any_number_of_sources(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+    rng = random.Random(3)
+    for sizes in ([100, 100, 100], [5, 1000, 20, 0, 3, 70], [rng.randrange(1, 2 + 10 ** (i % 5)) for i in range(1, 90)]):
+        names = [f"s{i:03}" for i in range(len(sizes) - 1)] + [None]
+        table = spark.createDataFrame([(s, n, 1) for s, n in zip(names, sizes)], "source string, size long, n long")
+        got = {r["source"]: r["target"] for r in mixing.targeted(table, 1.5, 2.0).collect()}
+        want = plain_targets(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(sizes))], 1.5, 2.0)
+        assert [got[s] for s in names] == pytest.approx(want)
+    docs = spark.createDataFrame([(i, "word " * (i % 9), f"s{i % 50}") for i in range(2000)], "doc_id long, text string, source string")
+    assert mixing.mixture(docs).count() == 2000
+
+
+def test_taken_words_come_near_the_target(spark, monkeypatch):
+    """Over several levels of blocks, with a hot source, null and repeated ids and equal rows: within a document's size of the target."""
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    rows = [(None if i % 3 == 0 else i % 700, "w " * (1 + i * i % 97), "hot" if i % 3 else f"s{i % 5}") for i in range(3000)] + [(None, "same", "hot")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, target = Counter(), {}
+    for r in mixing.mixture(docs).collect():
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - t) <= 97 for s, t in target.items())
+    mixed = Counter()
+    for r in mixing.mixed(docs).collect():
+        mixed[r["source"]] += len(r["text"].split())
+    assert all(abs(mixed[s] - t) <= 97 for s, t in target.items())
 
 
 def test_flight_keeps_both_totals():
@@ -274,6 +318,8 @@ def test_flight_keeps_both_totals():
     sizes, chances = rng.integers(1, 500, 400).tolist(), rng.random(400).tolist()
     out = mixing.flown(sizes, chances, rng, land=False)
     assert sum(0 < p < 1 for p in out) <= 2
+    landed = mixing.flown(sizes, chances, np.random.default_rng(0), land=True)
+    assert set(landed) == {0.0, 1.0} and abs(np.dot(landed, sizes) - np.dot(chances, sizes)) <= 5 and abs(sum(landed) - sum(chances)) < 6
     assert math.isclose(sum(out), sum(chances), abs_tol=1e-5) and math.isclose(np.dot(out, sizes), np.dot(chances, sizes), rel_tol=1e-7)
 
 
