@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import WORD, cut, parts, unused
 
-#: Documents of a block.
-BLOCK = 4_096
+#: Documents of a block, and the smallest of it that fly in the next level only, so that the last landing has small ones to choose from.
+BLOCK, HELD = 4_096, 32
 #: Tables of up to so many sources are broadcast.
 FEW_SOURCES = 100_000
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -115,7 +115,9 @@ def _drawn(rows: DataFrame, share: float, most: float, weights: tuple, seed: int
         number, block, count = key
         pdf = pdf.iloc[np.lexsort((pdf["row"], pdf["doc_id"].fillna(-1), pdf["order"], -pdf["size"]))]
         rng = np.random.default_rng([seed, level, int(number), int(block)])
-        return pdf.assign(chance=flown(pdf["size"].tolist(), pdf["chance"].tolist(), rng, count == 1))[schema.names]
+        sizes, chances = pdf["size"].tolist(), pdf["chance"].tolist()
+        n = len(sizes) if count == 1 else max(0, len(sizes) - HELD)
+        return pdf.assign(chance=flown(sizes[:n], chances[:n], rng, count == 1) + chances[n:])[schema.names]
 
     while True:
         # Rows with an id are dealt out by it and by the text, so that draws don't depend on the layout; only without one the row counts.
@@ -123,7 +125,7 @@ def _drawn(rows: DataFrame, share: float, most: float, weights: tuple, seed: int
         flight = open_.withColumn("order", order).withColumn("block", F.pmod(F.shiftright("order", 7), F.col("blocks")))
         flight = cut(flight.groupBy("source_no", "block", "blocks").applyInPandas(fly, schema))
         done.append(flight.where("chance in (0, 1)"))
-        open_ = flight.where("chance not in (0, 1)").withColumn("blocks", F.ceil(2 * F.col("blocks") / BLOCK))
+        open_ = flight.where("chance not in (0, 1)").withColumn("blocks", F.ceil((2 + HELD) * F.col("blocks") / BLOCK))
         level += 1
         if (flight.agg(F.max("blocks")).first()[0] or 1) <= 1:
             break
