@@ -300,6 +300,7 @@ def test_targets_of_any_number_of_sources(spark, monkeypatch, few):
 def test_taken_words_come_near_the_target(spark, monkeypatch):
     """Over several levels of blocks, with a hot source, null and repeated ids and equal rows: within a document's size of the target."""
     monkeypatch.setattr(mixing, "BLOCK", 64)
+    monkeypatch.setattr(mixing, "HELD", 8)
     rows = [(None if i % 3 == 0 else i % 700, "w " * (1 + i * i % 97), "hot" if i % 3 else f"s{i % 5}") for i in range(3000)] + [(None, "same", "hot")] * 400
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     taken, target = Counter(), {}
