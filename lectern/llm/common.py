@@ -44,6 +44,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it: the optimiser copies what is named twice."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, or name with as many underscores behind it as make it none of df's columns (in any case of letters)."""
     taken = {c.lower() for c in df.columns}

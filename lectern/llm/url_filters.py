@@ -3,7 +3,9 @@
 A rule fits its host and all subdomains if the path of the url starts with the rule's path; the longest rule
 (host and path together) wins. Pages that no rule fits get the decision of their equivalence class: urls that
 redirects and canonical links join, however long the chain. In a class an explicit allow goes before a block,
-and a class without either is allowed.
+and a class without either is allowed. Links are read from tags outside comments and scripts, with their entities decoded, and
+resolved against the page's url or its base tag; urls are the same node if they differ in the case of scheme and host, a default
+port, dot segments or the fragment only.
 """
 
 from __future__ import annotations
@@ -11,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, joined, once
 from lectern.llm.components import connected_components
 
-#: Up to so many rules are compiled into the plan; more are joined by host.
+#: Up to so many rules are compiled into the plan, where they cost no shuffle; more would make the plan too long and are joined by host.
 RULES_IN_PLAN = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -69,30 +71,83 @@ def _matched_by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(best.select("host", "path", "best.*"), ["host", "path"], "left")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its . and .. segments."""
+    step = lambda done, x: (
+        F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    )
+    segments = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    last = F.when(path.rlike(r"/\.{1,2}\z"), "/").otherwise("")
+    return F.when(path.rlike(r"/\.{1,2}(?:/|\z)"), F.concat(F.array_join(segments, "/"), last)).otherwise(path)
+
+
+_PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
+
+
 def node_of(url: Column) -> Column:
-    """A url as a node: trimmed, without its fragment."""
-    return F.regexp_replace(F.trim(url), r"(?s)#.*\z", "")
+    """A url as a node: trimmed, scheme and host in lower case, without default port, dot segments and fragment; an empty path is /."""
+
+    def whole(own: Column) -> Column:
+        part = lambda i: F.regexp_extract(own, _PARTS, i)
+        parts = F.struct(F.translate(part(1), UPPER, LOWER).alias("scheme"), F.translate(part(2), UPPER, LOWER).alias("host"), part(3).alias("path"), part(4).alias("query"))
+        return F.when(own.rlike(_PARTS), once(parts, joined_up)).otherwise(F.regexp_replace(own, r"(?s)#.*\z", ""))
+
+    def joined_up(p: Column) -> Column:
+        port = F.when(p["scheme"] == "http", r":(?:80)?\z").when(p["scheme"] == "https", r":(?:443)?\z").otherwise(r":\z")
+        return F.concat(p["scheme"], F.lit("://"), F.regexp_replace(p["host"], port, F.lit("")), F.when(p["path"] == "", "/").otherwise(_without_dots(p["path"])), p["query"])
+
+    return once(F.trim(url), whole)
 
 
 def _absolute(link: Column, base: Column) -> Column:
-    """A link as the page at base means it."""
-    origin, folder = F.regexp_extract(base, r"^([^:]*://[^/?#]*)", 1), F.regexp_extract(base, r"^([^:]*://[^/?#]*/[^?#]*/|[^:]*://[^/?#]*/)", 1)
+    """A link as the page at base means it; dot segments are left to node_of."""
+    return once(F.struct(link.alias("link"), base.alias("base")), lambda x: _resolved(x["link"], x["base"]))
+
+
+def _resolved(link: Column, base: Column) -> Column:
+    origin, path = F.regexp_extract(base, r"^([^:/?#]*://[^/?#]*)", 1), F.regexp_extract(base, r"^[^:/?#]*://[^/?#]*([^?#]*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
     return (
-        F.when(F.locate("://", link) > 0, link)
-        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:]*:)", 1), link))
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:/?#]*:)", 1), link))
         .when(link.startswith("/"), F.concat(origin, link))
-        .otherwise(F.concat(F.when(folder != "", folder).otherwise(F.concat(origin, F.lit("/"))), link))
+        .when(link.startswith("?"), F.concat(origin, path, link))
+        .when(link.startswith("#"), base)
+        .otherwise(F.concat(origin, folder, link))
     )
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute with its entities decoded, quoted or not; '' if it has none."""
+    pattern = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    value = F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+    for entity, char in ((r"quot|#34|#x0*22", '"'), (r"apos|#39|#x0*27", "'"), (r"lt|#60|#x0*3c", "<"), (r"gt|#62|#x0*3e", ">"), (r"sol|#47|#x0*2f", "/"), (r"colon|#58|#x0*3a", ":"), (r"amp|#38|#x0*26", "&")):
+        value = F.regexp_replace(value, rf"(?i)&(?:{entity});", char)
+    return F.trim(F.regexp_replace(value, r"[\t\n\r]", " "))
+
+
+def _link_of(tag: Column) -> Column:
+    """What a tag links to if it is a canonical link or a refresh, else null or ''."""
+    canonical = tag.rlike(r"(?i)^<link\b") & F.lower(_attribute(tag, "rel")).rlike(r"(?:^|\s)canonical(?:\s|\z)")
+    refresh = tag.rlike(r"(?i)^<meta\b") & (F.lower(_attribute(tag, "http-equiv")) == "refresh")
+    to = F.regexp_extract(_attribute(tag, "content"), r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s]+)", 1)
+    return F.when(canonical, _attribute(tag, "href")).when(refresh, to)
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) of every canonical link and refresh redirect in pages (url, html)."""
-    tag = F.explode(F.regexp_extract_all("html", F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), 1))
-    tags = pages.where(F.col("html").rlike(r"(?i)<link[^>]*canonical|<meta[^>]*refresh")).select(F.col("url").alias("of"), tag.alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"(?i)^<link\b.*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    refresh = F.when(F.col("tag").rlike(r"(?i)^<meta\b.*http-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?i)\burl\s*=\s*['\"]?([^\"'\s>]+)", 1))
-    links = tags.select("of", F.coalesce(canonical, refresh).alias("link")).where("of is not null and link <> ''")
-    return links.select(node_of(F.col("of")).alias("src"), node_of(_absolute(F.col("link"), F.col("of"))).alias("dst"))
+    """(src, dst) of every canonical link and refresh redirect in pages (url, html).
+
+    Tags may go over several lines and hold > in quotes; rel may list several words. What stands in comments and scripts is no tag.
+    """
+    may = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv"))
+    html = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)", " ")
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta|base)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>)"), 1)
+    base = lambda t: F.nullif(_attribute(F.coalesce(F.get(F.filter(t, lambda x: x.rlike(r"(?i)^<base\b")), F.lit(0)), F.lit("")), "href"), F.lit(""))
+    # All of a page's links in one expression, in which each value is computed once.
+    links = lambda t: F.struct(base(t).alias("base"), F.filter(F.transform(t, _link_of), lambda x: x != "").alias("links"))
+    found = may.select("url", once(tags, links).alias("l")).select("url", F.col("l.base").alias("base"), F.explode("l.links").alias("link"))
+    of = F.coalesce(_absolute(F.col("base"), F.col("url")), "url")
+    return found.select(node_of(F.col("url")).alias("src"), node_of(_absolute(F.col("link"), of)).alias("dst"))
 
 
 def judged(pages: DataFrame, rules: list[dict] | DataFrame, redirects: DataFrame | None = None) -> DataFrame:
@@ -111,7 +166,7 @@ def judged(pages: DataFrame, rules: list[dict] | DataFrame, redirects: DataFrame
     of_class = decided.groupBy("component").agg(
         F.when(F.bool_or(F.col("rule_verdict") == "allow"), "allow").when(F.bool_or(F.col("rule_verdict") == "block"), "block").alias("class_verdict")
     )
-    known = cut(classes.join(of_class, "component"))
-    return own.join(known, "node", "left").select(
+    known = cut(joined(classes.withColumnRenamed("component", "__class"), of_class.withColumnRenamed("component", "__class"), "__class")).withColumnRenamed("__class", "component")
+    return joined(own.withColumn("node", F.coalesce("node", F.lit(""))), known, "node").select(
         "page_id", "host", "path", "rule", F.coalesce("rule_verdict", "class_verdict", F.lit("allow")).alias("verdict"), F.col("component").alias("class_url")
     )
