@@ -66,9 +66,36 @@ def test_url_rules_and_classes(spark):
 
 
 def test_url_rules_by_join_are_the_same(spark):
-    urls = spark.createDataFrame([("a.example.com", "/en/x"), ("net", "/es/"), ("q.org", "/"), ("", "")], "host string, path string")
+    hosts = ["a.example.com", "example.com", "www.example.com", "net", "x.net", "q.org", "", "com", "notexample.com", "y.com"]
+    urls = spark.createDataFrame([(h, p) for h in hosts for p in ("/en/x", "/en/", "/es/", "/", "")], "host string, path string")
     joined = url_filters._matched_by_join(urls, spark.createDataFrame([(r["host"], r["path"], r["verdict"]) for r in RULES], "host string, path string, verdict string"))
-    assert by_id(joined.select("host", "path", "rule")) == by_id(url_filters.matched(urls, RULES).select("host", "path", "rule"))
+    columns = ["host", "path", "rule", "rule_verdict"]
+    assert by_id(joined.select(columns)) == by_id(url_filters.matched(urls, RULES).select(columns))
+
+
+@pytest.mark.parametrize(
+    "html, dst",
+    [
+        ('<link\nrel="canonical"\n href="http://x.net/es/">', "http://x.net/es/"), ('<LINK HREF=http://X.NET/es/ REL="alternate Canonical">', "http://x.net/es/"),
+        ("<link rel='canonical' href='/a?x=1&amp;y=2'>", "http://h.org/a?x=1&y=2"), ('<link rel=canonical href="../es/./b/../c">', "http://h.org/es/c"),
+        ('<!-- <link rel="canonical" href="http://x.net/es/"> -->', None), ("<script>'<link rel=canonical href=/q>'</script>", None), ('<link rel="canonicals" href="/q">', None),
+        ('<link rel=canonical href="?q=2">', "http://h.org/d/e?q=2"), ('<link rel=canonical href="//K.org:80">', "http://k.org/"), ('<link title="a > b" rel=canonical href=f>', "http://h.org/d/f"),
+        ('<meta http-equiv="Refresh" content="0; URL=\'f/g\'">', "http://h.org/d/f/g"), ('<base href="http://b.org/z/"><link rel=canonical href="f">', "http://b.org/z/f"), ('<link rel=canonical data-href="/n" href="">', None), ("<link rel=canonical", None),
+    ],
+)
+def test_links_of_pages(spark, html, dst):
+    pages = spark.createDataFrame([("HTTP://H.org:80/d/e?p#f", html), (None, html), ("http://n.org/", None)], "url string, html string")
+    assert [tuple(r) for r in url_filters.page_edges(pages).collect()] == ([("http://h.org/d/e?p", dst)] if dst else [])
+
+
+def test_url_classes_of_odd_rows(spark):
+    """Redirects given apart, urls in other spellings, repeated rows, very long html, further columns, empty tables."""
+    rows = [(1, "http://new.org/p", "x" * 200_000 + '<link rel=canonical href="HTTP://X.net:80/a/../es/1">', "k"), (1, "http://new.org/p", "", "k"), (2, "http://r.org/", "", "k"), (3, "http://free.org/", None, None), (None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, node string")
+    redirects = spark.createDataFrame([("http://R.org#top", "http://new.org/p"), (None, "http://free.org/"), ("http://s.org/", "http://www.example.com/en/")], "src string, dst string")
+    got = sorted((tuple(r)[:1] + tuple(r)[3:5] for r in url_filters.judged(pages, RULES, redirects).collect()), key=str)
+    assert got == sorted([(1, None, "block"), (1, None, "block"), (2, None, "block"), (3, None, "allow"), (None, None, "allow")], key=str)
+    assert url_filters.judged(empty(pages), RULES).count() == 0 and url_filters.judged(pages, []).where("verdict = 'block'").count() == 0
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
