@@ -9,6 +9,7 @@ loser tree, so that the ranges one after the other are the capture histories in
 from __future__ import annotations
 
 import bisect
+import contextlib
 import itertools
 import math
 import re
@@ -18,13 +19,13 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, new_folder, parts, sampled
+from lectern.llm.common import cut, joined, new_folder, parts, sampled
 from lectern.llm.storage import attempt_name, opened
 
 #: An archive is closed after so many bytes.
 ARCHIVE_BYTES = 1 << 30
-#: Captures of a range, about; captures sampled for the ranges' bounds, about; captures of a stretch that is sent as one row.
-RANGE_CAPTURES, SAMPLE_CAPTURES, STRETCH = 200_000, 20_000, 2_000
+#: Captures of a range, about; keys sampled for the ranges' bounds, about, for each range; captures of a stretch that is sent as one row.
+RANGE_CAPTURES, RANGE_SAMPLE, STRETCH = 200_000, 64, 2_000
 URN = "urn:page:"
 INDEX = "url_key string, captured string, page_id long, record_type string, payload_digest string, archive string, offset long, length long"
 
@@ -109,21 +110,21 @@ def captures(pages: DataFrame, date: Column | None = None, least: int = 0) -> Da
 
     Of captures with one payload of at least least bytes the largest (page_id, url) is the response. Payloads are gathered
     once for each digest, combined before the shuffle, and joined with the responses only, so the copies of a
-    page cost a small row each.
+    page cost a small row each; a digest of very many captures is dealt over several tasks.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), (capture_time(F.col("page_id")) if date is None else date).alias("date"))
     rows = rows.withColumns({"sha1": F.unhex(F.sha1(F.col("html").cast("binary"))), "size": F.octet_length("html").cast("long")})
     seen = cut(rows.groupBy("sha1", "page_id", "url", "date", "size").agg(F.count("*").alias("times")))
     best = cut(seen.where(F.col("size") >= least).groupBy("sha1").agg(F.max(F.struct("page_id", "url", "date")).alias("best")))
-    known = seen.join(best, "sha1", "left")
+    known = joined(seen, best, "sha1")
     first = (F.col("best.page_id").eqNullSafe(F.col("page_id"))) & (F.col("best.url") == F.col("url")) & F.col("best.date").eqNullSafe(F.col("date"))
     one = F.col("best").isNull() | ((F.col("copy") == 0) & first)
     known = known.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times").cast("int") - 1))).withColumn("one", one)
     common = ["page_id", "url", "date", "sha1", "size"]
     revisits = known.where("not one").select(*common, F.lit(None).cast("string").alias("html"), F.lit("revisit").alias("kind"), F.col("best.page_id").alias("refers_to"))
     payloads = rows.groupBy("sha1").agg(F.first("html").alias("html"))
-    responses = known.where("one").select(*common).join(payloads, "sha1").select(*common, "html", F.lit("response").alias("kind"), F.lit(None).cast("long").alias("refers_to"))
+    responses = joined(known.where("one").select(*common), payloads, "sha1", "inner").select(*common, "html", F.lit("response").alias("kind"), F.lit(None).cast("long").alias("refers_to"))
     return responses.unionByName(revisits.repartition(parts(pages), "page_id", "url"))
 
 
@@ -185,14 +186,14 @@ def _order(row: dict) -> tuple:
 def merged(runs: DataFrame, range_captures: int = RANGE_CAPTURES) -> DataFrame:
     """The captures of all runs in global order: INDEX, range and place (both from 0).
 
-    A range's captures lie between two bounds, which come from a sample and don't change the result. A key with very many
+    A range's captures lie between two bounds, which come from a sample that grows with the ranges and don't change the result. A key with very many
     captures is cut by timestamp and page_id like any other. The stretch of a run in a range is sent as one row for
     STRETCH captures, in which they stay in order; the merging task plays the runs against each other.
     """
     names = INDEX.replace(",", "").split()[::2]
     n = runs.count()
     ranges = max(1, math.ceil(n / range_captures), min(parts(runs), n // 1_000))
-    few = sampled(runs, SAMPLE_CAPTURES, "url_key", "page_id", "archive", "offset").collect() if ranges > 1 else []
+    few = sampled(runs.select("url_key", "captured", "page_id", "archive", "offset"), RANGE_SAMPLE * ranges, "url_key", "page_id", "archive", "offset").collect() if ranges > 1 else []
     sample = sorted(_order(r.asDict()) for r in few)
     bounds = [sample[i * len(sample) // ranges] for i in range(1, ranges)] if sample else []
 
@@ -248,20 +249,22 @@ def read_back(index: DataFrame) -> DataFrame:
 
         of = lambda urn: int(urn.removeprefix("<" + URN).rstrip(">")) if urn and urn != f"<{URN}>" else None
         schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("position", pa.int64())])
-        name = source = None
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                if row["archive"] != name:
-                    system, at = opened(name := row["archive"])
-                    source = system.open_input_file(at)
-                source.seek(row["offset"])
-                fields, size, payload = parsed(source.read(row["length"]))
-                digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
-                if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
-                    raise ValueError(f"{name}: the record at {row['offset']} isn't whole")
-                out.append((of(fields["WARC-Record-ID"]), size, digest, kind, of(fields.get("WARC-Refers-To")), fields["WARC-Target-URI"], fields["WARC-Date"], row["position"]))
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema=schema)
+        name = None
+        with contextlib.ExitStack() as archive:
+            for batch in batches:
+                out = []
+                for row in batch.to_pylist():
+                    if row["archive"] != name:
+                        archive.close()
+                        system, at = opened(name := row["archive"])
+                        source = archive.enter_context(system.open_input_file(at))
+                    source.seek(row["offset"])
+                    fields, size, payload = parsed(source.read(row["length"]))
+                    digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
+                    if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+                        raise ValueError(f"{name}: the record at {row['offset']} isn't whole")
+                    out.append((of(fields["WARC-Record-ID"]), size, digest, kind, of(fields.get("WARC-Refers-To")), fields["WARC-Target-URI"], fields["WARC-Date"], row["position"]))
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema=schema)
 
     places = index.select("archive", "offset", "length", "position").repartition(parts(index), "archive").sortWithinPartitions("archive", "offset")
     return places.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, date string, position long")
