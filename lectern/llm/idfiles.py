@@ -142,6 +142,13 @@ class Shard:
         return np.concatenate(found) if found else np.zeros(0, "<u4")
 
 
+def ids_of(tokenizer: str, end_id: int) -> int:
+    """How many ids there are: those of the tokenizer's file and the end id."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1)
+
+
 def written(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, folder: str, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes the shards of docs (doc_id, text) under folder and returns their manifest, itself a table there.
 
@@ -220,10 +227,10 @@ def read_back(manifest: DataFrame) -> DataFrame:
     return one_each.join(F.broadcast(known), "id").select("path", "before").mapInPandas(read, SCHEMA)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, vocabulary: int = 50257) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, vocabulary: int | None = None) -> DataFrame:
     """Where each document of docs (doc_id, text) lies in the written ids, and their checksum, as read from the files.
 
     A null or empty text is the end id alone. Rows that repeat a doc_id lie one after the other, rows without one
-    before all others. Other columns are ignored. An empty table gives no rows.
+    before all others. Other columns are ignored. An empty table gives no rows. vocabulary: by default the number of the tokenizer's ids.
     """
-    return read_back(written(docs, tokenizer, end_id, vocabulary, new_folder(docs.sparkSession, "ids")))
+    return read_back(written(docs, tokenizer, end_id, vocabulary or ids_of(tokenizer, end_id), new_folder(docs.sparkSession, "ids")))
