@@ -116,7 +116,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Or
         return pd.Series([features(t or "").astype("int32") for t in texts])
 
     texts = docs.select(docs["doc_id"].cast("long").alias("__doc"), docs["text"].alias("__text"))
-    got = texts.join(F.broadcast(few), F.col("__doc") == F.col("__rated")).select("__rated", "__grade", hashed("__text").alias("features")).limit(4 * sample).toPandas()
+    got = texts.join(F.broadcast(few), F.col("__doc") == F.col("__rated")).select("__rated", "__grade", hashed("__text").alias("features"))
+    got = got.orderBy(F.xxhash64("__rated"), "__rated", "__grade", "features").limit(4 * sample).toPandas()  # more only if ids repeat
     got = got.sort_values(["__rated", "__grade"], kind="stable")
     return fit(got["features"].tolist(), got["__grade"].tolist())
 
