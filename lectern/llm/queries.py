@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, fingerprints, idfiles, language, mixing, packing, quality, simhash, url_filters, warc
+from lectern.llm import ann, fingerprints, idfiles, language, mixing, oracle, packing, quality, simhash, url_filters, warc
 from lectern.llm.common import table
 
 #: The rules of op1.
@@ -72,4 +72,4 @@ _ALL = (
     op6_quality_classifier, op7_language_id, op8_token_id_output, op9_warc, op10_nearest_neighbours,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_url_filters": oracle.url_filters(RULES), "op9_warc": oracle.WARC}
