@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.references import SPACE
 
-#: A line of a line-oriented source: code, chapter, verse, text.
+# Fixed value: a line of a line-oriented source: code, chapter, verse, text.
 LINE = r"^(\w{3}) (\d+):(\d+) (.*)\z"
 
 

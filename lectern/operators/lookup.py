@@ -16,21 +16,17 @@ from lectern.functions import references as R
 def parsed(refs: DataFrame, raw: str = "raw", aliases: DataFrame | None = None) -> DataFrame:
     """refs with abbrev, ch, v1, v2; all null where raw isn't a reference. Null raw: null.
 
-    A name has up to four tokens, and at least one must follow it. Every prefix is looked up by a broadcast join; the longest
-    one that names a book and leaves a chapter and verse wins.
+    A name has up to four tokens, and at least one must follow it. The prefixes that leave a chapter and verse are found in one
+    expression, each is looked up by a join with the aliases (broadcast if they are the canon's, of fixed size), and the longest that names a book wins.
     """
-    known = canon.aliases(refs.sparkSession) if aliases is None else aliases
-    own = refs.columns
-    df = refs.withColumn("__tokens", R.tokens(F.col(raw)))
-    for n in range(1, R.PREFIXES + 1):
-        name = F.array_join(F.slice("__tokens", 1, n), " ")
-        rest = F.array_join(F.slice("__tokens", n + 1, 2**31 - 1), " ")
-        enough = F.size("__tokens") > n
-        df = df.withColumns({f"__key{n}": F.when(enough, R.book_key(name)), f"__rest{n}": F.when(enough, R.chapter_verse(rest))})
-        side = known.select(F.col("alias").alias(f"__key{n}"), F.col("abbrev").alias(f"__book{n}"))
-        df = df.join(F.broadcast(side), f"__key{n}", "left")
-    found = [F.when(F.col(f"__book{n}").isNotNull() & F.col(f"__rest{n}").isNotNull(), F.struct(F.col(f"__book{n}").alias("abbrev"), f"__rest{n}.*")) for n in range(R.PREFIXES, 0, -1)]
-    return df.withColumn("__ref", F.coalesce(*found)).select(*own, "__ref.*")
+    known = F.broadcast(canon.aliases(refs.sparkSession)) if aliases is None else aliases
+    df = refs.withColumn("__found", R.once(R.tokens(F.col(raw)), R.prefixes))
+    at = lambda i: F.get("__found", F.lit(i))
+    for i in range(R.PREFIXES):
+        side = known.select(F.col("alias").alias(f"__key{i}"), F.col("abbrev").alias(f"__book{i}"))
+        df = df.join(side, at(i)["key"] == F.col(f"__key{i}"), "left")
+    first = F.coalesce(*[F.when(F.col(f"__book{i}").isNotNull(), F.struct(F.col(f"__book{i}").alias("abbrev"), at(i)["ref"].alias("ref"))) for i in range(R.PREFIXES)])
+    return df.select(*refs.columns, first.alias("__ref")).select(*refs.columns, "__ref.abbrev", "__ref.ref.*")
 
 
 def verses_of(refs: DataFrame, verses: DataFrame) -> DataFrame:
