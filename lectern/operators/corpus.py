@@ -90,6 +90,13 @@ def column_labels(names: Column) -> list[Column]:
     return [F.coalesce(F.try_element_at(names, F.lit(s)), F.lit("")).alias(f"{s}_label") for s in ("ko", "en")]
 
 
+def view(meta: DataFrame) -> DataFrame:
+    """One row of what a corpus' meta (title, langs, names, demo) says of its display: title, demo badge, whether Korean, English or both are shown, labels."""
+    has = lambda lang: F.array_contains("langs", lang)
+    layout = F.when(has("ko") & has("en"), "ko+en").when(has("ko"), "ko").otherwise("en")
+    return meta.select("title", F.coalesce("demo", F.lit(False)).alias("demo_badge"), layout.alias("layout"), *column_labels(F.col("names")))
+
+
 def neighbours(verses: DataFrame) -> DataFrame:
     """abbrev, ch, v with the next verse (over the end of a chapter to the next one's first), the previous one in the chapter, and the
     chapter's last: next_ch, next_v, previous_v, last_v. The window's partitions are books, whose size is bounded."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import canon
+from lectern.functions import references as R
 from lectern.functions.numerals import KO_DIGITS, english_value, korean_value
 
 #: Words near a reference that make it likelier, and book names that are also people's. Fixed values.
@@ -16,22 +17,32 @@ PEOPLE = ("요한", "마가", "누가", "john", "mark", "luke")
 
 
 def _alternatives(hangul: bool) -> str:
-    """Names for speech, longest first; numbered and two-part names may be said with a space."""
+    """Names for speech, under their first characters and longest first; numbered and two-part names may be said with a space."""
     found = [a for a, _ in canon.ALIASES if bool(re.match("[가-힣]", a)) == hangul and (len(a) > 1 if hangul else len(a) > 3 or a[0] in "123")]
-    out = []
+    under: dict[str, list[str]] = {}
     for name in sorted(found, key=lambda a: (-len(a), a)):
-        if hangul:
-            m = re.fullmatch(r"(.{2,})(전서|후서|일서|이서|삼서|상|하|복음|계시록)", name)
-            out.append(rf"{m[1]}\s?{m[2]}" if m else name)
+        if m := re.fullmatch(r"(.{2,})([일이삼])서", name):
+            said = rf"{m[1]}\s?[{m[2]}{'일이삼'.index(m[2]) + 1}]\s?서"
+        elif m := re.fullmatch(r"(.{2,})(전서|후서|상|하|복음|계시록)", name):
+            said = rf"{m[1]}\s?{m[2]}" if hangul else name
+        elif m := re.fullmatch(r"([123])(.+)", name):
+            said = rf"{m[1]}(?:st|nd|rd)?\s?{m[2]}"
+            under.setdefault(ORDINALS[int(m[1]) - 1][0], []).append(rf"{ORDINALS[int(m[1]) - 1][1:]}\s{m[2]}")
         else:
-            m = re.fullmatch(r"([123])(.+)", name)
-            out.append(rf"{m[1]}\s?{m[2]}" if m else name.replace("songof", r"song\s?of\s?"))
-    return "|".join(out)
+            said = name.replace("songof", r"song\s?of\s?")
+        under.setdefault(said[0], []).append(said[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in under.items())
 
 
-#: The same text is a regular expression for Java and RE2: name, chapter, verse, end of range.
-KOREAN = rf"({_alternatives(True)})(?:을|를|에서|에|은|는)?\s?(\d+)\s?(?:장|편|:)(?:에|을)?(?:\s?(\d+)(?:\s?절)?(?:\s?(?:부터|에서|내지|[-~～–])\s?(\d+)(?:\s?절)?)?)?"
-ENGLISH = rf"(?i)\b({_alternatives(False)})\.?\s(?:chapter\s)?(\d+)(?:(?:\s?:\s?|,?\s(?:verses?\s)?)(\d+)(?:\s?(?:-|–|~|to|through)\s?(\d+))?)?"
+ORDINALS = ("first", "second", "third")
+#: The same text is a regular expression for Java and RE2: name, chapter, verse, end of range, further verses of a list.
+KOREAN = rf"({_alternatives(True)})(?:을|를|에서|에|은|는)?\s?(\d+)\s?(?:장|편|:)(?:에|을)?(?:\s?(\d+)(?:\s?절)?(?:\s?(?:부터|에서|내지|[-~～–])\s?(\d+)(?:\s?절)?)?((?:\s?(?:과|와|하고|,)\s?\d+(?:\s?절)?)*))?"
+_TO = r"(?:\s?(?:-|–|~|to|through)\s?(\d+))?"
+ENGLISH = rf"(?i)\b({_alternatives(False)})\.?\s(?:chapter\s)?(\d+)(?:(?:\s?:\s?|,?\s(?:verses?\s)?)(\d+){_TO}((?:,\s?\d+(?::\d+)?|\sand\sverses?\s\d+)*))?"
+#: The chapter first: chapter, name, verse, end of range, nothing more.
+ENGLISH_OF = rf"(?i)\b(?:the\s)?(\d+)(?:st|nd|rd|th)?\s((?:chapter\sof\s(?:{_alternatives(False)}))|psalm)\b(?:,?\sverses?\s(\d+){_TO})?()"
+#: Each pattern with the places of its chapter and its name.
+FORMS = ((KOREAN, 2, 1), (ENGLISH, 2, 1), (ENGLISH_OF, 1, 2))
 
 
 #: A Sino-Korean number that no other syllable precedes, before the word for chapter, psalm or verse.
@@ -44,6 +55,7 @@ def normalised(text: Column) -> Column:
     """Spoken forms as digits and marks: numbers before 장, 편 and 절, one colon, one range mark, no space inside 3장."""
     out = F.regexp_replace(text, r"\s*[：:]\s*|\s+colon\s+", ":")
     out = F.regexp_replace(out, r"\s*[~～–—]\s*", "-")
+    out = F.regexp_replace(out, r"(\d절?)\s?(?:내지|through|to)\s?(\d)", "$1-$2")
     value = lambda p: korean_value(F.regexp_extract(p, SPOKEN, 2)).cast("string")
     piece = lambda p: F.coalesce(F.concat(F.regexp_extract(p, SPOKEN, 1), value(p), F.regexp_extract(p, SPOKEN, 3)), p)
     out = F.array_join(F.transform(F.regexp_extract_all(out, F.lit(PIECES), F.lit(0)), piece), "")
@@ -72,25 +84,54 @@ def english_numbers(text: Column) -> Column:
     return F.substring(F.aggregate(words, state, step, flush), 2, 2**31 - 1)
 
 
-def _found(texts: DataFrame, key: str, pattern: str, text: str) -> DataFrame:
-    parts = [F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(i)).alias(c) for i, c in enumerate(("matched", "name", "ch", "v1", "v2"))]
-    return texts.select(key, text, F.posexplode(F.arrays_zip(*parts)).alias("nth", "m")).select(key, text, "nth", "m.*")
+def name_key(name: Column) -> Column:
+    """What a spoken name is looked up by: lower case, without spaces; numbers in the form that the aliases have."""
+    out = F.regexp_replace(F.regexp_replace(F.lower(name), r"\s|^chapter of", ""), "^chapterof", "")
+    for i, word in enumerate(ORDINALS):
+        out = F.regexp_replace(F.regexp_replace(out, f"^(?:{word}|{i + 1}(?:st|nd|rd))", str(i + 1)), f"{i + 1}서\\z", "일이삼"[i] + "서")
+    return out
+
+
+def _found(texts: DataFrame, key: str, form: tuple[str, int, int], text: str) -> DataFrame:
+    """key, text, nth, matched, start and the parts of every match. The text is searched once for matches and once for what lies between."""
+    pattern, ch, name = form
+    length = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+    placed = lambda y: F.transform(y["m"], lambda m, i: F.struct(m.alias("matched"), (length(y["p"], i + 1) + length(y["m"], i) + 1).alias("start")))
+    hits = R.once(
+        F.struct(F.col(text).alias("t"), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("m")),
+        lambda x: F.when(F.size(x["m"]) > 0, R.once(F.struct(x["m"].alias("m"), F.split(x["t"], pattern).alias("p")), placed)),
+    )
+    rows = texts.where(F.col(text).rlike("[0-9]")).select(key, text, F.posexplode(hits).alias("nth", "h")).select(key, text, "nth", "h.*")
+    parts = F.split(F.regexp_replace("matched", pattern, f"${name}\t${ch}\t$3\t$4\t$5"), "\t")
+    rows = rows.withColumn("parts", parts)
+    return rows.select(key, text, "nth", "matched", "start", *[F.get("parts", F.lit(i)).alias(c) for i, c in enumerate(("name", "ch", "v1", "v2", "more"))])
 
 
 def detected(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, nth, abbrev, ch, v1, v2, matched, start, confidence for every reference inside a text.
+    """key, nth, item, abbrev, ch, v1, v2, matched, start, confidence for every reference inside a text.
 
-    Both languages' forms are looked for in one pass each; names are looked up by a broadcast join. start is where the
-    matched text first stands in the text, from 1. Single-syllable abbreviations aren't names here, and a book without a
-    chapter is no reference.
+    All forms are looked for in one pass each; names are looked up by a broadcast join. start is where this match begins in the
+    text, from 1. A list of verses gives a row for each (item counts them), all with one match; a verse of another chapter ends it. Single-syllable
+    abbreviations aren't names here, and a book without a chapter is no reference.
     """
-    both = _found(texts, key, KOREAN, text).unionByName(_found(texts, key, ENGLISH, text))
-    name = F.regexp_replace(F.lower("name"), r"\s", "")
+    every = None
+    for form in FORMS:
+        rows = _found(texts, key, form, text)
+        every = rows if every is None else every.unionByName(rows)
     known = canon.aliases(texts.sparkSession, speech=True).select(F.col("alias").alias("__name"), "abbrev")
-    df = both.withColumn("__name", name).join(F.broadcast(known), "__name")
-    number = lambda c: F.nullif(F.col(c), F.lit("")).cast("int")
-    df = df.withColumns({"ch": number("ch"), "v1": number("v1"), "v2": number("v2"), "start": F.instr(F.col(text), F.col("matched"))})
-    return df.select(key, "nth", "abbrev", "ch", "v1", "v2", "matched", "start", confidence(F.col(text), F.col("__name"), F.col("v1")).alias("confidence"))
+    df = every.withColumn("__name", name_key(F.col("name"))).join(F.broadcast(known), "__name")
+    number = lambda c: F.nullif(c, F.lit("")).try_cast("int")
+    df = df.withColumns({"ch": number(F.col("ch")), "v1": number(F.col("v1")), "v2": number(F.col("v2"))})
+    further = F.filter(F.regexp_extract_all("more", F.lit(r"\d+(?::\d+)?"), F.lit(0)), lambda x: ~F.contains(x, F.lit(":")))
+    none = F.lit(None).cast("int")
+    items = F.concat(F.array(F.struct("v1", "v2")), F.transform(further, lambda x: F.struct(number(x).alias("v1"), none.alias("v2"))))
+    df = df.select(key, text, "nth", "__name", "abbrev", "ch", "matched", "start", F.posexplode(items).alias("item", "v")).select("*", "v.*")
+    return df.select(key, "nth", "item", "abbrev", "ch", "v1", "v2", "matched", "start", confidence(F.col(text), F.col("__name"), F.col("v1")).alias("confidence"))
+
+
+def heard(text: Column) -> Column:
+    """A transcript in the form that detection reads: English and Korean number words as digits, one colon, one range mark."""
+    return normalised(english_numbers(text))
 
 
 def confidence(text: Column, name: Column, v1: Column, rolled_over: Column | None = None) -> Column:
@@ -105,7 +146,7 @@ def special(texts: DataFrame, key: str, last_verses: DataFrame, text: str = "tex
     """key, abbrev, ch, v1, open_range for a detected chapter followed by "n절 이하", "첫 절" or "마지막 절"; the last one from the corpus."""
     pattern = rf"({_alternatives(True)})\s?(\d+)(?:장|편)에?\s(?:(\d+)절\s?이하|(첫째?\s?절)|(마지막\s?절))"
     part = lambda i: F.regexp_extract(text, pattern, i)
-    rows = texts.where(F.col(text).rlike(pattern)).select(key, F.regexp_replace(part(1), r"\s", "").alias("__name"), part(2).cast("int").alias("ch"), part(3).alias("n"), part(4).alias("first"), part(5).alias("last"))
+    rows = texts.where(F.col(text).rlike(pattern)).select(key, name_key(part(1)).alias("__name"), part(2).cast("int").alias("ch"), part(3).alias("n"), part(4).alias("first"), part(5).alias("last"))
     known = canon.aliases(texts.sparkSession, speech=True).select(F.col("alias").alias("__name"), "abbrev")
     rows = rows.join(F.broadcast(known), "__name").join(last_verses.select("abbrev", "ch", F.col("last_v").alias("__last")), ["abbrev", "ch"], "left")
     v1 = F.when(F.col("n") != "", F.col("n").cast("int")).when(F.col("first") != "", 1).otherwise(F.col("__last"))

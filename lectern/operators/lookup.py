@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern import canon
 from lectern.functions import references as R
+from lectern.operators import corpus
 
 
 def parsed(refs: DataFrame, raw: str = "raw", aliases: DataFrame | None = None) -> DataFrame:
@@ -68,3 +69,12 @@ def with_status(refs: DataFrame, verses: DataFrame, key: str, raw: str = "raw",
     text = F.when(F.col("status") == "ok", R.label(F.col("__en"), F.col("ch"), F.col("v1"), F.col("v2")))
     text = text.when(F.col("status") == "not_found", R.label(F.col("abbrev"), F.col("ch"), F.col("v1"), F.col("v2"), end=False))
     return df.withColumn("status", status).select(key, raw, "status", text.alias("label"))
+
+
+def headers(refs: DataFrame, verses: DataFrame, meta: DataFrame, key: str, raw: str = "raw") -> DataFrame:
+    """key, label, names ("Korean · English") and the labels of the two columns, of each reference that is found."""
+    names = canon.books(refs.sparkSession).select(F.col("abbrev").alias("__abbrev"), F.concat_ws(" · ", "ko", "en").alias("names"))
+    shown = corpus.view(meta).first()  # a meta has one row
+    status = with_status(refs, verses, key, raw).where("status = 'ok'")
+    df = parsed(status, raw).join(F.broadcast(names), F.col("abbrev") == F.col("__abbrev"))
+    return df.select(key, "label", "names", F.lit(shown["ko_label"]).alias("ko_label"), F.lit(shown["en_label"]).alias("en_label"))

@@ -2,21 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def percentiles(rows: DataFrame, key: str, value: str, shares: list[float], steps: int = 64) -> DataFrame:
+    """key, n, p0, p1, ... (exact, between neighbouring values in proportion) of the rows' values that aren't null.
+
+    Equal values are counted before the shuffle. Bounds that cut all values into about equal steps deal a key's distinct values
+    over many tasks; which step holds a share's place follows from the steps' counts, and only those steps are sorted.
+    """
+    each = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("__key"), F.col(value).cast("double").alias("__value")).agg(F.count("*").alias("__n"))
+    bounds = sorted(set(rows.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / steps for i in range(1, steps)], 0.25 / steps)))
+    step = sum((F.when(F.col("__value") >= b, 1).otherwise(0) for b in bounds), F.lit(0))
+    each = each.withColumn("__step", step)
+    totals = each.groupBy("__key", "__step").agg(F.sum("__n").alias("__m"))
+    by_key = Window.partitionBy("__key")
+    before = F.sum("__m").over(by_key.orderBy("__step").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select("__key", "__step", "__m", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__m").over(by_key).alias("n"))
+    places = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("n") - 1) * F.lit(float(q))).alias("at")) for i, q in enumerate(shares)])
+    wanted = totals.withColumn("__p", F.explode(places)).select("*", "__p.*").where((F.floor("at") < F.col("__before") + F.col("__m")) & (F.ceil("at") >= F.col("__before")))
+    some = each.join(wanted.select("__key", "__step", "__before").distinct(), ["__key", "__step"])
+    upto = F.sum("__n").over(Window.partitionBy("__key", "__step").orderBy("__value")) + F.col("__before")
+    some = some.select("__key", "__step", "__value", (upto - F.col("__n")).alias("__from"), upto.alias("__to"))
+    met = wanted.select("__key", "__step", "n", "i", "at").join(some, ["__key", "__step"])
+    holds = lambda x: F.when((x >= F.col("__from")) & (x < F.col("__to")), F.col("__value"))
+    ends = met.groupBy("__key", "n", "i", "at").agg(F.max(holds(F.floor("at"))).alias("lo"), F.max(holds(F.ceil("at"))).alias("hi"))
+    share = F.col("at") - F.floor("at")
+    ends = ends.withColumn("p", F.when(share == 0, F.col("lo")).otherwise((1 - share) * F.col("lo") + share * F.col("hi")))
+    return ends.groupBy(F.col("__key").alias(key), "n").agg(*[F.max(F.when(F.col("i") == i, F.col("p"))).alias(f"p{i}") for i in range(len(shares))])
+
+
 def latency(rows: DataFrame, hop: str, ms: str) -> DataFrame:
-    """hop, n, p50, p95, max. Exact percentiles; counts of equal values are combined before the shuffle."""
-    p = F.percentile(ms, F.array(F.lit(0.5), F.lit(0.95)))
-    out = rows.where(F.col(ms).isNotNull()).groupBy(hop).agg(F.count("*").alias("n"), p.alias("__p"), F.max(ms).alias("max_ms"))
-    return out.select(hop, "n", F.col("__p")[0].alias("p50"), F.col("__p")[1].alias("p95"), "max_ms")
+    """hop, n, p50, p95, max_ms: exact percentiles, whatever number of rows a hop has."""
+    most = rows.where(F.col(ms).isNotNull()).groupBy(hop).agg(F.max(ms).alias("max_ms"))
+    return percentiles(rows, hop, ms, [0.5, 0.95]).join(most, hop).select(hop, "n", F.col("p0").alias("p50"), F.col("p1").alias("p95"), "max_ms")
 
 
 def clock_offset(samples: DataFrame, session: str) -> DataFrame:
-    """session, offset: the median over a session's samples (t0 to t3) of half of (t1 - t0) + (t2 - t3)."""
+    """session, offset: the median over a session's samples (t0 to t3) of half of (t1 - t0) + (t2 - t3); a session without any whole sample has no row."""
     each = ((F.col("t1") - F.col("t0")) + (F.col("t2") - F.col("t3"))) / 2
-    return samples.groupBy(session).agg(F.median(each).alias("offset"))
+    return percentiles(samples.select(session, each.alias("__offset")), session, "__offset", [0.5]).select(session, F.col("p0").alias("offset"))
+
+
+def report(figures: dict[str, DataFrame]) -> str:
+    """A Markdown report with a table for each one-row or few-row result; figures only, no text of any transcript."""
+    out = []
+    for title, df in figures.items():
+        rows = df.limit(100).collect()
+        out += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+        out += ["| " + " | ".join("" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x) for x in r) + " |" for r in rows] + [""]
+    return "\n".join(out)
 
 
 def precision_recall(rows: DataFrame, predicted: Column, actual: Column) -> DataFrame:

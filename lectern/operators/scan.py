@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,32 +9,29 @@ from pyspark.sql import functions as F
 FORBIDDEN = r"(^|/)(nkjv[^/]*|NKJV[^/]*|ko_ko[^/]*|bible_data[^/]*|b_25\.html|[^/]*\.bak)\z"
 MOST_BYTES, EXEMPT = 1_048_576, "data/sample/"
 
-#: Signatures that are broadcast at once; more go in several passes over the files.
-SIGNATURES = 2_000
-
 
 def by_name(files: DataFrame, pattern: str = FORBIDDEN) -> DataFrame:
     """path, kind, detail of the files whose name is refused; content isn't read."""
     return files.where(F.col("path").rlike(pattern)).select("path", F.lit("name").alias("kind"), F.lit("").alias("detail"))
 
 
-def by_signature(files: DataFrame, signatures: DataFrame, at_once: int = SIGNATURES) -> DataFrame:
+def by_signature(files: DataFrame, signatures: DataFrame) -> DataFrame:
     """path, kind, detail for each file (path, text) and signature (signature) that it contains.
 
-    Signatures are a short list by nature, so they are broadcast; a longer one is numbered and goes in passes of at_once.
+    A signature of three words or more is looked for by its longest inner word, which any text that contains it has as a word
+    too: words are joined with these, and only what meets is compared. Texts aren't copied for their words, nor is any pass repeated
+    for more signatures. Signatures without an inner word are compared with every text; only those are broadcast, in full if
+    Spark finds them small.
     """
     short = signatures.select("signature").where("signature <> ''").distinct()
-    n = short.count()
-    if n > at_once:
-        short = short.withColumn("__pass", F.pmod(F.xxhash64("signature"), F.lit(math.ceil(2 * n / at_once))))
-        passes = [short.where(F.col("__pass") == i).drop("__pass") for i in range(math.ceil(2 * n / at_once))]
-    else:
-        passes = [short]
-    out = None
-    for some in passes:
-        hits = files.join(F.broadcast(some), F.contains("text", "signature")).select("path", F.lit("signature").alias("kind"), F.col("signature").alias("detail"))
-        out = hits if out is None else out.union(hits)
-    return out
+    inner = F.filter(F.slice(F.split("signature", " "), F.lit(2), F.greatest(F.size(F.split("signature", " ")) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.aggregate(inner, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+    keyed = short.withColumn("__word", longest)
+    words = files.select("path", F.explode(F.array_distinct(F.split("text", " "))).alias("__word"))
+    meets = words.join(keyed.where("__word <> ''"), "__word").select("path", "signature").distinct()
+    hits = files.select("path", "text").join(meets, "path").where(F.contains("text", "signature")).select("path", "signature")
+    plain = files.select("path", "text").join(keyed.where("__word = ''").drop("__word"), F.contains("text", "signature")).select("path", "signature")
+    return hits.unionByName(plain).select("path", F.lit("signature").alias("kind"), F.col("signature").alias("detail"))
 
 
 def by_size(files: DataFrame, most: int = MOST_BYTES, exempt: str = EXEMPT) -> DataFrame:

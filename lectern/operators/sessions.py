@@ -19,21 +19,28 @@ def with_context(events: DataFrame, session: str, ts: str, order: str, displayed
     return events.withColumn("context", F.last(mark, ignorenulls=True).over(before)["ref"])
 
 
-def relative(mentions: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Resolves relative mentions against their context: the columns of mentions with to_ch, to_v, rolled_over.
+def looked_up(mentions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """mentions with to_ch, to_v, rolled_over and found: whether the catalog has what is meant.
 
-    mentions: abbrev, ch, v (the context), kind (verse, next, previous, next_chapter, same_chapter) and n (a verse, or null).
-    catalog: corpus.neighbours. A mention without context, or of a verse that isn't there, has no row. The next
-    verse after a chapter's last is the next chapter's first.
+    mentions: abbrev, ch, v (the context), kind and n (a verse or chapter, or null). Kinds: verse, same_chapter and return (verse n of the
+    context's chapter), next, previous, next_chapter, chapter (n). catalog: corpus.neighbours. The next verse after a chapter's last is the
+    next chapter's first; a chapter is shown from its first verse.
     """
-    own = mentions.columns
-    df = mentions.where("abbrev is not null").join(catalog, ["abbrev", "ch", "v"])
-    to_ch = F.when(F.col("kind") == "next", F.col("next_ch")).when(F.col("kind") == "next_chapter", F.col("ch") + 1).otherwise(F.col("ch"))
-    to_v = F.when(F.col("kind") == "next", F.col("next_v")).when(F.col("kind") == "previous", F.col("previous_v")).when(F.col("kind") == "next_chapter", 1).otherwise(F.col("n"))
-    df = df.withColumns({"to_ch": to_ch, "to_v": to_v, "rolled_over": (F.col("kind") == "next") & (F.col("next_ch") != F.col("ch"))}).where("to_v is not null")
-    there = catalog.select(F.col("abbrev").alias("__b"), F.col("ch").alias("__c"), F.col("v").alias("__v"))
+    own, kind = mentions.columns, F.col("kind")
+    near = catalog.select(F.col("abbrev").alias("__b"), F.col("ch").alias("__c"), F.col("v").alias("__v"), "next_ch", "next_v", "previous_v")
+    df = mentions.join(near, (F.col("abbrev") == F.col("__b")) & (F.col("ch") == F.col("__c")) & (F.col("v") == F.col("__v")), "left")
+    to_ch = F.when(kind == "next", F.col("next_ch")).when(kind == "next_chapter", F.col("ch") + 1).when(kind == "chapter", F.col("n")).otherwise(F.col("ch"))
+    to_v = F.when(kind == "next", F.col("next_v")).when(kind == "previous", F.col("previous_v")).when(kind.isin("next_chapter", "chapter"), 1).otherwise(F.col("n"))
+    over = F.coalesce((kind == "next") & (F.col("next_ch") != F.col("ch")), F.lit(False))
+    df = df.select(*own, F.when(F.col("__b").isNotNull(), to_ch).alias("to_ch"), F.when(F.col("__b").isNotNull(), to_v).alias("to_v"), over.alias("rolled_over"))
+    there = catalog.select(F.col("abbrev").alias("__b"), F.col("ch").alias("__c"), F.col("v").alias("__v")).distinct().withColumn("__there", F.lit(True))
     hit = (F.col("abbrev") == F.col("__b")) & (F.col("to_ch") == F.col("__c")) & (F.col("to_v") == F.col("__v"))
-    return df.join(there, hit, "left_semi").select(*own, "to_ch", "to_v", "rolled_over")
+    return df.join(there, hit, "left").select(*own, "to_ch", "to_v", "rolled_over", F.col("__there").isNotNull().alias("found"))
+
+
+def relative(mentions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The columns of mentions with to_ch, to_v, rolled_over: a mention without context, or of a verse that isn't there, has no row."""
+    return looked_up(mentions, catalog).where("found").drop("found")
 
 
 def since_last(events: DataFrame, keys: list[str], ts: str, order: str, seconds: int) -> DataFrame:

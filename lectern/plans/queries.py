@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern import canon
 from lectern.functions import numerals, references
-from lectern.functions.text import cleaned
-from lectern.operators import corpus, detect, ingest, lookup, metrics, scan, sessions
+from lectern.functions.text import cleaned, decoded
+from lectern.operators import corpus, detect, ingest, lookup, metrics, phrases, resolver, scan, sessions
 from lectern.plans import stand_ins as S
 from lectern.shared import shared_folder
 from lectern.sources import files
@@ -56,6 +56,13 @@ def lookup_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.with_status(S.typed(spark, sf_dir), S.verses(spark, sf_dir), "o_orderkey")
 
 
+META = ([("both", ["ko", "en"], {"ko": "K", "en": "E"}, True)], "title string, langs array<string>, names map<string,string>, demo boolean")
+
+
+def lookup_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.headers(S.typed(spark, sf_dir), S.verses(spark, sf_dir), spark.createDataFrame(*META), "o_orderkey")
+
+
 def render_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.rendered(S.verses(spark, sf_dir))
 
@@ -110,7 +117,28 @@ def js_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     ko, en = (corpus.to_chapters(S.side_of(spark, sf_dir, s)) for s in ("ko", "en"))
     corpus.merged(ko, en).drop("ord").write.json(path := shared_folder(spark, "combined"))
-    return corpus.counts(corpus.from_records(spark.read.schema(files.RECORD).json(path, mode="FAILFAST")))
+    return corpus.counts(corpus.from_records(files.build(spark, combined=path, lines=True)[0]))
+
+
+def build_separate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = {}
+    for s in ("ko", "en"):
+        corpus.to_chapters(S.side_of(spark, sf_dir, s)).write.json(path := shared_folder(spark, s))
+        paths[s] = path
+    records, meta = files.build(spark, **paths, lines=True)
+    files.write_script(records, meta, path := shared_folder(spark, "built"))
+    return corpus.from_records(files.read_script(spark, path)[0])
+
+
+def corpus_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ko = S.table(spark, sf_dir, "region").select(F.lit("gn").alias("abbrev"), F.array(F.array("r_name")).alias("chapters")).limit(1)
+    files.write_script(corpus.merged(ko, ko), spark.createDataFrame(*META), path := shared_folder(spark, "view"))
+    return corpus.view(files.read_script(spark, path)[1])
+
+
+def scan_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = S.signatures(spark, sf_dir).select(F.base64(F.encode("signature", "utf-8")).alias("coded"))
+    return scan.by_signature(S.files(spark, sf_dir), coded.select(decoded(F.col("coded")).alias("signature")))
 
 
 def scan_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +178,7 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detect_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.detected(S.spoken(spark, sf_dir), "o_orderkey")
-    return found.select("o_orderkey", "nth", "abbrev", "ch", "v1", "v2", "matched", "start")
+    return found.select("o_orderkey", "nth", "item", "abbrev", "ch", "v1", "v2", "matched", "start")
 
 
 def confidence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,6 +207,26 @@ def relative_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.relative(mentions, catalog)
 
 
+def _phrases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    texts = S.phrases(spark, sf_dir)
+    context = texts.where("abbrev is not null").select("o_orderkey", "abbrev", "ch", "v")
+    return phrases.resolved(texts.select("o_orderkey", detect.normalised(F.col("text")).alias("text")), "o_orderkey", context, corpus.neighbours(S.lines(spark, sf_dir)))
+
+
+def context_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _phrases(spark, sf_dir)[0].select("o_orderkey", "kind", "abbrev", "to_ch", "to_v", "rolled_over", "confidence")
+
+
+def context_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _phrases(spark, sf_dir)[1].select("o_orderkey", "kind", "n", "reason")
+
+
+def resolver_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = S.spoken(spark, sf_dir).withColumnRenamed("o_orderkey", "key")
+    found = detect.detected(texts, "key").select("key", "abbrev", "ch", F.col("v1").alias("v"))
+    return resolver.asked(texts, found).select("key")
+
+
 def suppress_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sessions.since_last(S.events(spark, sf_dir), ["user_id", "event_type"], "ts", "event_id", S.REPEAT_SECONDS)
     return out.select("event_id", "user_id", "event_type", "suppressed")
@@ -208,6 +256,12 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.latency(S.events(spark, sf_dir), "event_type", "value")
 
 
+def latency_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = S.events(spark, sf_dir).select(F.col("user_id").alias("session"), F.col("event_type").alias("hop"), F.col("value").alias("ms"))
+    files.write_latency(lines, path := shared_folder(spark, "latency"))
+    return metrics.latency(files.read_latency(spark, path), "hop", "ms")
+
+
 def clock_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, v = S.events(spark, sf_dir), F.col("value")
     samples = e.select(F.col("user_id"), F.lit(0.0).alias("t0"), v.alias("t1"), (v + 2).alias("t2"), (v / 2).alias("t3"))
@@ -247,11 +301,17 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.drained(spark, session.sessions(S.session_events(stream), S.REPEAT_SECONDS))
 
 
+def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]")
+    return session.drained(spark, session.messages(S.console_events(stream), S.REPEAT_SECONDS))
+
+
 _ALL = (
-    parse_ref, parse_chverse, resolve_alias, corpus_long, parallel_align, chapter_merge, lookup_range, lookup_status, render_rows, en_only_view,
+    parse_ref, parse_chverse, resolve_alias, corpus_long, parallel_align, chapter_merge, lookup_range, lookup_status, lookup_header, render_rows, en_only_view,
     clean_text, vpl_parse, verse_order_check, missing_books, chapter_gap_pad, corpus_counts, last_wins, source_fallback, js_roundtrip, json_combined,
+    build_separate, corpus_view, scan_decoded, context_phrases, context_misses, resolver_gate, latency_jsonl,
     scan_names, scan_signatures, scan_size, scan_report, scan_verdict, numerals_ko, numerals_en, normalize_text, detect_refs, detect_special, confidence_rank,
     context_asof, relative_resolve, suppress_gap, suppress_throttle, interim_final, top5, candidate_union, latency_summary, clock_offset, eval_prf,
-    eval_topk, fp_per_hour, match_in_time, fixture_drift, stream_session,
+    eval_topk, fp_per_hour, match_in_time, fixture_drift, stream_session, stream_messages,
 )
 QUERIES = {f.__name__: f for f in _ALL}

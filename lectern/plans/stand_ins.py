@@ -19,13 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """abbrev, side, ch, v, text: a source is a book, its German and English documents the chapters of two sides, lines the verses."""
-    docs = table(spark, sf_dir, "documents").where("lang in ('de', 'en') and text is not null and source like 'src%'")
-    ch = F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id"))
-    side = F.when(F.col("lang") == "de", "ko").otherwise("en")
-    book = F.pmod(F.substring("source", 4, 9).cast("int"), F.lit(66)) + 1
-    rows = docs.select(book.alias("ord"), side.alias("side"), ch.alias("ch"), "text")
-    rows = rows.join(F.broadcast(canon.books(spark).select("ord", "abbrev")), "ord")
+    """abbrev, side, ch, v, text: a source is a book, its English and French documents the chapters of one side, all others of the other one, lines the verses."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    side = F.when(F.col("lang").isin("en", "fr"), "en").otherwise("ko")
+    book = F.pmod(F.coalesce(F.substring("source", 4, 9).try_cast("int"), F.lit(0)), F.lit(66)) + 1
+    rows = docs.select(book.alias("ord"), side.alias("side"), "doc_id", "text")
+    # Chapters are numbered without their texts, so that a large source's sort moves numbers only.
+    ch = F.row_number().over(Window.partitionBy("ord", "side").orderBy("doc_id"))
+    numbers = rows.select("ord", "side", "doc_id").select("ord", "side", "doc_id", ch.alias("ch"))
+    rows = rows.join(numbers, ["ord", "side", "doc_id"]).join(F.broadcast(canon.books(spark).select("ord", "abbrev")), "ord")
     each = rows.select("abbrev", "side", "ch", F.posexplode(F.split("text", "\n")).alias("p", "text"))
     return each.select("abbrev", "side", "ch", (F.col("p") + 1).alias("v"), "text")
 
@@ -83,8 +85,21 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_orderkey, text: sentences with references in both languages' spoken forms."""
-    forms = ["오늘 {ko} {c} 장 {v} 절 말씀입니다", "{ko} {c}장 {v}절부터 {w}절까지 읽겠습니다", "{ko}{c}:{v} 보시면", "그리고 {ko} {c}장에 있습니다", "let's read {en} {c}:{v}", "see {en} chapter {c} verse {v} today", "in {en} {c} verses {v} to {w}", "we say nothing of it, {c}장짜리 편지"]
-    return _orders(spark, sf_dir).select("o_orderkey", _form(8, *map(_text, forms)).alias("text"))
+    forms = [
+        "오늘 {ko} {c} 장 {v} 절 말씀입니다", "{ko} {c}장 {v}절부터 {w}절까지 읽겠습니다", "{ko}{c}:{v} 보시면", "그리고 {ko} {c}장에 있습니다", "let's read {en} {c}:{v}",
+        "see {en} chapter {c} verse {v} today", "in {en} {c} verses {v} to {w}", "we say nothing of it, {c}장짜리 편지", "{ko} {c}장 {v}절과 {w}절, 그리고 {ko} {c}장 {v}절과 {w}절",
+        "the {c}th chapter of {en} verse {v}, {en} {c}:{v}, {w} and {en} {c}:{v}", "{variant} {c}장 {v}절", "{ordinal} {c} {v} and the {m}th Psalm",
+    ]
+    rows = _orders(spark, sf_dir).withColumn("variant", F.replace("ko", F.lit("일서"), F.lit(" 1서"))).withColumn("ordinal", F.replace("en", F.lit("1 "), F.lit("First ")))
+    return rows.select("o_orderkey", _form(12, *map(_text, forms)).alias("text"))
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey, text, abbrev, ch, v: relative references, and what was displayed before them; null for a quarter."""
+    forms = ["{v}절 말씀", "그 다음 절도 보시면", "앞 절", "다음 장", "{c}장으로 넘어가서", "같은 장 뒷부분 {v}절", "다시 {v}절로", "{v}절기와 {c}장짜리 편지", "{ko} {c}장 {v}절", "and verse {v}", "the following verse", "back to verse {w}"]
+    there = lambda x: F.when(F.col("o_orderkey") % 4 != 0, F.col(x))
+    rows = _orders(spark, sf_dir).select("o_orderkey", _form(12, *map(_text, forms)).alias("text"), there("abbrev").alias("abbrev"), there("c").cast("int").alias("ch"), there("v").cast("int").alias("v"))
+    return rows
 
 
 def said(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,10 +126,10 @@ def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, text, length of documents as files, some under names that are refused or exempt."""
+    """path, text, length of documents as files, some under names that are refused or exempt; one without text can't be read."""
     d = F.col("doc_id")
     path = F.when(d % 7 == 0, F.concat(F.lit("data/sample/"), d)).when(d % 11 == 0, F.concat(F.lit("x/nkjv_"), d)).when(d % 13 == 0, F.concat(d, F.lit(".bak"))).otherwise(F.concat(F.lit("texts/"), d, F.lit(".txt")))
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = table(spark, sf_dir, "documents")
     return docs.select(path.alias("path"), "text", F.octet_length("text").cast("long").alias("length"))
 
 
@@ -130,3 +145,12 @@ def session_events(events: DataFrame) -> DataFrame:
     """Events as a session's: views and signups are mentions, clicks and purchases displays, errors clears."""
     kind = F.when(F.col("event_type") == "error", "clear").when(F.col("event_type").isin("click", "purchase"), "display").otherwise("mention")
     return events.select(F.col("user_id").alias("session"), "event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), (F.col("event_id") % 7).alias("ref"))
+
+
+def console_events(events: DataFrame) -> DataFrame:
+    """Events as a console's: views are interim mentions and signups final ones, clicks select, purchases display a reference or the next verse, errors clear."""
+    kinds = {"view": "mention", "signup": "mention", "click": "select", "purchase": "display_ref", "error": "clear"}
+    kind = F.coalesce(*[F.when(F.col("event_type") == e, k) for e, k in kinds.items()], F.lit("mention"))
+    kind = F.when((kind == "display_ref") & (F.col("event_id") % 2 == 0), "next").otherwise(kind)
+    ref = F.when(kind == "select", F.col("event_id") % 3 + 1).when(~kind.isin("clear", "next"), F.col("event_id") % 7)
+    return events.select(F.col("user_id").alias("session"), "event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), ref.alias("ref"), (F.col("event_type") == "signup").alias("final"))

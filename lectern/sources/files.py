@@ -7,6 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern import canon
+from lectern.operators import corpus
+
 # The lines around the books of a corpus script.
 HEAD, META, BOOKS, END = "window.BIBLE_DATA = {", '"meta":', '"books":[', "]};"
 RECORD = "a string, en string, ko string, c array<array<array<string>>>"
@@ -48,14 +51,14 @@ def read_any_script(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.inline(F.from_json(body, books).getField("books")))
 
 
-def read_combined(spark: SparkSession, path: str) -> DataFrame:
-    """Records (a, en, ko, c) of a combined JSON array."""
-    return spark.read.schema(RECORD).json(path, multiLine=True, mode="FAILFAST")
+def read_combined(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Records (a, en, ko, c) of a combined JSON array, or of one object a line, which can be read in parallel."""
+    return spark.read.schema(RECORD).json(path, multiLine=not lines, mode="FAILFAST")
 
 
-def read_source(spark: SparkSession, path: str) -> DataFrame:
-    """(abbrev, chapters) of a single-language JSON array."""
-    return spark.read.schema(SOURCE).json(path, multiLine=True, mode="FAILFAST")
+def read_source(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(abbrev, chapters) of a single-language JSON array, or of one object a line."""
+    return spark.read.schema(SOURCE).json(path, multiLine=not lines, mode="FAILFAST")
 
 
 def with_fallback(primary: DataFrame, sample: DataFrame) -> DataFrame:
@@ -74,22 +77,35 @@ def first_readable(spark: SparkSession, *paths: str) -> str:
     raise FileNotFoundError(", ".join(paths))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no, value of line sources: UTF-8 texts, or zip files of which the first member ending in _vpl.txt counts."""
+def read_lines(spark: SparkSession, path: str, member: str = "_vpl.txt") -> DataFrame:
+    """path, line_no, value of line sources: UTF-8 texts, or zip files of which the first member with that ending counts.
+
+    A mark at the start of a text is dropped. A zip file without such a member raises an error that names it. Lines are decoded
+    one after the other, so a task holds a file's bytes but no list of its lines.
+    """
 
     def lines(batches: Iterator) -> Iterator:
         import io
+        import itertools
         import zipfile
 
         import pandas as pd
 
+        def text_of(name: str, stored: bytes):
+            if not stored.startswith(b"PK"):
+                return io.BytesIO(stored)
+            archive = zipfile.ZipFile(io.BytesIO(stored))
+            fitting = [entry for entry in archive.infolist() if entry.filename.endswith(member)]
+            if not fitting:
+                raise ValueError(f"{name}: no member that ends in {member}")
+            return archive.open(fitting[0])
+
         for pdf in batches:
-            for name, data in zip(pdf["path"], pdf["content"]):
-                if data[:2] == b"PK":
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        data = z.read(next(n for n in z.namelist() if n.endswith("_vpl.txt")))
-                value = data.decode("utf-8-sig").splitlines()
-                yield pd.DataFrame({"path": name, "line_no": range(1, len(value) + 1), "value": value})
+            for name, stored in zip(pdf["path"], pdf["content"]):
+                with io.TextIOWrapper(text_of(name, stored), encoding="utf-8-sig") as text:
+                    numbered = enumerate((part for line in text for part in line.splitlines()), 1)
+                    while some := list(itertools.islice(numbered, 10_000)):
+                        yield pd.DataFrame({"path": name, "line_no": [n for n, _ in some], "value": [v for _, v in some]})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "path string, line_no int, value string")
 
@@ -97,3 +113,40 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """path, text, length of files to scan; the content is read only if text is used."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("text"), "length")
+
+
+# The names that a two-sided corpus has unless others are given.
+NAMES = {"ko": "개역한글", "en": "NKJV"}
+CASE = "input string, lang string, context string, expected string"
+LATENCY = "session long, hop string, ms double"
+
+
+def build(spark: SparkSession, combined: str | None = None, ko: str | None = None, en: str | None = None, ko_name: str = NAMES["ko"], en_name: str = NAMES["en"], lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records, meta) of a corpus from one combined JSON file, which goes first, or from a file for each side; raises ValueError if neither is given.
+
+    records: ord, a, en, ko, c; those of a combined file outside the canon come last. lines: files of one object a line. meta always names both languages.
+    """
+    if combined:
+        known = canon.books(spark).select(F.col("abbrev").alias("a"), "ord")
+        records = read_combined(spark, combined, lines).join(F.broadcast(known), "a", "left").select(F.coalesce("ord", F.lit(len(canon.BOOKS) + 1)).alias("ord"), "a", "en", "ko", "c")
+    elif ko and en:
+        last = lambda path: corpus.last_wins(read_source(spark, path, lines).withColumn("__at", F.monotonically_increasing_id()), "abbrev", "__at").drop("__at")
+        records = corpus.merged(last(ko), last(en))
+    else:
+        raise ValueError("give a combined file, or one for each side")
+    meta = spark.createDataFrame([(f"{ko_name} + {en_name}", ["ko", "en"], {"ko": ko_name, "en": en_name})], "title string, langs array<string>, names map<string,string>")
+    return records, meta
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Parser cases (CASE), one JSON object a line; a malformed line raises."""
+    return spark.read.schema(CASE).json(path, mode="FAILFAST")
+
+
+def write_latency(rows: DataFrame, path: str) -> None:
+    """Latency lines (LATENCY), one JSON object a hop."""
+    rows.select("session", "hop", "ms").write.mode("append").json(path)
+
+
+def read_latency(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LATENCY).json(path, mode="FAILFAST")

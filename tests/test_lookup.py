@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from lectern import canon
 from lectern.functions import numerals
 from lectern.functions.text import cleaned, escaped
-from lectern.operators import corpus, detect, ingest, lookup, scan, sessions
+from lectern.operators import corpus, detect, ingest, lookup, metrics, phrases, resolver, scan, sessions
 from lectern.sources import files
+from lectern.streaming import session
 
 
 def cases():
@@ -92,7 +93,9 @@ def test_scanner(spark):
     found = sorted(tuple(r) for r in scan.violations(texts, signatures).collect())
     want = [("a.txt", "signature", "sig one"), ("a.txt", "signature", "sig two"), ("b.txt", "size", "1048577"), ("data/sample/a.txt", "signature", "sig one"), ("notes.bak", "name", ""), ("u", "size", "unreadable"), ("x/nkjv_a.txt", "name", "")]
     assert found == want
-    assert sorted(map(tuple, scan.by_signature(texts, signatures, at_once=1).collect())) == sorted(map(tuple, scan.by_signature(texts, signatures).collect()))
+    texts = spark.createDataFrame([("1", "xthe big  house.y"), ("2", "the big house"), ("3", "a big  house"), ("4", None), ("5", "one")], "path string, text string")
+    signatures = spark.createDataFrame([("the big  house.",), ("big house",), ("one",), ("",), (None,)], "signature string")
+    assert sorted((r[0], r[2]) for r in scan.by_signature(texts, signatures).collect()) == [("1", "the big  house."), ("2", "big house"), ("5", "one")]
 
 
 def test_text_functions(spark):
@@ -115,6 +118,102 @@ def test_spoken_forms(spark):
     assert got == {i: r[1:] for i, r in enumerate(rows) if r[1]}
 
 
+SPEECH = [
+    # text, the references in it as (book, chapter, verse, end)
+    ("요한복음 3장 16절", ["jo 3 16"]), ("요한복음 삼 장 십육 절", ["jo 3 16"]), ("시편 백십구 편 백오 절", ["ps 119 105"]), ("요한복음3장16절", ["jo 3 16"]), ("요한복음 3:16", ["jo 3 16"]),
+    ("시편 23편", ["ps 23"]), ("시편 23편 1절", ["ps 23 1"]), ("로마서 8장", ["rm 8"]), ("요한복음 3장 16절부터 18절까지", ["jo 3 16 18"]), ("요한복음 3장 16절에서 18절", ["jo 3 16 18"]),
+    ("요한복음 3장 16~18절", ["jo 3 16 18"]), ("요한복음 3장 16 내지 18절", ["jo 3 16 18"]), ("요한복음 3장 1절과 3절", ["jo 3 1", "jo 3 3"]), ("요한복음 3장 16, 17절", ["jo 3 16", "jo 3 17"]),
+    ("고린도전서 13장", ["1co 13"]), ("고린도 전서 13장", ["1co 13"]), ("요한일서 1장", ["1jo 1"]), ("요한 1서 1장 9절", ["1jo 1 9"]), ("요한 일서 1:9", ["1jo 1 9"]), ("요한복음을 3장", ["jo 3"]), ("로마서에서 8장에", ["rm 8"]),
+    ("요한이 말했다", []), ("마가가 말했다", []), ("누가 왔습니까", []), ("3장짜리 편지", []), ("2절기", []), ("했어요 3", []),
+    ("John 3:16", ["jo 3 16"]), ("John 3 16", ["jo 3 16"]), ("John three sixteen", ["jo 3 16"]), ("John chapter three verse sixteen", ["jo 3 16"]), ("Psalm one hundred nineteen verse one hundred five", ["ps 119 105"]),
+    ("the twenty third Psalm", ["ps 23"]), ("the third chapter of John", ["jo 3"]), ("First Corinthians 13", ["1co 13"]), ("1 Corinthians 13", ["1co 13"]), ("First John 1 9", ["1jo 1 9"]), ("John 1 9", ["jo 1 9"]),
+    ("John 3 verses 16 through 18", ["jo 3 16 18"]), ("John 3, 16 to 18", ["jo 3 16 18"]), ("John said", []), ("Mark wrote", []), ("Acts 2:38 and Acts 2:38", ["act 2 38", "act 2 38"]),
+]
+
+
+def test_every_spoken_form(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SPEECH)], "k int, text string").select("k", detect.heard(F.col("text")).alias("text"))
+    got = {i: [] for i in range(len(SPEECH))}
+    for r in detect.detected(df, "k").orderBy("k", "start", "item").collect():
+        got[r["k"]].append(" ".join(str(x) for x in (r["abbrev"], r["ch"], r["v1"], r["v2"]) if x is not None))
+    assert [got[i] for i in range(len(SPEECH))] == [want for _, want in SPEECH]
+    both = spark.createDataFrame([(0, "xActs 2:38, Acts 2:38; Acts 2:38")], "k int, text string")
+    assert [r["start"] for r in detect.detected(both, "k").orderBy("start").collect()] == [13, 24]
+
+
+def test_relative_phrases(spark):
+    said = ["17절", "17절 말씀", "다음 절", "그 다음 절", "이어서", "앞 절", "다음 장", "4장으로 넘어가서", "같은 장 20절", "같은 장 뒷부분 20절", "다시 16절로", "verse 17", "next verse", "the following verse", "previous verse", "back to verse 5", "2절기", "3장짜리 편지", "요한복음 3장 16절"]
+    want = [("verse", 17), ("verse", 17), ("next", None), ("next", None), ("next", None), ("previous", None), ("next_chapter", None), ("chapter", 4), ("same_chapter", 20), ("same_chapter", 20), ("return", 16), ("verse", 17), ("next", None), ("next", None), ("previous", None), ("return", 5), None, None, None]
+    texts = spark.createDataFrame(list(enumerate(said)), "k int, text string")
+    got = {r["k"]: (r["kind"], r["n"]) for r in phrases.mentioned(texts, "k").collect()}
+    assert [got.get(i) for i in range(len(said))] == want
+    catalog = corpus.neighbours(spark.createDataFrame([("jo", 3, v) for v in range(15, 18)] + [("jo", 4, 1)], "abbrev string, ch int, v int"))
+    context = spark.createDataFrame([(i, "jo", 3, 17 if i == 2 else 16) for i in range(len(said)) if i != 3], "k int, abbrev string, ch int, v int")
+    hits, misses = phrases.resolved(texts, "k", context, catalog)
+    found = {r["k"]: (r["to_ch"], r["to_v"], r["rolled_over"], r["confidence"]) for r in hits.collect()}
+    assert found[0] == (3, 17, False, 0.6) and found[2] == (4, 1, True, 0.4) and found[5] == (3, 15, False, 0.6) and found[6] == found[7] == (4, 1, False, 0.6)
+    assert {r["k"]: r["reason"] for r in misses.collect()} == {3: "no_context", 8: "not_there", 9: "not_there", 15: "not_there"}
+
+
+def test_build_and_view(spark, tmp_path):
+    (tmp_path / "ko.json").write_text('[{"abbrev": "gn", "chapters": [["old"]]}, {"abbrev": "gn", "chapters": [["k"]]}]')
+    (tmp_path / "en.json").write_text('[{"abbrev": "gn", "chapters": [["a"], ["b"]]}]')
+    (tmp_path / "both.json").write_text('[{"a": "gn", "en": "Genesis", "ko": "K", "c": [[["x"], ["y"]]]}]')
+    records, meta = files.build(spark, ko=f"{tmp_path}/ko.json", en=f"{tmp_path}/en.json", en_name="E")
+    assert records.first()["c"] == [[["k"], ["a"]], [[], ["b"]]] and meta.first()["names"] == {"ko": files.NAMES["ko"], "en": "E"}
+    assert [r["a"] for r in files.build(spark, combined=f"{tmp_path}/both.json", ko="x", en="y")[0].collect()] == ["gn"]
+    with pytest.raises(ValueError, match="combined"):
+        files.build(spark, ko="only")
+    one = spark.createDataFrame([("t", ["en"], {"en": "E"}, True), ("u", ["ko"], {}, None)], files.META_SCHEMA.rsplit(",", 1)[0])
+    assert [tuple(r) for r in corpus.view(one).collect()] == [("t", True, "en", "", "E"), ("u", False, "ko", "", "")]
+    verses = spark.createDataFrame([("gn", 1, 1, "", "a<b")], "abbrev string, ch int, v int, ko string, en string")
+    assert corpus.rendered(verses, ["ko"]).columns == ["abbrev", "ch", "v", "ko_html", "ko_empty"]
+    assert lookup.with_status(spark.createDataFrame([(1, "gen 1")], "k int, raw string"), verses, "k", loaded=False).first()["status"] == "loading"
+    (tmp_path / "cases.jsonl").write_text('{"input": "요 3:16", "lang": "ko", "expected": "jo 3 16"}\n')
+    assert files.read_cases(spark, f"{tmp_path}/cases.jsonl").first()["expected"] == "jo 3 16"
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "none.zip", "w") as z:
+        z.writestr("a.txt", "x")
+    with pytest.raises(Exception, match="no member that ends in _vpl.txt"):
+        files.read_lines(spark, f"{tmp_path}/none.zip").collect()
+    (tmp_path / "plain.txt").write_bytes(b"\xef\xbb\xbfGEN 1:1 a\r\nGEN 1:2 b")
+    assert [tuple(r)[1:] for r in files.read_lines(spark, f"{tmp_path}/plain.txt").collect()] == [(1, "GEN 1:1 a"), (2, "GEN 1:2 b")]
+    assert files.read_files(spark, f"{tmp_path}/plain.txt").first()["length"] == 23
+
+
+def test_resolver_gate(spark):
+    texts = spark.createDataFrame([(1, "let's read John"), (2, "John 3:16 말씀"), (3, "turn to John 3:16 or Mark 1:1"), (4, "nothing")], "key long, text string")
+    rules = detect.detected(texts, "key").select("key", "abbrev", "ch", F.col("v1").alias("v"))
+    assert sorted(r["key"] for r in resolver.asked(texts, rules).collect()) == [1, 3]
+    catalog = spark.createDataFrame([("jo", 3, 16), ("mk", 1, 1)], "abbrev string, ch int, v int")
+
+    class Guess:
+        def resolve(self, segments, context, rule_candidates):
+            return segments.select("key", F.lit("jo").alias("abbrev"), F.lit(3).alias("ch"), F.explode(F.array(F.lit(16), F.lit(99))).alias("v"))
+
+    assert resolver.answered(resolver.NullResolver(), texts, rules, catalog).where("source = 'llm'").count() == 0
+    got = sorted((r["key"], r["v"], r["source"]) for r in resolver.answered(Guess(), texts, rules, catalog).where("abbrev = 'jo'").collect())
+    assert got == [(1, 16, "llm"), (2, 16, "rule"), (3, 16, "rule")]
+
+
+def test_percentiles_are_exact(spark):
+    import random
+    import statistics
+
+    rng, rows = random.Random(1), []
+    for k in range(4):
+        rows += [(k, rng.choice([rng.random(), 0.5, 7.0])) for _ in range((1, 2, 301, 1000)[k])]
+    df = spark.createDataFrame([*rows, (9, None)], "k int, x double")
+    got = {r["k"]: r for r in metrics.percentiles(df, "k", "x", [0.5, 0.95, 1.0], steps=8).collect()}
+    for k in range(4):
+        own = sorted(x for i, x in rows if i == k)
+        at = 0.95 * (len(own) - 1)
+        assert got[k]["n"] == len(own) and got[k]["p0"] == pytest.approx(statistics.median(own)) and got[k]["p2"] == own[-1]
+        assert got[k]["p1"] == pytest.approx(own[int(at)] + (at - int(at)) * (own[min(len(own) - 1, int(at) + 1)] - own[int(at)]))
+    assert set(got) == set(range(4)) and "| n |" in metrics.report({"Counts": df.agg(F.count("*").alias("n"))})
+
+
 def test_throttle_counts_from_the_last_emission(spark):
     rows = [(1, "r", i, t) for i, t in enumerate((0, 20, 40, 55, 75, 1000))]
     df = spark.createDataFrame(rows, "s int, ref string, id int, t long").withColumn("ts", F.timestamp_seconds("t"))
@@ -129,3 +228,52 @@ def test_verse_after_the_last_is_the_next_chapters_first(spark):
     catalog = corpus.neighbours(verses)
     asked = spark.createDataFrame([("gn", 1, 2, "next", None), ("gn", 1, 1, "previous", None), ("gn", 2, 1, "next", None), (None, None, None, "next", None), ("gn", 2, 1, "previous", None)], "abbrev string, ch int, v int, kind string, n int")
     assert [tuple(r)[-3:] for r in sessions.relative(asked, catalog).collect()] == [(2, 1, True)]
+
+
+def plain_messages(rows, seconds):
+    """What a console and its displays are told of one session's events (event_id, micros, kind, ref, final)."""
+    out, shown, listed = [], None, []
+    for event_id, at, kind, ref, final in sorted(rows, key=lambda r: (r[1], r[0])):
+        if kind == "mention":
+            own = [c for c in listed if c[0] == ref and at - c[1] < seconds * 10**6]
+            if not own:
+                listed = [[ref, at, final, event_id]] + listed[:4]
+                out.append((event_id, "candidates", ref, event_id, final, 1))
+            elif final and not own[0][2]:
+                own[0][2] = True
+                out.append((event_id, "candidates", ref, own[0][3], True, listed.index(own[0]) + 1))
+        elif kind == "clear":
+            shown, listed = None, []
+            out.append((event_id, "clear", None, None, None, None))
+        else:
+            chosen = listed[ref - 1] if kind == "select" and ref <= len(listed) else None
+            if (kind == "select" and not chosen) or (kind == "next" and shown is None):
+                continue
+            shown = chosen[0] if chosen else shown + 1 if kind == "next" else ref
+            out += [(event_id, t, shown, chosen and chosen[3], chosen and chosen[2], None) for t in ("context", "show")]
+    return out
+
+
+@pytest.mark.parametrize("splits", [1, 3])
+def test_messages_are_those_of_a_plain_replay(spark, tmp_path, splits):
+    """Interim and final segments under one id, suppression, selection, next verse, clear; the same in one batch and over restarts."""
+    import hashlib
+    import random
+
+    rng, rows = random.Random(5), []
+    for i in range(600):
+        kind = rng.choice(["mention"] * 6 + ["select", "display_ref", "next", "clear"])
+        ref = None if kind in ("clear", "next") else rng.randrange(1, 5)
+        rows.append((rng.randrange(4), i, (i + 1) * 7 * 10**6, kind, ref, rng.random() < 0.5))
+    schema = "session long, event_id long, micros long, kind string, ref long, final boolean"
+    for k in range(splits):
+        part = rows[k * 600 // splits : (k + 1) * 600 // splits]
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_micros("micros")).drop("micros").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("session long, event_id long, kind string, ref long, final boolean, ts timestamp").parquet(f"{tmp_path}/in")
+        got = session.drained(spark, session.messages(stream, 30), f"{tmp_path}/out")
+    want = []
+    for s in range(4):
+        for event_id, kind, ref, first, final, place in plain_messages([r[1:] for r in rows if r[0] == s], 30):
+            name = None if first is None else next(hashlib.sha256(f"{s}|{c}|{first}".encode()).hexdigest() for c in [next(r[4] for r in rows if r[1] == first)])
+            want.append((s, event_id, kind, ref, name, None if first is None else "confirmed" if final else "tentative", place))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
