@@ -1,7 +1,8 @@
 """Connected components by alternating stars, in DataFrame operations only.
 
-Every round is two joins of the edge list with one row per node, in which a hub's edges are dealt over several tasks; the edge list is cut to the shared
-checkpoint folder after each, so that neither plan nor lineage grows. The number of rounds grows with
+Every round is two joins of the edge list with one row per node, taken before the shuffle for each task; the edge list is cut to the shared
+checkpoint folder after each, so that neither plan nor lineage grows. A hub's edges meet one row, so adaptive execution may split them over
+tasks (a list of hubs of our own in each round took the driver's memory in many rounds). The number of rounds grows with
 the logarithm of the longest chain, not with its length.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, joined
+from lectern.llm.common import cut
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -32,11 +33,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             .groupBy("at")
             .agg(F.min("to").alias("least"))
         )
-        large = joined(now.withColumnRenamed("lo", "at"), least, "at", "inner").select("hi", F.col("least").alias("lo")).distinct()
+        large = now.withColumnRenamed("lo", "at").join(least, "at").select("hi", F.col("least").alias("lo")).distinct()
         # Small star: a node and what lies below it go to the least node below it.
         low = large.groupBy(F.col("hi").alias("at")).agg(F.min("lo").alias("least"))
         star = (
-            joined(large.withColumnRenamed("hi", "at"), low, "at", "inner")
+            large.withColumnRenamed("hi", "at")
+            .join(low, "at")
             .select(F.explode(F.array("lo", "at")).alias("hi"), F.col("least").alias("lo"))
             .where("hi <> lo")
             .distinct()

@@ -225,7 +225,10 @@ def learned(docs: DataFrame, model_file: str, sample: int = SAMPLE_DOCS):
     counted = each.groupBy("word").agg(*[F.count_if(F.col("lang") == l).cast("double").alias(f"n{i}") for i, l in enumerate(languages)])
     # A task sees its words in one order in every run, so that sums are the same.
     counted = cut(counted.repartition(parts(docs), "word").sortWithinPartitions("word"))
-    return languages, fitted(_pieces(model_file).size, model_file, counted, len(languages))
+    import sentencepiece
+
+    size = sentencepiece.SentencePieceProcessor(model_file=model_file).get_piece_size()
+    return languages, fitted(size, model_file, counted, len(languages))
 
 
 _known_pieces: dict[str, Pieces] = {}
