@@ -39,6 +39,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Texts that a task gives to its Python worker at once, at most.
+BATCH = 2_500
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs, whose session from now on gives Python workers batches of BATCH rows at most, as buffers of whole texts grow with the rows.
+
+    A smaller number that the user has set stays. The numbers of rows and batches change no result.
+    """
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", docs.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH:
+        conf.set(name, str(BATCH))
+    return docs
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(column), F.lit(""))

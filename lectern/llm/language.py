@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from lectern.llm.common import cut, parts, unused
+from lectern.llm.common import cut, parts, small_batches, unused
 from lectern.llm.tokens import in_chunks
 
 #: Documents of each language that the models are fitted on, about; rounds of fitting; what each piece has in advance.
@@ -299,13 +299,13 @@ def predicted(docs: DataFrame, model_file: str, learn_from: DataFrame | None = N
     doc_id are predicted each for itself; a row without one is not held out, and not learned from. An empty table
     gives no rows.
     """
-    identify = identify_udf(*learned(learn_from or docs, model_file), model_file)
+    identify = identify_udf(*learned(small_batches(learn_from or docs), model_file), model_file)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), identify(docs["text"]).alias("said"))
     return rows.select("doc_id", "held_out", "said.lang_pred", "said.score")
 
 
 def accepted(docs: DataFrame, model_file: str, learn_from: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """docs (all columns) whose language is known with at least the given probability; und goes."""
-    identify = identify_udf(*learned(learn_from or docs, model_file), model_file)
+    identify = identify_udf(*learned(small_batches(learn_from or docs), model_file), model_file)
     said = unused(docs, "__said")
     return docs.withColumn(said, identify(docs["text"])).where((F.col(said)["lang_pred"] != UNKNOWN) & (F.col(said)["score"] >= least)).drop(said)

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, text_of
+from lectern.llm.common import cut, small_batches, text_of
 from lectern.llm.tokens import encoder, in_chunks
 
 #: Pieces that one task packs, about, and those of a window, which are placed longest first.
@@ -80,7 +80,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFr
             yield pd.DataFrame(columns | {"doc_id": pd.array(columns["doc_id"], "Int64")})
 
     # doc_id goes as text: beside a null, a large whole number would lose digits on its way.
-    texts = docs.select(docs["doc_id"].cast("long").cast("string").alias("doc_id"), text_of().alias("text"))
+    texts = small_batches(docs).select(docs["doc_id"].cast("long").cast("string").alias("doc_id"), text_of().alias("text"))
     return texts.mapInPandas(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

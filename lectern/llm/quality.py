@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from lectern.llm.common import sampled, unused
+from lectern.llm.common import sampled, small_batches, unused
 
 #: Rated documents that the model is fitted on, about, and its hashed features.
 SAMPLE_DOCS, SPACE = 8192, 1 << 18
@@ -115,7 +115,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Or
 
         return pd.Series([features(t or "").astype("int32") for t in texts])
 
-    texts = docs.select(docs["doc_id"].cast("long").alias("__doc"), docs["text"].alias("__text"))
+    texts = small_batches(docs).select(docs["doc_id"].cast("long").alias("__doc"), docs["text"].alias("__text"))
     got = texts.join(F.broadcast(few), F.col("__doc") == F.col("__rated")).select("__rated", "__grade", hashed("__text").alias("features"))
     got = got.orderBy(F.xxhash64("__rated"), "__rated", "__grade", "features").limit(4 * sample).toPandas()  # more only if ids repeat
     got = got.sort_values(["__rated", "__grade"], kind="stable")
