@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, fingerprints, idfiles, language, mixing, oracle, packing, quality, simhash, url_filters, warc
+from lectern.llm import ann, fingerprints, idfiles, language, mixing, oracle, packing, quality, resampling, sharding, simhash, url_filters, vectorcodes, warc
 from lectern.llm.common import table
 
 #: The rules of op1.
@@ -67,9 +67,25 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.sharded(table(spark, sf_dir, "documents"))
+    text_crc32 = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return found.select("doc_id", "size", text_crc32.alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vectorcodes.compressed(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(vectorcodes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _ALL = (
     op1_url_filters, op2_best_fit_packing, op3_simhash_near_dedup, op4_mixing_sources, op5_document_fingerprints,
     op6_quality_classifier, op7_language_id, op8_token_id_output, op9_warc, op10_nearest_neighbours,
+    op11_sharding, op12_vector_codes, op13_importance_resampling,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {"op1_url_filters": oracle.url_filters(RULES), "op9_warc": oracle.WARC}
+SQL: dict[str, str] = {"op1_url_filters": oracle.url_filters(RULES), "op9_warc": oracle.WARC, "op12_vector_codes": oracle.vector_codes(), "op13_importance_resampling": oracle.RESAMPLING}
