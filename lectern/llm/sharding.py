@@ -194,23 +194,26 @@ def assigned(docs: DataFrame, shards: int | None = None, capacity: int | None =
     groups = cut(rows.groupBy(F.col(key).alias("text")).agg(F.first("size").alias("size"), F.count("*").alias("n")))
     total, widest = groups.agg(F.sum(F.col("size") * F.col("n")), F.max("size")).first()
     share = capacity or max(-(-(total or 0) // shards), widest or 1)
-    pieces = F.when((F.col("n") > 1) & (F.col("n") * F.col("size") > share), F.ceil(F.col("n") / F.greatest(F.lit(1), F.floor(F.lit(share) / F.col("size"))))).otherwise(1)
-    groups = groups.withColumn("pieces", pieces.cast("int"))
+    # Each part of a group's rows is dealt to the pieces alone, so that a piece may get a row a part more than its even share.
+    parts = F.ceil(F.col("n") / HOT).cast("int")
+    copies = F.greatest(F.lit(1), F.floor(F.lit(share) / F.col("size")) - F.col("parts") + 1)
+    pieces = F.when((F.col("n") > 1) & (F.col("n") * F.col("size") > share), F.ceil(F.col("n") / copies)).otherwise(1)
+    groups = groups.withColumn("parts", parts).withColumn("pieces", pieces.cast("int"))
     each = groups.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     item = F.concat("text", F.encode(F.format_string("%010d", "piece"), "utf-8")).alias("item")
-    own = F.ceil((F.col("n") - F.col("piece")) / F.col("pieces")) * F.col("size")
+    own = F.when(F.col("pieces") == 1, F.col("n")).otherwise(F.ceil((F.col("n") - F.col("piece")) / F.col("pieces")) + F.col("parts") - 1) * F.col("size")
     found = packed(each.select(item, own.cast("long").alias("bytes")), total or 0, share, shards)
     at = cut(found.select(F.substring("item", 1, 32).alias(key), F.decode(F.expr("substring(item, 33)"), "utf-8").cast("int").alias(piece), "shard"))
 
     # Of groups of many rows there are few: each has more than HOT rows or more bytes than a shard's share.
-    hot = F.broadcast(groups.where((F.col("pieces") > 1) | (F.col("n") > HOT)).select(F.col("text").alias(key), "pieces", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
+    hot = F.broadcast(groups.where((F.col("pieces") > 1) | (F.col("n") > HOT)).select(F.col("text").alias(key), "pieces", "parts"))
     part, pieces_, parts_ = unused(docs, "__part"), unused(docs, "__pieces"), unused(docs, "__parts")
     hot = hot.withColumnsRenamed({"pieces": pieces_, "parts": parts_})
     rows = rows.join(hot, key, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col(parts_)).cast("int"), F.lit(0)))
     whole = rows.where(F.coalesce(F.col(pieces_), F.lit(1)) == 1).withColumn(piece, F.lit(0))
     if groups.where("pieces > 1").limit(1).count():
         dealt = rows.where(F.col(pieces_) > 1)
-        number = F.row_number().over(Window.partitionBy(key, part).orderBy(F.lit(0))) + F.col(part)
+        number = F.row_number().over(Window.partitionBy(key, part).orderBy(F.lit(0))) - 1 + F.col(part)
         whole = whole.unionByName(dealt.withColumn(piece, F.pmod(number, F.col(pieces_)).cast("int")))
     each = at.join(hot.select(key, parts_), key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts_), F.lit(1)) - 1))).drop(parts_)
     return whole.drop(pieces_, parts_).join(each, [key, piece, part]).drop(key, piece, part)
