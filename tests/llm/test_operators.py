@@ -216,9 +216,9 @@ def test_simhash_groups_are_those_of_brute_force(spark):
     assert sorted(((r["doc_id"], r["fp"] % 2**64, r["component_id"]) for r in got), key=str) == want
 
 
-@pytest.mark.parametrize("posting", [2, 64])
-def test_near_copies(spark, docs, monkeypatch, posting):
-    monkeypatch.setattr(similar, "POSTING", posting)
+@pytest.mark.parametrize("fan", [2, 4096])
+def test_near_copies(spark, docs, monkeypatch, fan):
+    monkeypatch.setattr(similar, "FAN", fan)
     kept = similar.deduplicated(docs)
     ids = [r["doc_id"] for r in kept.collect()]
     assert kept.columns == docs.columns
@@ -251,10 +251,10 @@ def test_lone_pairs_meet_at_any_number_of_documents(spark):
     assert (1 - 0.8**similar.ROWS) ** similar.bands_of(0.8) <= similar.MISSED
 
 
-@pytest.mark.parametrize("posting, block", [(2, 3), (2, 512), (64, 512)])
-def test_near_copies_are_those_of_brute_force(spark, monkeypatch, posting, block):
+@pytest.mark.parametrize("fan, block", [(2, 3), (4096, 512)])
+def test_near_copies_are_those_of_brute_force(spark, monkeypatch, fan, block):
     """Chains of likeness around 0.8 off the least node: rows near a posting's head still join those that only they are like, and nothing below 0.8 is joined."""
-    monkeypatch.setattr(similar, "POSTING", posting)
+    monkeypatch.setattr(similar, "FAN", fan)
     monkeypatch.setattr(similar, "BLOCK", block)
     rng, texts = random.Random(7), []
     for family in range(6):
@@ -276,6 +276,24 @@ def test_near_copies_are_those_of_brute_force(spark, monkeypatch, posting, block
     assert [of[i] for i in range(len(texts))] == least and len(set(least)) > 6
 
 
+def test_many_near_copies_and_a_stranger(spark, monkeypatch):
+    """A posting of 20,000 near copies of one text is not paired with itself: only the stranger meets it, and stays."""
+    base = [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join(base[:-1] + [f"end{i}"])) for i in range(20_000)] + [(20_000, " ".join(base[:30] + [f"s{i}" for i in range(10)]))]
+    assert likeness_of(rows[0][1], rows[1][1]) >= 0.8 > likeness_of(rows[0][1], rows[-1][1]) > 0.5
+    seen, across = [], similar._across
+
+    def watched(mixed, sets, likeness):
+        seen.append((mixed.where("other").count(), mixed.count()))
+        return across(mixed, sets, likeness)
+
+    monkeypatch.setattr(similar, "_across", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert Counter(r["component_id"] for r in similar.grouped(docs).collect()) == {0: 20_000, 20_000: 1}
+    bands = similar.bands_of(similar.LIKENESS)
+    assert 0 < seen[0][0] <= bands and seen[0][1] <= bands * 20_001
+
+
 def test_documents_below_the_likeness_stay(spark):
     """Fingerprints of 256 bits took about three fifths of the pairs at 0.70 for alike."""
     rows = []
