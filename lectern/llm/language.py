@@ -29,6 +29,8 @@ REMEMBERED = 400_000
 #: Runs of what may be letters; numbers such as fractions and Roman numerals are among them and are taken out afterwards.
 ALNUM = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+#: The logarithm of the odds for its letters alone beyond which a text is in no learned language; a few letters don't decide.
+DOUBT = 10.0
 
 
 class Pieces:
@@ -203,7 +205,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learned(docs: DataFrame, model_file: str, sample: int = SAMPLE_DOCS):
-    """(languages, probabilities) from text and lang of the documents that aren't held out.
+    """(languages, probabilities, background) from text and lang of the documents that aren't held out.
 
     About sample documents of each language are taken, by a hash of doc_id, their words counted and the models fitted by Spark;
     only the pieces' expected counts come to the driver.
@@ -212,7 +214,7 @@ def learned(docs: DataFrame, model_file: str, sample: int = SAMPLE_DOCS):
     there = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages, steps = sorted(there), 1 << 20
     if not languages:
-        return [], None
+        return [], None, {}
     keep = F.coalesce(*[F.when(F.col("lang") == l, F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < int(steps * min(1.0, sample / n)) + 1) for l, n in there.items()])
 
     @pandas_udf("array<string>")
@@ -228,7 +230,21 @@ def learned(docs: DataFrame, model_file: str, sample: int = SAMPLE_DOCS):
     import sentencepiece
 
     size = sentencepiece.SentencePieceProcessor(model_file=model_file).get_piece_size()
-    return languages, fitted(size, model_file, counted, len(languages))
+    return languages, fitted(size, model_file, counted, len(languages)), background(counted, len(languages))
+
+
+def background(counted: DataFrame, languages: int) -> dict[str, float]:
+    """Logarithms of the letters' shares in all learning words (word, n0, n1, ...); a word's end counts as one.
+
+    A letter that isn't among them ('') counts as an average one, so that a text in other letters is in no learned language.
+    """
+    import math
+
+    n = sum((F.col(f"n{i}") for i in range(languages)), F.lit(0.0))
+    each = counted.select(F.explode(F.split(F.concat(F.lit(" "), "word"), "")).alias("letter"), n.alias("n")).where("letter <> ''")
+    held = {r["letter"]: r["n"] for r in each.groupBy("letter").agg(F.sum("n").alias("n")).collect()}
+    total = sum(held.values())
+    return {c: math.log(n / total) for c, n in held.items()} | {"": -math.log(max(1, len(held)))}
 
 
 _known_pieces: dict[str, Pieces] = {}
@@ -244,12 +260,16 @@ def _pieces(model_file: str) -> Pieces:
 _memory: dict = {}
 
 
-def identify_udf(languages: list[str], probabilities, model_file: str):
-    """lang_pred and score of a text. null or without letters: und, 0. Ties go to the first language."""
+def identify_udf(languages: list[str], probabilities, letters: dict[str, float], model_file: str):
+    """lang_pred, score and own of a text. null or without letters: und, 0, false. Ties go to the first language.
+
+    own: whether the language explains the text as well as its letters alone do, by their shares in all learning words, or worse by DOUBT at
+    most. Texts in no learned language fall apart into pieces that are rare there, which makes them less likely than that.
+    """
     spark_like = (languages, probabilities)
     key = hash((tuple(languages), None if probabilities is None else probabilities.tobytes()))
 
-    @pandas_udf("struct<lang_pred string, score double>")
+    @pandas_udf("struct<lang_pred string, score double, own boolean>")
     def identify(texts):
         import numpy as np
         import pandas as pd
@@ -257,9 +277,10 @@ def identify_udf(languages: list[str], probabilities, model_file: str):
         names, probs = spark_like
         if key not in _memory:
             _memory.clear()
-            _memory[key] = (_pieces(model_file) if names else None, {}, np.zeros((1024, max(1, len(names)))))
+            _memory[key] = (_pieces(model_file) if names else None, {}, np.zeros((1024, 1 + max(1, len(names)))))
         pieces, known, table = _memory[key]
-        out: list[tuple[str, float]] = []
+        out: list[tuple[str, float, bool]] = []
+        letter, rare, end = letters.get, letters.get(""), letters.get(" ", letters.get(""))
         gc.disable()  # many small objects and no cycles: the collector would only cost
         try:
             whole = [t or "" for t in texts] if names else [""] * len(texts)
@@ -275,19 +296,21 @@ def identify_udf(languages: list[str], probabilities, model_file: str):
                     begin = len(known)
                     while begin + len(part) > len(table):
                         table = np.concatenate([table, np.zeros_like(table)])
-                    table[begin : begin + len(part)] = scores
+                    table[begin : begin + len(part), :-1] = scores
+                    table[begin : begin + len(part), -1] = [end + sum([letter(c, rare) for c in w]) for w in missing[i : i + 20_000]]
                     known.update(zip(missing[i : i + 20_000], range(begin, begin + len(part))))
                     _memory[key] = (pieces, known, table)
                 for found in cut:
                     if not found:
-                        out.append((UNKNOWN, 0.0))
+                        out.append((UNKNOWN, 0.0, False))
                         continue
-                    total = table[np.fromiter(map(known.__getitem__, found), np.int64, len(found))].sum(axis=0)
+                    *total, alone = table[np.fromiter(map(known.__getitem__, found), np.int64, len(found))].sum(axis=0)
+                    total = np.array(total)
                     odds = np.exp(total - total.max())
-                    out.append((names[int(total.argmax())], float(odds.max() / odds.sum())))
+                    out.append((names[int(total.argmax())], float(odds.max() / odds.sum()), bool(total.max() >= alone - DOUBT)))
         finally:
             gc.enable()
-        return pd.DataFrame(out, columns=["lang_pred", "score"])
+        return pd.DataFrame(out, columns=["lang_pred", "score", "own"])
 
     return identify
 
@@ -305,7 +328,7 @@ def predicted(docs: DataFrame, model_file: str, learn_from: DataFrame | None = N
 
 
 def accepted(docs: DataFrame, model_file: str, learn_from: DataFrame | None = None, least: float = 0.5) -> DataFrame:
-    """docs (all columns) whose language is known with at least the given probability; und goes."""
+    """docs (all columns) in a learned language, known with at least the given probability; und goes, and so does what is in none of them."""
     identify = identify_udf(*learned(small_batches(learn_from or docs), model_file), model_file)
     said = unused(docs, "__said")
-    return docs.withColumn(said, identify(docs["text"])).where((F.col(said)["lang_pred"] != UNKNOWN) & (F.col(said)["score"] >= least)).drop(said)
+    return docs.withColumn(said, identify(docs["text"])).where((F.col(said)["lang_pred"] != UNKNOWN) & (F.col(said)["score"] >= least) & F.col(said)["own"]).drop(said)

@@ -458,6 +458,15 @@ def test_language(spark, docs):
     assert language.predicted(empty(docs), piece).count() == 0 and language.accepted(docs, piece).columns == docs.columns
 
 
+def test_what_is_in_no_learned_language_goes(spark):
+    piece = vocabulary("piece_bpe_32k.model")
+    say = {"en": "the house is near the old river and they were walking", "de": "das Haus steht nicht weit vom alten Fluß und sie gingen"}
+    learn = spark.createDataFrame([(i, " ".join(random.Random(i).sample(say[lang].split(), 8)), lang) for i in range(400) for lang in [("en", "de")[i % 2]]], "doc_id long, text string, lang string")
+    texts = ["zxq wvkj qqpl brrtz kkw xxv zzq wqx vvk jjx qzz", "Ang mga bata ay naglalaro sa labas ng bahay habang umuulan", "漢字仮名交じり文を書くことができる", "they were near the river", "sie gingen nicht weit", "a", None, "12"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in language.accepted(docs, piece, learn).collect()} - {5} == {3, 4}
+
+
 def test_letters_and_runs_without_spaces(spark):
     """Numbers that aren't digits are no letters; runs of any length are summed whole, many at a time or one by one."""
     piece = vocabulary("piece_bpe_32k.model")
@@ -484,7 +493,7 @@ def test_language_scores_are_those_of_brute_force(spark):
     piece = vocabulary("piece_bpe_32k.model")
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("sea cat", "en"), ("der See", "de"), ("a cat sat", "en"), ("das Haus", "de")] * 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    languages, p = language.learned(docs, piece)
+    languages, p, _ = language.learned(docs, piece)
     pieces = language.Pieces(piece)
 
     def ways(word, k):
