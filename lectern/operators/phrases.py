@@ -22,7 +22,7 @@ def mentioned(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     chapter said, or null. A number of something else, as in 2절기, is none.
     """
     rest = F.col(text)
-    for pattern, _, _ in FORMS:
+    for pattern, _ in FORMS:
         rest = F.regexp_replace(rest, pattern, " ")
     rows, every = texts.select(key, rest.alias("__rest")), None
     for lang, pattern in (("ko", KOREAN), ("en", ENGLISH)):

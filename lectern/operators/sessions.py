@@ -89,6 +89,12 @@ def latest(candidates: DataFrame, session: str, ts: str, order: str, k: int = 5)
     return candidates.withColumn("place", place).where(F.col("place") <= k)
 
 
+def ranked(candidates: DataFrame, segment: str) -> DataFrame:
+    """candidates with rank: their place by confidence among those of their segment, equal ones in the order in which they are said."""
+    order = Window.partitionBy(segment).orderBy(F.desc("confidence"), "start", "item")
+    return candidates.withColumn("rank", F.row_number().over(order))
+
+
 def united(rules: DataFrame, context: DataFrame, others: DataFrame, catalog: DataFrame, keys: list[str]) -> DataFrame:
     """All candidates that the catalog has (abbrev, ch, v), one for each keys and reference; rules go before context before others."""
     every = rules.withColumn("rank", F.lit(0)).unionByName(context.withColumn("rank", F.lit(1))).unionByName(others.withColumn("rank", F.lit(2)))

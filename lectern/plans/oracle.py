@@ -5,9 +5,8 @@ from __future__ import annotations
 from lectern import canon
 from lectern.functions.numerals import EN_TENS, EN_UNITS, KO_DIGITS
 from lectern.functions.references import SPACE
-from lectern.operators.detect import FORMS, ORDINALS, PIECES, SPOKEN, TRIGGERS, _alternatives
-from lectern.operators import phrases
 from lectern.operators.scan import FORBIDDEN
+from lectern.plans import speech
 from lectern.plans.stand_ins import OVERSIZE, REPEAT_SECONDS
 
 
@@ -87,38 +86,6 @@ NAMES_FOUND = f"SELECT path, 'name' AS kind, '' AS detail FROM files WHERE {NAME
 SIGNATURES_FOUND = "SELECT path, 'signature' AS kind, s.text AS detail FROM {} f JOIN (SELECT DISTINCT text FROM benchmark WHERE text <> '') s ON contains(f.text, s.text)"
 SIZES_FOUND = "SELECT path, 'size' AS kind, coalesce(CAST(length AS VARCHAR), 'unreadable') AS detail FROM {} WHERE (length IS NULL OR length > " + str(OVERSIZE) + ") AND NOT starts_with(path, 'data/sample/')"
 REPORT = f"{FILES}, rest AS (SELECT * FROM files WHERE NOT {NAMED}), report AS ({NAMES_FOUND} UNION ALL {SIGNATURES_FOUND.format('rest')} UNION ALL {SIZES_FOUND.format('rest')})"
-_VARIANT, _ORDINAL = "replace(ko, '일서', ' 1서')", "replace(en, '1 ', 'First ')"
-SPOKEN_TEXTS = f"""{ORDERS}, spoken AS (SELECT o_orderkey, {_forms(
-    12, "'오늘 ' || ko || ' ' || c || ' 장 ' || v || ' 절 말씀입니다'", "ko || ' ' || c || '장 ' || v || '절부터 ' || w || '절까지 읽겠습니다'", "ko || c || ':' || v || ' 보시면'",
-    "'그리고 ' || ko || ' ' || c || '장에 있습니다'", "'let''s read ' || en || ' ' || c || ':' || v", "'see ' || en || ' chapter ' || c || ' verse ' || v || ' today'",
-    "'in ' || en || ' ' || c || ' verses ' || v || ' to ' || w", "'we say nothing of it, ' || c || '장짜리 편지'",
-    "ko || ' ' || c || '장 ' || v || '절과 ' || w || '절, 그리고 ' || ko || ' ' || c || '장 ' || v || '절과 ' || w || '절'",
-    "'the ' || c || 'th chapter of ' || en || ' verse ' || v || ', ' || en || ' ' || c || ':' || v || ', ' || w || ' and ' || en || ' ' || c || ':' || v",
-    f"{_VARIANT} || ' ' || c || '장 ' || v || '절'", f"{_ORDINAL} || ' ' || c || ' ' || v || ' and the ' || m || 'th Psalm'")} AS text FROM o)"""
-
-
-def _name_key(name: str) -> str:
-    out = f"regexp_replace(regexp_replace(lower({name}), '\\s', '', 'g'), '^chapterof', '')"
-    for i, word in enumerate(ORDINALS):
-        out = f"replace(regexp_replace({out}, '^(?:{word}|{i + 1}(?:st|nd|rd))', '{i + 1}'), '{i + 1}서', '{'일이삼'[i]}서')"
-    return out
-
-
-def _hits(form: tuple[str, int, int]) -> str:
-    pattern, ch, name = form
-    parts = ", ".join(f"regexp_extract_all(text, {_text(pattern)}, {i}) AS g{i}" for i in range(6))
-    each = ", ".join(f"unnest(g{i}) AS {c}" for i, c in ((0, "matched"), (name, "name"), (ch, "c"), (3, "a"), (4, "b"), (5, "more")))
-    start = "CAST(1 + list_sum(list_transform(p[:nth + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(g0[:nth], lambda x: length(x))), 0) AS INT)"
-    return f"SELECT *, {start} AS start FROM (SELECT o_orderkey, text, g0, p, CAST(unnest(range(len(g0))) AS INT) AS nth, {each} FROM (SELECT o_orderkey, text, {parts}, regexp_split_to_array(text, {_text(pattern)}) AS p FROM spoken))"
-
-
-DETECTED = f"""{SPOKEN_TEXTS}, hits AS ({' UNION ALL '.join(map(_hits, FORMS))}), named AS (
-  SELECT h.*, {_name_key('name')} AS alias, list_prepend(a, list_filter(regexp_extract_all(more, '\\d+(?::\\d+)?'), lambda x: NOT contains(x, ':'))) AS verses FROM hits h
-), items AS (SELECT *, CAST(unnest(range(len(verses))) AS INT) AS item, unnest(verses) AS said FROM named
-), detected AS (
-  SELECT o_orderkey, nth, item, abbrev, CAST(c AS INT) AS ch, CAST(nullif(said, '') AS INT) AS v1, CASE WHEN item = 0 THEN CAST(nullif(b, '') AS INT) END AS v2, matched, start, text, alias
-  FROM items JOIN aliases USING (alias) WHERE NOT regexp_matches(alias, '^[가-힣]$')
-)"""
 _ONES = "CASE WHEN {0} = 0 OR {0} = {1} THEN '' ELSE substr('" + KO_DIGITS + "', CAST({0} AS INT), 1) END"
 
 
@@ -133,54 +100,30 @@ def _en_word(n: str) -> str:
     return f"trim((CASE WHEN {n} >= 100 THEN {units}[{n} // 100] || ' hundred ' ELSE '' END) || ({rest}))"
 
 
-_NUMBER = f"list_position([{', '.join(_text(x) for x in KO_DIGITS)}], {{}})"
-
-
-def _ko_value(word: str) -> str:
-    shape = f"'^(?:([{KO_DIGITS}])?(백))?(?:([{KO_DIGITS}])?(십))?([{KO_DIGITS}])?$'"
-    part = lambda i: f"regexp_extract({word}, {shape}, {i})"
-    times = lambda i, u: f"(CASE WHEN {part(i + 1)} = '' THEN 0 ELSE coalesce({_NUMBER.format(part(i))}, 1) * {u} END)"
-    return f"CASE WHEN {word} <> '' THEN {times(1, 100)} + {times(3, 10)} + coalesce({_NUMBER.format(part(5))}, 0) END"
-
-
-_PIECE = f"regexp_extract(p, '{SPOKEN.replace(chr(92) + 'z', '$')}', {{}})"
+_WORDS = {f"k{n}": f"({_ko_word(n)})" for n in "cvm"} | {f"e{n}": f"({_en_word(n)})" for n in "cvm"}
+DETECTED, DETECTED_WORDS = (f"{BOOKS}, {ORDERS}, {speech.as_sql(which, _WORDS)}" for which in (speech.DIGITS, speech.WORDS))
+FOUND = 'o_orderkey, item, abbrev, ch, v1, ch2, v2, matched, start, "end"'
 _SAID = _ko_word("m")
-NORMALISED = f"""{ORDERS}, said AS (SELECT o_orderkey, {_forms(
-    5, f"ko || ' ' || {_SAID} || ' 장 ' || v || ' 절'", f"ko || ' ' || c || ' 편 ' || {_SAID} || ' 절 말씀'", "ko || ' ' || c || ' : ' || v || ' ~ ' || w",
-    "ko || ' ' || c || '장 ' || v || '절 부터 ' || w || '절 까지'", f"{_SAID} || ' ' || ko || ' colon ' || c")} AS text FROM o
-), marks AS (SELECT o_orderkey, regexp_replace(regexp_replace(text, '\\s*[：:]\\s*|\\s+colon\\s+', ':', 'g'), '\\s*[~～–—]\\s*', '-', 'g') AS text FROM said
-), ranged AS (SELECT o_orderkey, regexp_replace(text, '(\\d절?)\\s?(?:내지|through|to)\\s?(\\d)', '\\1-\\2', 'g') AS text FROM marks
-), digits AS (SELECT o_orderkey, list_reduce(list_prepend('', list_transform(regexp_extract_all(text, '{PIECES}'), lambda p: coalesce({_PIECE.format(1)}
-    || CAST({_ko_value(_PIECE.format(2))} AS VARCHAR) || {_PIECE.format(3)}, p))), lambda x, y: x || y) AS text FROM ranged)"""
+#: What the stand-in sentences are in the one form.
+NORMALISED = f"""{BOOKS}, {ORDERS} SELECT o_orderkey, {_forms(
+    5, "ko || ' ' || m || '장 ' || v || '절'", "ko || ' ' || c || '편 ' || m || '절 말씀'", "ko || ' ' || c || ':' || v || '-' || w", "ko || ' ' || c || '장 ' || v || '절-' || w || '절'", f"{_SAID} || ' ' || ko || ':' || c")} AS text FROM o"""
 EVENTS = "ev AS (SELECT event_id, ts, user_id, event_type, value FROM events)"
 GAP = f"INTERVAL {REPEAT_SECONDS} SECONDS"
 CATALOG = f"""{LINES}, places AS (SELECT DISTINCT abbrev, ch, v FROM lines), catalog AS (
   SELECT *, lead(ch) OVER b AS next_ch, lead(v) OVER b AS next_v, CASE WHEN lag(ch) OVER b = ch THEN lag(v) OVER b END AS previous_v
   FROM places WINDOW b AS (PARTITION BY abbrev ORDER BY ch, v)
 )"""
-_RELATIVE = " UNION ALL ".join(
-    f"SELECT o_orderkey, unnest(regexp_extract_all(rest, {_text(p)})) AS matched, {_text(p)} AS pattern, {i} AS lang FROM cleared" for i, p in enumerate((phrases.KOREAN, phrases.ENGLISH))
-)
-_CLEARED = "text"
-for _form in FORMS:
-    _CLEARED = f"regexp_replace({_CLEARED}, {_text(_form[0])}, ' ', 'g')"
-_GROUPS = ", ".join(f"CASE lang WHEN 0 THEN regexp_extract(matched, {_text(phrases.KOREAN)}, {i}) ELSE regexp_extract(matched, {_text(phrases.ENGLISH)}, {i}) END AS g{i}" for i in range(1, 9))
-_KIND = "CASE " + " ".join(f"WHEN g{i} <> '' THEN '{k}'" for i, k in enumerate(phrases.KINDS, 1)) + " END"
 PHRASES = f"""{CATALOG}, {ALIASES}, o AS (
   SELECT o_orderkey, CAST(o_orderkey % 37 + 1 AS INT) AS c, CAST(o_orderkey % 5 + 1 AS INT) AS v, o_orderkey % 5 + o_orderkey % 4 AS w, a.abbrev, b.ko FROM orders JOIN aliases a ON a.n = o_orderkey % 369 JOIN books b ON b.abbrev = a.abbrev
-), texts AS (SELECT *, {_forms(12, "v || '절 말씀'", "'그 다음 절도 보시면'", "'앞 절'", "'다음 장'", "c || '장으로 넘어가서'", "'같은 장 뒷부분 ' || v || '절'", "'다시 ' || v || '절로'", "v || '절기와 ' || c || '장짜리 편지'",
-    "ko || ' ' || c || '장 ' || v || '절'", "'and verse ' || v", "'the following verse'", "'back to verse ' || w")} AS text FROM o
-), cleared AS (SELECT o_orderkey, {_CLEARED} AS rest FROM texts
-), said AS (SELECT *, {_GROUPS} FROM ({_RELATIVE})
-), kinds AS (SELECT o_orderkey, {_KIND} AS kind, TRY_CAST(coalesce(nullif(g2, ''), nullif(g3, ''), nullif(g4, ''), nullif(g7, '')) AS INT) AS n FROM said WHERE g8 = ''
+), texts AS (SELECT * FROM o
+), kinds AS (SELECT o_orderkey, {_forms(12, "'verse'", "'next'", "'previous'", "'next_chapter'", "'chapter'", "'same_chapter'", "'return'", "NULL", "NULL", "'verse'", "'next'", "'return'")} AS kind,
+    CAST({_forms(12, "v", "NULL", "NULL", "NULL", "c", "v", "v", "NULL", "NULL", "v", "NULL", "w")} AS INT) AS n FROM o WHERE o_orderkey % 12 NOT IN (7, 8)
 ), asked AS (SELECT k.*, t.abbrev, t.c AS ch, t.v FROM kinds k LEFT JOIN texts t ON t.o_orderkey = k.o_orderkey AND t.o_orderkey % 4 <> 0
 ), moved AS (SELECT a.*, k.abbrev AS at, CASE kind WHEN 'next' THEN k.next_ch WHEN 'next_chapter' THEN a.ch + 1 WHEN 'chapter' THEN n ELSE a.ch END AS to_ch,
     CASE WHEN kind = 'next' THEN k.next_v WHEN kind = 'previous' THEN k.previous_v WHEN kind IN ('next_chapter', 'chapter') THEN 1 ELSE n END AS to_v,
     coalesce(kind = 'next' AND k.next_ch <> a.ch, false) AS rolled_over
   FROM asked a LEFT JOIN catalog k ON k.abbrev = a.abbrev AND k.ch = a.ch AND k.v = a.v
 ), looked AS (SELECT m.*, p.abbrev IS NOT NULL AS found FROM moved m LEFT JOIN places p ON m.at IS NOT NULL AND p.abbrev = m.abbrev AND p.ch = m.to_ch AND p.v = m.to_v)"""
-SPECIAL = _text(rf"({_alternatives(True)})\s?(\d+)(?:장|편)에?\s(?:(\d+)절\s?이하|(첫째?\s?절)|(마지막\s?절))")
-
 SQL = {
     "parse_ref": f"WITH {BOOKS}, {PARSED} SELECT * FROM parsed",
     "parse_chverse": f"WITH {BOOKS}, {ORDERS}, tails AS (SELECT o_orderkey, {_forms(9, *(x.replace('+', '||') for x in ("c + ':' + v", "c + ' ' + v", "c + ':' + v + '-' + w", "c + ' ' + v + ' ' + w", "c + ''", "c + ' ' + v + ' - ' + w", "'x ' + c", "c + ':' + v + '-'", "c + ':' + v + ',' + w")))} AS tail FROM o) SELECT o_orderkey, tail, {_numbers('tail')} FROM tails",
@@ -203,10 +146,10 @@ SQL = {
     "corpus_view": "SELECT 'both' AS title, true AS demo_badge, 'ko+en' AS layout, 'K' AS ko_label, 'E' AS en_label",
     "scan_decoded": f"WITH {FILES} {SIGNATURES_FOUND.format('files')}",
     "context_phrases": f"""WITH {PHRASES} SELECT o_orderkey, kind, abbrev, CAST(to_ch AS INT) AS to_ch, CAST(to_v AS INT) AS to_v, rolled_over,
-      (60 + CASE WHEN regexp_matches(text, '(?i)(?:{TRIGGERS.replace(chr(39), chr(39) * 2)})') THEN 20 ELSE 0 END - CASE WHEN rolled_over THEN 20 ELSE 0 END) / 100.0::DOUBLE AS confidence
-      FROM looked JOIN (SELECT o_orderkey, text FROM texts) USING (o_orderkey) WHERE found""",
+      (60 + CASE WHEN o_orderkey % 12 IN (0, 1) THEN 20 ELSE 0 END - CASE WHEN rolled_over THEN 20 ELSE 0 END) / 100.0::DOUBLE AS confidence FROM looked WHERE found""",
     "context_misses": f"WITH {PHRASES} SELECT o_orderkey, kind, n, CASE WHEN abbrev IS NULL THEN 'no_context' ELSE 'not_there' END AS reason FROM looked WHERE NOT found",
-    "resolver_gate": f"WITH {BOOKS}, {DETECTED}, n AS (SELECT o_orderkey, count(DISTINCT (abbrev, coalesce(ch, 0), coalesce(v1, 0))) AS n FROM detected GROUP BY 1) SELECT o_orderkey AS key FROM spoken LEFT JOIN n USING (o_orderkey) WHERE regexp_matches(text, '(?i)(?:{TRIGGERS.replace(chr(39), chr(39) * 2)})') AND coalesce(n, 0) <> 1",
+    "resolver_gate": f"""WITH {DETECTED}, n AS (SELECT o_orderkey, count(DISTINCT (abbrev, coalesce(ch, 0), coalesce(v1, 0))) AS n FROM expected GROUP BY 1)
+      SELECT o_orderkey AS key FROM spoken LEFT JOIN n USING (o_orderkey) WHERE ({' OR '.join(f"contains(text, {_text(t)})" for t in speech.TRIGGERED)}) AND coalesce(n, 0) <> 1""",
     "latency_jsonl": "SELECT event_type AS hop, count(*) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, max(value) AS max_ms FROM events WHERE value IS NOT NULL GROUP BY event_type",
     "render_rows": f"WITH {VERSES} SELECT abbrev, ch, v, " + ", ".join(f"replace(replace(replace(CASE {s} WHEN '' THEN '—' ELSE {s} END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS {s}_html, {s} = '' AS {s}_empty" for s in ("ko", "en")) + " FROM verses",
     "en_only_view": f"WITH {VERSES} SELECT abbrev, ch, v, replace(replace(replace(CASE en WHEN '' THEN '—' ELSE en END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS en_html, en = '' AS en_empty FROM verses",
@@ -227,16 +170,13 @@ SQL = {
     "scan_verdict": f"WITH {REPORT} SELECT (SELECT count(*) FROM files) AS checked, count(*) AS violations, count(*) > 0 AS blocked FROM report",
     "numerals_ko": f"SELECT CAST(n AS INT) AS n, {_ko_word('n')} AS word, CAST(n AS INT) AS value FROM range(1, 201) t(n)",
     "numerals_en": f"SELECT CAST(n AS INT) AS n, {_en_word('n')} AS word, CAST(n AS INT) AS value FROM range(1, 201) t(n)",
-    "normalize_text": f"WITH {BOOKS}, {NORMALISED} SELECT o_orderkey, regexp_replace(regexp_replace(text, '(\\d)\\s+([장편절])', '\\1\\2', 'g'), '(\\d절?)\\s?부터\\s?(\\d+절?)\\s?까지', '\\1-\\2', 'g') AS text FROM digits",
-    "detect_refs": f"WITH {BOOKS}, {DETECTED} SELECT o_orderkey, nth, item, abbrev, ch, v1, v2, matched, start FROM detected",
-    "detect_special": f"""WITH {LINES}, {ORDERS}, texts AS (SELECT o_orderkey, {_forms(5, "ko || ' ' || c || '장 ' || v || '절 이하'", "ko || ' ' || c || '장 첫 절'", "ko || ' ' || c || '장 첫째 절'", "ko || ' ' || c || '장에 마지막 절'", "ko || ' ' || c || '장'")} AS text FROM o),
-      m AS (SELECT o_orderkey, regexp_extract(text, {SPECIAL}, ['name', 'c', 'n', 'f', 'l']) AS m FROM texts WHERE regexp_matches(text, {SPECIAL})),
+    "normalize_text": f"WITH {NORMALISED}",
+    "detect_refs": f"WITH {DETECTED} SELECT {FOUND} FROM expected",
+    "detect_offsets": f"WITH {DETECTED_WORDS} SELECT {FOUND}, matched AS shown FROM expected",
+    "detect_special": f"""WITH {LINES}, {ORDERS}, said AS (SELECT o_orderkey, abbrev, CAST(c AS INT) AS ch, CAST(v AS INT) AS v, o_orderkey % 5 AS form FROM o WHERE o_orderkey % 5 < 4),
       ends AS (SELECT abbrev, ch, max(v) AS last FROM lines GROUP BY 1, 2)
-      SELECT o_orderkey, a.abbrev, CAST(m.c AS INT) AS ch, CAST(CASE WHEN m.n <> '' THEN CAST(m.n AS INT) WHEN m.f <> '' THEN 1 ELSE last END AS INT) AS v1, m.n <> '' AS open_range
-      FROM m JOIN aliases a ON a.alias = {_name_key('m.name')} LEFT JOIN ends e ON e.abbrev = a.abbrev AND e.ch = CAST(m.c AS INT)""",
-    "confidence_rank": f"""WITH {BOOKS}, {DETECTED}, scored AS (SELECT greatest(0, least(100, 60 + CASE WHEN regexp_matches(text, '(?i)(?:{TRIGGERS.replace(chr(39), chr(39) * 2)})') THEN 20 ELSE 0 END
-        - CASE WHEN v1 IS NULL THEN 20 ELSE 0 END - CASE WHEN alias IN ('요한', '마가', '누가', 'john', 'mark', 'luke') THEN 20 ELSE 0 END)) / 100.0::DOUBLE AS confidence FROM detected)
-      SELECT confidence, count(*) AS n, CAST(coalesce(sum(count(*)) OVER (ORDER BY confidence DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS n_better FROM scored GROUP BY confidence""",
+      SELECT o_orderkey, s.abbrev, s.ch, CAST(CASE form WHEN 0 THEN s.v WHEN 3 THEN last ELSE 1 END AS INT) AS v1, form = 0 AS open_range FROM said s LEFT JOIN ends e ON e.abbrev = s.abbrev AND e.ch = s.ch""",
+    "confidence_rank": f"""WITH {DETECTED} SELECT o_orderkey, start, item, confidence, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY confidence DESC, start, item) AS INT) AS rank FROM expected""",
     "context_asof": "SELECT e.event_id, e.user_id, s.event_id AS context FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') s ON e.user_id = s.user_id AND e.ts > s.ts",
     "relative_resolve": f"""WITH {CATALOG}, mentions AS (SELECT *, ['verse', 'next', 'previous', 'next_chapter', 'same_chapter'][(v + ch) % 5 + 1] AS kind, v % 4 + 1 AS n FROM catalog),
       moved AS (SELECT abbrev, ch, v, kind, n, CASE kind WHEN 'next' THEN next_ch WHEN 'next_chapter' THEN ch + 1 ELSE ch END AS to_ch,

@@ -9,6 +9,7 @@ from lectern import canon
 from lectern.functions import numerals, references
 from lectern.functions.text import cleaned, decoded
 from lectern.operators import corpus, detect, ingest, lookup, metrics, phrases, resolver, scan, sessions
+from lectern.plans import speech
 from lectern.plans import stand_ins as S
 from lectern.shared import shared_folder
 from lectern.sources import files
@@ -176,15 +177,22 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.said(spark, sf_dir).select("o_orderkey", detect.normalised(F.col("text")).alias("text"))
 
 
+FOUND = ["o_orderkey", "item", "abbrev", "ch", "v1", "ch2", "v2", "matched", "start", "end"]
+
+
 def detect_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.detected(S.spoken(spark, sf_dir), "o_orderkey")
-    return found.select("o_orderkey", "nth", "item", "abbrev", "ch", "v1", "v2", "matched", "start")
+    return detect.detected(speech.sentences(spark, sf_dir, speech.DIGITS), "o_orderkey").select(*FOUND)
+
+
+def detect_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = speech.sentences(spark, sf_dir, speech.WORDS)
+    found = detect.detected(texts, "o_orderkey").select(*FOUND).join(texts, "o_orderkey")
+    return found.select(*FOUND, F.substring("text", F.col("start"), F.col("end") - F.col("start") + 1).alias("shown"))
 
 
 def confidence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.detected(S.spoken(spark, sf_dir), "o_orderkey").select("o_orderkey", "abbrev", "ch", "v1", "confidence")
-    ranks = found.groupBy("confidence").agg(F.count("*").alias("n"))
-    return ranks.withColumn("n_better", F.coalesce(F.expr("sum(n) over (order by confidence desc rows between unbounded preceding and 1 preceding)"), F.lit(0)))
+    found = detect.detected(speech.sentences(spark, sf_dir, speech.DIGITS), "o_orderkey")
+    return sessions.ranked(found, "o_orderkey").select("o_orderkey", "start", "item", "confidence", "rank")
 
 
 def detect_special(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +230,7 @@ def context_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolver_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = S.spoken(spark, sf_dir).withColumnRenamed("o_orderkey", "key")
+    texts = speech.sentences(spark, sf_dir, speech.DIGITS).withColumnRenamed("o_orderkey", "key")
     found = detect.detected(texts, "key").select("key", "abbrev", "ch", F.col("v1").alias("v"))
     return resolver.asked(texts, found).select("key")
 
@@ -310,7 +318,7 @@ _ALL = (
     parse_ref, parse_chverse, resolve_alias, corpus_long, parallel_align, chapter_merge, lookup_range, lookup_status, lookup_header, render_rows, en_only_view,
     clean_text, vpl_parse, verse_order_check, missing_books, chapter_gap_pad, corpus_counts, last_wins, source_fallback, js_roundtrip, json_combined,
     build_separate, corpus_view, scan_decoded, context_phrases, context_misses, resolver_gate, latency_jsonl,
-    scan_names, scan_signatures, scan_size, scan_report, scan_verdict, numerals_ko, numerals_en, normalize_text, detect_refs, detect_special, confidence_rank,
+    scan_names, scan_signatures, scan_size, scan_report, scan_verdict, numerals_ko, numerals_en, normalize_text, detect_refs, detect_offsets, detect_special, confidence_rank,
     context_asof, relative_resolve, suppress_gap, suppress_throttle, interim_final, top5, candidate_union, latency_summary, clock_offset, eval_prf,
     eval_topk, fp_per_hour, match_in_time, fixture_drift, stream_session, stream_messages,
 )

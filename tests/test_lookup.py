@@ -113,7 +113,7 @@ def test_numerals(spark):
 
 def test_spoken_forms(spark):
     rows = [("요한복음 삼 장 십육 절", "jo", 3, 16, None), ("시편 백십구 편 백오 절", "ps", 119, 105, None), ("요한복음3장16절", "jo", 3, 16, None), ("로마서 8장", "rm", 8, None, None), ("요한복음 3장 16절부터 18절까지", "jo", 3, 16, 18), ("요한 일서 1:9", "1jo", 1, 9, None), ("John chapter 3 verse 16", "jo", 3, 16, None), ("1 Corinthians 13", "1co", 13, None, None), ("했어요 3", None, None, None, None), ("3장짜리 편지", None, None, None, None)]
-    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "k int, text string").withColumn("text", detect.normalised(F.col("text")))
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "k int, text string")
     got = {r["k"]: tuple(r)[1:] for r in detect.detected(df, "k").select("k", "abbrev", "ch", "v1", "v2").collect()}
     assert got == {i: r[1:] for i, r in enumerate(rows) if r[1]}
 
@@ -127,20 +127,60 @@ SPEECH = [
     ("요한이 말했다", []), ("마가가 말했다", []), ("누가 왔습니까", []), ("3장짜리 편지", []), ("2절기", []), ("했어요 3", []),
     ("John 3:16", ["jo 3 16"]), ("John 3 16", ["jo 3 16"]), ("John three sixteen", ["jo 3 16"]), ("John chapter three verse sixteen", ["jo 3 16"]), ("Psalm one hundred nineteen verse one hundred five", ["ps 119 105"]),
     ("the twenty third Psalm", ["ps 23"]), ("the third chapter of John", ["jo 3"]), ("First Corinthians 13", ["1co 13"]), ("1 Corinthians 13", ["1co 13"]), ("First John 1 9", ["1jo 1 9"]), ("John 1 9", ["jo 1 9"]),
-    ("John 3 verses 16 through 18", ["jo 3 16 18"]), ("John 3, 16 to 18", ["jo 3 16 18"]), ("John said", []), ("Mark wrote", []), ("Acts 2:38 and Acts 2:38", ["act 2 38", "act 2 38"]),
+    ("John 3 verses 16 through 18", ["jo 3 16 18"]), ("John 3, 16 to 18", ["jo 3 16 18"]), ("John said", []), ("Mark wrote", []),
+    ("요한 3장 16절", ["jo 3 16"]), ("마가 3장", ["mk 3"]), ("누가 3장 1절", ["lk 3 1"]), ("요한복음 3장 16절에서 4장 2절까지", ["jo 3 16 4:2"]), ("요한복음 3장 16절부터 4장 2절까지", ["jo 3 16 4:2"]), ("John 3:16-4:2", ["jo 3 16 4:2"]),
+    ("요한복음 3장 16절 17절", ["jo 3 16", "jo 3 17"]), ("요한복음 3장 16절, 4장 2절", ["jo 3 16"]), ("마가 3장짜리 편지", []), ("요한복음 3장 2절기", ["jo 3"]),
+    ("John, chapter 3, verse 16", ["jo 3 16"]), ("John, chapter three, verse sixteen", ["jo 3 16"]), ("the third chapter of the book of Romans", ["rm 3"]), ("Luke 2:1, 4 and 6", ["lk 2 1", "lk 2 4", "lk 2 6"]),
+    ("John 3 verses 16 and 18", ["jo 3 16", "jo 3 18"]), ("John 3:16, 4:2", ["jo 3 16", "jo 4 2"]), ("John 3:16 and 1 Corinthians 13", ["jo 3 16", "1co 13"]), ("John 3:16, 2 Peter 1:1", ["jo 3 16", "2pe 1 1"]),
+    ("John 3 verse 16 through chapter 4 verse 2", ["jo 3 16 4:2"]), ("one hundred and nineteen Psalm", ["ps 119"]), ("Second Kings twenty-two", ["2kgs 22"]), ("Acts 2:38 and Acts 2:38", ["act 2 38", "act 2 38"]),
 ]
 
 
 def test_every_spoken_form(spark):
-    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SPEECH)], "k int, text string").select("k", detect.heard(F.col("text")).alias("text"))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SPEECH)], "k int, text string")
     got = {i: [] for i in range(len(SPEECH))}
     for r in detect.detected(df, "k").orderBy("k", "start", "item").collect():
-        got[r["k"]].append(" ".join(str(x) for x in (r["abbrev"], r["ch"], r["v1"], r["v2"]) if x is not None))
+        got[r["k"]].append(" ".join(str(x) for x in (r["abbrev"], r["ch"], r["v1"], r["ch2"] and f"{r['ch2']}:{r['v2']}" or r["v2"]) if x is not None))
     assert [got[i] for i in range(len(SPEECH))] == [want for _, want in SPEECH]
     both = spark.createDataFrame([(0, "xActs 2:38, Acts 2:38; Acts 2:38")], "k int, text string")
     assert [r["start"] for r in detect.detected(both, "k").orderBy("start").collect()] == [13, 24]
 
 
+PLACES = [
+    # text, what is highlighted in it
+    ("오늘은 요한복음 삼 장 십육 절 말씀입니다", "요한복음 삼 장 십육 절"), ("자, 시편  백십구 편 백오 절을", None), ("시편 백십구 편 백오 절을 보면", "시편 백십구 편 백오 절"), ("a，요한복음 3 ： 16 입니다", "요한복음 3 ： 16"),
+    ("요한복음 3장 16절 부터 18절 까지 읽겠습니다", "요한복음 3장 16절 부터 18절 까지"), ("then John three sixteen he said", "John three sixteen"), ("twenty two people read Psalm one hundred and nineteen verse one hundred five today", "Psalm one hundred and nineteen verse one hundred five"),
+    ("John, chapter three, verse sixteen through eighteen.", "John, chapter three, verse sixteen through eighteen"), ("\x01\x02 First John 1 colon 9!", "First John 1 colon 9"), ("삼 장 이 절 그리고 로마서 팔 장", "로마서 팔 장"),
+]
+
+
+def test_places_in_the_original(spark):
+    """Number words, marks and spaces are rewritten before detection; what is found is shown in the text as it was said."""
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PLACES)] + [(99, None)], "k int, text string")
+    got = detect.detected(df, "k").where("item = 0").join(df.withColumnRenamed("k", "k2").withColumnRenamed("text", "t"), F.col("k") == F.col("k2"))
+    rows = {r["k"]: r for r in got.collect()}
+    assert set(rows) == {i for i, (_, want) in enumerate(PLACES) if want}
+    for i, r in rows.items():
+        assert r["matched"] == PLACES[i][1] == PLACES[i][0][r["start"] - 1 : r["end"]]
+
+
+def test_maps_of_rewritings_compose(spark):
+    """Every character that no step changes is found where it was, through three steps of other lengths, deletions and insertions among them."""
+    from lectern.operators import rewrites
+
+    steps = [("b+", lambda x: F.lit("BB")), ("c", lambda x: F.lit("")), ("BBd", lambda x: F.lit("longer"))]
+    texts = ["abbbcdXc", "Xbbd", "cccX", "bdbdX", "", "X"]
+    state = rewrites.begun(F.col("t"))
+    for pattern, new in steps:
+        state = rewrites.step(state, pattern, new)
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", "t", state.alias("s"))
+    at = F.instr(F.col("s.text"), "X")
+    rows = df.select("t", "s.text", rewrites.original(F.col("s.maps"), at).alias("x"), rewrites.original(F.col("s.maps"), F.lit(2)).alias("first"), rewrites.original(F.col("s.maps"), F.lit(3), last=True).alias("last")).collect()
+    assert [r["text"] for r in rows] == ["alongerX", "Xlonger", "X", "longerlongerX", "", "X"]
+    assert all(r["t"][r["x"] - 1] == "X" for r in rows if "X" in r["t"])
+    assert (rows[0]["first"], rows[0]["last"]) == (2, 6)  # the whole change, over what was deleted within it
+
+
 def test_relative_phrases(spark):
     said = ["17절", "17절 말씀", "다음 절", "그 다음 절", "이어서", "앞 절", "다음 장", "4장으로 넘어가서", "같은 장 20절", "같은 장 뒷부분 20절", "다시 16절로", "verse 17", "next verse", "the following verse", "previous verse", "back to verse 5", "2절기", "3장짜리 편지", "요한복음 3장 16절"]
     want = [("verse", 17), ("verse", 17), ("next", None), ("next", None), ("next", None), ("previous", None), ("next_chapter", None), ("chapter", 4), ("same_chapter", 20), ("same_chapter", 20), ("return", 16), ("verse", 17), ("next", None), ("next", None), ("previous", None), ("return", 5), None, None, None]
