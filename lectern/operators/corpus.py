@@ -107,3 +107,17 @@ def neighbours(verses: DataFrame) -> DataFrame:
         F.lead("ch").over(book).alias("next_ch"), F.lead("v").over(book).alias("next_v"),
         F.when(F.lag("ch").over(book) == F.col("ch"), F.lag("v").over(book)).alias("previous_v"), F.max("v").over(chapter).alias("last_v"),
     )
+
+
+def placed(verses: DataFrame) -> DataFrame:
+    """abbrev, ch, v, place, last of verses (abbrev, ch, v): the place of each in its book, from 1, and the book's last place.
+
+    Verses are numbered within their chapters; what comes before a chapter follows from the chapters' counts, so no book is one task.
+    """
+    each = verses.select("abbrev", "ch", "v").distinct()
+    sizes = each.groupBy("abbrev", "ch").agg(F.count("*").alias("__n"))
+    book = Window.partitionBy("abbrev")
+    before = F.sum("__n").over(book.orderBy("ch").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    sizes = sizes.select("abbrev", "ch", before.alias("__before"), F.sum("__n").over(book).alias("last"))
+    number = F.row_number().over(Window.partitionBy("abbrev", "ch").orderBy("v"))
+    return each.withColumn("__at", number).join(sizes, ["abbrev", "ch"]).select("abbrev", "ch", "v", (F.col("__before") + F.col("__at")).alias("place"), "last")

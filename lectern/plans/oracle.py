@@ -7,7 +7,7 @@ from lectern.functions.numerals import EN_TENS, EN_UNITS, KO_DIGITS
 from lectern.functions.references import SPACE
 from lectern.operators.scan import FORBIDDEN
 from lectern.plans import speech
-from lectern.plans.stand_ins import OVERSIZE, REPEAT_SECONDS
+from lectern.plans.stand_ins import LOST, OVERSIZE, REPEAT_SECONDS, SESSIONS
 
 
 def _text(x: str) -> str:
@@ -186,6 +186,8 @@ SQL = {
     "suppress_throttle": f"""WITH RECURSIVE emitted AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY 1, 2
         UNION ALL SELECT e.user_id, e.event_type, min(e.ts) FROM emitted l JOIN events e ON e.user_id = l.user_id AND e.event_type = l.event_type AND e.ts >= l.ts + {GAP} GROUP BY e.user_id, e.event_type, l.ts)
       SELECT e.user_id, e.event_type, e.event_id, l.ts IS NOT NULL AS emitted FROM events e LEFT JOIN emitted l ON e.user_id = l.user_id AND e.event_type = l.event_type AND e.ts = l.ts""",
+    "stream_candidates": f"""WITH {VERSES}, {DETECTED.removeprefix(BOOKS + ', ')} SELECT o_orderkey % {SESSIONS} AS session, o_orderkey // {SESSIONS} AS seq, item, o_orderkey % 2 = 0 AS final, abbrev, ch,
+      greatest(1, coalesce(v1, 1)) AS v, start, "end", ko, en FROM expected e JOIN verses s USING (abbrev, ch) WHERE s.v = greatest(1, coalesce(e.v1, 1)) AND o_orderkey % {LOST[0]} <> {LOST[1]}""",
     "interim_final": "SELECT user_id, event_id % 7 AS ref, min(event_id) AS first_seq, max(event_id) AS last_seq, bool_or(event_type = 'purchase') AS confirmed, sha256(user_id || '|' || event_id % 7 || '|' || min(event_id)) AS id FROM events GROUP BY user_id, event_id % 7",
     "top5": "SELECT user_id, event_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INT) AS place FROM events QUALIFY place <= 5",
     "candidate_union": f"""WITH {LINES}, {ORDERS}, parts_of AS (SELECT o_orderkey % 6 AS p, o_orderkey % 100 AS o_orderkey, abbrev, CAST(c AS INT) AS ch, CAST(v AS INT) AS v FROM o),

@@ -12,8 +12,8 @@ from lectern.operators import corpus, detect, ingest, lookup, metrics, phrases,
 from lectern.plans import speech
 from lectern.plans import stand_ins as S
 from lectern.shared import shared_folder
-from lectern.sources import files
-from lectern.streaming import session
+from lectern.sources import files, transcripts
+from lectern.streaming import console, segments, session
 
 
 def _long(*columns: str) -> list:
@@ -314,12 +314,26 @@ def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.drained(spark, session.messages(S.console_events(stream), S.REPEAT_SECONDS))
 
 
+def stream_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From transcript lines to candidates of the corpus: the source, the order of segments, detection and the join with the verses in one stream."""
+    folder, out, verses = (shared_folder(spark, n) for n in ("transcripts", "candidates", "catalog"))
+    console.catalog(S.verses(spark, sf_dir)).write.parquet(verses)
+    S.transcripts(speech.sentences(spark, sf_dir, speech.DIGITS)).write.json(folder)
+    ordered = segments.in_order(transcripts.read_transcripts(spark, folder), late=10**7)
+    found = console.candidates(ordered, spark.read.parquet(verses))
+    for second in range(2):  # the clock of another session goes on, which gives up the gaps before
+        clock = spark.range(1).select(F.lit(-1).alias("session"), F.lit(second).alias("seq"), F.lit("").alias("text"), F.lit(True).alias("is_final"), F.lit("ko").alias("lang"), F.lit("2034-01-01T00:00:00Z").alias("t_client"))
+        clock.write.mode("append").json(folder)
+        rows = session.drained(spark, found, out, session.PROVIDER)
+    return rows.select("session", "seq", "item", "final", "abbrev", "ch", "v", "start", "end", "ko", "en")
+
+
 _ALL = (
     parse_ref, parse_chverse, resolve_alias, corpus_long, parallel_align, chapter_merge, lookup_range, lookup_status, lookup_header, render_rows, en_only_view,
     clean_text, vpl_parse, verse_order_check, missing_books, chapter_gap_pad, corpus_counts, last_wins, source_fallback, js_roundtrip, json_combined,
     build_separate, corpus_view, scan_decoded, context_phrases, context_misses, resolver_gate, latency_jsonl,
     scan_names, scan_signatures, scan_size, scan_report, scan_verdict, numerals_ko, numerals_en, normalize_text, detect_refs, detect_offsets, detect_special, confidence_rank,
     context_asof, relative_resolve, suppress_gap, suppress_throttle, interim_final, top5, candidate_union, latency_summary, clock_offset, eval_prf,
-    eval_topk, fp_per_hour, match_in_time, fixture_drift, stream_session, stream_messages,
+    eval_topk, fp_per_hour, match_in_time, fixture_drift, stream_session, stream_messages, stream_candidates,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -154,3 +154,18 @@ def console_events(events: DataFrame) -> DataFrame:
     kind = F.when((kind == "display_ref") & (F.col("event_id") % 2 == 0), "next").otherwise(kind)
     ref = F.when(kind == "select", F.col("event_id") % 3 + 1).when(~kind.isin("clear", "next"), F.col("event_id") % 7)
     return events.select(F.col("user_id").alias("session"), "event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), ref.alias("ref"), (F.col("event_type") == "signup").alias("final"))
+
+
+#: Sessions of the transcripts; segments of these remainders never come, and those come twice.
+SESSIONS, LOST, TWICE = 7, (11, 5), (13, 3)
+
+
+def transcripts(texts: DataFrame) -> DataFrame:
+    """Transcript segments of (o_orderkey, text) as they arrive: numbered by session, some lost, some twice, in no order."""
+    k = F.col("o_orderkey")
+    seq = F.floor(k / SESSIONS)
+    rows = texts.where(k % LOST[0] != LOST[1]).select(
+        (k % SESSIONS).alias("session"), seq.alias("seq"), "text", (k % 2 == 0).alias("is_final"), F.lit("ko").alias("lang"),
+        F.date_format(F.timestamp_seconds(seq + 1704067200), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t_client"), F.explode(F.array_repeat(F.lit(0), F.when(k % TWICE[0] == TWICE[1], 2).otherwise(1).cast("int"))).alias("n"),
+    )
+    return rows.drop("n").repartition(F.xxhash64("seq", "session"))

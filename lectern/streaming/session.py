@@ -135,12 +135,21 @@ def messages(events: DataFrame, seconds: int, expires: int = EXPIRES, listed: in
     return rows.groupBy("session").applyInPandasWithState(step, MESSAGE, MESSAGE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drained(spark: SparkSession, stream: DataFrame, folder: str | None = None) -> DataFrame:
+#: State with timers, maps and lists needs this store.
+STORE, PROVIDER = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drained(spark: SparkSession, stream: DataFrame, folder: str | None = None, store: str | None = None) -> DataFrame:
     """All that a stream gives for what is there now, written to folder (a new one in the shared folder) and read from it.
 
-    A folder that was drained to before goes on where it ended: its state and what it has read are in the checkpoint.
+    A folder that was drained to before goes on where it ended: its state and what it has read are in the checkpoint. store: the
+    state store of this query, by default that of the session, whose setting stays as it is.
     """
-    folder = folder or shared_folder(spark, "stream")
-    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    folder, before = folder or shared_folder(spark, "stream"), spark.conf.get(STORE)
+    try:
+        spark.conf.set(STORE, store or before)
+        query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STORE, before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
