@@ -28,6 +28,8 @@ BUNDLES, LEAST = 16_384, 8
 DOMAIN = 32
 #: Rows of a group that one task joins or numbers, about.
 HOT = 100_000
+#: Files whose first slots are broadcast, at most; those of more files are joined by key.
+FILES = 100_000
 RESULT = ["size", "law", "shard", "slot", "grown_shard"]
 
 
@@ -227,15 +229,16 @@ def write(docs: DataFrame, folder: str, shards: int | None = None, capacity: int
 def read(spark: SparkSession, folder: str, schema) -> DataFrame:
     """The rows of a folder of shards (schema: their columns without slot) with slot: the place in the shard, files in order of their names.
 
-    Files are numbered by counts alone, so no row is moved or sorted.
+    Files are numbered by counts alone, so no row is sorted, nor moved unless there are more than FILES files.
     """
     rows = spark.read.schema(schema).parquet(folder)
     taken = rows.columns
     file, at = unused(rows, "__file"), unused(rows, "__at")
     rows = rows.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(at))
-    counts = rows.groupBy("shard", file).agg(F.count("*").alias("n"))
+    counts = cut(rows.groupBy("shard", file).agg(F.count("*").alias("n")))
     first = counts.select("shard", file, (F.sum("n").over(Window.partitionBy("shard").orderBy(file)) - F.col("n")).alias("n"))
     first = first.withColumnRenamed("n", unused(rows, "__first"))
+    first = F.broadcast(first) if counts.count() <= FILES else first
     return rows.join(first, ["shard", file]).select(*taken, (F.col(unused(rows, "__first")) + F.col(at)).alias("slot"))
 
 

@@ -96,6 +96,7 @@ def test_shards_over_several_levels(documents, monkeypatch):
     monkeypatch.setattr(sharding, "BLOCK", 40)
     monkeypatch.setattr(sharding, "LAST", 64)
     monkeypatch.setattr(sharding, "BUNDLES", 256)
+    monkeypatch.setattr(sharding, "FILES", 3)
     rows, groups = shards_of(sharding.sharded(documents, 4))
     loads = Counter()
     for r in rows:
