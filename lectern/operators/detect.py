@@ -68,20 +68,20 @@ KOREAN_NUMBER = rf"(?<![가-힣&&[^장편절]])(?=[{KO_DIGITS}십백])(?:[{KO_DI
 _RANGE = r"(\d절?)\s?부터\s?((?:\d+[장편]\s?)?\d+절?)\s?까지"
 #: Spoken forms as digits and marks, one after the other: numbers before 장, 편 and 절, one colon, one range mark, no space inside 3장.
 STEPS = (
-    (r"\s*[：:]\s*|\s+colon\s+", lambda x: F.lit(":")),
-    (r"\s*[~～–—]\s*", lambda x: F.lit("-")),
-    (r"(?<=\d|\d절)\s?(?:내지|through|to)\s?(?=\d)", lambda x: F.lit("-")),
-    (KOREAN_NUMBER, lambda x: korean_value(F.rtrim(x)).cast("string")),
-    (r"(?<=\d)\s+(?=[장편절])", lambda x: F.lit("")),
-    (_RANGE, lambda x: F.regexp_replace(x, _RANGE, "$1-$2")),
+    (r"\s*[：:]\s*|\s+colon\s+", lambda x: F.lit(":"), "[：:]|colon"),
+    (r"\s*[~～–—]\s*", lambda x: F.lit("-"), "[~～–—]"),
+    (r"(?<=\d|\d절)\s?(?:내지|through|to)\s?(?=\d)", lambda x: F.lit("-"), r"(?:내지|through|to)\s?\d"),
+    (KOREAN_NUMBER, lambda x: korean_value(F.rtrim(x)).cast("string"), rf"[{KO_DIGITS}십백]\s*[장편절]"),
+    (r"(?<=\d)\s+(?=[장편절])", lambda x: F.lit(""), r"\s[장편절]"),
+    (_RANGE, lambda x: F.regexp_replace(x, _RANGE, "$1-$2"), "부터"),
 )
-NUMBERS = ((ENGLISH_NUMBER, lambda x: english_value(F.regexp_replace(x, r"(?i)\sand\s", " ")).cast("string")),)
+NUMBERS = ((ENGLISH_NUMBER, lambda x: english_value(F.regexp_replace(x, r"(?i)\sand\s", " ")).cast("string"), r"(?i)\b(?:on|tw|th|fo|fi|si|se|ei|ni|te|el)"),)
 
 
 def _rewritten(text: Column, steps: tuple) -> Column:
     out = rewrites.begun(text)
-    for pattern, new in steps:
-        out = rewrites.step(out, pattern, new)
+    for pattern, new, cheap in steps:
+        out = rewrites.step(out, pattern, new, cheap)
     return out
 
 
@@ -124,15 +124,15 @@ def detected(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """
     own = lambda h, form, cheap: F.when(h["text"].rlike(cheap), rewrites.found(h["text"], *form))
     none = F.array().cast("array<struct<start: int, parts: array<string>>>")
-    # Neither language's names are looked for in texts that have none of its letters before a digit.
-    hits = lambda h: F.concat(F.coalesce(own(h, FORMS[0], "[가-힣].*[0-9]"), none), *[F.coalesce(own(h, f, "[A-Za-z]{3}"), none) for f in FORMS[1:]])
-    rows = texts.select(key, text, heard(F.col(text)).alias("__h")).where(F.col("__h.text").rlike("[0-9]"))
-    rows = rows.select(key, text, F.col("__h.maps").alias("__maps"), F.explode(hits(F.col("__h"))).alias("__hit")).select(key, text, "__maps", "__hit.*")
+    # Neither language's names are looked for in texts that have none of its letters.
+    hits = lambda h: F.concat(F.coalesce(own(h, FORMS[0], "[가-힣]"), none), *[F.coalesce(own(h, f, "[A-Za-z]{3}"), none) for f in FORMS[1:]])
+    last = lambda x: x["start"] + F.length(x["parts"][0]) - 1
+    places = lambda h: F.transform(hits(h), lambda x: F.struct(x["parts"].alias("parts"), rewrites.original(h["maps"], x["start"]).alias("start"), rewrites.original(h["maps"], last(x), last=True).alias("end")))
+    found = R.once(heard(F.col(text)), lambda h: F.when(h["text"].rlike("[0-9]"), places(h)))
+    rows = texts.select(key, text, F.explode(found).alias("__hit")).select(key, text, "__hit.*")
     part = lambda i: F.get("parts", F.lit(i))
     number = lambda c: F.nullif(c, F.lit("")).try_cast("int")
-    start = rewrites.original(F.col("__maps"), F.col("start"))
-    end = rewrites.original(F.col("__maps"), F.col("start") + F.length(part(0)) - 1, last=True)
-    rows = rows.select(key, text, name_key(F.concat(part(1), part(7))).alias("__name"), number(part(2)).alias("ch"), number(part(3)).alias("v1"), number(part(4)).alias("ch2"), number(part(5)).alias("v2"), part(6).alias("__more"), start.alias("start"), end.alias("end"))
+    rows = rows.select(key, text, name_key(F.concat(part(1), part(7))).alias("__name"), number(part(2)).alias("ch"), number(part(3)).alias("v1"), number(part(4)).alias("ch2"), number(part(5)).alias("v2"), part(6).alias("__more"), "start", "end")
     rows = rows.join(_known(texts), "__name")
     # A further verse may name its chapter; one that doesn't is of the reference's own.
     nothing = F.lit(None).cast("int")

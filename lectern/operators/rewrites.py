@@ -30,14 +30,18 @@ def marked(text: Column, pattern: str, groups: str = "$0") -> Column:
     return F.split(F.regexp_replace(text, F.lit(pattern), F.lit(MARK + groups + MARK)), MARK)
 
 
-def step(state: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
-    """The rewriting state with every match of the pattern replaced by new(match), and its map. A null replacement leaves a match as it is."""
+def step(state: Column, pattern: str, new: Callable[[Column], Column], cheap: str | None = None) -> Column:
+    """The rewriting state with every match of the pattern replaced by new(match), and its map. A null replacement leaves a match as it is.
 
-    def rewritten(s: Column) -> Column:
-        parts = F.transform(marked(s["text"], pattern), lambda x, i: F.struct(x.alias("old"), F.when(i % 2 == 1, F.coalesce(new(x), x)).otherwise(x).alias("new")))
+    cheap: a pattern that every text with a match has, which spares others the search for it.
+    """
+
+    def rewritten(s: Column, cut: Column) -> Column:
+        parts = F.transform(cut, lambda x, i: F.struct(x.alias("old"), F.when(i % 2 == 1, F.coalesce(new(x), x)).otherwise(x).alias("new")))
         return once(parts, lambda p: F.struct(F.array_join(F.transform(p, lambda x: x["new"]), "").alias("text"), F.array_append(s["maps"], _changes(p)).alias("maps")))
 
-    return once(state, lambda s: F.when(s["text"].rlike(pattern), rewritten(s)).otherwise(s))
+    searched = lambda s: once(marked(s["text"], pattern), lambda cut: F.when(F.size(cut) > 1, rewritten(s, cut)).otherwise(s))
+    return once(state, lambda s: F.when(s["text"].rlike(cheap), searched(s)).otherwise(s) if cheap else searched(s))
 
 
 def _changes(parts: Column) -> Column:
