@@ -7,16 +7,48 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.shared import shared_folder
 
-def with_context(events: DataFrame, session: str, ts: str, order: str, displayed: Column, clears: Column) -> DataFrame:
+
+#: Slices of time that sessions are split into, with about equal numbers of rows of all sessions together.
+SLICES = 64
+
+
+def _sliced(rows: DataFrame, at: str, slices: int) -> DataFrame:
+    """rows with __slice: a number that grows with the time at (a long). No slice has many more rows than its share, whatever session they are of."""
+    bounds = sorted(set(rows.approxQuantile(at, [i / slices for i in range(1, slices)], 0.25 / slices))) if slices > 1 else []
+    return rows.withColumn("__slice", sum((F.when(F.col(at) >= b, 1).otherwise(0) for b in bounds), F.lit(0)))
+
+
+def _scanned(rows: DataFrame, key: str, order: list[str], mark: str, name: str, forward: bool = True, own: bool = False) -> DataFrame:
+    """rows (with __slice) with the last mark that isn't null before each row of its key, in the given order, as the column name.
+
+    A segmented scan: each slice of a key is a window of its own; the last marks of slices, one row each, are scanned by key
+    and handed to the slices after them. forward: else the first mark after each row. own: a row's own mark counts too.
+    """
+    up, edge = (F.last, F.max_by) if forward else (F.first, F.min_by)
+    place = F.when(F.col(mark).isNotNull(), F.struct(*order))  # rows without a mark are passed over
+    every = rows.groupBy(key, "__slice").agg(edge(F.struct(F.col(mark).alias("m")), place).alias("__end"))
+    by = Window.partitionBy(key).orderBy("__slice")
+    by = by.rowsBetween(Window.unboundedPreceding, -1) if forward else by.rowsBetween(1, Window.unboundedFollowing)
+    carried = every.select(F.col(key).alias("__k"), F.col("__slice").alias("__s"), up("__end", ignorenulls=True).over(by).alias("__carried"))
+    within = Window.partitionBy(key, "__slice").orderBy(*order)
+    within = within.rowsBetween(Window.unboundedPreceding, 0 if own else -1) if forward else within.rowsBetween(0 if own else 1, Window.unboundedFollowing)
+    near = up(F.when(F.col(mark).isNotNull(), F.struct(F.col(mark).alias("m"))), ignorenulls=True).over(within)
+    found = rows.withColumn("__near", near).join(carried, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__slice") == F.col("__s")))
+    return found.withColumn(name, F.coalesce("__near", "__carried")["m"]).drop("__near", "__k", "__s", "__carried")
+
+
+def with_context(events: DataFrame, session: str, ts: str, order: str, displayed: Column, clears: Column, slices: int = SLICES) -> DataFrame:
     """events with context: what the session displayed last before each event, null after a clear or before the first display.
 
-    An as-of join of the events with their own displays, done as one window over the session. A clear is a display of
-    nothing: it is carried as a struct that holds a null, so that it isn't skipped.
+    An as-of join of the events with their own displays, as a scan over slices of time, so a session of very many events is read by several tasks. A
+    clear is a display of nothing: it is carried as a struct that holds a null, so that it isn't skipped.
     """
     mark = F.when(displayed.isNotNull() | clears, F.struct(F.when(~clears, displayed).alias("ref")))
-    before = Window.partitionBy(session).orderBy(ts, order).rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("context", F.last(mark, ignorenulls=True).over(before)["ref"])
+    rows = _sliced(events.withColumns({"__mark": mark, "__at": F.unix_micros(F.col(ts).cast("timestamp"))}), "__at", slices)
+    found = _scanned(rows, session, ["__at", order], "__mark", "__last")
+    return found.select(*events.columns, F.col("__last")["ref"].alias("context"))
 
 
 def looked_up(mentions: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -49,34 +81,78 @@ def since_last(events: DataFrame, keys: list[str], ts: str, order: str, seconds:
     return events.withColumn("suppressed", F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(gap.cast("timestamp")) < seconds * 1_000_000, F.lit(False)))
 
 
-def throttled(events: DataFrame, keys: list[str], ts: str, order: str, seconds: int) -> DataFrame:
+#: Events of a chain of repeats without a pause that one task reads; those of longer ones find their emissions by doubling pointers.
+CHAIN = 100_000
+
+
+def throttled(events: DataFrame, keys: list[str], ts: str, order: str, seconds: int, slices: int = SLICES, chain: int = CHAIN) -> DataFrame:
     """keys, order and emitted: whether no event of the same keys was emitted less than seconds before.
 
-    An event that no other precedes within the time is always emitted, so events fall apart into chains there, which are dealt out
-    and read in order; a task holds one time, not a group. Only a chain without any such pause stays in one task.
+    An event that no other precedes within the time is always emitted, so events fall apart into chains there. Chains are dealt out and read in
+    order; a task holds one time, not a group. In chains of more than chain events each event points to the one that would be emitted after it, and what
+    is reached from the first one is found in as many rounds as the logarithm of the emissions, so neither a key nor a chain is one task.
     """
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = events.select(*keys, order, at.alias("__at"))
-    by = Window.partitionBy(*keys).orderBy("__at", order)
-    start = F.coalesce(F.col("__at") - F.lag("__at").over(by) >= seconds * 1_000_000, F.lit(True))
-    chain = F.sum(F.when(F.col("__start"), 1).otherwise(0)).over(by)
-    dealt = rows.withColumn("__start", start).withColumn("__chain", chain).repartition(*keys, "__chain").sortWithinPartitions(*keys, "__chain", "__at", order)
-    dealt = dealt.select(*keys, order, "__at", F.xxhash64(*keys, "__chain").alias("__key"))
+    wait = seconds * 1_000_000
+    rows = events.select(*keys, order, F.struct(*keys).alias("__key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("__at")).withColumn("__id", F.monotonically_increasing_id())
+    rows = _scanned(_sliced(rows, "__at", slices), "__key", ["__at", order], "__at", "__before")
+    starts = F.coalesce(F.col("__at") - F.col("__before") >= wait, F.lit(True))
+    rows = rows.withColumn("__start", F.when(starts, F.struct(F.col("__at").alias("at"), F.col(order).alias("order"))))
+    _ready_to_checkpoint(rows)
+    rows = _scanned(rows, "__key", ["__at", order], "__start", "__chain", own=True).drop("__before").checkpoint()
+    long = rows.groupBy("__key", "__chain").agg(F.count("*").alias("__n")).where(F.col("__n") > chain).select(F.col("__key").alias("__k"), F.col("__chain").alias("__c"))
+    in_long = F.col("__key").eqNullSafe(F.col("__k")) & F.col("__chain").eqNullSafe(F.col("__c"))
+    short = _read_in_order(rows.join(long, in_long, "left_anti"), keys, order, wait)
+    if not long.limit(1).count():
+        return short
+    rest = rows.join(long, in_long, "left_semi")
+    emitted = _reached(rest, order, wait).withColumn("emitted", F.lit(True))
+    return short.unionByName(rest.join(emitted, "__id", "left").select(*keys, order, F.coalesce("emitted", F.lit(False)).alias("emitted")))
+
+
+def _ready_to_checkpoint(df: DataFrame) -> None:
+    """Sets the folder of checkpoints if the session has none."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "rounds"))
+
+
+def _read_in_order(rows: DataFrame, keys: list[str], order: str, wait: int) -> DataFrame:
+    """keys, order, emitted of rows, whose chains are read one after the other."""
+    dealt = rows.repartition("__key", "__chain").sortWithinPartitions("__key", "__chain", "__at", order)
+    dealt = dealt.select(*keys, order, "__at", F.xxhash64("__key", "__chain").alias("__hash"))
 
     def run(batches: Iterator) -> Iterator:
         key = last = None
         for pdf in batches:
             emitted = []
-            for k, t in zip(pdf["__key"], pdf["__at"]):
-                emitted.append(k != key or t - last >= seconds * 1_000_000)
+            for k, t in zip(pdf["__hash"], pdf["__at"]):
+                emitted.append(k != key or t - last >= wait)
                 if emitted[-1]:
                     key, last = k, t
-            yield pdf.drop(columns=["__key", "__at"]).assign(emitted=emitted)
+            yield pdf.drop(columns=["__hash", "__at"]).assign(emitted=emitted)
 
     kinds = dict(rows.dtypes)
     return dealt.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*keys, order]) + ", emitted boolean")
 
 
+def _reached(rows: DataFrame, order: str, wait: int) -> DataFrame:
+    """__id of the rows (__id, __key, __chain, __at, order) that are emitted: those reached from their chain's first."""
+    chains = rows.select("__id", F.struct("__key", "__chain").alias("__group"), "__at", order, F.struct("__at", order).alias("__place"))
+    # A probe lies where its event may be followed; of what has one time, probes come first.
+    probes = chains.select("__group", (F.col("__at") + wait).alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast(dict(rows.dtypes)[order]).alias(order), F.col("__id").alias("__from"), F.lit(None).cast("long").alias("__to"))
+    both = probes.unionByName(chains.select("__group", "__at", F.lit(1).alias("__kind"), order, F.lit(None).cast("long").alias("__from"), F.col("__id").alias("__to")))
+    found = _scanned(_sliced(both, "__at", SLICES), "__group", ["__at", "__kind", order, "__from", "__to"], "__to", "__next", forward=False)
+    jumps = found.where(F.col("__from").isNotNull() & F.col("__next").isNotNull()).select(F.col("__from").alias("__id"), "__next").checkpoint()
+    reached = chains.groupBy("__group").agg(F.min_by("__id", "__place").alias("__id")).select("__id").checkpoint()
+    n, before = reached.count(), 0
+    while n > before:
+        reached = reached.union(reached.join(jumps, "__id").select(F.col("__next").alias("__id"))).distinct().checkpoint()
+        onward = jumps.select(F.col("__id").alias("__next"), F.col("__next").alias("__then"))
+        jumps = jumps.join(onward, "__next").select("__id", F.col("__then").alias("__next")).checkpoint()
+        before, n = n, reached.count()
+    return reached
+
+
 def one_candidate(segments: DataFrame, keys: list[str], seq: str, final: str) -> DataFrame:
     """One row for each candidate of interim and final segments: keys, id (from its first segment), seq of its latest, confirmed."""
     best = segments.groupBy(*keys).agg(F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.bool_or(final).alias("confirmed"))

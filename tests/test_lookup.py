@@ -263,6 +263,41 @@ def test_throttle_counts_from_the_last_emission(spark):
     assert [gaps[i] for i in range(6)] == [False, True, True, True, True, False]
 
 
+def test_context_of_one_hot_session_over_several_tasks(spark):
+    """A scan over slices equals a plain loop: one session holds most events, displays and clears in any slice, equal times, null sessions."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(1 if i % 4 else rng.choice([2, 3, None]), i, rng.randrange(400), rng.choice(["show", "clear", "none", "none", "none"])) for i in range(800)]
+    df = spark.createDataFrame(rows, "s int, id int, t long, kind string").withColumn("ts", F.timestamp_seconds("t"))
+    out = sessions.with_context(df, "s", "ts", "id", F.when(F.col("kind") == "show", F.col("id")), F.col("kind") == "clear", slices=8)
+    want, shown = {}, {}
+    for s, i, t, kind in sorted(rows, key=lambda r: (r[2], r[1])):
+        want[i] = shown.get(s)
+        if kind != "none":
+            shown[s] = i if kind == "show" else None
+    assert {r["id"]: r["context"] for r in out.collect()} == want and out.columns == [*df.columns, "context"]
+    parts = sessions._sliced(df.withColumn("at", F.unix_micros("ts")), "at", 8).where("s = 1").groupBy("__slice").count().collect()
+    assert len(parts) == 8 and max(r["count"] for r in parts) < 150
+
+
+@pytest.mark.parametrize("chain", [5, 10_000])
+def test_throttle_of_one_key_that_holds_all_events(spark, chain):
+    """Long chains by doubling pointers, short ones in order: both equal a plain loop; equal times among them."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(1 if i % 5 else rng.choice([2, None]), i, rng.randrange(3000) if i % 7 else rng.randrange(10**6)) for i in range(600)]
+    df = spark.createDataFrame(rows, "s int, id int, t long").withColumn("ts", F.timestamp_seconds("t"))
+    got = {r["id"]: r["emitted"] for r in sessions.throttled(df, ["s"], "ts", "id", 30, slices=6, chain=chain).collect()}
+    want, last = {}, {}
+    for s, i, t in sorted(rows, key=lambda r: (r[2], r[1])):
+        want[i] = s not in last or t - last[s] >= 30
+        if want[i]:
+            last[s] = t
+    assert got == want and sum(want.values()) > 80
+
+
 def test_verse_after_the_last_is_the_next_chapters_first(spark):
     verses = spark.createDataFrame([("gn", 1, 1), ("gn", 1, 2), ("gn", 2, 1)], "abbrev string, ch int, v int")
     catalog = corpus.neighbours(verses)
