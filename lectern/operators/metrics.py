@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators import sessions
+
 
 def percentiles(rows: DataFrame, key: str, value: str, shares: list[float], steps: int = 64) -> DataFrame:
     """key, n, p0, p1, ... (exact, between neighbouring values in proportion) of the rows' values that aren't null.
@@ -46,10 +51,10 @@ def clock_offset(samples: DataFrame, session: str) -> DataFrame:
 
 
 def report(figures: dict[str, DataFrame]) -> str:
-    """A Markdown report with a table for each one-row or few-row result; figures only, no text of any transcript."""
+    """A Markdown report with a table for each result, all its rows: figures by mode, hop or session, and no text of any transcript."""
     out = []
     for title, df in figures.items():
-        rows = df.limit(100).collect()
+        rows = df.collect()
         out += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
         out += ["| " + " | ".join("" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x) for x in r) + " |" for r in rows] + [""]
     return "\n".join(out)
@@ -85,6 +90,58 @@ def matched_in_time(labels: DataFrame, candidates: DataFrame, seconds: float = 5
     return labels.join(near.withColumn("__hit", F.lit(True)), ["session", "ref", "label_ts"], "left").select(*labels.columns, F.col("__hit").isNotNull().alias("matched"))
 
 
+def one_to_one(labels: DataFrame, candidates: DataFrame, seconds: float = 5.0) -> DataFrame:
+    """side (label or candidate), session, ref, ts, id and other: a matching of labels and candidates (session, ref, ts, id), as many pairs as can be.
+
+    A pair has one session and reference and lies within seconds; each label and each candidate is in one pair at most, the earliest first, and other is the id of
+    its partner, or null. Where nothing of a session and reference happens for longer than that, no pair goes across: such runs are dealt over tasks and
+    read in order of time, and a task holds only what can still be matched. Rows with nulls in session, ref or ts match nothing.
+    """
+    wait = int(seconds * 1_000_000)
+    kind = lambda df, side: df.select(F.lit(side).alias("side"), "session", "ref", "ts", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("__at"))
+    both = kind(labels, "label").unionByName(kind(candidates, "candidate")).withColumn("__key", F.struct("session", "ref"))
+    order = ["__at", "side", "id"]
+    whole = F.col("session").isNotNull() & F.col("ref").isNotNull() & F.col("ts").isNotNull()
+    rows = sessions.scanned(sessions.sliced(both.where(whole), "__at"), "__key", order, "__at", "__before")
+    begins = F.when(F.coalesce(F.col("__at") - F.col("__before") > wait, F.lit(True)), F.col("__at"))
+    rows = sessions.scanned(rows.withColumn("__begin", begins), "__key", order, "__begin", "__run", own=True)
+    dealt = rows.repartition("__key", "__run").sortWithinPartitions("__key", "__run", *order).select("side", "session", "ref", "ts", F.col("id").cast("string").alias("id"), "__at", F.xxhash64("__key", "__run").alias("__hash"))
+
+    def match(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        key, free = None, {"label": deque(), "candidate": deque()}
+        for pdf in batches:
+            out = []
+            for side, id_, at, k in zip(pdf["side"], pdf["id"], pdf["__at"], pdf["__hash"]):
+                if k != key:
+                    key, free = k, {"label": deque(), "candidate": deque()}
+                others = free["label" if side == "candidate" else "candidate"]
+                while others and at - others[0][1] > wait:
+                    others.popleft()
+                if others:
+                    out.append((side, id_, others.popleft()[0]))
+                else:
+                    free[side].append((id_, at))
+            yield pd.DataFrame(out, columns=["side", "a", "b"])
+
+    pairs = dealt.mapInPandas(match, "side string, a string, b string")
+    partner = pairs.select("side", F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.when(F.col("side") == "label", "candidate").otherwise("label").alias("side"), F.col("b").alias("id"), F.col("a").alias("other")))
+    own = dict(both.dtypes)["id"]
+    partner = partner.select(F.col("side").alias("__side"), F.col("id").cast(own).alias("__id"), F.col("other").cast(own).alias("other"))
+    return both.join(partner, (F.col("side") == F.col("__side")) & (F.col("id") == F.col("__id")), "left").select("side", "session", "ref", "ts", "id", "other")
+
+
+def scored(matched: DataFrame, by: list[str]) -> DataFrame:
+    """by, tp, fp, fn, precision, recall, f1 from the rows of one_to_one() with the columns by; ratios without a base are null."""
+    found = F.col("other").isNotNull()
+    out = matched.groupBy(*by).agg(
+        F.count_if((F.col("side") == "label") & found).alias("tp"), F.count_if((F.col("side") == "candidate") & ~found).alias("fp"), F.count_if((F.col("side") == "label") & ~found).alias("fn")
+    )
+    ratio = lambda a, b: F.col(a) / F.nullif(F.expr(b).cast("double"), F.lit(0.0))
+    return out.select(*by, "tp", "fp", "fn", ratio("tp", "tp + fp").alias("precision"), ratio("tp", "tp + fn").alias("recall"), (2 * ratio("tp", "2 * tp + fp + fn")).alias("f1"))
+
+
 def false_per_hour(rows: DataFrame, false: Column, ts: str) -> DataFrame:
     """One row: false positives, hours between the first and the last row, and their ratio."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -92,6 +149,15 @@ def false_per_hour(rows: DataFrame, false: Column, ts: str) -> DataFrame:
     return out.withColumn("per_hour", F.col("false_positives") / F.nullif("hours", F.lit(0.0)))
 
 
+def modes_compared(rows: DataFrame, mode: str, base: str, false: Column, ts: str) -> DataFrame:
+    """mode, false_positives, hours, per_hour, and over_base: false positives an hour more than in the mode base."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    each = rows.groupBy(mode).agg(F.count_if(F.coalesce(false, F.lit(False))).alias("false_positives"), ((F.max(micros) - F.min(micros)) / 3.6e9).alias("hours"))
+    each = each.withColumn("per_hour", F.col("false_positives") / F.nullif("hours", F.lit(0.0)))
+    own = F.max(F.when(F.col(mode) == base, F.col("per_hour"))).over(Window.partitionBy(F.lit(0)))  # a row a mode
+    return each.withColumn("over_base", F.col("per_hour") - own)
+
+
 def drift(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that only one side has, with how often and which side."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))

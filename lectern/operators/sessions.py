@@ -14,13 +14,13 @@ from lectern.shared import shared_folder
 SLICES = 64
 
 
-def _sliced(rows: DataFrame, at: str, slices: int) -> DataFrame:
+def sliced(rows: DataFrame, at: str, slices: int = SLICES) -> DataFrame:
     """rows with __slice: a number that grows with the time at (a long). No slice has many more rows than its share, whatever session they are of."""
     bounds = sorted(set(rows.approxQuantile(at, [i / slices for i in range(1, slices)], 0.25 / slices))) if slices > 1 else []
     return rows.withColumn("__slice", sum((F.when(F.col(at) >= b, 1).otherwise(0) for b in bounds), F.lit(0)))
 
 
-def _scanned(rows: DataFrame, key: str, order: list[str], mark: str, name: str, forward: bool = True, own: bool = False) -> DataFrame:
+def scanned(rows: DataFrame, key: str, order: list[str], mark: str, name: str, forward: bool = True, own: bool = False) -> DataFrame:
     """rows (with __slice) with the last mark that isn't null before each row of its key, in the given order, as the column name.
 
     A segmented scan: each slice of a key is a window of its own; the last marks of slices, one row each, are scanned by key
@@ -46,8 +46,8 @@ def with_context(events: DataFrame, session: str, ts: str, order: str, displayed
     clear is a display of nothing: it is carried as a struct that holds a null, so that it isn't skipped.
     """
     mark = F.when(displayed.isNotNull() | clears, F.struct(F.when(~clears, displayed).alias("ref")))
-    rows = _sliced(events.withColumns({"__mark": mark, "__at": F.unix_micros(F.col(ts).cast("timestamp"))}), "__at", slices)
-    found = _scanned(rows, session, ["__at", order], "__mark", "__last")
+    rows = sliced(events.withColumns({"__mark": mark, "__at": F.unix_micros(F.col(ts).cast("timestamp"))}), "__at", slices)
+    found = scanned(rows, session, ["__at", order], "__mark", "__last")
     return found.select(*events.columns, F.col("__last")["ref"].alias("context"))
 
 
@@ -94,11 +94,11 @@ def throttled(events: DataFrame, keys: list[str], ts: str, order: str, seconds:
     """
     wait = seconds * 1_000_000
     rows = events.select(*keys, order, F.struct(*keys).alias("__key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("__at")).withColumn("__id", F.monotonically_increasing_id())
-    rows = _scanned(_sliced(rows, "__at", slices), "__key", ["__at", order], "__at", "__before")
+    rows = scanned(sliced(rows, "__at", slices), "__key", ["__at", order], "__at", "__before")
     starts = F.coalesce(F.col("__at") - F.col("__before") >= wait, F.lit(True))
     rows = rows.withColumn("__start", F.when(starts, F.struct(F.col("__at").alias("at"), F.col(order).alias("order"))))
     _ready_to_checkpoint(rows)
-    rows = _scanned(rows, "__key", ["__at", order], "__start", "__chain", own=True).drop("__before").checkpoint()
+    rows = scanned(rows, "__key", ["__at", order], "__start", "__chain", own=True).drop("__before").checkpoint()
     long = rows.groupBy("__key", "__chain").agg(F.count("*").alias("__n")).where(F.col("__n") > chain).select(F.col("__key").alias("__k"), F.col("__chain").alias("__c"))
     in_long = F.col("__key").eqNullSafe(F.col("__k")) & F.col("__chain").eqNullSafe(F.col("__c"))
     short = _read_in_order(rows.join(long, in_long, "left_anti"), keys, order, wait)
@@ -141,7 +141,7 @@ def _reached(rows: DataFrame, order: str, wait: int) -> DataFrame:
     # A probe lies where its event may be followed; of what has one time, probes come first.
     probes = chains.select("__group", (F.col("__at") + wait).alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast(dict(rows.dtypes)[order]).alias(order), F.col("__id").alias("__from"), F.lit(None).cast("long").alias("__to"))
     both = probes.unionByName(chains.select("__group", "__at", F.lit(1).alias("__kind"), order, F.lit(None).cast("long").alias("__from"), F.col("__id").alias("__to")))
-    found = _scanned(_sliced(both, "__at", SLICES), "__group", ["__at", "__kind", order, "__from", "__to"], "__to", "__next", forward=False)
+    found = scanned(sliced(both, "__at", SLICES), "__group", ["__at", "__kind", order, "__from", "__to"], "__to", "__next", forward=False)
     jumps = found.where(F.col("__from").isNotNull() & F.col("__next").isNotNull()).select(F.col("__from").alias("__id"), "__next").checkpoint()
     reached = chains.groupBy("__group").agg(F.min_by("__id", "__place").alias("__id")).select("__id").checkpoint()
     n, before = reached.count(), 0

@@ -102,6 +102,14 @@ def _en_word(n: str) -> str:
 
 _WORDS = {f"k{n}": f"({_ko_word(n)})" for n in "cvm"} | {f"e{n}": f"({_en_word(n)})" for n in "cvm"}
 DETECTED, DETECTED_WORDS = (f"{BOOKS}, {ORDERS}, {speech.as_sql(which, _WORDS)}" for which in (speech.DIGITS, speech.WORDS))
+#: Sentences as they were said and as a machine wrote them down, with what is in both and which of it is matched.
+_SHIFTED = f"heard AS (SELECT * REPLACE (CASE WHEN o_orderkey % {speech.MISHEARD[0]} = {speech.MISHEARD[1]} THEN c + 1 ELSE c END AS c) FROM o)"
+EVALUATED = f"""{DETECTED}, {_SHIFTED}, {speech.as_sql(speech.DIGITS, _WORDS, 'heard', 'misheard')}, truth AS (SELECT o_orderkey, abbrev, ch, coalesce(v1, -1) AS v, count(*) AS n FROM expected GROUP BY 1, 2, 3, 4),
+  heard_refs AS (SELECT o_orderkey, abbrev, ch, coalesce(v1, -1) AS v, count(*) * any_value(CASE WHEN o_orderkey % {speech.REPEATED[0]} = {speech.REPEATED[1]} THEN 2 ELSE 1 END) AS n FROM misheard GROUP BY 1, 2, 3, 4),
+  found AS (SELECT 'said' AS mode, * FROM truth UNION ALL SELECT 'machine', * FROM heard_refs),
+  pairs AS (SELECT m.mode, coalesce(sum(CASE WHEN f.n IS NOT NULL AND t.o_orderkey % 8 <= 5 THEN least(t.n, f.n) END), 0) AS tp FROM (VALUES ('said'), ('machine')) m(mode) CROSS JOIN truth t LEFT JOIN found f
+    ON f.mode = m.mode AND f.o_orderkey = t.o_orderkey AND f.abbrev = t.abbrev AND f.ch = t.ch AND f.v = t.v GROUP BY m.mode),
+  sums AS (SELECT mode, CAST(tp AS BIGINT) AS tp, CAST((SELECT sum(n) FROM found f WHERE f.mode = p.mode) - tp AS BIGINT) AS fp, CAST((SELECT sum(n) FROM truth) - tp AS BIGINT) AS fn FROM pairs p)"""
 FOUND = 'o_orderkey, item, abbrev, ch, v1, ch2, v2, matched, start, "end"'
 _SAID = _ko_word("m")
 #: What the stand-in sentences are in the one form.
@@ -195,9 +203,15 @@ SQL = {
       SELECT o_orderkey, abbrev, ch, v, ['rule', 'context', 'llm'][min(r) + 1] AS source FROM every SEMI JOIN lines USING (abbrev, ch, v) GROUP BY 1, 2, 3, 4""",
     "latency_summary": "SELECT event_type, count(*) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, max(value) AS max_ms FROM events WHERE value IS NOT NULL GROUP BY event_type",
     "clock_offset": "SELECT user_id, median(((value - 0.0::DOUBLE) + ((value + 2) - value / 2)) / 2) AS \"offset\" FROM events GROUP BY user_id",
-    "eval_prf": "WITH c AS (SELECT count(*) FILTER (n_chars > 500 AND quality = 1) AS tp, count(*) FILTER (n_chars > 500 AND quality IS DISTINCT FROM 1) AS fp, count(*) FILTER (coalesce(n_chars <= 500, true) AND quality = 1) AS fn FROM labels JOIN documents USING (doc_id)) SELECT tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * (tp / (2 * tp + fp + fn)) AS f1 FROM c",
-    "eval_topk": "SELECT count(*) AS n, avg(CAST(doc_id % 5 < 1 AS INT)) AS top1, avg(CAST(doc_id % 5 < 3 AS INT)) AS top3 FROM labels",
-    "fp_per_hour": "WITH c AS (SELECT count(*) FILTER (event_type = 'error') AS false_positives, (epoch_us(max(ts)) - epoch_us(min(ts))) / 3.6e9::DOUBLE AS hours FROM events) SELECT *, false_positives / hours AS per_hour FROM c",
+    "eval_prf": f"WITH {EVALUATED} SELECT mode, tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * (tp / (2 * tp + fp + fn)) AS f1 FROM sums",
+    "eval_topk": f"""WITH {EVALUATED}, twice AS (SELECT m.*, unnest(CASE WHEN o_orderkey % {speech.REPEATED[0]} = {speech.REPEATED[1]} THEN [0, 1] ELSE [0] END) AS again FROM misheard m),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY confidence DESC, again, start, item) AS rank FROM twice),
+      best AS (SELECT o_orderkey, abbrev, ch, coalesce(v1, 0) AS v, min(rank) AS rank FROM ranked GROUP BY 1, 2, 3, 4)
+      SELECT count(*) AS n, avg(CAST(coalesce(rank <= 1, false) AS INT)) AS top1, avg(CAST(coalesce(rank <= 3, false) AS INT)) AS top3
+      FROM expected e LEFT JOIN best b ON b.o_orderkey = e.o_orderkey AND b.abbrev = e.abbrev AND b.ch = e.ch AND b.v = coalesce(e.v1, 0)""",
+    "fp_per_hour": f"""WITH {EVALUATED}, ends AS (SELECT min(o_orderkey * 60) AS a, max(o_orderkey * 60) AS b FROM expected), last AS (SELECT max(o_orderkey * 60 + o_orderkey % 8) AS b FROM expected),
+      each AS (SELECT mode, fp AS false_positives, (greatest(ends.b, last.b) - ends.a) / 3600.0::DOUBLE AS hours FROM sums, ends, last), rates AS (SELECT *, false_positives / hours AS per_hour FROM each)
+      SELECT *, per_hour - (SELECT per_hour FROM rates WHERE mode = 'said') AS over_base FROM rates""",
     "match_in_time": "WITH l AS (SELECT DISTINCT user_id AS session, event_id % 3 AS ref, ts AS label_ts FROM events WHERE event_type = 'purchase') SELECT *, EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'view' AND e.user_id = l.session AND e.event_id % 3 = l.ref AND abs(epoch_us(e.ts) - epoch_us(l.label_ts)) <= 3600000000) AS matched FROM l",
     "fixture_drift": "(SELECT *, 'left' AS side FROM (SELECT source, lang FROM documents WHERE doc_id % 2 = 0 EXCEPT ALL SELECT source, lang FROM documents WHERE doc_id % 2 = 1)) UNION ALL (SELECT *, 'right' FROM (SELECT source, lang FROM documents WHERE doc_id % 2 = 1 EXCEPT ALL SELECT source, lang FROM documents WHERE doc_id % 2 = 0))",
     "stream_session": f"""WITH RECURSIVE ev AS (SELECT user_id AS session, event_id, ts, event_id % 7 AS ref, CASE WHEN event_type = 'error' THEN 'clear' WHEN event_type IN ('click', 'purchase') THEN 'display' ELSE 'mention' END AS kind FROM events),

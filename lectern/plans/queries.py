@@ -276,18 +276,41 @@ def clock_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.clock_offset(samples, "user_id")
 
 
+#: Seconds between two sentences of the evaluation, and sessions they are dealt to.
+APART, SERVICES = 60, 5
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matching of what the sentences hold with what is found in them, as they were said and as a machine wrote them down (mode)."""
+    k = F.col("o_orderkey")
+    ref = F.concat_ws(" ", "abbrev", "ch", "v1").alias("ref")
+    time = lambda late: F.timestamp_seconds(1704067200 + k * APART + late).alias("ts")
+    truth = speech.labels(spark, sf_dir, speech.DIGITS).select((k % SERVICES).alias("session"), ref, time(F.lit(0)), F.concat_ws("-", k, "nth", "item").alias("id"))
+    every = None
+    for mode, misheard in (("said", False), ("machine", True)):
+        texts = speech.sentences(spark, sf_dir, speech.DIGITS, misheard)
+        found = detect.detected(texts, "o_orderkey").select((k % SERVICES).alias("session"), ref, time(k % 8), F.concat_ws("-", k, "start", "item").alias("id"))
+        rows = metrics.one_to_one(truth, found).withColumn("mode", F.lit(mode))
+        every = rows if every is None else every.unionByName(rows)
+    return every
+
+
 def eval_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = S.table(spark, sf_dir, "labels").join(S.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    return metrics.precision_recall(labels, F.col("n_chars") > 500, F.col("quality") == 1)
+    return metrics.scored(_evaluated(spark, sf_dir), ["mode"])
 
 
 def eval_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.when(F.col("doc_id") % 5 < 4, F.col("doc_id") % 5 + 1)
-    return metrics.top_k(S.table(spark, sf_dir, "labels").withColumn("rank", rank), "rank")
+    """How high the true references rank among a sentence's candidates by confidence."""
+    texts = speech.sentences(spark, sf_dir, speech.DIGITS, misheard=True)
+    found = sessions.ranked(detect.detected(texts, "o_orderkey"), "o_orderkey")
+    best = found.groupBy("o_orderkey", "abbrev", "ch", F.coalesce("v1", F.lit(0)).alias("v")).agg(F.min("rank").alias("rank"))
+    truth = speech.labels(spark, sf_dir, speech.DIGITS).select("o_orderkey", "abbrev", "ch", F.coalesce("v1", F.lit(0)).alias("v"))
+    return metrics.top_k(truth.join(best, ["o_orderkey", "abbrev", "ch", "v"], "left"), "rank")
 
 
 def fp_per_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.false_per_hour(S.events(spark, sf_dir), F.col("event_type") == "error", "ts")
+    """By mode, and how much worse the machine's transcript is than what was said."""
+    return metrics.modes_compared(_evaluated(spark, sf_dir), "mode", "said", F.col("other").isNull() & (F.col("side") == "candidate"), "ts")
 
 
 def match_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:

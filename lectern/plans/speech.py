@@ -69,15 +69,43 @@ def _plain(piece) -> str:
     return piece.text if isinstance(piece, Ref) else piece
 
 
-def sentences(spark: SparkSession, sf_dir: str, which: list) -> DataFrame:
-    """o_orderkey, text: a sentence for each order."""
+#: In a transcript by machine the chapters of these orders are misheard as the next one, and those sentences come twice.
+MISHEARD, REPEATED = (9, 4), (9, 7)
+
+
+def _words(spark: SparkSession, sf_dir: str, misheard: bool = False) -> DataFrame:
+    """The orders with all that the sentences' pieces name."""
     rows = S._orders(spark, sf_dir)
+    if misheard:
+        wrong = F.col("o_orderkey") % MISHEARD[0] == MISHEARD[1]
+        rows = rows.withColumn("c", F.when(wrong, (F.col("c").cast("int") + 1).cast("string")).otherwise(F.col("c")))
     words = {p: F.array(*[F.lit(w(n)) for n in range(1, 200)]) for p, w in (("k", numerals.korean), ("e", numerals.english))}
     word = lambda p, n: F.element_at(words[p], F.col(n).cast("int"))
     person = F.element_at(F.array(*[F.lit(p) for p, _ in PEOPLE]), (F.col("o_orderkey") % 3 + 1).cast("int"))
     rows = rows.withColumns({f"{p}{n}": word(p, n) for p in "ke" for n in "cvm"} | {"person": person, "m": F.col("m").cast("string")})
-    rows = rows.withColumn("variant", F.replace("ko", F.lit("일서"), F.lit(" 1서"))).withColumn("ordinal", F.replace("en", F.lit("1 "), F.lit("First ")))
-    return rows.select("o_orderkey", S._form(len(which), *[S._text("".join(map(_plain, t))) for t in which]).alias("text"))
+    return rows.withColumn("variant", F.replace("ko", F.lit("일서"), F.lit(" 1서"))).withColumn("ordinal", F.replace("en", F.lit("1 "), F.lit("First ")))
+
+
+def sentences(spark: SparkSession, sf_dir: str, which: list, misheard: bool = False) -> DataFrame:
+    """o_orderkey, text: a sentence for each order. misheard: as a machine writes it down, some with another chapter and some twice."""
+    rows = _words(spark, sf_dir, misheard)
+    texts = rows.select("o_orderkey", S._form(len(which), *[S._text("".join(map(_plain, t))) for t in which]).alias("text"))
+    twice = F.when(F.col("o_orderkey") % REPEATED[0] == REPEATED[1], F.concat("text", F.lit(" … "), "text")).otherwise(F.col("text"))
+    return texts.select("o_orderkey", twice.alias("text")) if misheard else texts
+
+
+def labels(spark: SparkSession, sf_dir: str, which: list) -> DataFrame:
+    """o_orderkey, nth, item, abbrev, ch, v1: the references that are in the sentences, as their pieces say."""
+    who = F.element_at(F.array(*[F.lit(b) for _, b in PEOPLE]), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    number = lambda c: F.lit(None).cast("int") if c is None else F.col(c).cast("int")
+    book = lambda r: who if r.abbrev == "who" else F.lit("ps") if r.abbrev == "'ps'" else F.col("abbrev")
+    said = [[(n, i, r, p) for n, r in enumerate(x for x in t if isinstance(x, Ref)) for i, p in enumerate(r.items)] for t in which]
+    rows = F.array().cast("array<struct<nth: int, item: int, abbrev: string, ch: int, v1: int>>")
+    for k, own in enumerate(said):
+        found = [F.struct(F.lit(n).alias("nth"), F.lit(i).alias("item"), book(r).alias("abbrev"), number(p[0]).alias("ch"), number(p[1]).alias("v1")) for n, i, r, p in own]
+        if found:
+            rows = F.when(F.col("o_orderkey") % len(which) == k, F.array(*found)).otherwise(rows)
+    return _words(spark, sf_dir).select("o_orderkey", F.inline(rows))
 
 
 def _sql(template: str, words: dict[str, str]) -> str:
@@ -86,8 +114,8 @@ def _sql(template: str, words: dict[str, str]) -> str:
     return "(" + " || ".join(parts or ["''"]) + ")"
 
 
-def as_sql(which: list, words: dict[str, str]) -> str:
-    """SQL of CTEs after one named o: spoken (o_orderkey, text) and expected (o_orderkey, text, item, abbrev, ch, v1, ch2, v2, matched, start, end, confidence)."""
+def as_sql(which: list, words: dict[str, str], orders: str = "o", found: str = "expected") -> str:
+    """SQL of CTEs after one of the orders: spoken (o_orderkey, text) and expected (o_orderkey, text, item, abbrev, ch, v1, ch2, v2, matched, start, end, confidence)."""
     who = "['jo', 'mk', 'lk'][o_orderkey % 3 + 1]"
     words = words | {
         "person": "['요한', '마가', '누가'][o_orderkey % 3 + 1]", "variant": "replace(ko, '일서', ' 1서')", "ordinal": "replace(en, '1 ', 'First ')",
@@ -105,9 +133,9 @@ def as_sql(which: list, words: dict[str, str]) -> str:
                     score = f"(60 + {20 * any(t in whole for t in TRIGGERED)} - {20 * (places[1] is None)} - CASE WHEN {names} THEN 20 ELSE 0 END) / 100.0::DOUBLE"
                     rows.append(
                         f"SELECT o_orderkey, {item} AS item, {who if piece.abbrev == 'who' else piece.abbrev} AS abbrev, {at}, {own} AS matched, CAST(length({before}) + 1 AS INT) AS start,"
-                        f" CAST(length({before}) + length({own}) AS INT) AS \"end\", {score} AS confidence FROM o WHERE o_orderkey % {n} = {k}"
+                        f" CAST(length({before}) + length({own}) AS INT) AS \"end\", {score} AS confidence FROM {orders} WHERE o_orderkey % {n} = {k}"
                     )
     return (
-        f"spoken AS (SELECT o_orderkey, CASE o_orderkey % {n} {' '.join(texts)} END AS text FROM o), "
-        f"expected(o_orderkey, item, abbrev, ch, v1, ch2, v2, matched, start, \"end\", confidence) AS ({' UNION ALL '.join(rows)})"
+        f"{'' if found == 'expected' else found + '_'}spoken AS (SELECT o_orderkey, CASE o_orderkey % {n} {' '.join(texts)} END AS text FROM {orders}), "
+        f"{found}(o_orderkey, item, abbrev, ch, v1, ch2, v2, matched, start, \"end\", confidence) AS ({' UNION ALL '.join(rows)})"
     )

@@ -254,6 +254,34 @@ def test_percentiles_are_exact(spark):
     assert set(got) == set(range(4)) and "| n |" in metrics.report({"Counts": df.agg(F.count("*").alias("n"))})
 
 
+def test_one_to_one_matching_is_the_largest(spark):
+    """Against the largest matching by augmenting paths: crowded times, two sessions, repeated times, nulls; each candidate serves one label."""
+    import random
+
+    rng = random.Random(4)
+    rows = [[(rng.choice([1, 1, 2]), rng.choice(["a", "b"]), rng.randrange(300), i) for i in range(n)] for n in (70, 90)]
+    frame = lambda r: spark.createDataFrame([*r, (None, "a", 5, 900), (1, None, 5, 901)], "session int, ref string, t long, id int").withColumn("ts", F.timestamp_seconds("t"))
+    got = metrics.one_to_one(frame(rows[0]), frame(rows[1]), 5).collect()
+    near = {a[3]: [b[3] for b in rows[1] if a[:2] == b[:2] and abs(a[2] - b[2]) <= 5] for a in rows[0]}
+    taken: dict = {}
+
+    def placed(a, seen):
+        for b in near[a]:
+            if b not in seen:
+                seen.add(b)
+                if b not in taken or placed(taken[b], seen):
+                    taken[b] = a
+                    return True
+        return False
+
+    most = sum(placed(a, set()) for a in near)
+    pairs = {(r["id"], r["other"]) for r in got if r["side"] == "label" and r["other"] is not None}
+    assert len(pairs) == most == len({b for _, b in pairs}) and all(b in near[a] for a, b in pairs) and most > 30
+    assert pairs == {(r["other"], r["id"]) for r in got if r["side"] == "candidate" and r["other"] is not None} and len(got) == 164
+    score = metrics.scored(spark.createDataFrame(got).withColumn("mode", F.lit("m")), ["mode"]).first()
+    assert (score["tp"], score["fn"], score["fp"]) == (most, 72 - most, 92 - most)
+
+
 def test_throttle_counts_from_the_last_emission(spark):
     rows = [(1, "r", i, t) for i, t in enumerate((0, 20, 40, 55, 75, 1000))]
     df = spark.createDataFrame(rows, "s int, ref string, id int, t long").withColumn("ts", F.timestamp_seconds("t"))
@@ -277,7 +305,7 @@ def test_context_of_one_hot_session_over_several_tasks(spark):
         if kind != "none":
             shown[s] = i if kind == "show" else None
     assert {r["id"]: r["context"] for r in out.collect()} == want and out.columns == [*df.columns, "context"]
-    parts = sessions._sliced(df.withColumn("at", F.unix_micros("ts")), "at", 8).where("s = 1").groupBy("__slice").count().collect()
+    parts = sessions.sliced(df.withColumn("at", F.unix_micros("ts")), "at", 8).where("s = 1").groupBy("__slice").count().collect()
     assert len(parts) == 8 and max(r["count"] for r in parts) < 150
 
 
