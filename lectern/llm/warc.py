@@ -108,24 +108,25 @@ def parsed(data: bytes) -> tuple[dict[str, str], int, bytes]:
 def captures(pages: DataFrame, date: Column | None = None, least: int = 0) -> DataFrame:
     """A row for each record to write: page_id, url, date, sha1, size, html (responses only), kind, refers_to.
 
-    Of captures with one payload of at least least bytes the largest (page_id, url) is the response. Payloads are gathered
-    once for each digest, combined before the shuffle, and joined with the responses only, so the copies of a
-    page cost a small row each; a digest of very many captures is dealt over several tasks.
+    Of captures with one payload of at least least bytes the largest (page_id, url) is the response. Their payloads are gathered once for each digest, combined
+    before the shuffle, and meet the one response there without being moved again, so the copies of a page cost a small row each; the
+    small rows of a digest with very many captures are dealt over several tasks. Smaller payloads are all responses, as they are.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), (capture_time(F.col("page_id")) if date is None else date).alias("date"))
     rows = rows.withColumns({"sha1": F.unhex(F.sha1(F.col("html").cast("binary"))), "size": F.octet_length("html").cast("long")})
-    seen = cut(rows.groupBy("sha1", "page_id", "url", "date", "size").agg(F.count("*").alias("times")))
-    best = cut(seen.where(F.col("size") >= least).groupBy("sha1").agg(F.max(F.struct("page_id", "url", "date")).alias("best")))
+    large = rows.where(F.col("size") >= least)
+    seen = cut(large.groupBy("sha1", "page_id", "url", "date", "size").agg(F.count("*").alias("times")))
+    best = cut(seen.groupBy("sha1").agg(F.max(F.struct("page_id", "url", "date")).alias("best")))
     known = joined(seen, best, "sha1")
     first = (F.col("best.page_id").eqNullSafe(F.col("page_id"))) & (F.col("best.url") == F.col("url")) & F.col("best.date").eqNullSafe(F.col("date"))
-    one = F.col("best").isNull() | ((F.col("copy") == 0) & first)
-    known = known.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times").cast("int") - 1))).withColumn("one", one)
+    known = known.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times").cast("int") - 1))).withColumn("one", (F.col("copy") == 0) & first)
     common = ["page_id", "url", "date", "sha1", "size"]
     revisits = known.where("not one").select(*common, F.lit(None).cast("string").alias("html"), F.lit("revisit").alias("kind"), F.col("best.page_id").alias("refers_to"))
-    payloads = rows.groupBy("sha1").agg(F.first("html").alias("html"))
-    responses = joined(known.where("one").select(*common), payloads, "sha1", "inner").select(*common, "html", F.lit("response").alias("kind"), F.lit(None).cast("long").alias("refers_to"))
-    return responses.unionByName(revisits.repartition(parts(pages), "page_id", "url"))
+    payloads = large.groupBy("sha1").agg(F.first("html").alias("html"))
+    as_response = lambda df: df.select(*common, "html", F.lit("response").alias("kind"), F.lit(None).cast("long").alias("refers_to"))
+    out = as_response(payloads.join(known.where("one").select(*common), "sha1")).unionByName(revisits.repartition(parts(pages), "page_id", "url"))
+    return out.unionByName(as_response(rows.where(F.col("size") < least))) if least > 0 else out
 
 
 def archived(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
