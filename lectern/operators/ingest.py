@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import canon
+from lectern.functions.references import once
 from lectern.functions.text import LINE, cleaned, without_mark
 
 
@@ -15,11 +16,13 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     All other lines are dropped silently. The code join is a broadcast of the canon.
     """
     value = F.when(F.col("line_no") == 1, without_mark(F.col("value"))).otherwise(F.col("value"))
-    part = lambda i: F.regexp_extract("value", LINE, i)
-    rows = lines.select("line_no", value.alias("value")).where(F.col("value").rlike(LINE))
-    rows = rows.select("line_no", part(1).alias("code"), part(2).cast("int").alias("ch"), part(3).cast("int").alias("v"), cleaned(part(4)).alias("text"))
+    # One pass of the pattern leaves a line of its form in four parts; a line with the mark in it is asked again.
+    cut = lambda v: F.split(F.regexp_replace(v, LINE, "$1\x01$2\x01$3\x01$4"), "\x01", 4)
+    fits = lambda v, p: (F.size(p) == 4) & (~F.contains(v, F.lit("\x01")) | v.rlike(LINE))
+    rows = lines.select("line_no", once(value, lambda v: once(cut(v), lambda p: F.when(fits(v, p), p))).alias("p")).where("p is not null")
+    rows = rows.select("line_no", F.col("p")[0].alias("code"), F.col("p")[1].cast("int").alias("ch"), F.col("p")[2].cast("int").alias("v"), F.col("p")[3].alias("text"))
     known = canon.books(lines.sparkSession).select("code", "abbrev")
-    return rows.join(F.broadcast(known), "code").select("line_no", "code", "abbrev", "ch", "v", "text")
+    return rows.join(F.broadcast(known), "code").select("line_no", "code", "abbrev", "ch", "v", cleaned(F.col("text")).alias("text"))
 
 
 def out_of_order(verses: DataFrame) -> DataFrame:

@@ -9,16 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators import sessions
+from lectern.shared import checkpointed
 
 
 def percentiles(rows: DataFrame, key: str, value: str, shares: list[float], steps: int = 64) -> DataFrame:
     """key, n, p0, p1, ... (exact, between neighbouring values in proportion) of the rows' values that aren't null.
 
-    Equal values are counted before the shuffle. Bounds that cut all values into about equal steps deal a key's distinct values
+    Equal values are counted once, before the shuffle, and written. Bounds that cut these into about equal steps deal a key's distinct values
     over many tasks; which step holds a share's place follows from the steps' counts, and only those steps are sorted.
     """
-    each = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("__key"), F.col(value).cast("double").alias("__value")).agg(F.count("*").alias("__n"))
-    bounds = sorted(set(rows.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / steps for i in range(1, steps)], 0.25 / steps)))
+    each = checkpointed(rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("__key"), F.col(value).cast("double").alias("__value")).agg(F.count("*").alias("__n")))
+    bounds = sorted(set(each.approxQuantile("__value", [i / steps for i in range(1, steps)], 0.25 / steps)))
     step = sum((F.when(F.col("__value") >= b, 1).otherwise(0) for b in bounds), F.lit(0))
     each = each.withColumn("__step", step)
     totals = each.groupBy("__key", "__step").agg(F.sum("__n").alias("__m"))
@@ -40,8 +41,7 @@ def percentiles(rows: DataFrame, key: str, value: str, shares: list[float], step
 
 def latency(rows: DataFrame, hop: str, ms: str) -> DataFrame:
     """hop, n, p50, p95, max_ms: exact percentiles, whatever number of rows a hop has."""
-    most = rows.where(F.col(ms).isNotNull()).groupBy(hop).agg(F.max(ms).alias("max_ms"))
-    return percentiles(rows, hop, ms, [0.5, 0.95]).join(most, hop).select(hop, "n", F.col("p0").alias("p50"), F.col("p1").alias("p95"), "max_ms")
+    return percentiles(rows, hop, ms, [0.5, 0.95, 1.0]).select(hop, "n", F.col("p0").alias("p50"), F.col("p1").alias("p95"), F.col("p2").alias("max_ms"))
 
 
 def clock_offset(samples: DataFrame, session: str) -> DataFrame:
@@ -50,6 +50,31 @@ def clock_offset(samples: DataFrame, session: str) -> DataFrame:
     return percentiles(samples.select(session, each.alias("__offset")), session, "__offset", [0.5]).select(session, F.col("p0").alias("offset"))
 
 
+def hops(pings: DataFrame, messages: DataFrame, samples: int = 5) -> DataFrame:
+    """event_id, session, hop and ms of messages whose four stamps are of two clocks.
+
+    pings: session, t (when), event_id, t0 and t3 (of the client), t1 and t2 (of the server), all in microseconds. messages: event_id, session, t_client and t_render of
+    the client, t_recv and t_sent of the server. The client's offset at a message is the median over the last samples pings of its session before it is received, an as-of
+    join over slices of time; messages before a session's first ping have no row. Hops: received (t_client to t_recv), answered (t_recv to t_sent), rendered (t_sent to t_render).
+    """
+    each = pings.withColumn("__off", ((F.col("t1") - F.col("t0")) + (F.col("t2") - F.col("t3"))) / 2)
+    near = sessions.with_last(each, "session", ["t", "event_id"], "__off", samples)
+    valid = near.select("session", F.col("t").alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast("long").alias("event_id"), _middle(F.col("__last")).alias("__offset"), F.lit(None).cast("struct<t_client: long, t_recv: long, t_sent: long, t_render: long>").alias("m"))
+    asked = messages.select("session", F.col("t_recv").alias("__at"), F.lit(1).alias("__kind"), F.col("event_id").cast("long").alias("event_id"), F.lit(None).cast("double").alias("__offset"), F.struct("t_client", "t_recv", "t_sent", "t_render").alias("m"))
+    rows = sessions.scanned(sessions.sliced(valid.unionByName(asked), "__at"), "session", ["__at", "__kind", "event_id"], "__offset", "__valid").where("__kind = 1 and __valid is not null")
+    ms = lambda x: (x / 1000.0).alias("ms")
+    off = F.col("__valid")
+    spans = {"received": F.col("m.t_recv") - (F.col("m.t_client") + off), "answered": (F.col("m.t_sent") - F.col("m.t_recv")).cast("double"), "rendered": F.col("m.t_render") + off - F.col("m.t_sent")}
+    return rows.select("event_id", "session", F.explode(F.array(*[F.struct(F.lit(h).alias("hop"), ms(x)) for h, x in spans.items()])).alias("h")).select("event_id", "session", "h.*")
+
+
+def _middle(values: Column) -> Column:
+    """The median of an array of numbers."""
+    s, n = F.array_sort(values), F.size(values)
+    at = lambda i: F.get(s, i.cast("int"))
+    return (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
+
+
 def report(figures: dict[str, DataFrame]) -> str:
     """A Markdown report with a table for each result, all its rows: figures by mode, hop or session, and no text of any transcript."""
     out = []

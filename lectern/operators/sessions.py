@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.shared import shared_folder
+from lectern.shared import checkpointed
 
 
 #: Slices of time that sessions are split into, with about equal numbers of rows of all sessions together.
@@ -81,6 +81,25 @@ def since_last(events: DataFrame, keys: list[str], ts: str, order: str, seconds:
     return events.withColumn("suppressed", F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(gap.cast("timestamp")) < seconds * 1_000_000, F.lit(False)))
 
 
+def with_last(rows: DataFrame, key: str, order: list[str], value: str, n: int, slices: int = SLICES) -> DataFrame:
+    """rows with __last: an array of the values of the last n rows of its key up to each row; order begins with a time (a long).
+
+    The last n of each slice of time are handed on to the slice after it, so a key is read by several tasks. A slice with fewer rows hands on its predecessors' too.
+    """
+    rows = sliced(rows, order[0], slices)
+    place = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], F.col(value).alias("v"))
+    tail = lambda a: F.slice(F.array_sort(a), F.greatest(F.lit(1), F.size(a) - n + 1), n)
+    within = Window.partitionBy(key, "__slice").orderBy(*order)
+    near = rows.withColumn("__near", F.collect_list(place).over(within.rowsBetween(-(n - 1), 0)))
+    ends = near.groupBy(key, "__slice").agg(F.max_by("__near", F.struct(*order)).alias("__end"))
+    # A slice's own tail has n rows, or all it has; n slices back there are n rows of the key, if there are so many.
+    before = F.flatten(F.collect_list("__end").over(Window.partitionBy(key).orderBy("__slice").rowsBetween(-n, -1)))
+    carried = ends.select(F.col(key).alias("__k"), F.col("__slice").alias("__s"), tail(before).alias("__carried"))
+    found = near.join(carried, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__slice") == F.col("__s")))
+    last = tail(F.concat("__carried", "__near"))
+    return found.select(*[c for c in rows.columns if c != "__slice"], F.transform(last, lambda x: x["v"]).alias("__last"))
+
+
 #: Events of a chain of repeats without a pause that one task reads; those of longer ones find their emissions by doubling pointers.
 CHAIN = 100_000
 
@@ -97,8 +116,7 @@ def throttled(events: DataFrame, keys: list[str], ts: str, order: str, seconds:
     rows = scanned(sliced(rows, "__at", slices), "__key", ["__at", order], "__at", "__before")
     starts = F.coalesce(F.col("__at") - F.col("__before") >= wait, F.lit(True))
     rows = rows.withColumn("__start", F.when(starts, F.struct(F.col("__at").alias("at"), F.col(order).alias("order"))))
-    _ready_to_checkpoint(rows)
-    rows = scanned(rows, "__key", ["__at", order], "__start", "__chain", own=True).drop("__before").checkpoint()
+    rows = checkpointed(scanned(rows, "__key", ["__at", order], "__start", "__chain", own=True).drop("__before"))
     long = rows.groupBy("__key", "__chain").agg(F.count("*").alias("__n")).where(F.col("__n") > chain).select(F.col("__key").alias("__k"), F.col("__chain").alias("__c"))
     in_long = F.col("__key").eqNullSafe(F.col("__k")) & F.col("__chain").eqNullSafe(F.col("__c"))
     short = _read_in_order(rows.join(long, in_long, "left_anti"), keys, order, wait)
@@ -109,13 +127,6 @@ def throttled(events: DataFrame, keys: list[str], ts: str, order: str, seconds:
     return short.unionByName(rest.join(emitted, "__id", "left").select(*keys, order, F.coalesce("emitted", F.lit(False)).alias("emitted")))
 
 
-def _ready_to_checkpoint(df: DataFrame) -> None:
-    """Sets the folder of checkpoints if the session has none."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark, "rounds"))
-
-
 def _read_in_order(rows: DataFrame, keys: list[str], order: str, wait: int) -> DataFrame:
     """keys, order, emitted of rows, whose chains are read one after the other."""
     dealt = rows.repartition("__key", "__chain").sortWithinPartitions("__key", "__chain", "__at", order)
@@ -142,13 +153,13 @@ def _reached(rows: DataFrame, order: str, wait: int) -> DataFrame:
     probes = chains.select("__group", (F.col("__at") + wait).alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast(dict(rows.dtypes)[order]).alias(order), F.col("__id").alias("__from"), F.lit(None).cast("long").alias("__to"))
     both = probes.unionByName(chains.select("__group", "__at", F.lit(1).alias("__kind"), order, F.lit(None).cast("long").alias("__from"), F.col("__id").alias("__to")))
     found = scanned(sliced(both, "__at", SLICES), "__group", ["__at", "__kind", order, "__from", "__to"], "__to", "__next", forward=False)
-    jumps = found.where(F.col("__from").isNotNull() & F.col("__next").isNotNull()).select(F.col("__from").alias("__id"), "__next").checkpoint()
-    reached = chains.groupBy("__group").agg(F.min_by("__id", "__place").alias("__id")).select("__id").checkpoint()
+    jumps = checkpointed(found.where(F.col("__from").isNotNull() & F.col("__next").isNotNull()).select(F.col("__from").alias("__id"), "__next"))
+    reached = checkpointed(chains.groupBy("__group").agg(F.min_by("__id", "__place").alias("__id")).select("__id"))
     n, before = reached.count(), 0
     while n > before:
-        reached = reached.union(reached.join(jumps, "__id").select(F.col("__next").alias("__id"))).distinct().checkpoint()
+        reached = checkpointed(reached.union(reached.join(jumps, "__id").select(F.col("__next").alias("__id"))).distinct())
         onward = jumps.select(F.col("__id").alias("__next"), F.col("__next").alias("__then"))
-        jumps = jumps.join(onward, "__next").select("__id", F.col("__then").alias("__next")).checkpoint()
+        jumps = checkpointed(jumps.join(onward, "__next").select("__id", F.col("__then").alias("__next")))
         before, n = n, reached.count()
     return reached
 

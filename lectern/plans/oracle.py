@@ -151,7 +151,9 @@ SQL = {
       SELECT o_orderkey, b.en || ' ' || ch || coalesce(':' || nullif(v1, 0) || coalesce('–' || nullif(v2, 0), ''), '') AS label, b.ko || ' · ' || b.en AS names, 'K' AS ko_label, 'E' AS en_label
       FROM parsed p JOIN there USING (o_orderkey) JOIN books b ON b.abbrev = p.abbrev""",
     "build_separate": f"WITH {VERSES} SELECT * FROM verses",
-    "corpus_view": "SELECT 'both' AS title, true AS demo_badge, 'ko+en' AS layout, 'K' AS ko_label, 'E' AS en_label",
+    "corpus_view": """SELECT n_name AS title, n_nationkey % 5 = 0 AS demo_badge, ['ko+en', 'ko', 'en'][n_nationkey % 3 + 1] AS layout,
+      CASE WHEN n_nationkey % 2 = 0 THEN 'K ' || n_name ELSE '' END AS ko_label, CASE WHEN n_nationkey % 2 = 0 THEN 'E' ELSE n_name END AS en_label FROM nation""",
+    "ko_only_view": f"WITH {VERSES} SELECT abbrev, ch, v, replace(replace(replace(CASE ko WHEN '' THEN '—' ELSE ko END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS ko_html, ko = '' AS ko_empty FROM verses",
     "scan_decoded": f"WITH {FILES} {SIGNATURES_FOUND.format('files')}",
     "context_phrases": f"""WITH {PHRASES} SELECT o_orderkey, kind, abbrev, CAST(to_ch AS INT) AS to_ch, CAST(to_v AS INT) AS to_v, rolled_over,
       (60 + CASE WHEN o_orderkey % 12 IN (0, 1) THEN 20 ELSE 0 END - CASE WHEN rolled_over THEN 20 ELSE 0 END) / 100.0::DOUBLE AS confidence FROM looked WHERE found""",
@@ -176,8 +178,8 @@ SQL = {
     "scan_size": f"WITH {FILES} {SIZES_FOUND.format('files')}",
     "scan_report": f"WITH {REPORT} SELECT * FROM report",
     "scan_verdict": f"WITH {REPORT} SELECT (SELECT count(*) FROM files) AS checked, count(*) AS violations, count(*) > 0 AS blocked FROM report",
-    "numerals_ko": f"SELECT CAST(n AS INT) AS n, {_ko_word('n')} AS word, CAST(n AS INT) AS value FROM range(1, 201) t(n)",
-    "numerals_en": f"SELECT CAST(n AS INT) AS n, {_en_word('n')} AS word, CAST(n AS INT) AS value FROM range(1, 201) t(n)",
+    "numerals_ko": f"SELECT o_orderkey, {_ko_word('n')} AS word, CAST(n AS INT) AS value FROM (SELECT o_orderkey, o_orderkey % 200 + 1 AS n FROM orders)",
+    "numerals_en": f"SELECT o_orderkey, {_en_word('n')} AS word, CAST(n AS INT) AS value FROM (SELECT o_orderkey, o_orderkey % 200 + 1 AS n FROM orders)",
     "normalize_text": f"WITH {NORMALISED}",
     "detect_refs": f"WITH {DETECTED} SELECT {FOUND} FROM expected",
     "detect_offsets": f"WITH {DETECTED_WORDS} SELECT {FOUND}, matched AS shown FROM expected",
@@ -196,6 +198,17 @@ SQL = {
       SELECT e.user_id, e.event_type, e.event_id, l.ts IS NOT NULL AS emitted FROM events e LEFT JOIN emitted l ON e.user_id = l.user_id AND e.event_type = l.event_type AND e.ts = l.ts""",
     "stream_candidates": f"""WITH {VERSES}, {DETECTED.removeprefix(BOOKS + ', ')} SELECT o_orderkey % {SESSIONS} AS session, o_orderkey // {SESSIONS} AS seq, item, o_orderkey % 2 = 0 AS final, abbrev, ch,
       greatest(1, coalesce(v1, 1)) AS v, start, "end", ko, en FROM expected e JOIN verses s USING (abbrev, ch) WHERE s.v = greatest(1, coalesce(e.v1, 1)) AND o_orderkey % {LOST[0]} <> {LOST[1]}""",
+    "resolver_answers": """WITH asked AS (SELECT user_id AS session, event_id AS seq FROM events WHERE event_type = 'view'),
+      answers AS (SELECT session, seq, seq % 9 * 10 + seq % 2 AS wait, ['gn', 'ex', 'xx'][seq % 3 + 1] AS abbrev, CAST(seq % 4 + 1 AS INT) AS ch, CAST(unnest(CASE WHEN seq % 4 = 0 THEN [] WHEN seq % 5 = 0 THEN [1, 2] ELSE [1] END) AS INT) AS v FROM asked)
+      SELECT a.session, a.seq, CASE WHEN wait IS NULL THEN 'never' WHEN wait <= 1.5 THEN 'in_time' ELSE 'late' END AS outcome, abbrev, ch, v FROM asked a LEFT JOIN answers w ON w.session = a.session AND w.seq = a.seq AND wait <= 60""",
+    "latency_stamps": """WITH rows AS (SELECT event_id, event_type, user_id AS session, epoch_us(ts) AS t, user_id % 11 * 1000000 - 5000000 + epoch_us(ts) // 86400000000 % 3 * 1000 AS off FROM events),
+      pings AS (SELECT session, t, event_id, (((t + 20000 + event_id % 7 * 1000) - (t + off)) + ((t + 30000) - (t + off + 50000))) / 2 AS o FROM rows WHERE event_type = 'click'),
+      offsets AS (SELECT session, t, event_id, median(o) OVER (PARTITION BY session ORDER BY t, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS o FROM pings),
+      last_of AS (SELECT session, t, max_by(o, event_id) AS o FROM offsets GROUP BY 1, 2),
+      messages AS (SELECT event_id, session, t, off, t + 40000 + event_id % 5 * 10000 AS recv, t + 90000 + event_id % 3 * 1000 AS sent FROM rows WHERE event_type <> 'click'),
+      valid AS (SELECT m.*, p.o FROM messages m ASOF JOIN last_of p ON m.session = p.session AND m.recv >= p.t),
+      hops AS (SELECT 'received' AS hop, (recv - (t + off + o)) / 1000.0::DOUBLE AS ms FROM valid UNION ALL SELECT 'answered', (sent - recv) / 1000.0::DOUBLE FROM valid UNION ALL SELECT 'rendered', (t + off + 150000 + o - sent) / 1000.0::DOUBLE FROM valid)
+      SELECT hop, count(*) AS n, quantile_cont(ms, 0.5) AS p50, quantile_cont(ms, 0.95) AS p95, max(ms) AS max_ms FROM hops GROUP BY hop""",
     "interim_final": "SELECT user_id, event_id % 7 AS ref, min(event_id) AS first_seq, max(event_id) AS last_seq, bool_or(event_type = 'purchase') AS confirmed, sha256(user_id || '|' || event_id % 7 || '|' || min(event_id)) AS id FROM events GROUP BY user_id, event_id % 7",
     "top5": "SELECT user_id, event_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INT) AS place FROM events QUALIFY place <= 5",
     "candidate_union": f"""WITH {LINES}, {ORDERS}, parts_of AS (SELECT o_orderkey % 6 AS p, o_orderkey % 100 AS o_orderkey, abbrev, CAST(c AS INT) AS ch, CAST(v AS INT) AS v FROM o),

@@ -13,7 +13,7 @@ from lectern.plans import speech
 from lectern.plans import stand_ins as S
 from lectern.shared import shared_folder
 from lectern.sources import files, transcripts
-from lectern.streaming import console, segments, session
+from lectern.streaming import answers, console, segments, session
 
 
 def _long(*columns: str) -> list:
@@ -132,9 +132,15 @@ def build_separate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ko = S.table(spark, sf_dir, "region").select(F.lit("gn").alias("abbrev"), F.array(F.array("r_name")).alias("chapters")).limit(1)
-    files.write_script(corpus.merged(ko, ko), spark.createDataFrame(*META), path := shared_folder(spark, "view"))
-    return corpus.view(files.read_script(spark, path)[1])
+    """The views of corpora with both sides, one, or names for one only: a nation's name is a title."""
+    k = F.col("n_nationkey")
+    langs = F.when(k % 3 == 0, F.array(F.lit("ko"), F.lit("en"))).when(k % 3 == 1, F.array(F.lit("ko"))).otherwise(F.array(F.lit("en")))
+    names = F.when(k % 2 == 0, F.create_map(F.lit("ko"), F.concat(F.lit("K "), "n_name"), F.lit("en"), F.lit("E"))).otherwise(F.create_map(F.lit("en"), F.col("n_name")))
+    return corpus.view(S.table(spark, sf_dir, "nation").select(F.col("n_name").alias("title"), langs.alias("langs"), names.alias("names"), F.when(k % 5 == 0, True).alias("demo")))
+
+
+def ko_only_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.rendered(S.verses(spark, sf_dir), ["ko"])
 
 
 def scan_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,14 +169,20 @@ def scan_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.verdict(texts, scan.violations(texts, S.signatures(spark, sf_dir), S.OVERSIZE))
 
 
+def _numerals(spark: SparkSession, sf_dir: str, said, value) -> DataFrame:
+    """Each order's number in words, and what the words are read as."""
+    words = F.array(*[F.lit(said(n)) for n in range(1, 201)])
+    n = (F.col("o_orderkey") % 200 + 1).cast("int")
+    rows = S.table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(words, n).alias("word"))
+    return rows.select("o_orderkey", "word", value(F.col("word")).alias("value"))
+
+
 def numerals_ko(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.createDataFrame([(n, numerals.korean(n)) for n in range(1, 201)], "n int, word string")
-    return words.select("n", "word", numerals.korean_value(F.col("word")).alias("value"))
+    return _numerals(spark, sf_dir, numerals.korean, numerals.korean_value)
 
 
 def numerals_en(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.createDataFrame([(n, numerals.english(n)) for n in range(1, 201)], "n int, word string")
-    return words.select("n", "word", numerals.english_value(F.col("word")).alias("value"))
+    return _numerals(spark, sf_dir, numerals.english, numerals.english_value)
 
 
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,6 +349,24 @@ def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.drained(spark, session.messages(S.console_events(stream), S.REPEAT_SECONDS))
 
 
+def resolver_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions and answers as two streams, joined in time; the last watermark comes from rows of a far later time."""
+    asked, said = S.questions(S.events(spark, sf_dir))
+    folder, out = shared_folder(spark, "questions"), shared_folder(spark, "answers")
+    far = lambda df, t: df.limit(1).withColumns({"session": F.lit(-1).cast("long"), t: F.lit("2100-01-01").cast("timestamp")})
+    for step in range(2):
+        for name, df, t in (("asked", asked, "t_asked"), ("said", said, "t_answer")):
+            (far(df, t) if step else df).write.mode("append").parquet(f"{folder}/{name}")
+        q, a = (spark.readStream.schema(df.schema).parquet(f"{folder}/{name}") for name, df in (("asked", asked), ("said", said)))
+        rows = session.drained(spark, answers.awaited(q, a, latest=60, late=10**6), out)
+    return rows.where("session >= 0").select("session", "seq", "outcome", "abbrev", "ch", "v")
+
+
+def latency_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hops of messages from the stamps of two clocks, with each client's offset at that time."""
+    return metrics.latency(metrics.hops(*S.stamped(S.events(spark, sf_dir))), "hop", "ms")
+
+
 def stream_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From transcript lines to candidates of the corpus: the source, the order of segments, detection and the join with the verses in one stream."""
     folder, out, verses = (shared_folder(spark, n) for n in ("transcripts", "candidates", "catalog"))
@@ -354,9 +384,9 @@ def stream_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     parse_ref, parse_chverse, resolve_alias, corpus_long, parallel_align, chapter_merge, lookup_range, lookup_status, lookup_header, render_rows, en_only_view,
     clean_text, vpl_parse, verse_order_check, missing_books, chapter_gap_pad, corpus_counts, last_wins, source_fallback, js_roundtrip, json_combined,
-    build_separate, corpus_view, scan_decoded, context_phrases, context_misses, resolver_gate, latency_jsonl,
+    build_separate, corpus_view, ko_only_view, scan_decoded, context_phrases, context_misses, resolver_gate, latency_jsonl,
     scan_names, scan_signatures, scan_size, scan_report, scan_verdict, numerals_ko, numerals_en, normalize_text, detect_refs, detect_offsets, detect_special, confidence_rank,
     context_asof, relative_resolve, suppress_gap, suppress_throttle, interim_final, top5, candidate_union, latency_summary, clock_offset, eval_prf,
-    eval_topk, fp_per_hour, match_in_time, fixture_drift, stream_session, stream_messages, stream_candidates,
+    eval_topk, fp_per_hour, match_in_time, fixture_drift, stream_session, stream_messages, stream_candidates, resolver_answers, latency_stamps,
 )
 QUERIES = {f.__name__: f for f in _ALL}

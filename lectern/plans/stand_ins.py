@@ -169,3 +169,25 @@ def transcripts(texts: DataFrame) -> DataFrame:
         F.date_format(F.timestamp_seconds(seq + 1704067200), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t_client"), F.explode(F.array_repeat(F.lit(0), F.when(k % TWICE[0] == TWICE[1], 2).otherwise(1).cast("int"))).alias("n"),
     )
     return rows.drop("n").repartition(F.xxhash64("seq", "session"))
+
+
+def questions(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked, answers) of a resolver: views are questions; three quarters of them are answered after 0 to 80 seconds, some twice."""
+    k = F.col("event_id")
+    views = events.where("event_type = 'view'").select(F.col("user_id").alias("session"), k.alias("seq"), F.col("ts").cast("timestamp").alias("t_asked"))
+    wait = (F.col("seq") % 9 * 10_000_000 + F.col("seq") % 2 * 1_000_000)
+    times = F.array_repeat(F.lit(0), F.when(F.col("seq") % 4 == 0, 0).when(F.col("seq") % 5 == 0, 2).otherwise(1).cast("int"))
+    rows = views.select("*", F.posexplode(times).alias("nth", "x"))
+    at = F.timestamp_micros(F.unix_micros("t_asked") + wait).alias("t_answer")
+    book = F.element_at(F.array(F.lit("gn"), F.lit("ex"), F.lit("xx")), (F.col("seq") % 3 + 1).cast("int")).alias("abbrev")
+    return views, rows.select("session", "seq", at, book, (F.col("seq") % 4 + 1).cast("int").alias("ch"), (F.col("nth") + 1).alias("v"))
+
+
+def stamped(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pings, messages) of clients whose clocks are off: each user's clicks are pings, all else messages with the stamps of two clocks, in microseconds."""
+    k, at = F.col("event_id"), F.unix_micros(F.col("ts").cast("timestamp"))
+    off = F.col("user_id") % 11 * 1_000_000 - 5_000_000 + F.floor(at / 86_400_000_000) % 3 * 1000  # the client's clock drifts from day to day
+    rows = events.select("event_id", "event_type", F.col("user_id").alias("session"), at.alias("t"), off.alias("off"))
+    pings = rows.where("event_type = 'click'").select("session", "t", (F.col("t") + F.col("off")).alias("t0"), (F.col("t") + 20_000 + k % 7 * 1000).alias("t1"), (F.col("t") + 30_000).alias("t2"), (F.col("t") + F.col("off") + 50_000).alias("t3"), "event_id")
+    messages = rows.where("event_type <> 'click'").select("event_id", "session", (F.col("t") + F.col("off")).alias("t_client"), (F.col("t") + 40_000 + k % 5 * 10_000).alias("t_recv"), (F.col("t") + 90_000 + k % 3 * 1000).alias("t_sent"), (F.col("t") + F.col("off") + 150_000).alias("t_render"))
+    return pings, messages

@@ -6,9 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import corpus
+from lectern.operators import corpus, metrics
 from lectern.sources import transcripts
-from lectern.streaming import console, segments, session
+from lectern.streaming import answers, console, segments, session
 
 
 def put(folder, name, rows, mode="a"):
@@ -128,6 +128,38 @@ def test_one_stream_from_text_to_messages(spark, tmp_path, verses):
     assert sorted((r["session"], r["seq"], r["status"]) for r in got.collect()) == [(1, 0, "tentative"), (1, 1, "confirmed"), (2, 0, "confirmed")]
 
 
+ASKED, ANSWER = "session long, seq long, sec long", "session long, seq long, ms long, abbrev string, ch int, v int"
+
+
+@pytest.mark.parametrize("streaming", [False, True])
+def test_answers_in_time_late_and_never(spark, tmp_path, streaming):
+    asked = spark.createDataFrame([(1, 1, 0), (1, 2, 10), (1, 3, 20), (1, 4, 30), (2, 1, 0), (None, 9, 0)], ASKED).select("session", "seq", F.timestamp_seconds(F.col("sec") + 10**9).alias("t_asked"))  # a stream drops what is at the epoch
+    said = [(1, 1, 900, "jo", 3, 16), (1, 1, 1500, "jo", 3, 17), (1, 2, 12_000, "rm", 8, 1), (1, 3, 99_000, "rm", 8, 1), (1, 4, 29_000, "rm", 8, 1), (2, 1, 1000, "xx", 1, 1), (None, 9, 1, "jo", 3, 16)]
+    replies = spark.createDataFrame(said, ANSWER).select("session", "seq", F.timestamp_millis(F.col("ms") + 10**12).alias("t_answer"), "abbrev", "ch", "v")
+    if streaming:
+        for step in range(2):
+            for name, df, t in (("q", asked, "t_asked"), ("a", replies, "t_answer")):
+                (df.limit(1).withColumns({"session": F.lit(-1).cast("long"), t: F.lit("2100-01-01").cast("timestamp")}) if step else df).write.mode("append").parquet(f"{tmp_path}/{name}")
+            q, a = (spark.readStream.schema(df.schema).parquet(f"{tmp_path}/{name}") for name, df in (("q", asked), ("a", replies)))
+            got = session.drained(spark, answers.awaited(q, a), str(tmp_path / "out")).where("session is null or session > 0")
+    else:
+        got = answers.awaited(asked, replies)
+    rows = sorted(((r["session"], r["seq"], r["outcome"], r["v"]) for r in got.collect()), key=str)
+    assert rows == sorted([(1, 1, "in_time", 16), (1, 1, "in_time", 17), (1, 2, "late", 1), (1, 3, "never", None), (1, 4, "never", None), (2, 1, "in_time", 1), (None, 9, "never", None)], key=str)
+    catalog = spark.createDataFrame([("jo", 3, 16), ("jo", 3, 17), ("rm", 8, 1)], "abbrev string, ch int, v int")
+    assert sorted((r["seq"], r["v"], r["late"]) for r in answers.labelled(got, catalog).collect()) == [(1, 16, False), (1, 17, False), (2, 1, True)]
+
+
+def test_hops_of_two_clocks(spark):
+    """The offset is the median of the last five pings before the message; a message before the first ping has none."""
+    pings = spark.createDataFrame([(1, 100 * i, i, 100 * i + o, 100 * i, 100 * i, 100 * i + o) for i, o in enumerate((7000, -7000, 1000, 3000, 2000, 99000, 2500), 1)], "session long, t long, event_id long, t0 long, t1 long, t2 long, t3 long")
+    messages = spark.createDataFrame([(50, 1, 10_000, 50, 60, 11_000), (51, 1, 10_000, 520, 5_520, 11_000), (52, 1, 10_000, 900, 1_900, 11_000)], "event_id long, session long, t_client long, t_recv long, t_sent long, t_render long")
+    got = {(r["event_id"], r["hop"]): r["ms"] for r in metrics.hops(pings, messages, 5).collect()}
+    assert {k[0] for k in got} == {51, 52}
+    assert got[51, "received"] == (520 - (10_000 - 2000)) / 1000 and got[51, "answered"] == 5.0 and got[51, "rendered"] == (11_000 - 2000 - 5_520) / 1000
+    assert got[52, "received"] == (900 - (10_000 - 2500)) / 1000
+
+
 def test_a_batch_that_fails_between_roles_is_told_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, 1, 0, "candidates", "jo", 3, "x", "confirmed", 1, False), (1, 2, 0, "show", "jo", 3, "x", "confirmed", 1, True)], console.MESSAGE)
     rows.coalesce(1).write.parquet(f"{tmp_path}/in")
