@@ -45,6 +45,16 @@ def verses_of(refs: DataFrame, verses: DataFrame) -> DataFrame:
     return wanted.join(side, hit).select(*refs.columns, "num", "ko", "en")
 
 
+def shown(refs: DataFrame, verses: DataFrame, key: str) -> DataFrame:
+    """key, nums, ko, en of each reference that is found: its verses in their order, numbers with commas and texts with line breaks between.
+
+    A row holds one chapter's verses at most.
+    """
+    rows = verses_of(refs, verses).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("num", "ko", "en"))).alias("__v"))
+    joined = lambda c, by: F.array_join(F.transform("__v", lambda x: x[c].cast("string")), by).alias(c)
+    return rows.select(key, joined("num", ",").alias("nums"), joined("ko", "\n"), joined("en", "\n"))
+
+
 def with_status(refs: DataFrame, verses: DataFrame, key: str, raw: str = "raw", loaded: bool = True) -> DataFrame:
     """key, raw, status and label of each reference: noop, loading, bad_format, not_found or ok, in this precedence.
 

@@ -176,6 +176,12 @@ def latest(candidates: DataFrame, session: str, ts: str, order: str, k: int = 5)
     return candidates.withColumn("place", place).where(F.col("place") <= k)
 
 
+def marked(candidates: DataFrame, displays: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """candidates with displayed: whether displays (keys, ts) has their reference at their time or later. Displays are combined before the shuffle."""
+    last = displays.groupBy(*keys).agg(F.max(ts).alias("__shown"))
+    return candidates.join(last, keys, "left").withColumn("displayed", F.coalesce(F.col("__shown") >= F.col(ts), F.lit(False))).drop("__shown")
+
+
 def ranked(candidates: DataFrame, segment: str) -> DataFrame:
     """candidates with rank: their place by confidence among those of their segment, equal ones in the order in which they are said."""
     order = Window.partitionBy(segment).orderBy(F.desc("confidence"), "start", "item")

@@ -136,10 +136,13 @@ SQL = {
     "parse_ref": f"WITH {BOOKS}, {PARSED} SELECT * FROM parsed",
     "parse_chverse": f"WITH {BOOKS}, {ORDERS}, tails AS (SELECT o_orderkey, {_forms(9, *(x.replace('+', '||') for x in ("c + ':' + v", "c + ' ' + v", "c + ':' + v + '-' + w", "c + ' ' + v + ' ' + w", "c + ''", "c + ' ' + v + ' - ' + w", "'x ' + c", "c + ':' + v + '-'", "c + ':' + v + ',' + w")))} AS tail FROM o) SELECT o_orderkey, tail, {_numbers('tail')} FROM tails",
     "resolve_alias": f"WITH {BOOKS}, {ORDERS}, named AS (SELECT o_orderkey, {_forms(5, 'alias', 'big', "alias || '.'", 'en', "'x' || alias")} AS name FROM o), keyed AS (SELECT o_orderkey, name, {_KEY} AS alias FROM named) SELECT o_orderkey, name, abbrev FROM keyed LEFT JOIN aliases USING (alias)",
-    "corpus_long": f"WITH {LINES} SELECT abbrev, ch, v, text FROM lines WHERE side = 'en'",
+    "corpus_long": f"WITH {LINES} SELECT side, abbrev, ch, v, text FROM lines",
     "parallel_align": f"WITH {VERSES} SELECT * FROM verses",
     "chapter_merge": f"WITH {LINES} SELECT ord, abbrev AS a, en, ko, CAST(coalesce(max(ch), 0) AS INT) AS chapters, CAST(count(*) FILTER (side = 'ko') AS INT) AS ko_verses, CAST(count(*) FILTER (side = 'en') AS INT) AS en_verses FROM books LEFT JOIN lines USING (abbrev) GROUP BY ord, abbrev, en, ko",
     "lookup_range": f"WITH {VERSES}, {PARSED}, wanted AS (SELECT *, {RANGE} FROM parsed WHERE ch > 0) SELECT w.o_orderkey, w.abbrev, w.ch, s.v AS num, s.ko, s.en FROM wanted w JOIN verses s ON s.abbrev = w.abbrev AND s.ch = w.ch AND s.v BETWEEN w.lo AND w.hi",
+    "lookup_shown": f"""WITH {VERSES}, {PARSED}, wanted AS (SELECT *, {RANGE} FROM parsed WHERE ch > 0)
+      SELECT w.o_orderkey, string_agg(CAST(s.v AS VARCHAR), ',' ORDER BY s.v) AS nums, string_agg(s.ko, chr(10) ORDER BY s.v) AS ko, string_agg(s.en, chr(10) ORDER BY s.v) AS en
+      FROM wanted w JOIN verses s ON s.abbrev = w.abbrev AND s.ch = w.ch AND s.v BETWEEN w.lo AND w.hi GROUP BY w.o_orderkey""",
     "lookup_status": f"""WITH {VERSES}, {PARSED}, wanted AS (SELECT *, {RANGE} FROM parsed), counted AS (
         SELECT w.o_orderkey, count(s.v) AS n FROM wanted w LEFT JOIN verses s ON s.abbrev = w.abbrev AND s.ch = w.ch AND s.v BETWEEN w.lo AND w.hi GROUP BY 1
       ) SELECT o_orderkey, raw, CASE WHEN trim(raw) = '' THEN 'noop' WHEN p.abbrev IS NULL THEN 'bad_format' WHEN n > 0 THEN 'ok' ELSE 'not_found' END AS status,
@@ -167,10 +170,10 @@ SQL = {
     "vpl_parse": f"WITH {SOURCE} SELECT * FROM vpl",
     "verse_order_check": f"WITH {SOURCE}, seen AS (SELECT *, CAST(row_number() OVER (PARTITION BY code, ch ORDER BY line_no) AS INT) AS expected FROM vpl) SELECT code, ch, line_no, v, expected FROM seen WHERE v <> expected",
     "missing_books": f"WITH {LINES} SELECT ord, abbrev, en FROM books ANTI JOIN lines USING (abbrev)",
-    "chapter_gap_pad": f"WITH {LINES}, kept AS (SELECT abbrev, ch, count(*) AS n FROM lines WHERE side = 'en' AND ch % 3 <> 0 GROUP BY 1, 2), every AS (SELECT abbrev, CAST(unnest(generate_series(1, max(ch))) AS INT) AS ch FROM kept GROUP BY abbrev) SELECT abbrev, ch, CAST(coalesce(n, 0) AS INT) AS n FROM every LEFT JOIN kept USING (abbrev, ch)",
+    "chapter_gap_pad": f"WITH {LINES}, kept AS (SELECT side, abbrev, ch, count(*) AS n FROM lines WHERE ch % 3 <> 0 GROUP BY 1, 2, 3), every AS (SELECT side, abbrev, CAST(unnest(generate_series(1, max(ch))) AS INT) AS ch FROM kept GROUP BY side, abbrev) SELECT side, abbrev, ch, CAST(coalesce(n, 0) AS INT) AS n FROM every LEFT JOIN kept USING (side, abbrev, ch)",
     "corpus_counts": f"WITH {VERSES} SELECT count(DISTINCT abbrev) AS books, count(DISTINCT (abbrev, ch)) AS chapters, count(*) AS verses FROM verses",
     "last_wins": "SELECT source, max(doc_id) AS doc_id, max_by(lang, doc_id) AS lang, max_by(n_chars, doc_id) AS n_chars FROM documents GROUP BY source",
-    "source_fallback": "SELECT doc_id, lang FROM documents WHERE lang = 'none' UNION ALL SELECT doc_id, lang FROM documents WHERE lang = 'en' AND NOT EXISTS (SELECT 1 FROM documents WHERE lang = 'none')",
+    "source_fallback": "SELECT doc_id, lang FROM documents WHERE lang = 'none' UNION ALL SELECT doc_id, lang FROM documents WHERE NOT EXISTS (SELECT 1 FROM documents WHERE lang = 'none')",
     "js_roundtrip": f"WITH {VERSES} SELECT * FROM verses",
     "json_combined": f"WITH {VERSES} SELECT count(DISTINCT abbrev) AS books, count(DISTINCT (abbrev, ch)) AS chapters, count(*) AS verses FROM verses",
     "scan_names": f"WITH {FILES} {NAMES_FOUND}",
@@ -210,7 +213,8 @@ SQL = {
       hops AS (SELECT 'received' AS hop, (recv - (t + off + o)) / 1000.0::DOUBLE AS ms FROM valid UNION ALL SELECT 'answered', (sent - recv) / 1000.0::DOUBLE FROM valid UNION ALL SELECT 'rendered', (t + off + 150000 + o - sent) / 1000.0::DOUBLE FROM valid)
       SELECT hop, count(*) AS n, quantile_cont(ms, 0.5) AS p50, quantile_cont(ms, 0.95) AS p95, max(ms) AS max_ms FROM hops GROUP BY hop""",
     "interim_final": "SELECT user_id, event_id % 7 AS ref, min(event_id) AS first_seq, max(event_id) AS last_seq, bool_or(event_type = 'purchase') AS confirmed, sha256(user_id || '|' || event_id % 7 || '|' || min(event_id)) AS id FROM events GROUP BY user_id, event_id % 7",
-    "top5": "SELECT user_id, event_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INT) AS place FROM events QUALIFY place <= 5",
+    "top5": """WITH l AS (SELECT user_id, event_id, event_type, ts, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INT) AS place FROM events WHERE event_type <> 'purchase' QUALIFY place <= 5)
+      SELECT user_id, event_id, event_type, place, EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.user_id = l.user_id AND p.event_id % 7 = l.event_id % 7 AND p.ts >= l.ts) AS displayed FROM l""",
     "candidate_union": f"""WITH {LINES}, {ORDERS}, parts_of AS (SELECT o_orderkey % 6 AS p, o_orderkey % 100 AS o_orderkey, abbrev, CAST(c AS INT) AS ch, CAST(v AS INT) AS v FROM o),
       every AS (SELECT *, 0 AS r FROM parts_of WHERE p BETWEEN 0 AND 3 UNION ALL SELECT *, 1 FROM parts_of WHERE p BETWEEN 2 AND 4 UNION ALL SELECT *, 2 FROM parts_of WHERE p BETWEEN 3 AND 5)
       SELECT o_orderkey, abbrev, ch, v, ['rule', 'context', 'llm'][min(r) + 1] AS source FROM every SEMI JOIN lines USING (abbrev, ch, v) GROUP BY 1, 2, 3, 4""",

@@ -34,8 +34,8 @@ def resolve_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = corpus.to_chapters(S.side_of(spark, sf_dir, "en"))
-    return corpus.long_form(books)
+    sides = [corpus.long_form(corpus.to_chapters(S.side_of(spark, sf_dir, s))).withColumn("side", F.lit(s)) for s in ("ko", "en")]
+    return sides[0].unionByName(sides[1])
 
 
 def parallel_align(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,11 @@ def lookup_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.verses_of(refs, S.verses(spark, sf_dir)).select("o_orderkey", "abbrev", *_long("ch"), "num", "ko", "en")
 
 
+def lookup_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = lookup.parsed(S.typed(spark, sf_dir)).select("o_orderkey", "abbrev", "ch", "v1", "v2")
+    return lookup.shown(refs, S.verses(spark, sf_dir), "o_orderkey")
+
+
 def lookup_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.with_status(S.typed(spark, sf_dir), S.verses(spark, sf_dir), "o_orderkey")
 
@@ -90,9 +95,12 @@ def missing_books(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chapter_gap_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = S.side_of(spark, sf_dir, "en").where("ch % 3 <> 0")
-    lists = kept.groupBy("abbrev", "ch").agg(F.array_sort(F.collect_list(F.struct("v", "text")))["text"].alias("verses"))
-    return corpus.padded(lists).select("abbrev", "ch", F.size("verses").alias("n"))
+    sides = []
+    for s in ("ko", "en"):
+        kept = S.side_of(spark, sf_dir, s).where("ch % 3 <> 0")  # the gaps to be filled
+        lists = kept.groupBy("abbrev", "ch").agg(F.array_sort(F.collect_list(F.struct("v", "text")))["text"].alias("verses"))
+        sides.append(corpus.padded(lists).select(F.lit(s).alias("side"), "abbrev", "ch", F.size("verses").alias("n")))
+    return sides[0].unionByName(sides[1])
 
 
 def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +113,7 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = S.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return files.with_fallback(docs.where("lang = 'none'"), docs.where("lang = 'en'"))
+    return files.with_fallback(docs.where("lang = 'none'"), docs)
 
 
 def js_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +270,10 @@ def interim_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.latest(S.events(spark, sf_dir), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", "place")
+    e = S.events(spark, sf_dir).withColumn("ref", F.col("event_id") % 7)
+    found = sessions.latest(e.where("event_type <> 'purchase'"), "user_id", "ts", "event_id")
+    shown = sessions.marked(found, e.where("event_type = 'purchase'"), ["user_id", "ref"], "ts")
+    return shown.select("user_id", "event_id", "event_type", "place", "displayed")
 
 
 def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,7 +393,7 @@ def stream_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    parse_ref, parse_chverse, resolve_alias, corpus_long, parallel_align, chapter_merge, lookup_range, lookup_status, lookup_header, render_rows, en_only_view,
+    parse_ref, parse_chverse, resolve_alias, corpus_long, parallel_align, chapter_merge, lookup_range, lookup_shown, lookup_status, lookup_header, render_rows, en_only_view,
     clean_text, vpl_parse, verse_order_check, missing_books, chapter_gap_pad, corpus_counts, last_wins, source_fallback, js_roundtrip, json_combined,
     build_separate, corpus_view, ko_only_view, scan_decoded, context_phrases, context_misses, resolver_gate, latency_jsonl,
     scan_names, scan_signatures, scan_size, scan_report, scan_verdict, numerals_ko, numerals_en, normalize_text, detect_refs, detect_offsets, detect_special, confidence_rank,
