@@ -81,15 +81,28 @@ def _without_dots(path: Column) -> Column:
     return F.when(path.rlike(r"/\.{1,2}(?:/|\z)"), F.concat(F.array_join(segments, "/"), last)).otherwise(path)
 
 
+def _decoded(text: Column) -> Column:
+    """A path or query whose escapes of unreserved characters are these characters; other escapes are in capitals."""
+
+    def piece(x: Column) -> Column:
+        code, rest = F.upper(F.substring(x, 1, 2)), F.substring(x, 3, 2**31 - 1)
+        char = F.chr(F.conv(code, 16, 10).cast("long"))
+        escape = F.when(char.rlike(r"^[A-Za-z0-9._~\-]\z"), F.concat(char, rest)).otherwise(F.concat(F.lit("%"), code, rest))
+        return F.when(x.rlike("^[0-9A-Fa-f]{2}"), escape).otherwise(F.concat(F.lit("%"), x))
+
+    whole = lambda p: F.concat(p[0], F.array_join(F.transform(F.slice(p, 2, F.size(p)), piece), ""))
+    return F.when(text.rlike("%[0-9A-Fa-f]{2}"), once(F.split(text, "%"), whole)).otherwise(text)
+
+
 _PARTS = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 
 
 def node_of(url: Column) -> Column:
-    """A url as a node: trimmed, scheme and host in lower case, without default port, dot segments and fragment; an empty path is /."""
+    """A url as a node: trimmed, scheme and host in lower case, without default port, needless escapes, dot segments and fragment; an empty path is /."""
 
     def whole(own: Column) -> Column:
         part = lambda i: F.regexp_extract(own, _PARTS, i)
-        parts = F.struct(F.translate(part(1), UPPER, LOWER).alias("scheme"), F.translate(part(2), UPPER, LOWER).alias("host"), part(3).alias("path"), part(4).alias("query"))
+        parts = F.struct(F.translate(part(1), UPPER, LOWER).alias("scheme"), F.translate(part(2), UPPER, LOWER).alias("host"), _decoded(part(3)).alias("path"), _decoded(part(4)).alias("query"))
         return F.when(own.rlike(_PARTS), once(parts, joined_up)).otherwise(F.regexp_replace(own, r"(?s)#.*\z", ""))
 
     def joined_up(p: Column) -> Column:
@@ -130,17 +143,17 @@ def _link_of(tag: Column) -> Column:
     """What a tag links to if it is a canonical link or a refresh, else null or ''."""
     canonical = tag.rlike(r"(?i)^<link\b") & F.lower(_attribute(tag, "rel")).rlike(r"(?:^|\s)canonical(?:\s|\z)")
     refresh = tag.rlike(r"(?i)^<meta\b") & (F.lower(_attribute(tag, "http-equiv")) == "refresh")
-    to = F.regexp_extract(_attribute(tag, "content"), r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s]+)", 1)
+    to = F.regexp_extract(_attribute(tag, "content"), r"(?is)^\s*[\d.]*\s*[;,\s]\s*(?:url\s*=\s*)?[\"']?\s*([^\"'\s]+)", 1)
     return F.when(canonical, _attribute(tag, "href")).when(refresh, to)
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """(src, dst) of every canonical link and refresh redirect in pages (url, html).
 
-    Tags may go over several lines and hold > in quotes; rel may list several words. What stands in comments and scripts is no tag.
+    Tags may go over several lines and hold > in quotes; rel may list several words. What stands in comments, and in elements whose content is text or isn't part of the page, is no tag.
     """
     may = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?i)canonical|http-equiv"))
-    html = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)", " ")
+    html = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template|noscript|xmp)\b.*?(?:</\1\s*>|\z)", " ")
     tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta|base)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>)"), 1)
     base = lambda t: F.nullif(_attribute(F.coalesce(F.get(F.filter(t, lambda x: x.rlike(r"(?i)^<base\b")), F.lit(0)), F.lit("")), "href"), F.lit(""))
     # All of a page's links in one expression, in which each value is computed once.

@@ -76,6 +76,8 @@ def test_url_rules_by_join_are_the_same(spark):
 @pytest.mark.parametrize(
     "html, dst",
     [
+        ('<textarea><link rel=canonical href="/no"></textarea><link rel=canonical href="/yes">', "http://h.org/yes"), ('<title><link rel=canonical href="/no"></title><style>x</style><meta http-equiv=refresh content="0; http://b.org/">', "http://b.org/"),
+        ('<meta http-equiv="refresh" content="5;URL=\'/%7Ea%2fb%41\'">', "http://h.org/~a%2FbA"), ('<template><link rel=canonical href="/no"></template><link rel=canonical href="/a%zz?q=%7e">', "http://h.org/a%zz?q=~"),
         ('<link\nrel="canonical"\n href="http://x.net/es/">', "http://x.net/es/"), ('<LINK HREF=http://X.NET/es/ REL="alternate Canonical">', "http://x.net/es/"),
         ("<link rel='canonical' href='/a?x=1&amp;y=2'>", "http://h.org/a?x=1&y=2"), ('<link rel=canonical href="../es/./b/../c">', "http://h.org/es/c"),
         ('<!-- <link rel="canonical" href="http://x.net/es/"> -->', None), ("<script>'<link rel=canonical href=/q>'</script>", None), ('<link rel="canonicals" href="/q">', None),
