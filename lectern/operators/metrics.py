@@ -85,16 +85,6 @@ def report(figures: dict[str, DataFrame]) -> str:
     return "\n".join(out)
 
 
-def precision_recall(rows: DataFrame, predicted: Column, actual: Column) -> DataFrame:
-    """One row: tp, fp, fn, precision, recall, f1; ratios without a base are null."""
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    out = rows.agg(
-        F.count_if(yes(predicted) & yes(actual)).alias("tp"), F.count_if(yes(predicted) & ~yes(actual)).alias("fp"), F.count_if(~yes(predicted) & yes(actual)).alias("fn")
-    )
-    ratio = lambda a, b: F.col(a) / F.nullif(F.expr(b).cast("double"), F.lit(0.0))
-    return out.select("tp", "fp", "fn", ratio("tp", "tp + fp").alias("precision"), ratio("tp", "tp + fn").alias("recall"), (2 * ratio("tp", "2 * tp + fp + fn")).alias("f1"))
-
-
 def top_k(ranked: DataFrame, rank: str, ks: tuple[int, ...] = (1, 3)) -> DataFrame:
     """One row: the share of mentions whose true reference has rank k or better; a null rank is a miss."""
     hit = lambda k: F.avg(F.coalesce(F.col(rank) <= k, F.lit(False)).cast("double"))
@@ -167,13 +157,6 @@ def scored(matched: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, "tp", "fp", "fn", ratio("tp", "tp + fp").alias("precision"), ratio("tp", "tp + fn").alias("recall"), (2 * ratio("tp", "2 * tp + fp + fn")).alias("f1"))
 
 
-def false_per_hour(rows: DataFrame, false: Column, ts: str) -> DataFrame:
-    """One row: false positives, hours between the first and the last row, and their ratio."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    out = rows.agg(F.count_if(F.coalesce(false, F.lit(False))).alias("false_positives"), ((F.max(micros) - F.min(micros)) / 3.6e9).alias("hours"))
-    return out.withColumn("per_hour", F.col("false_positives") / F.nullif("hours", F.lit(0.0)))
-
-
 def modes_compared(rows: DataFrame, mode: str, base: str, false: Column, ts: str) -> DataFrame:
     """mode, false_positives, hours, per_hour, and over_base: false positives an hour more than in the mode base."""
     micros = F.unix_micros(F.col(ts).cast("timestamp"))

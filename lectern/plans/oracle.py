@@ -115,7 +115,6 @@ _SAID = _ko_word("m")
 #: What the stand-in sentences are in the one form.
 NORMALISED = f"""{BOOKS}, {ORDERS} SELECT o_orderkey, {_forms(
     5, "ko || ' ' || m || '장 ' || v || '절'", "ko || ' ' || c || '편 ' || m || '절 말씀'", "ko || ' ' || c || ':' || v || '-' || w", "ko || ' ' || c || '장 ' || v || '절-' || w || '절'", f"{_SAID} || ' ' || ko || ':' || c")} AS text FROM o"""
-EVENTS = "ev AS (SELECT event_id, ts, user_id, event_type, value FROM events)"
 GAP = f"INTERVAL {REPEAT_SECONDS} SECONDS"
 CATALOG = f"""{LINES}, places AS (SELECT DISTINCT abbrev, ch, v FROM lines), catalog AS (
   SELECT *, lead(ch) OVER b AS next_ch, lead(v) OVER b AS next_v, CASE WHEN lag(ch) OVER b = ch THEN lag(v) OVER b END AS previous_v

@@ -83,17 +83,6 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", _form(5, *map(_text, ["{alias}", "{big}", "{alias}.", "{en}", "x{alias}"])).alias("name"))
 
 
-def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """o_orderkey, text: sentences with references in both languages' spoken forms."""
-    forms = [
-        "오늘 {ko} {c} 장 {v} 절 말씀입니다", "{ko} {c}장 {v}절부터 {w}절까지 읽겠습니다", "{ko}{c}:{v} 보시면", "그리고 {ko} {c}장에 있습니다", "let's read {en} {c}:{v}",
-        "see {en} chapter {c} verse {v} today", "in {en} {c} verses {v} to {w}", "we say nothing of it, {c}장짜리 편지", "{ko} {c}장 {v}절과 {w}절, 그리고 {ko} {c}장 {v}절과 {w}절",
-        "the {c}th chapter of {en} verse {v}, {en} {c}:{v}, {w} and {en} {c}:{v}", "{variant} {c}장 {v}절", "{ordinal} {c} {v} and the {m}th Psalm",
-    ]
-    rows = _orders(spark, sf_dir).withColumn("variant", F.replace("ko", F.lit("일서"), F.lit(" 1서"))).withColumn("ordinal", F.replace("en", F.lit("1 "), F.lit("First ")))
-    return rows.select("o_orderkey", _form(12, *map(_text, forms)).alias("text"))
-
-
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_orderkey, text, abbrev, ch, v: relative references, and what was displayed before them; null for a quarter."""
     forms = ["{v}절 말씀", "그 다음 절도 보시면", "앞 절", "다음 장", "{c}장으로 넘어가서", "같은 장 뒷부분 {v}절", "다시 {v}절로", "{v}절기와 {c}장짜리 편지", "{ko} {c}장 {v}절", "and verse {v}", "the following verse", "back to verse {w}"]
