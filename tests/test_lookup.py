@@ -98,6 +98,39 @@ def test_scanner(spark):
     assert sorted((r[0], r[2]) for r in scan.by_signature(texts, signatures).collect()) == [("1", "the big  house."), ("2", "big house"), ("5", "one")]
 
 
+@pytest.mark.parametrize("most", [scan.MOST_GRAMS, 10])
+def test_signatures_of_any_length_and_script(spark, monkeypatch, most):
+    """Against plain search: signatures of one to eighty characters, Korean, pairs of words, characters beyond 16 bits, frequent words, repeats of one character; grams broadcast or joined."""
+    import random
+
+    monkeypatch.setattr(scan, "MOST_GRAMS", most)
+    rng = random.Random(6)
+    words = ["the", "the", "the", "태초에", "하나님이", "a", "\U0001f600b", "light", "aaaa", "x\ny"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(60)] + ["", None, "a" * 3000, "태초에"]
+    whole = [t for t in texts if t]
+    signatures = ["the the", "하나님이 a", "태초에", "\U0001f600", "\U0001f600b", "a", "zz", "", None, "the", "a" * 80, "the the"]
+    for _ in range(120):
+        t = rng.choice(whole)
+        at = rng.randrange(len(t))
+        part = t[at : at + rng.randrange(1, 80)]
+        signatures.append(part if rng.random() < 0.7 else part + "q")
+    files_ = spark.createDataFrame(list(enumerate(texts)), "path int, text string")
+    got = [(r["path"], r["detail"]) for r in scan.by_signature(files_, spark.createDataFrame([(s,) for s in signatures], "signature string")).collect()]
+    want = {(i, s) for i, t in enumerate(texts) if t for s in signatures if s and s in t}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+
+
+def test_a_frequent_phrase_is_no_anchor(spark):
+    """Of a signature's runs those that few texts hold are joined, though its first words are in every text."""
+    texts = spark.createDataFrame([(i, f"in the beginning of the day {i} was and ever will be here") for i in range(50)] + [(50, "in the beginning of the day quartz mining was done")], "path int, text string")
+    grams = scan.grams_of(spark.createDataFrame([("in the beginning of the day quartz mining was",)], "signature string"))
+    blocks = scan.blocks_of(texts, grams)
+    seen = blocks.join(grams.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("n"))
+    assert seen.agg(F.max("n")).first()[0] == 51
+    anchors = scan.anchors_of(grams, seen)
+    assert anchors.count() == 16 and blocks.join(anchors, "gram").select("path").distinct().count() == 1
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("a<b & \"c\">", "[x]  ¶y ")], "a string, b string")
     assert df.select(escaped(F.col("a")), cleaned(F.col("b"))).first()[:] == ('a&lt;b &amp; "c"&gt;', "x y")
