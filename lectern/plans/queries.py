@@ -45,7 +45,8 @@ def parallel_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chapter_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     ko, en = (corpus.to_chapters(S.side_of(spark, sf_dir, s)) for s in ("ko", "en"))
     side = lambda i: F.coalesce(F.aggregate("c", F.lit(0), lambda n, x: n + F.size(F.get(x, F.lit(i)))), F.lit(0))
-    return corpus.merged(ko, en).select("ord", "a", "en", "ko", F.size("c").alias("chapters"), side(0).alias("ko_verses"), side(1).alias("en_verses"))
+    total = lambda x, name: F.sum(x).cast("int").alias(name)
+    return corpus.merged(ko, en).groupBy("ord", "a", "en", "ko").agg(total(F.size("c"), "chapters"), total(side(0), "ko_verses"), total(side(1), "en_verses"))
 
 
 def lookup_range(spark: SparkSession, sf_dir: str) -> DataFrame:

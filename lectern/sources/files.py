@@ -1,4 +1,4 @@
-"""Corpus files: the script form with one book a line, JSON sources, line sources plain or zipped."""
+"""Corpus files: the script form with a book, or a part of a long one, a line, JSON sources, line sources plain or zipped."""
 
 from __future__ import annotations
 
@@ -13,52 +13,56 @@ from lectern.operators import corpus
 # The lines around the books of a corpus script.
 HEAD, META, BOOKS, END = "window.BIBLE_DATA = {", '"meta":', '"books":[', "]};"
 RECORD = "a string, en string, ko string, c array<array<array<string>>>"
+#: The number of the first chapter of a part of a long book, where a record or a source's row is one.
+AT = ", at int"
 SOURCE = "abbrev string, chapters array<array<string>>"
 META_SCHEMA = "title string, langs array<string>, names map<string,string>, demo boolean, source string"
 
 
 def write_script(records: DataFrame, meta: DataFrame, path: str) -> None:
-    """Writes corpus records (ord, a, en, ko, c) and a one-row meta as a corpus script under path: a folder with one text file.
+    """Writes corpus records (ord, a, en, ko, c, at or not) and a one-row meta as a corpus script under path: a folder of text files.
 
-    Line 1 is the wrapper, line 2 the meta, line 3 opens the books, then comes a book a line, all but the last with a comma. A canon has 66
-    books, so one task writes the file.
+    Line 1 is the wrapper, line 2 the meta, line 3 opens the books, then comes a book a line, all but the last with a comma. A part that continues a
+    long book has a line of its own with the number of its first chapter. Lines are sorted by range, so many tasks write; the files in
+    the order of their names are the script. A small corpus is one file.
     """
-    last = records.agg(F.max("ord").alias("__last"))
-    lines = records.crossJoin(F.broadcast(last)).select(
-        (F.col("ord") + 2).alias("n"), F.concat(F.to_json(F.struct("a", "en", "ko", "c")), F.when(F.col("ord") < F.col("__last"), ",").otherwise("")).alias("value")
-    )
-    top = meta.select(F.explode(F.array(*[F.struct(F.lit(i).alias("n"), v.alias("value")) for i, v in ((0, F.lit(HEAD)), (1, F.concat(F.lit(META), F.to_json(F.struct("*")), F.lit(","))), (2, F.lit(BOOKS)))])).alias("l")).select("l.*")
-    end = meta.select(F.lit(1 << 30).alias("n"), F.lit(END).alias("value"))
-    top.unionByName(lines).unionByName(end).repartition(1).sortWithinPartitions("n").select("value").write.text(path)
+    at = F.coalesce("at", F.lit(1)) if "at" in records.columns else F.lit(1)
+    rows = records.withColumns({"__n": F.col("ord") + 2, "at": at})
+    last = rows.agg(F.max(F.struct("__n", "at")).alias("__last"))
+    body = F.to_json(F.struct("a", "en", "ko", "c", F.when(F.col("at") > 1, F.col("at")).alias("at")))
+    lines = rows.crossJoin(F.broadcast(last)).select("__n", "at", F.concat(body, F.when(F.struct("__n", "at") < F.col("__last"), ",").otherwise("")).alias("value"))
+    top = [F.lit(HEAD), F.concat(F.lit(META), F.to_json(F.struct("*")), F.lit(",")), F.lit(BOOKS), F.lit(END)]
+    around = meta.select(F.explode(F.array(*[F.struct(F.lit(i if i < 3 else 1 << 30).alias("__n"), F.lit(0).alias("at"), v.alias("value")) for i, v in enumerate(top)])).alias("l")).select("l.*")
+    around.unionByName(lines).orderBy("__n", "at").select("value").write.text(path)
 
 
 def read_script(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, meta) of a corpus script with one book a line, read line by line in parallel."""
+    """(records, meta) of a corpus script with a book, or a part of one, a line; its files are read line by line in parallel."""
     lines = spark.read.text(path)
     body = F.regexp_replace("value", r",\z", "")
-    books = lines.where(F.col("value").startswith('{"a":')).select(F.from_json(body, RECORD).alias("b")).select("b.*")
+    books = lines.where(F.col("value").startswith('{"a":')).select(F.from_json(body, RECORD + AT).alias("b")).select("b.*")
     whole = F.coalesce("a", F.raise_error(F.lit("a malformed book in a corpus script")).cast("string"))
-    books = books.select(whole.alias("a"), "en", "ko", "c")
+    books = books.select(whole.alias("a"), "en", "ko", "c", F.coalesce("at", F.lit(1)).alias("at"))
     meta = lines.where(F.col("value").startswith(META)).select(F.from_json(F.substring(body, len(META) + 1, 2**31 - 1), META_SCHEMA).alias("m")).select("m.*")
     return books, meta
 
 
 def read_any_script(spark: SparkSession, path: str) -> DataFrame:
-    """The records of a corpus script of any layout: the text after the first = up to the last ; is one JSON value."""
+    """The records of a corpus script of any layout in one file: the text after the first = up to the last ; is one JSON value."""
     whole = spark.read.text(path, wholetext=True)
     body = F.regexp_extract("value", r"(?s)^[^=]*=\s*(.*?);?\s*\z", 1)
-    books = "books array<struct<a: string, en: string, ko: string, c: array<array<array<string>>>>>"
+    books = "books array<struct<a: string, en: string, ko: string, c: array<array<array<string>>>, at: int>>"
     return whole.select(F.inline(F.from_json(body, books).getField("books")))
 
 
 def read_combined(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Records (a, en, ko, c) of a combined JSON array, or of one object a line, which can be read in parallel."""
-    return spark.read.schema(RECORD).json(path, multiLine=not lines, mode="FAILFAST")
+    """Records (a, en, ko, c, at) of a combined JSON array, or of one object a line, which can be read in parallel; at: see corpus.parts."""
+    return spark.read.schema(RECORD + AT).json(path, multiLine=not lines, mode="FAILFAST").withColumn("at", F.coalesce("at", F.lit(1)))
 
 
 def read_source(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """(abbrev, chapters) of a single-language JSON array, or of one object a line."""
-    return spark.read.schema(SOURCE).json(path, multiLine=not lines, mode="FAILFAST")
+    """(abbrev, chapters, at) of a single-language JSON array, or of one object a line; at: see corpus.parts."""
+    return spark.read.schema(SOURCE + AT).json(path, multiLine=not lines, mode="FAILFAST").withColumn("at", F.coalesce("at", F.lit(1)))
 
 
 def with_fallback(primary: DataFrame, sample: DataFrame) -> DataFrame:
@@ -124,13 +128,14 @@ LATENCY = "session long, hop string, ms double"
 def build(spark: SparkSession, combined: str | None = None, ko: str | None = None, en: str | None = None, ko_name: str = NAMES["ko"], en_name: str = NAMES["en"], lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(records, meta) of a corpus from one combined JSON file, which goes first, or from a file for each side; raises ValueError if neither is given.
 
-    records: ord, a, en, ko, c; those of a combined file outside the canon come last. lines: files of one object a line. meta always names both languages.
+    records: ord, a, en, ko, c, at; those of a combined file outside the canon come last. lines: files of one object a line. meta always names both languages.
     """
     if combined:
         known = canon.books(spark).select(F.col("abbrev").alias("a"), "ord")
-        records = read_combined(spark, combined, lines).join(F.broadcast(known), "a", "left").select(F.coalesce("ord", F.lit(len(canon.BOOKS) + 1)).alias("ord"), "a", "en", "ko", "c")
+        found = corpus.parts(read_combined(spark, combined, lines), "c").join(F.broadcast(known), "a", "left")
+        records = found.select(F.coalesce("ord", F.lit(len(canon.BOOKS) + 1)).alias("ord"), "a", "en", "ko", "c", "at")
     elif ko and en:
-        last = lambda path: corpus.last_wins(read_source(spark, path, lines).withColumn("__at", F.monotonically_increasing_id()), "abbrev", "__at").drop("__at")
+        last = lambda path: corpus.last_wins(read_source(spark, path, lines).withColumn("__row", F.monotonically_increasing_id()), ["abbrev", "at"], "__row").drop("__row")
         records = corpus.merged(last(ko), last(en))
     else:
         raise ValueError("give a combined file, or one for each side")

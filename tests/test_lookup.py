@@ -68,6 +68,38 @@ def test_merge_and_script(spark, small, tmp_path):
     assert files.read_any_script(spark, str(tmp_path / "s")).where("a = 'gn'").first()["c"] == first["c"]
 
 
+def test_long_books_are_rows_of_parts(spark, tmp_path, monkeypatch):
+    """A book of more chapters than a part holds goes through merging, script, combined and separate files in rows of parts, written by several tasks, and comes back whole."""
+    monkeypatch.setattr(corpus, "PART", 4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ko = [("gn", [[f"k{c}.{v}" for v in range(c % 3)] for c in range(11)]), ("ex", [["a"]] * 4), ("lv", [])]
+        en = [("gn", [[f"e{c}"] for c in range(6)]), ("ex", [["b"]] * 9), ("zz", [["n"]])]
+        records = corpus.merged(*(spark.createDataFrame(s, files.SOURCE) for s in (ko, en)))
+        assert records.agg(F.max(F.size("c"))).first()[0] == 4 and records.where("a = 'gn'").count() == 3 and records.where("a = 'lv' and size(c) = 0").count() == 1
+        meta = spark.createDataFrame([("t", ["ko", "en"], {"ko": "K"})], "title string, langs array<string>, names map<string,string>")
+        files.write_script(records, meta, str(tmp_path / "s"))
+        written = sorted((tmp_path / "s").glob("*.txt"))
+        whole = "".join(p.read_text() for p in written)
+        import json
+
+        books = json.loads(whole.split("=", 1)[1].rstrip().rstrip(";"))["books"]
+        assert len([p for p in written if p.stat().st_size]) > 1 and len(books) == 66 + 2 + 2 and [b.get("at", 1) for b in books if b["a"] == "gn"] == [1, 5, 9]
+        want = {("gn", c + 1, v + 1, f"k{c}.{v}" if v < c % 3 else "", f"e{c}" if v < 1 and c < 6 else "") for c in range(11) for v in range(max(c % 3, c < 6))}
+        want |= {("ex", c, 1, "a" if c < 5 else "", "b") for c in range(1, 10)}
+        plain = lambda rows: {tuple(r) for r in rows.collect()}
+        assert plain(corpus.from_records(files.read_script(spark, str(tmp_path / "s"))[0])) == want
+        records.drop("ord").write.json(str(tmp_path / "c"))
+        assert plain(corpus.from_records(files.build(spark, combined=str(tmp_path / "c"), lines=True)[0])) == want
+        for name, rows in (("ko", ko), ("en", en)):
+            (tmp_path / f"{name}.json").write_text(json.dumps([{"abbrev": a, "chapters": c} for a, c in rows]))
+            corpus.to_chapters(corpus.long_form(spark.createDataFrame(rows, files.SOURCE))).write.json(str(tmp_path / f"{name}_lines"))
+        for paths, lines in (({n: str(tmp_path / f"{n}.json") for n in ("ko", "en")}, False), ({n: str(tmp_path / f"{n}_lines") for n in ("ko", "en")}, True)):
+            assert plain(corpus.from_records(files.build(spark, **paths, lines=lines)[0])) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_line_sources(spark, tmp_path):
     import zipfile
 
