@@ -15,32 +15,31 @@ def by_name(files: DataFrame, pattern: str = FORBIDDEN) -> DataFrame:
     return files.where(F.col("path").rlike(pattern)).select("path", F.lit("name").alias("kind"), F.lit("").alias("detail"))
 
 
-#: Lengths of the blocks that texts are cut into, and the most grams of signatures that are broadcast (some 100 bytes each in memory).
-BLOCKS, MOST_GRAMS = (16, 8, 4, 2, 1), 400_000
+#: Lengths of the blocks that texts are cut into, and the most grams of signatures that are broadcast (some 150 bytes each in memory).
+BLOCKS, MOST_GRAMS = (64, 32, 16, 8, 4, 2, 1), 300_000
 
 
 def grams_of(signatures: DataFrame) -> DataFrame:
-    """id, q, place, gram: all runs of q characters of the distinct signatures that aren't empty, where q is the longest block with 2q - 1 characters in the signature."""
+    """id, q, place, of, gram: all runs of q characters (of: how many) of the distinct signatures that aren't empty, where q is the longest block with 2q - 1 characters in the signature."""
     q = F.coalesce(*[F.when(F.char_length("signature") >= 2 * n - 1, n) for n in BLOCKS])
     runs = F.coalesce(*[F.when(F.col("q") == n, F.regexp_extract_all("signature", F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))) for n in BLOCKS])
     each = signatures.select("signature").where("signature <> ''").distinct().select(F.sha2("signature", 256).alias("id"), q.alias("q"), "signature")
-    return each.select("id", "q", F.posexplode(runs).alias("place", "gram"))
+    each = each.select("id", "q", runs.alias("runs"))
+    return each.select("id", "q", F.size("runs").alias("of"), F.posexplode("runs").alias("place", "gram"))
 
 
-def blocks_of(files: DataFrame, grams: DataFrame) -> DataFrame:
-    """path, gram: the distinct blocks of each text, end to end from its start, of those lengths that signatures need."""
-    wanted = grams.agg(F.collect_set("q")).scalar()
-    cut = [F.when(F.array_contains("wanted", n), F.regexp_extract_all("text", F.lit(f"(?s).{{{n}}}"), F.lit(0))).otherwise(F.array().cast("array<string>")) for n in BLOCKS]
-    return files.where("text is not null").select("path", "text", wanted.alias("wanted")).select("path", F.explode(F.array_distinct(F.concat(*cut))).alias("gram"))
+def blocks_of(files: DataFrame, lengths: list[int]) -> DataFrame:
+    """path, gram: the distinct blocks of each text, end to end from its start, of those lengths."""
+    cut = F.concat(*[F.regexp_extract_all("text", F.lit(f"(?s).{{{n}}}"), F.lit(0)) for n in lengths])
+    return files.select("path", F.explode(F.array_distinct(cut)).alias("gram"))
 
 
-def anchors_of(grams: DataFrame, seen: DataFrame) -> DataFrame:
+def anchors_of(grams: DataFrame, seen: DataFrame, lengths: list[int]) -> DataFrame:
     """id, gram: of each signature those q runs in a row that the fewest texts hold as blocks; seen: gram, n (texts)."""
     counted = grams.join(seen, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     row = Window.partitionBy("id").orderBy("place")
-    together = F.coalesce(*[F.when(F.col("q") == n, F.sum("n").over(row.rowsBetween(0, n - 1))) for n in BLOCKS])
-    whole = F.coalesce(*[F.when(F.col("q") == n, F.count("*").over(row.rowsBetween(0, n - 1)) == n) for n in BLOCKS])
-    windows = counted.select("id", "q", "place", together.alias("n"), whole.alias("whole")).where("whole")
+    together = F.coalesce(*[F.when(F.col("q") == n, F.sum("n").over(row.rowsBetween(0, n - 1))) for n in lengths])
+    windows = counted.select("id", "q", "of", "place", together.alias("n")).where("place <= of - q")
     best = windows.groupBy("id").agg(F.min(F.struct("n", "place"))["place"].alias("from"))
     return grams.join(best, "id").where("place between from and from + q - 1").select("id", "gram").distinct()
 
@@ -51,14 +50,17 @@ def by_signature(files: DataFrame, signatures: DataFrame) -> DataFrame:
     Texts are cut into blocks of q characters. A signature of 2q - 1 characters or more covers a whole block wherever it stands, so
     one of any q runs in a row of its own is a block of each text that contains it: q equal keys find all its texts, whatever its language and
     number of words. Of its runs those that the fewest texts hold are taken, so a frequent word or phrase is no key unless the signature is
-    nothing else. Only what meets is compared. Grams of signatures are counted first and broadcast up to MOST_GRAMS, so that the blocks
-    of texts aren't shuffled; beyond that both sides are joined by Spark's choice.
+    nothing else. Only what meets is compared. Grams of signatures are counted first, in a job of their own, and broadcast up to MOST_GRAMS, so that
+    the blocks of texts aren't shuffled; beyond that both sides are joined by Spark's choice.
     """
     grams = grams_of(signatures)
-    bounded = F.broadcast if grams.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS else lambda df: df
-    blocks = blocks_of(files, grams)
+    sizes = {r["q"]: r["count"] for r in grams.groupBy("q").count().collect()}
+    if not sizes:
+        return files.where(F.lit(False)).select("path", F.lit("signature").alias("kind"), F.lit("").alias("detail"))
+    bounded = F.broadcast if sum(sizes.values()) <= MOST_GRAMS else lambda df: df
+    blocks = blocks_of(files, sorted(sizes))
     seen = blocks.join(bounded(grams.select("gram").distinct()), "gram").groupBy("gram").agg(F.count("*").alias("n"))
-    met = blocks.join(bounded(anchors_of(grams, seen)), "gram").select("path", "id").distinct()
+    met = blocks.join(bounded(anchors_of(grams, seen, sorted(sizes))), "gram").select("path", "id").distinct()
     whole = signatures.select("signature").where("signature <> ''").distinct().withColumn("id", F.sha2("signature", 256))
     hits = files.select("path", "text").join(met.join(whole, "id").drop("id"), "path").where(F.contains("text", "signature"))
     return hits.select("path", F.lit("signature").alias("kind"), F.col("signature").alias("detail"))

@@ -150,16 +150,18 @@ def test_signatures_of_any_length_and_script(spark, monkeypatch, most):
     got = [(r["path"], r["detail"]) for r in scan.by_signature(files_, spark.createDataFrame([(s,) for s in signatures], "signature string")).collect()]
     want = {(i, s) for i, t in enumerate(texts) if t for s in signatures if s and s in t}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+    none = scan.by_signature(files_, spark.createDataFrame([("",), (None,)], "signature string"))
+    assert none.columns == ["path", "kind", "detail"] and none.count() == 0
 
 
 def test_a_frequent_phrase_is_no_anchor(spark):
     """Of a signature's runs those that few texts hold are joined, though its first words are in every text."""
     texts = spark.createDataFrame([(i, f"in the beginning of the day {i} was and ever will be here") for i in range(50)] + [(50, "in the beginning of the day quartz mining was done")], "path int, text string")
     grams = scan.grams_of(spark.createDataFrame([("in the beginning of the day quartz mining was",)], "signature string"))
-    blocks = scan.blocks_of(texts, grams)
+    blocks = scan.blocks_of(texts, [16])
     seen = blocks.join(grams.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("n"))
     assert seen.agg(F.max("n")).first()[0] == 51
-    anchors = scan.anchors_of(grams, seen)
+    anchors = scan.anchors_of(grams, seen, [16])
     assert anchors.count() == 16 and blocks.join(anchors, "gram").select("path").distinct().count() == 1
 
 
