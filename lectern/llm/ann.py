@@ -2,10 +2,11 @@
 
 Coarse centroids come in two levels, so that their number can grow with the square root of the rows: the tops are fitted on a
 bounded sample at the driver, the cells of each top by a task of its own. Every row is indexed under its nearest cell with a code of
-its residual. Of equal vectors only the least ids can be among anyone's nearest, so only those are candidates, and a vector that a third
+its residual and the length of what the code leaves of it. Of equal vectors only the least ids can be among anyone's nearest, so only those are candidates, and a vector that a third
 of all rows share costs no more than others. Rows of small cells share blocks, cells too large for one are dealt over several, so no group
-grows with the data. A query visits its nearest cells' blocks; there a table of asymmetric distances ranks the rows by code,
-the shortlist is ranked again by exact distances, and each block's best are merged. How many cells a query visits is
+grows with the data. A query visits its nearest cells' blocks; there a table of asymmetric distances gives each row's distance by code. The true one
+differs from it by no more than what the code left, so the rows that can't be among the nearest fall out and no other does, whatever the
+rows look like and however well codes fit them; the rest are ranked again by exact distances, and each block's best are merged. How many cells a query visits is
 measured on the whole index: as many as make the stated share of true neighbours of a few queries reachable, and never fewer than
 hold the candidates it needs. Queries that still lack neighbours, as those may all be rows of their own id, visit all cells.
 """
@@ -24,8 +25,10 @@ from lectern.llm.common import cut, sampled
 SAMPLE_ROWS, CELL_ROWS, TOPS = 32_768, 16, 2
 #: Parts that a residual is cut into, and the codes of each.
 SUBSPACES, CODES = 16, 256
-#: Rows of a block and queries of a chunk, about; rows of a block ranked again for a query.
-BLOCK, CHUNK, SHORTLIST = 8_192, 4_096, 128
+#: Rows of a block and queries of a chunk, about; rows that the cells a query visits hold at least; rows that exact distances are taken of at once.
+BLOCK, CHUNK, LEAST_ROWS, STRIP = 8_192, 4_096, 128, 1_024
+#: Rounding of sums of products, as a share of their largest terms.
+ROUNDING = 1e-12
 #: Queries that the number of visited cells is measured on, and the share of their true neighbours it must reach.
 TRIAL_QUERIES, REACH = 96, 0.97
 
@@ -83,12 +86,15 @@ class Quantiser:
         return cell
 
     def index(self, rows):
-        """(cell, codes) of each row."""
+        """(cell, codes, left) of each row: left is the length of its residual without the coded one, rounded up."""
         import numpy as np
 
-        cell = self.cell_of(rows)
+        cell, codes, left = self.cell_of(rows), [], 0.0
         rest = rows - self.coarse[cell]
-        return cell, np.stack([nearest(rest[:, a:b], v) for (a, b), v in zip(zip(self.bounds, self.bounds[1:]), self.values)], axis=1).astype(np.uint8)
+        for a, b, v in zip(self.bounds, self.bounds[1:], self.values):
+            codes.append(nearest(rest[:, a:b], v))
+            left = left + ((rest[:, a:b] - v[codes[-1]]) ** 2).sum(1)
+        return cell, np.stack(codes, axis=1).astype(np.uint8), np.sqrt(left) + ROUNDING * np.sqrt((rest**2).sum(1))
 
     def order(self, queries, most: int):
         """The nearest cells of each query, nearest first."""
@@ -114,12 +120,18 @@ class Quantiser:
             total = total + (coded * (coded + 2 * self.coarse[cell, a:b])).sum(1)
         return total
 
-    def distances(self, query, cell, places, bias):
-        """Squared distances of a query to coded rows: |q - c|^2 + bias - 2 q.r, the last from one table for the query."""
+    def distances(self, query, centres, cell, places, bias):
+        """(least, most) of the distances of a query to coded rows, which rounding leaves open; cell is each row's place in centres.
+
+        The square is |q - c|^2 + bias - 2 q.r, the last from one table for the query.
+        """
         import numpy as np
 
         table = np.concatenate([v @ query[a:b] for v, a, b in zip(self.values, self.bounds, self.bounds[1:])])
-        return ((self.coarse - query) ** 2).sum(1)[cell] + bias - 2 * table[places].sum(1)
+        far = ((centres - query) ** 2).sum(1)[cell]
+        square = far + bias - 2 * table[places].sum(1)
+        open_ = ROUNDING * (far.max() + np.abs(bias).max() + 2 * len(self.values) * np.abs(table).max())
+        return np.sqrt(np.maximum(square - open_, 0)), np.sqrt(np.maximum(square + open_, 0))
 
 
 def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
@@ -155,8 +167,15 @@ def best_of(scores, ids, k: int):
     return at[np.lexsort((ids[at], scores[at]))][:k]
 
 
+def exact_distances(rows, query, at):
+    """The distances of a query to the rows at some places, a strip of them at a time, so that wide vectors take no second copy of a block."""
+    import numpy as np
+
+    return np.concatenate([np.zeros(0), *[np.sqrt(((rows[at[i : i + STRIP]] - query) ** 2).sum(1)) for i in range(0, len(at), STRIP)]])
+
+
 def indexed(rows: DataFrame, model: Quantiser) -> DataFrame:
-    """vec_id, cell, codes and vector (doubles as bytes) of every row."""
+    """vec_id, cell, codes, left (see Quantiser.index) and vector (doubles as bytes) of every row."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -165,10 +184,10 @@ def indexed(rows: DataFrame, model: Quantiser) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["embedding"].to_numpy())
-                cell, codes = model.index(x)
-                yield pd.DataFrame({"vec_id": pdf["vec_id"], "cell": cell.astype("int32"), "codes": [c.tobytes() for c in codes], "vector": packed(x)})
+                cell, codes, left = model.index(x)
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "cell": cell.astype("int32"), "codes": [c.tobytes() for c in codes], "left": left, "vector": packed(x)})
 
-    return rows.mapInPandas(run, "vec_id long, cell int, codes binary, vector binary")
+    return rows.mapInPandas(run, "vec_id long, cell int, codes binary, left double, vector binary")
 
 
 def trained(rows: DataFrame, sample, n: int) -> Quantiser:
@@ -225,7 +244,7 @@ def exact(index: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> D
         for pdf in batches:
             rows, own, out = unpacked(pdf["vector"], dim), pdf["vec_id"].to_numpy(), []
             for q, v in zip(ids, x):
-                score = np.sqrt(((rows - v) ** 2).sum(1))
+                score = exact_distances(rows, v, np.arange(len(rows)))
                 score[own == q] = np.inf
                 at = best_of(score, own, k)
                 at = at[np.isfinite(score[at])]
@@ -303,7 +322,7 @@ def _searched(index: DataFrame, asked: DataFrame, model: Quantiser, layout: Layo
     of_cell = F.broadcast(spark.createDataFrame([(c, layout.first[c], layout.blocks[c]) for c in layout.first], "cell int, first int, blocks int"))
     asked = asked.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks").cast("int")).drop("chunks")
     dealt = index.join(of_cell, "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
-    dealt = dealt.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("block", "chunk", "vec_id", "cell", "codes", "vector")
+    dealt = dealt.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("block", "chunk", "vec_id", "cell", "codes", "left", "vector")
 
     def search(block, queries):
         import numpy as np
@@ -312,18 +331,20 @@ def _searched(index: DataFrame, asked: DataFrame, model: Quantiser, layout: Layo
         out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
         if len(block) and len(queries):
             block = block.sort_values("vec_id", kind="stable")
-            ids, x, cell = block["vec_id"].to_numpy(), unpacked(block["vector"], dim), block["cell"].to_numpy()
+            ids, x, cell, left = block["vec_id"].to_numpy(), unpacked(block["vector"], dim), block["cell"].to_numpy(), block["left"].to_numpy()
             codes = np.frombuffer(b"".join(block["codes"]), np.uint8).reshape(len(block), -1)
             places, bias = model.places(codes), model.bias(cell, codes)
+            own, local = np.unique(cell, return_inverse=True)
+            centres = model.coarse[own]
             for q, v, cells in zip(queries["query_id"], unpacked(queries["vector"], dim), queries["cells"]):
                 seen = np.zeros(len(model.coarse), bool)
                 seen[np.asarray(cells)] = True
                 at = np.flatnonzero(seen[cell] & (ids != q))
-                if len(at) > SHORTLIST:
-                    coded = model.distances(v, cell[at], places[at], bias[at])
-                    bound = np.partition(coded, SHORTLIST - 1)[SHORTLIST - 1]
-                    at = at[coded <= bound + 1e-9 * abs(bound)]  # all rows of equal codes, however many
-                score = np.sqrt(((x[at] - v) ** 2).sum(1))
+                if len(at) > k:
+                    least, most = model.distances(v, centres, local[at], places[at], bias[at])
+                    bound = np.partition(most + left[at], k - 1)[k - 1]
+                    at = at[~(least - left[at] > bound * (1 + ROUNDING))]  # k rows are no farther than bound; what is no number stays
+                score = exact_distances(x, v, at)
                 best = best_of(score, ids[at], k)
                 out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at][best], "score": score[best]}))
         return pd.concat(out)
@@ -360,7 +381,7 @@ def neighbours(vectors: DataFrame, is_query=None, k: int = 10, reach: float = RE
     if not trial:
         return spark.createDataFrame([], empty)
     most = visits(index, model, trial, k, reach)
-    found = cut(_best_rows(_searched(index, _visited(queries, model, layout, most, max(SHORTLIST, 2 * k)), model, layout, k), k))
+    found = cut(_best_rows(_searched(index, _visited(queries, model, layout, most, max(LEAST_ROWS, 2 * k)), model, layout, k), k))
     total, ids = sum(layout.count.values()), found.groupBy("query_id").count()
     lacking = cut(queries.join(ids.where(F.col("count") >= min(k, total)), "query_id", "left_anti"))
     if lacking.limit(1).count():

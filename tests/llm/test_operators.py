@@ -637,6 +637,38 @@ def test_every_query_has_its_neighbours(spark, kind):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("kind", ["wide noise", "lengths", "far from zero"])
+def test_codes_that_fit_badly_lose_no_neighbour(spark, kind):
+    """A shortlist of the 128 least distances by code held half of the true neighbours of wide noise."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(6000, 256 if kind == "wide noise" else 32))
+    if kind == "lengths":
+        x *= np.exp(4 * rng.normal(size=(6000, 1)))
+    if kind == "far from zero":
+        x += 1e7
+    ids = np.arange(6000)
+    got: dict = {}
+    for r in ann.neighbours(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    want = brute_neighbours(ids, x)
+    assert {q: len(v) for q, v in got.items()} == {q: 10 for q in want}
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.94 * 10 * len(want)  # REACH of the trial queries' visits, here all queries
+
+
+def test_pruning_by_code_is_exact(spark):
+    """The bounds of every row hold its true distance, in few and in many dimensions, near zero and far from it."""
+    for dim, shift, seed in ((2, 0, 1), (64, 0, 2), (200, 1e6, 3)):
+        x = np.random.default_rng(seed).normal(size=(2000, dim)) + shift
+        model = ann.Quantiser(x, x[:9], {t: x[100 + 8 * t : 108 + 8 * t] for t in range(9)})
+        cell, codes, left = model.index(x)
+        places, bias = model.places(codes), model.bias(cell, codes)
+        for q in x[::97]:
+            least, most = model.distances(q, model.coarse, cell, places, bias)
+            true = np.sqrt(((x - q) ** 2).sum(1))
+            assert (least - left <= true).all() and (true <= most + left).all()
+            assert shift or (most - least).max() < 1e-3 and left.max() < true.max()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
