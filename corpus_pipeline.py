@@ -18,7 +18,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies of 0.8 likeness of five-word shingles by MinHash bands and exact sets, as no SimHash index can find these whole (see README)."""
+    """Near copies by SimHash as in op3, and by MinHash bands where more bits differ; both are held to 0.8 likeness of five-word shingles (see README)."""
     return similar.deduplicated(docs)
 
 

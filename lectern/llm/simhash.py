@@ -29,28 +29,30 @@ LEAST_MEETINGS = 3
 POSTING = 64
 
 
+def fingerprint_of(text: str | None, words: int) -> int:
+    """The SimHash of a text's word shingles as a signed long."""
+    import numpy as np
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    found = text.encode().lower().split() if text else []  # bytes: A-Z and ASCII white space only
+    if not found:
+        return 0
+    ones, n = np.zeros(BITS, np.int64), max(1, len(found) - words + 1)
+    for at in range(0, n, 1 << 16):
+        h = np.array([digest(b" ".join(found[i : i + words]), 42) for i in range(at, min(n, at + (1 << 16)))], np.uint64)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+
+
 def fingerprint_udf(words: int):
-    """The SimHash of a text's word shingles as a long."""
+    """fingerprint_of as a column."""
 
     @pandas_udf("long")
     def fingerprint(texts):
-        import numpy as np
         import pandas as pd
-        import xxhash
-
-        digest = xxhash.xxh64_intdigest
-
-        def one(text: str | None) -> int:
-            found = text.encode().lower().split() if text else []  # bytes: A-Z and ASCII white space only
-            if not found:
-                return 0
-            ones, n = np.zeros(BITS, np.int64), max(1, len(found) - words + 1)
-            for at in range(0, n, 1 << 16):
-                h = np.array([digest(b" ".join(found[i : i + words]), 42) for i in range(at, min(n, at + (1 << 16)))], np.uint64)
-                ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
-        return pd.Series([one(t) for t in texts], dtype="int64")
+        return pd.Series([fingerprint_of(t, words) for t in texts], dtype="int64")
 
     return fingerprint
 

@@ -1,9 +1,10 @@
-"""Groups of documents that share most of their shingles: MinHash keys, exact verification by sets, connected components.
+"""Groups of documents that share most of their shingles: SimHash groups, MinHash keys for the rest, exact check by sets, connected components.
 
-Two texts are alike if the Jaccard likeness of their sets of distinct five-word shingles is 0.8 at least. An index is keyed
-by bands of MinHash values. Whether a pair meets in a posting depends on its likeness alone, never on the number of documents:
-byte groups of SimHash fingerprints can't do this, as at 0.8 some ten of 64 bits differ and no byte need be shared. How many bands
-there are follows from the share of pairs at the least likeness that may fail to meet.
+Two texts are alike if the Jaccard likeness of their sets of distinct five-word shingles is 0.8 at least. First comes op3's method: SimHash
+fingerprints, the index over byte positions, the tally of meetings, and differing bits (llm/simhash.py). Each of its groups is a posting here, so it
+finds every pair within two bits whole and the exact check follows. At 0.8 some ten of 64 bits differ and no byte need be shared, so the looser pairs
+have an index of their own, keyed by bands of MinHash values. Whether a pair meets in one of them depends on its likeness alone, never on the number
+of documents. How many bands there are follows from the share of pairs at the least likeness that may fail to meet.
 Every row of a posting is verified against its least node, each row's set going once to that node's set. Links make components. In a posting that
 still holds several, only rows outside its largest component have anything to gain: they meet all rows of the posting, in blocks of bounded
 size within tasks, so a posting of many near copies and a few strangers costs the strangers times the copies and not the copies' square. Postings
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import simhash
 from lectern.llm.common import cut, small_batches, unused
 from lectern.llm.components import connected_components
 
@@ -83,7 +85,7 @@ def _set_hash(shingles) -> int:
 
 
 def indexed(docs: DataFrame, words: int = WORDS, likeness: float = LIKENESS) -> DataFrame:
-    """(doc_id, same, size, keys) of every row: same is a hash of its set of shingles, size their number."""
+    """(doc_id, same, size, fp, keys) of every row: same is a hash of its set of shingles, size their number, fp the SimHash of all its shingles."""
     bands = bands_of(likeness)
 
     def run(batches: Iterator) -> Iterator:
@@ -91,11 +93,12 @@ def indexed(docs: DataFrame, words: int = WORDS, likeness: float = LIKENESS) ->
 
         for pdf in batches:
             sets = [shingles_of(t, words) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "same": [_set_hash(s) for s in sets], "size": [len(s) for s in sets], "keys": [band_keys(s, bands) for s in sets]})
+            prints = [simhash.fingerprint_of(t, words) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "same": [_set_hash(s) for s in sets], "size": [len(s) for s in sets], "fp": prints, "keys": [band_keys(s, bands) for s in sets]})
 
     # doc_id passes as text: beside a null, a large whole number would lose digits.
     rows = docs.select(docs["doc_id"].cast("long").cast("string").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id string, same long, size long, keys array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInPandas(run, "doc_id string, same long, size long, fp long, keys array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _sets(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -189,13 +192,21 @@ def _across(mixed: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
     return dealt.groupBy("key", "i", "j").applyInPandas(run, "src long, dst long")
 
 
-def links(nodes: DataFrame, docs: DataFrame, words: int = WORDS, likeness: float = LIKENESS) -> DataFrame:
+def simhash_postings(prints: DataFrame) -> DataFrame:
+    """(key, node) of prints (node, fp): one key for each group of fingerprints that links of SimHash join, equal ones included."""
+    distinct = cut(prints.select("fp").distinct())
+    of = cut(connected_components(simhash.links(distinct))).withColumnRenamed("node", "fp")
+    group = F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp"))
+    return prints.join(of, "fp", "left").select(group.alias("key"), "node").distinct()
+
+
+def links(nodes: DataFrame, prints: DataFrame, docs: DataFrame, words: int = WORDS, likeness: float = LIKENESS) -> DataFrame:
     """(node, component) of the nodes that links join: components are those of all alike pairs that meet in a posting.
 
-    nodes: node, least (a document it stands for), same, size, keys; no two have one set of shingles. Every pair of a posting is verified
-    unless other links already join it.
+    nodes: node, least (a document it stands for), same, size, keys; no two have one set of shingles. prints: node, fp (a set has several
+    if its shingles repeat in different numbers). Every pair of a posting, a group of SimHash or a key of MinHash, is verified unless other links already join it.
     """
-    index = nodes.select(F.explode("keys").alias("key"), "node")
+    index = simhash_postings(prints).unionByName(nodes.select(F.explode("keys").alias("key"), "node"))
     postings = index.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last")
     listed = cut(index.join(postings.select("key", "head"), "key"))
     pairs = cut(listed.where("node <> head").select("head", "node").distinct())
@@ -224,7 +235,8 @@ def grouped(docs: DataFrame, words: int = WORDS, likeness: float = LIKENESS) ->
     rows = cut(indexed(docs, words, likeness).withColumn("row", F.monotonically_increasing_id()))
     found = rows.groupBy("same", "size").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     nodes = cut(found.join(rows.select(F.col("row").alias("node"), "keys"), "node"))
-    of = nodes.select("node", "same", "size", "least").join(links(nodes, docs, words, likeness), "node", "left")
+    prints = rows.select("same", "size", "fp").distinct().join(found.select("same", "size", "node"), ["same", "size"]).select("node", "fp")
+    of = nodes.select("node", "same", "size", "least").join(links(nodes, cut(prints), docs, words, likeness), "node", "left")
     of = cut(of.withColumn("component", F.coalesce("component", "node")))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
     named = cut(of.join(least, "component").select("same", "size", "component_id"))

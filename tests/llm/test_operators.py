@@ -296,6 +296,22 @@ def test_many_near_copies_and_a_stranger(spark, monkeypatch):
     assert 0 < seen[0][0] <= bands and seen[0][1] <= bands * 20_001
 
 
+def test_simhash_finds_near_copies_of_the_pipeline(spark, monkeypatch):
+    """Without any MinHash key, texts within two bits are still joined, by a chain too, and held to the exact check; of further bits MinHash takes care."""
+    import corpus_pipeline
+
+    base, wide = prose(2000, 41).split(), prose(200, 42).split()
+    rows = [(0, " ".join(base)), (1, " ".join([*base[:500], "one", *base[501:]])), (2, " ".join([*base[:900], "two", *base[901:]])), (3, " ".join(wide)), (4, " ".join(wide[:185]))]
+    rows += [(5, prose(2000, 43)), (6, " ".join(["on and on it goes"] * 300 + wide[:20])), (7, " ".join(["on and on it goes"] * 300 + wide[40:60])), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bits = lambda a, b: ((simhash.fingerprint_of(rows[a][1], 5) ^ simhash.fingerprint_of(rows[b][1], 5)) % 2**64).bit_count()
+    assert bits(0, 1) <= 2 and bits(6, 7) <= 2 < bits(3, 4) and likeness_of(rows[3][1], rows[4][1]) >= 0.8 > likeness_of(rows[6][1], rows[7][1])
+    kept = lambda: sorted(r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect())
+    assert kept() == [0, 3, 5, 6, 7, 8]
+    monkeypatch.setattr(similar, "bands_of", lambda likeness: 0)
+    assert kept() == [0, 3, 4, 5, 6, 7, 8]
+
+
 def test_documents_below_the_likeness_stay(spark):
     """Fingerprints of 256 bits took about three fifths of the pairs at 0.70 for alike."""
     rows = []
