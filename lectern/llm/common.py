@@ -25,10 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+#: Spark's setting by which a query that was planned under it removes its shuffle files as soon as it has run.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read on from there, so that lost executors cost no recomputation."""
+    """Write df to the shared checkpoint folder and read on from there, so that lost executors cost no recomputation.
+
+    The shuffles behind it aren't read again. Their files go at once, where else they stay until the driver happens to collect its garbage, so
+    that the steps of an operator don't add up on disk. Only the query planned here runs under that setting: df itself may be run again.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lectern.llm import ann, fingerprints, idfiles, language, mixing, packing, quality, similar, simhash, tokens, url_filters, warc
+from lectern.llm.common import CLEANUP, cut
 from lectern.llm.components import connected_components
 from lectern.llm.queries import RULES, vocabulary
 
@@ -54,6 +55,27 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src int, dst int")).count() == 0
 
 
+def shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {name for i in range(blocks.size()) if (name := blocks.apply(i).name()).startswith("shuffle_")}
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    """They stayed until the driver collected its garbage, so near-dedup took more disk than its budget where its many steps met many partitions."""
+    before = shuffle_files(spark)
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    counts.collect()
+    assert shuffle_files(spark) - before
+    for left in (None, "false", "true"):
+        spark.conf.unset(CLEANUP) if left is None else spark.conf.set(CLEANUP, left)
+        before = shuffle_files(spark)
+        got = cut(counts.join(counts.withColumnRenamed("count", "n"), "k"))
+        assert shuffle_files(spark) <= before and spark.conf.get(CLEANUP, None) == left
+        assert sorted(map(tuple, got.collect())) == [(k, n, n) for k in range(7) for n in [143 - (k == 6)]]
+    spark.conf.unset(CLEANUP)
+    assert counts.count() == 7  # what was cut may be run again
+
+
 def test_url_rules_and_classes(spark):
     html = '<link rel="canonical" href="{}">'
     rows = [(1, "http://A.Example.com/en/x?q#f", None), (2, "http://www.example.com/en/", ""), (3, "net/es/", ""), (4, None, ""), (5, "http://x.net/es/1", ""), (6, "http://new.org/p", html.format("http://x.net/es/1")), (7, "http://other.org/", html.format("http://new.org/p")), (8, "http://ok.com/", html.format("http://deep.org/")), (9, "http://deep.org/", html.format("http://y.net/fr/")), (10, "http://free.org/", "")]
