@@ -5,7 +5,8 @@ that holds them, which a balanced tree of the free spaces finds. One such pass o
 groups are dealt to blocks of a bounded number, a task packs each block's into bundles of a small share of a shard's capacity, and
 bundles are packed in turn; the last level, of bundles alone, makes the shards. For a given number of shards the capacity is the least,
 found by halving, with which best fit needs no more. Rows then meet their group's shard by one shuffle and are written to files; a row's slot is its place
-in its shard's files, which are counted and not sorted.
+in its shard's files, which are counted and not sorted. A task writes a file for each shard it has rows of, so the bytes of the texts, not the
+partitions of that shuffle, say how many tasks write.
 
 A group of more bytes than a shard's share can't stay whole if shards are to be near equal (a third of all rows may be copies of one
 text): it is cut into as few pieces as that share allows, and its rows are dealt evenly to the pieces.
@@ -28,6 +29,8 @@ BUNDLES, LEAST = 16_384, 8
 DOMAIN = 32
 #: Rows of a group that one task joins or numbers, about.
 HOT = 100_000
+#: Bytes of texts that a task writes, about.
+TASK = 64 << 20
 #: Files whose first slots are broadcast, at most; those of more files are joined by key.
 FILES = 100_000
 RESULT = ["size", "law", "shard", "slot", "grown_shard"]
@@ -149,29 +152,31 @@ def packed(groups: DataFrame, total: int, capacity: int, shards: int | None = No
 
     Every level's items are groups of a bounded number, so no task holds more than BLOCK or LAST of them. For a given capacity
     the groups are dealt to domains of about DOMAIN shards, each packed alone, so at most one shard in DOMAIN is filled in part more than needed.
+    groups is read twice.
     """
     domains = 1 if shards else max(1, round(total / (capacity * DOMAIN)))
     share = max(1, capacity // max(LEAST, BUNDLES // (shards or DOMAIN)))
-    items = cut(groups.select("item", "bytes", F.pmod(F.xxhash64("item"), F.lit(domains)).cast("int").alias("domain")))
+    items = groups.select("item", "bytes", F.pmod(F.xxhash64("item"), F.lit(domains)).cast("int").alias("domain"))
     n, up = items.count(), []
     while True:
         blocks = max(1, math.ceil(n / domains / BLOCK))
-        level = cut(_packed(items.withColumn("block", F.pmod(F.xxhash64("item", F.lit(1)), F.lit(blocks)).cast("int")), ["domain", "block"], share, None, "bin"))
+        level = _packed(items.withColumn("block", F.pmod(F.xxhash64("item", F.lit(1)), F.lit(blocks)).cast("int")), ["domain", "block"], share, None, "bin")
+        level = cut(level.coalesce(tasks := domains * blocks))  # a partition without a block is a file for nothing
         level = level.withColumn("bundle", F.format_string("%010d-%010d-%010d", "domain", "block", "bin"))
-        up.append(level.select("item", "bundle"))
-        items = cut(level.groupBy("domain", F.col("bundle").alias("item")).agg(F.sum("bytes").alias("bytes")))
+        up.append((level.select("item", "bundle"), tasks))
+        items = cut(level.groupBy("domain", F.col("bundle").alias("item")).agg(F.sum("bytes").alias("bytes")).coalesce(tasks))
         before, n = n, items.count()
         if n <= LAST * domains or n > before // 2:
             break
         share *= 2
-    found = cut(_packed(items, ["domain"], capacity, shards, "shard"))
+    found = cut(_packed(items, ["domain"], capacity, shards, "shard").coalesce(domains))
     if domains > 1:
         first = found.groupBy("domain").agg((F.max("shard") + 1).alias("n"))
         first = first.select("domain", (F.sum("n").over(Window.orderBy("domain")) - F.col("n")).cast("int").alias("first"))
         found = found.join(first, "domain").withColumn("shard", F.col("shard") + F.col("first"))
     found = found.select("item", "shard")
-    for level in reversed(up):
-        found = level.join(found.withColumnRenamed("item", "bundle"), "bundle").select("item", "shard")
+    for level, tasks in reversed(up):
+        found = level.join(found.withColumnRenamed("item", "bundle"), "bundle").select("item", "shard").coalesce(tasks)
     return found
 
 
@@ -186,7 +191,7 @@ def assigned(docs: DataFrame, shards: int | None = None, capacity: int | None =
     shard, but for groups of more bytes than a shard should have: their rows are dealt evenly to pieces. A single document larger than a
     shard's share or capacity has a shard of its own if it is the capacity that is given, and else makes that shard as large as it must be. Rows
     that repeat a doc_id or lack one are rows like others. Columns of docs named size or shard are replaced. An empty
-    table gives no rows.
+    table gives no rows. There are no more partitions than one for each TASK bytes, rounded up to a multiple of the cores.
     """
     if (shards is None) == (capacity is None) or (shards or capacity) < 1:
         raise ValueError("give a number of shards or a capacity, of one at least")
@@ -218,7 +223,9 @@ def assigned(docs: DataFrame, shards: int | None = None, capacity: int | None =
         number = F.row_number().over(Window.partitionBy(key, part).orderBy(F.lit(0))) - 1 + F.col(part)
         whole = whole.unionByName(dealt.withColumn(piece, F.pmod(number, F.col(pieces_)).cast("int")))
     each = at.join(hot.select(key, parts_), key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts_), F.lit(1)) - 1))).drop(parts_)
-    return whole.drop(pieces_, parts_).join(each, [key, piece, part]).drop(key, piece, part)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    tasks = cores * max(1, math.ceil((total or 0) / TASK / cores))  # whole rounds
+    return whole.drop(pieces_, parts_).join(each, [key, piece, part]).drop(key, piece, part).coalesce(tasks)
 
 
 def write(docs: DataFrame, folder: str, shards: int | None = None, capacity: int | None = None) -> None:
@@ -235,7 +242,7 @@ def read(spark: SparkSession, folder: str, schema) -> DataFrame:
     taken = rows.columns
     file, at = unused(rows, "__file"), unused(rows, "__at")
     rows = rows.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(at))
-    counts = cut(rows.groupBy("shard", file).agg(F.count("*").alias("n")))
+    counts = rows.groupBy("shard", file).agg(F.count("*").alias("n"))
     first = counts.select("shard", file, (F.sum("n").over(Window.partitionBy("shard").orderBy(file)) - F.col("n")).alias("n"))
     first = first.withColumnRenamed("n", unused(rows, "__first"))
     first = F.broadcast(first) if counts.count() <= FILES else first

@@ -104,6 +104,30 @@ def test_shards_over_several_levels(documents, monkeypatch):
     assert len(rows) == documents.count() and all(len(s) == 1 for s in groups.values()) and max(loads.values()) < 1.1 * min(loads.values())
 
 
+def test_the_bytes_of_texts_say_how_many_files_are_written(spark, monkeypatch, tmp_path):
+    """Each partition of the shuffle wrote a file a shard: on many small partitions thousands of files, each of which starts processes beside an executor."""
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    docs = [(i, f"text {i % 500} " * (i % 7)) for i in range(900)]
+    frame, cores = spark.createDataFrame(docs, "doc_id long, text string"), spark.sparkContext.defaultParallelism
+    sizes = sum(len(t) + 1 for _, t in docs)
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        for task, tasks in ((sharding.TASK, cores), (sizes // (3 * cores) + 1, 3 * cores)):  # few bytes: a task a core; more: a task for each TASK of them
+            monkeypatch.setattr(sharding, "TASK", task)
+            folder = tmp_path / str(tasks)
+            found = sharding.sharded(frame, 4, folder=str(folder)).collect()
+            assert len(list(folder.glob("shard=*/*.parquet"))) <= 4 * tasks
+            assert len({p.name for p in folder.glob("shard=*/*.parquet")}) > tasks // 2  # nor does one task write all
+            assert sorted((r["doc_id"], r["text"]) for r in found) == docs
+            for shard in range(4):
+                assert sorted(r["slot"] for r in found if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in found)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_a_group_larger_than_a_shard_is_dealt_to_pieces(spark, monkeypatch):
     """A third of the rows is one text, then with repeated ids and more rows than a task numbers."""
     rows = [(i, "t" * (i % 50) + str(i)) for i in range(800)] + [(1000 + i, "hot " * 10) for i in range(400)]
