@@ -107,7 +107,7 @@ def _digit(n: Column, one_unsaid: bool) -> Column:
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line_no, value: the English side as a line source, with junk lines and unknown codes, some verses out of order."""
     rows = side_of(spark, sf_dir, "en").join(F.broadcast(canon.books(spark)), "abbrev")
-    no = (F.col("ord").cast("long") * 1_000_000_000 + F.col("ch") * 100_000 + F.col("v")).alias("line_no")
+    no = (F.col("ord").cast("long") * 1_000_000_000 + F.col("ch").cast("long") * 100_000 + F.col("v")).alias("line_no")
     v = F.when((F.col("ch") % 5 == 0) & (F.col("v") % 7 == 3), F.col("v") + 1).otherwise(F.col("v"))
     code = F.when((F.col("ch") % 11 == 0), "TOB").otherwise(F.col("code"))
     text = F.concat(code, F.lit(" "), F.col("ch"), F.lit(":"), v, F.lit(" ["), F.col("text"), F.lit("]  ¶"))

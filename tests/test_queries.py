@@ -26,3 +26,17 @@ def test_query_equals_its_sql(spark, tables, name):
     assert sorted(df.columns) == sorted(sql.columns)
     columns = sorted(df.columns)
     assert plain(df.select(*columns).collect()) == plain(sql.select(*[f'"{c}"' for c in columns]).fetchall())
+
+
+@pytest.fixture(scope="module")
+def many_chapters(spark, tmp_path_factory):
+    """One source of so many documents that a chapter's first line number is more than an int holds."""
+    folder = str(tmp_path_factory.mktemp("many"))
+    spark.range(1, 21_501).selectExpr("id AS doc_id", "'src0' AS source", "'en' AS lang", "concat('one\n two ', id, '\nthree') AS text").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_line_numbers_of_many_chapters(spark, many_chapters):
+    rows = entry.queries()["vpl_parse"](spark, many_chapters).where("ch >= 21499").collect()
+    want = [(1_000_000_000 + ch * 100_000 + v, "GEN", "gn", ch, v + (ch % 5 == 0 and v == 3), ("one", f"two {ch}", "three")[v - 1]) for ch in (21_499, 21_500) for v in (1, 2, 3)]
+    assert sorted(map(tuple, rows)) == want
