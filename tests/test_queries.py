@@ -40,3 +40,8 @@ def test_line_numbers_of_many_chapters(spark, many_chapters):
     rows = entry.queries()["vpl_parse"](spark, many_chapters).where("ch >= 21499").collect()
     want = [(1_000_000_000 + ch * 100_000 + v, "GEN", "gn", ch, v + (ch % 5 == 0 and v == 3), ("one", f"two {ch}", "three")[v - 1]) for ch in (21_499, 21_500) for v in (1, 2, 3)]
     assert sorted(map(tuple, rows)) == want
+
+
+def test_order_check_of_many_chapters(spark, many_chapters):
+    rows = entry.queries()["verse_order_check"](spark, many_chapters).select("code", "ch", "line_no", "v", "expected").collect()
+    assert sorted(map(tuple, rows)) == [("GEN", ch, 1_000_000_000 + ch * 100_000 + 3, 4, 3) for ch in range(5, 21_501, 5) if ch % 11]
