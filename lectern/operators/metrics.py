@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from lectern.operators import sessions
 from lectern.shared import checkpointed
@@ -105,46 +106,122 @@ def matched_in_time(labels: DataFrame, candidates: DataFrame, seconds: float = 5
     return labels.join(near.withColumn("__hit", F.lit(True)), ["session", "ref", "label_ts"], "left").select(*labels.columns, F.col("__hit").isNotNull().alias("matched"))
 
 
-def one_to_one(labels: DataFrame, candidates: DataFrame, seconds: float = 5.0) -> DataFrame:
+#: A key's rows are dealt over slices of time that are so many times as long as a match may be; a task holds so many rows of a run.
+SPAN, HELD = 4096, 100_000
+
+
+def _with_end(batches: Iterator) -> Iterator:
+    """The batches, and None after the last."""
+    yield from batches
+    yield None
+
+
+def one_to_one(labels: DataFrame, candidates: DataFrame, seconds: float = 5.0, span: int = SPAN, held: int = HELD) -> DataFrame:
     """side (label or candidate), session, ref, ts, id and other: a matching of labels and candidates (session, ref, ts, id), as many pairs as can be.
 
     A pair has one session and reference and lies within seconds; each label and each candidate is in one pair at most, the earliest first, and other is the id of
-    its partner, or null. Where nothing of a session and reference happens for longer than that, no pair goes across: such runs are dealt over tasks and
-    read in order of time, and a task holds only what can still be matched. Rows with nulls in session, ref or ts match nothing.
+    its partner, or null. Where nothing of a session and reference happens for longer than that, no pair goes across: such runs are dealt over tasks by slices
+    of time and matched there. Only those that come so near to a slice's edge that they may go on beyond it, or have more than held rows, are
+    dealt again by session and reference and read in order of time; a task holds only what can still be matched then. Both inputs are
+    shuffled once. Rows with nulls in session, ref or ts match nothing.
     """
     wait = int(seconds * 1_000_000)
-    kind = lambda df, side: df.select(F.lit(side).alias("side"), "session", "ref", "ts", "id", F.unix_micros(F.col("ts").cast("timestamp")).alias("__at"))
-    both = kind(labels, "label").unionByName(kind(candidates, "candidate")).withColumn("__key", F.struct("session", "ref"))
-    order = ["__at", "side", "id"]
+    width = max(1, wait) * span
+    kind = lambda df, side: df.select(F.lit(side).alias("side"), "session", "ref", "ts", "id")
+    both = kind(labels, "label").unionByName(kind(candidates, "candidate"))
+    own = both.columns
     whole = F.col("session").isNotNull() & F.col("ref").isNotNull() & F.col("ts").isNotNull()
-    rows = sessions.scanned(sessions.sliced(both.where(whole), "__at"), "__key", order, "__at", "__before")
-    begins = F.when(F.coalesce(F.col("__at") - F.col("__before") > wait, F.lit(True)), F.col("__at"))
-    rows = sessions.scanned(rows.withColumn("__begin", begins), "__key", order, "__begin", "__run", own=True)
-    dealt = rows.repartition("__key", "__run").sortWithinPartitions("__key", "__run", *order).select("side", "session", "ref", "ts", F.col("id").cast("string").alias("id"), "__at", F.xxhash64("__key", "__run").alias("__hash"))
+    both = both.withColumns({"__at": F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0)), "__whole": whole})
+    both = both.withColumn("__slice", F.when(F.col("__whole"), F.col("__at") - F.pmod("__at", F.lit(width))).otherwise(F.xxhash64("id")))
+    order = ["__at", "side", "id"]
+    dealt = both.repartition("session", "ref", "__slice").sortWithinPartitions("__slice", "ref", "session", *order).withColumn("__hash", F.xxhash64("session", "ref", "__slice"))
+    out = StructType([*both.select(*own).schema.fields, StructField("other", both.schema["id"].dataType)])
 
     def match(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        key, free = None, {"label": deque(), "candidate": deque()}
-        for pdf in batches:
-            out = []
-            for side, id_, at, k in zip(pdf["side"], pdf["id"], pdf["__at"], pdf["__hash"]):
-                if k != key:
-                    key, free = k, {"label": deque(), "candidate": deque()}
-                others = free["label" if side == "candidate" else "candidate"]
-                while others and at - others[0][1] > wait:
-                    others.popleft()
-                if others:
-                    out.append((side, id_, others.popleft()[0]))
+        """Rows with other, or with __on for those of runs that may go on elsewhere; what has ended is given at once, the last run waits for the next batch."""
+        import numpy as np
+        import pyarrow as pa
+
+        rest = beyond = None  # the run that may go on in the next batch; key and time of one that has grown too long to be held
+        for batch in _with_end(batches):
+            if batch is not None:
+                rest = pa.Table.from_batches(([] if rest is None else rest.to_batches()) + [batch])
+            if rest is None or not rest.num_rows:
+                continue
+            table = rest.combine_chunks()
+            at, of, begin, known = (table[c].to_numpy() for c in ("__at", "__hash", "__slice", "__whole"))
+            label = np.asarray(table["side"].to_numpy() == "label")
+            new = np.ones(len(at), bool)
+            new[1:] = (of[1:] != of[:-1]) | (at[1:] - at[:-1] > wait) | ~known[1:] | ~known[:-1]
+            long = beyond is not None and known[0] and of[0] == beyond[0] and at[0] - beyond[1] <= wait
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(at))
+            on = known[starts] & ((at[starts] - begin[starts] < wait) | (begin[starts] + width - at[ends - 1] <= wait))
+            on[0] |= long
+            upto = len(at)
+            if batch is not None:  # the last run may go on
+                if upto - starts[-1] > held or long and len(starts) == 1:
+                    on[-1], beyond = True, (of[-1], at[-1])
                 else:
-                    free[side].append((id_, at))
-            yield pd.DataFrame(out, columns=["side", "a", "b"])
-
-    pairs = dealt.mapInPandas(match, "side string, a string, b string")
-    partner = pairs.select("side", F.col("a").alias("id"), F.col("b").alias("other")).unionByName(pairs.select(F.when(F.col("side") == "label", "candidate").otherwise("label").alias("side"), F.col("b").alias("id"), F.col("a").alias("other")))
-    own = dict(both.dtypes)["id"]
-    partner = partner.select(F.col("side").alias("__side"), F.col("id").cast(own).alias("__id"), F.col("other").cast(own).alias("other"))
-    return both.join(partner, (F.col("side") == F.col("__side")) & (F.col("id") == F.col("__id")), "left").select("side", "session", "ref", "ts", "id", "other")
+                    upto, starts, ends, on, beyond = starts[-1], starts[:-1], ends[:-1], on[:-1], (beyond if len(starts) == 1 else None)
+            rest = table.slice(upto)
+            if not upto:
+                continue
+            partner = np.full(upto, -1)
+            size = np.where(on, 0, ends - starts)
+            two = starts[size == 2]
+            two = two[label[two] != label[two + 1]]
+            partner[two], partner[two + 1] = two + 1, two
+            for a, b in zip(starts[size > 2].tolist(), ends[size > 2].tolist()):
+                free = {False: deque(), True: deque()}
+                for i in range(a, b):
+                    others = free[not label[i]]
+                    while others and at[i] - at[others[0]] > wait:
+                        others.popleft()
+                    if others:
+                        partner[i] = others.popleft()
+                        partner[partner[i]] = i
+                    else:
+                        free[bool(label[i])].append(i)
+            done = table.slice(0, upto)
+            other = done["id"].take(pa.array(partner, mask=partner < 0))
+            goes = pa.array(np.repeat(on, ends - starts))
+            yield from done.select(own).append_column("other", other).append_column("__on", goes).combine_chunks().to_batches()
+
+    def across(batches: Iterator) -> Iterator:
+        """The same for rows of long runs, in order of time; a row is given when it is matched or can't be any more."""
+        import pyarrow as pa
+
+        key, free, schema = None, {"label": deque(), "candidate": deque()}, None
+        for batch in _with_end(batches):
+            out = []
+            if batch is None:
+                if schema is None:
+                    return
+                out += [(x, None) for q in free.values() for _, x in q]
+            else:
+                schema = batch.schema
+                for x, k, at in zip(batch.select(own).to_pylist(), batch["__hash"].to_pylist(), batch["__at"].to_pylist()):
+                    if k != key:
+                        out += [(y, None) for q in free.values() for _, y in q]
+                        key, free = k, {"label": deque(), "candidate": deque()}
+                    for q in free.values():
+                        while q and at - q[0][0] > wait:
+                            out.append((q.popleft()[1], None))
+                    others = free["label" if x["side"] == "candidate" else "candidate"]
+                    if others:
+                        y = others.popleft()[1]
+                        out += [(x, y["id"]), (y, x["id"])]
+                    else:
+                        free[x["side"]].append((at, x))
+            if out:
+                columns = [pa.array([x[c] for x, _ in out], schema.field(c).type) for c in own] + [pa.array([o for _, o in out], schema.field("id").type)]
+                yield pa.RecordBatch.from_arrays(columns, [*own, "other"])
+
+    matched = dealt.mapInArrow(match, StructType([*out.fields, StructField("__on", BooleanType())]))
+    on = matched.where("__on").select(*own, F.unix_micros(F.col("ts").cast("timestamp")).alias("__at"))
+    on = on.repartition("session", "ref").sortWithinPartitions("session", "ref", *order).withColumn("__hash", F.xxhash64("session", "ref"))
+    return matched.where("not __on").drop("__on").unionByName(on.mapInArrow(across, out))
 
 
 def scored(matched: DataFrame, by: list[str]) -> DataFrame:

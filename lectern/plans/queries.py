@@ -307,16 +307,15 @@ APART, SERVICES = 60, 5
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matching of what the sentences hold with what is found in them, as they were said and as a machine wrote them down (mode)."""
     k = F.col("o_orderkey")
+    session = F.struct("mode", (k % SERVICES).alias("service")).alias("session")  # no pair has two modes
     ref = F.concat_ws(" ", "abbrev", "ch", "v1").alias("ref")
     time = lambda late: F.timestamp_seconds(1704067200 + k * APART + late).alias("ts")
-    truth = speech.labels(spark, sf_dir, speech.DIGITS).select((k % SERVICES).alias("session"), ref, time(F.lit(0)), F.concat_ws("-", k, "nth", "item").alias("id"))
-    every = None
-    for mode, misheard in (("said", False), ("machine", True)):
-        texts = speech.sentences(spark, sf_dir, speech.DIGITS, misheard)
-        found = detect.detected(texts, "o_orderkey").select((k % SERVICES).alias("session"), ref, time(k % 8), F.concat_ws("-", k, "start", "item").alias("id"))
-        rows = metrics.one_to_one(truth, found).withColumn("mode", F.lit(mode))
-        every = rows if every is None else every.unionByName(rows)
-    return every
+    truth = speech.labels(spark, sf_dir, speech.DIGITS).withColumn("mode", F.explode(F.array(F.lit("said"), F.lit("machine"))))
+    texts = speech.transcripts(spark, sf_dir, speech.DIGITS).select(F.struct("o_orderkey", "modes").alias("k"), "text")
+    found = detect.detected(texts, "k").select("k.o_orderkey", F.explode("k.modes").alias("mode"), "abbrev", "ch", "v1", "start", "item")
+    labels = truth.select(session, ref, time(F.lit(0)), F.concat_ws("-", k, "nth", "item").alias("id"))
+    rows = metrics.one_to_one(labels, found.select(session, ref, time(k % 8), F.concat_ws("-", k, "start", "item").alias("id")))
+    return rows.withColumn("mode", F.col("session.mode"))
 
 
 def eval_prf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import numerals
@@ -73,9 +73,8 @@ def _plain(piece) -> str:
 MISHEARD, REPEATED = (9, 4), (9, 7)
 
 
-def _words(spark: SparkSession, sf_dir: str, misheard: bool = False) -> DataFrame:
+def _words(rows: DataFrame, misheard: bool = False) -> DataFrame:
     """The orders with all that the sentences' pieces name."""
-    rows = S._orders(spark, sf_dir)
     if misheard:
         wrong = F.col("o_orderkey") % MISHEARD[0] == MISHEARD[1]
         rows = rows.withColumn("c", F.when(wrong, (F.col("c").cast("int") + 1).cast("string")).otherwise(F.col("c")))
@@ -86,12 +85,27 @@ def _words(spark: SparkSession, sf_dir: str, misheard: bool = False) -> DataFram
     return rows.withColumn("variant", F.replace("ko", F.lit("일서"), F.lit(" 1서"))).withColumn("ordinal", F.replace("en", F.lit("1 "), F.lit("First ")))
 
 
+def _text(which: list, misheard: bool = False) -> Column:
+    text = S._form(len(which), *[S._text("".join(map(_plain, t))) for t in which])
+    return F.when(F.col("o_orderkey") % REPEATED[0] == REPEATED[1], F.concat(text, F.lit(" … "), text)).otherwise(text) if misheard else text
+
+
 def sentences(spark: SparkSession, sf_dir: str, which: list, misheard: bool = False) -> DataFrame:
     """o_orderkey, text: a sentence for each order. misheard: as a machine writes it down, some with another chapter and some twice."""
-    rows = _words(spark, sf_dir, misheard)
-    texts = rows.select("o_orderkey", S._form(len(which), *[S._text("".join(map(_plain, t))) for t in which]).alias("text"))
-    twice = F.when(F.col("o_orderkey") % REPEATED[0] == REPEATED[1], F.concat("text", F.lit(" … "), "text")).otherwise(F.col("text"))
-    return texts.select("o_orderkey", twice.alias("text")) if misheard else texts
+    return _words(S._orders(spark, sf_dir), misheard).select("o_orderkey", _text(which, misheard).alias("text"))
+
+
+def transcripts(spark: SparkSession, sf_dir: str, which: list) -> DataFrame:
+    """o_orderkey, text, modes: the sentences as they were said and as a machine writes them down, once with both modes where these are alike.
+
+    The orders are dealt out first, as reading a sentence takes far longer than reading its order and a table of few splits would be few tasks.
+    """
+    rows = S._orders(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")
+    rows = _words(rows).withColumn("said", _text(which))
+    rows = _words(rows, misheard=True).select("o_orderkey", "said", _text(which, misheard=True).alias("machine"))
+    one = lambda text, *modes: F.struct(F.col(text).alias("text"), F.array(*map(F.lit, modes)).alias("modes"))
+    alike = F.col("said").eqNullSafe(F.col("machine"))
+    return rows.select("o_orderkey", F.inline(F.when(alike, F.array(one("said", "said", "machine"))).otherwise(F.array(one("said", "said"), one("machine", "machine")))))
 
 
 def labels(spark: SparkSession, sf_dir: str, which: list) -> DataFrame:
@@ -105,7 +119,7 @@ def labels(spark: SparkSession, sf_dir: str, which: list) -> DataFrame:
         found = [F.struct(F.lit(n).alias("nth"), F.lit(i).alias("item"), book(r).alias("abbrev"), number(p[0]).alias("ch"), number(p[1]).alias("v1")) for n, i, r, p in own]
         if found:
             rows = F.when(F.col("o_orderkey") % len(which) == k, F.array(*found)).otherwise(rows)
-    return _words(spark, sf_dir).select("o_orderkey", F.inline(rows))
+    return _words(S._orders(spark, sf_dir)).select("o_orderkey", F.inline(rows))
 
 
 def _sql(template: str, words: dict[str, str]) -> str:

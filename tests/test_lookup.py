@@ -447,3 +447,44 @@ def test_messages_are_those_of_a_plain_replay(spark, tmp_path, splits):
             name = None if first is None else next(hashlib.sha256(f"{s}|{c}|{first}".encode()).hexdigest() for c in [next(r[4] for r in rows if r[1] == first)])
             want.append((s, event_id, kind, ref, name, None if first is None else "confirmed" if final else "tentative", place))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("span, held", [(4096, 100_000), (4, 100_000), (4096, 3), (2, 2)])
+def test_one_to_one_matching_across_slices_and_batches(spark, span, held):
+    """Runs that end in a slice, go over its edge or are too long to be held give what reading each session and reference in order of time gives."""
+    import random
+
+    rng = random.Random(span)
+    rows = [[(rng.choice([1, 2]), rng.choice(["a", "b", "c"]), rng.randrange(-900, 1500) if rng.random() < 0.8 else rng.randrange(40), i) for i in range(400)] for _ in range(2)]
+    frame = lambda r: spark.createDataFrame([*r, (1, "a", None, 900), (None, None, None, 901)], "session int, ref string, t long, id int").withColumn("ts", F.timestamp_seconds("t"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = metrics.one_to_one(frame(rows[0]), frame(rows[1]), 5, span, held).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    free, pairs = {}, set()
+    for t, side, i, s, ref in sorted([(r[2], side, r[3], r[0], r[1]) for side, own in zip(("label", "candidate"), rows) for r in own]):
+        mine, other = (free.setdefault((s, ref, x), []) for x in (side, "label" if side == "candidate" else "candidate"))
+        other[:] = [o for o in other if t - o[0] <= 5]
+        if other:
+            j = other.pop(0)[1]
+            pairs.add((i, j) if side == "label" else (j, i))
+        else:
+            mine.append((t, i))
+    assert len(got) == 804 and len(pairs) > 100
+    assert {(r["id"], r["other"]) for r in got if r["side"] == "label" and r["other"] is not None} == pairs
+    assert {(r["other"], r["id"]) for r in got if r["side"] == "candidate" and r["other"] is not None} == pairs
+    assert sorted(r["id"] for r in got if r["side"] == "label") == [*range(400), 900, 901]
+
+
+def test_one_to_one_matching_reads_its_inputs_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    df = spark.range(500).select(F.lit(1).alias("session"), F.lit("a").alias("ref"), F.timestamp_seconds(F.col("id") * 7).alias("ts"), "id")
+    df = df.mapInPandas(counted, df.schema)
+    assert metrics.one_to_one(df, df).where("other is not null").count() == 1000 and read.value == 1000
