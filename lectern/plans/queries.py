@@ -381,10 +381,10 @@ def latency_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From transcript lines to candidates of the corpus: the source, the order of segments, detection and the join with the verses in one stream."""
     folder, out, verses = (shared_folder(spark, n) for n in ("transcripts", "candidates", "catalog"))
-    console.catalog(S.verses(spark, sf_dir)).write.parquet(verses)
+    catalog = console.stored(console.catalog(S.verses(spark, sf_dir)), verses)
     S.transcripts(speech.sentences(spark, sf_dir, speech.DIGITS)).write.json(folder)
     ordered = segments.in_order(transcripts.read_transcripts(spark, folder), late=10**7)
-    found = console.candidates(ordered, spark.read.parquet(verses))
+    found = console.candidates(ordered, catalog)
     for second in range(2):  # the clock of another session goes on, which gives up the gaps before
         clock = spark.range(1).select(F.lit(-1).alias("session"), F.lit(second).alias("seq"), F.lit("").alias("text"), F.lit(True).alias("is_final"), F.lit("ko").alias("lang"), F.lit("2034-01-01T00:00:00Z").alias("t_client"))
         clock.write.mode("append").json(folder)

@@ -7,6 +7,7 @@ by a sink that keeps a ledger of batches for each role, so a batch that is run a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +27,18 @@ EXPIRES = 12 * 3600
 
 
 def catalog(verses: DataFrame) -> DataFrame:
-    """abbrev, ch, v, place, last, ko, en of verses (abbrev, ch, v, ko, en), for candidates(); write it as a table where it is more than a scan, as every batch reads it."""
+    """abbrev, ch, v, place, last, ko, en of verses (abbrev, ch, v, ko, en), for candidates(); keep it with stored() where it is more than a scan, as every batch reads it."""
     return corpus.placed(verses).join(verses, ["abbrev", "ch", "v"])
 
 
+def stored(catalog: DataFrame, path: str) -> DataFrame:
+    """The catalog, written to path as a table of buckets by the keys of the join, so that no batch of a stream shuffles it again."""
+    spark, keys = catalog.sparkSession, ["abbrev", "ch", "v"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    catalog.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).saveAsTable(name := f"catalog_{uuid.uuid4().hex}")
+    return spark.table(name)
+
+
 def candidates(segments: DataFrame, catalog: DataFrame) -> DataFrame:
     """References in a stream of ordered segments (segments.ORDERED) that the corpus has.
 
@@ -37,7 +46,8 @@ def candidates(segments: DataFrame, catalog: DataFrame) -> DataFrame:
     confidence, place, last, ko, en; the join with the catalog is by key, so a large corpus isn't broadcast.
     """
     key = F.struct("session", "seq", "t_client", "t_sent", F.col("is_final").alias("final")).alias("k")
-    found = detect.detected(segments.select(key, "text"), "k")
+    # A session's segments come out of one task; what is in them is looked for by all.
+    found = detect.detected(segments.repartition("session", "seq").select(key, "text"), "k")
     v = F.greatest(F.lit(1), F.coalesce("v1", F.lit(1)))
     wanted = found.select("k.*", "item", "abbrev", "ch", v.alias("v"), "v2", "matched", "start", "end", "confidence")
     return wanted.join(catalog, ["abbrev", "ch", "v"])

@@ -185,3 +185,75 @@ def test_a_batch_that_fails_between_roles_is_told_once(spark, tmp_path):
     run()
     sink(rows, 0)
     assert told("console") == [1] and told("display") == [2]
+
+
+class Kept:
+    """A state without a store, which counts what is written to it."""
+
+    def __init__(self):
+        self.values, self.writes, self.timers = {}, 0, set()
+
+    def getValueState(self, name, *schemas):
+        return State(self, name)
+
+    getMapState = getValueState
+
+    def listTimers(self):
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+class State:
+    def __init__(self, kept, name):
+        self.kept, self.own = kept, kept.values.setdefault(name, {})
+
+    def exists(self):
+        return () in self.own
+
+    def get(self):
+        return self.own[()]
+
+    def update(self, value):
+        self.own[()] = value
+
+    def iterator(self):
+        return iter(list(self.own.items()))
+
+    def values(self):
+        return iter(list(self.own.values()))
+
+    def updateValue(self, key, value):
+        self.own[key], self.kept.writes = value, self.kept.writes + 1
+
+    def removeKey(self, key):
+        del self.own[key]
+
+
+def test_very_many_waiting_segments_are_few_writes(spark):
+    """A first gap holds back all of a session; what then is given up equals a plain replay, and the state has no write for each segment."""
+    import pandas as pd
+
+    seqs = [q for q in range(1, 30_000) if q % 11 != 5]
+    random.Random(1).shuffle(seqs)
+    kept, order = Kept(), segments.InOrder(0, 5)
+    kept.now = 0
+    order.init(kept)
+    frame = lambda own: pd.DataFrame({"seq": own, "text": [f"t{q}" for q in own], "is_final": True, "lang": "ko", "micros": [q * 1_000_000 for q in own]})
+    for part in (seqs[:20_000], seqs[20_000:] + seqs[:50]):
+        assert not list(order.handleInputRows((7,), (frame(part[i : i + 9000]) for i in range(0, len(part), 9000)), kept))
+    assert kept.writes < 100 and kept.timers == {6000}
+    got = []
+    for kept.now in (15_000, 10**9):  # at 15 s the segments of the first ten seconds have waited long enough
+        got.append(pd.concat(order.handleExpiredTimer((7,), kept, None)))
+    rows = pd.concat(got)
+    want = [(7, q, f"t{q}", g) for q, g in ((r[1], r[3]) for r in plain_order([(7, q, "", True) for q in seqs], 5))]
+    assert list(zip(rows["session"], rows["seq"], rows["text"], rows["given_up"])) == want
+    assert int(got[0]["seq"].max()) == 15 and kept.values["due"][()] == (30_000,) and not kept.values["waiting"] and not kept.timers
