@@ -45,3 +45,13 @@ def test_line_numbers_of_many_chapters(spark, many_chapters):
 def test_order_check_of_many_chapters(spark, many_chapters):
     rows = entry.queries()["verse_order_check"](spark, many_chapters).select("code", "ch", "line_no", "v", "expected").collect()
     assert sorted(map(tuple, rows)) == [("GEN", ch, 1_000_000_000 + ch * 100_000 + 3, 4, 3) for ch in range(5, 21_501, 5) if ch % 11]
+
+
+def test_transcripts_hold_each_sentence_of_both_modes_once(spark):
+    from lectern.plans import speech
+
+    rows = speech.transcripts(spark, DATA, speech.DIGITS).collect()
+    for mode, misheard in (("said", False), ("machine", True)):
+        want = [tuple(r) for r in speech.sentences(spark, DATA, speech.DIGITS, misheard).collect()]
+        assert sorted((r["o_orderkey"], r["text"]) for r in rows if mode in r["modes"]) == sorted(want)
+    assert len({(r["o_orderkey"], r["text"]) for r in rows}) == len(rows) < 1.25 * len(want)
